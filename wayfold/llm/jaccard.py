@@ -284,3 +284,22 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     out = placed.join(least, "root", "left")
     # a row without shingles is a class of its own
     return out.select(key, "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df without those that are linked with a kept one: of each class the row of smallest key stays (null last).
+
+    Among rows of one key a hash of the row decides, and of fully equal rows one stays. Rows without words all stay.
+    """
+    plan = Plan(n, num, den)
+    marked = df.withColumn("__row", F.xxhash64(*df.columns))
+    rows = checkpointed(sized(marked.select(key, "__row", text), plan, text)).filter("sid IS NOT NULL")
+    placed = labelled(rows, linked_sets(df, plan, text)).withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
+    best = placed.groupBy("root").agg(F.min("rank").alias("best"))
+    judged = placed.join(best, "root")
+    lost = checkpointed(judged.filter("rank.row <> best.row").select("__row").distinct())
+    twice = checkpointed(judged.filter("rank.row = best.row").groupBy("__row").agg(F.count("*").alias("n")).filter("n > 1").select("__row"))
+    small = lambda d: F.broadcast(d) if d.count() <= MOST_BROADCAST else d
+    once = marked.join(small(lost), "__row", "left_anti").join(small(twice), "__row", "left_anti")
+    again = marked.join(small(twice), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(again).select(*df.columns)

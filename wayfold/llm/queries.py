@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, langid, mixing, quality, secrets, tokens, toxicity
+from wayfold.llm import chat, decontam, jaccard, langid, mixing, quality, secrets, suffix_dedup, tokens, toxicity
 from wayfold.llm.common import checkpointed, table, word_count
 
 
@@ -16,6 +16,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs.select("doc_id", "text"), model)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontam.find_contamination(docs.select("doc_id", "text"), items)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = ~held_out()
@@ -28,6 +39,10 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
@@ -115,5 +130,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM p GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_langid, op6_mixing, op7_secrets, op8_quality, op9_tokens, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_langid, op5_jaccard, op6_mixing, op7_secrets, op8_quality, op9_tokens, op10_chat)}
 ORACLE_SQL = {"op6_mixing": OP6_SQL, "op10_chat": OP10_SQL}
