@@ -47,10 +47,10 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
     """Adds columns that a function computes from slices of at most `rows` texts.
 
     fn gets a list of str or None and returns {column: values}; schema declares those columns (DDL).
-    The columns named in `keep` (default: all but the text) go along. Row-wise, so no shuffle.
+    The columns named in `keep` (default: all but the text and those of an added name) go along. Row-wise, so no shuffle.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
     added = df.sparkSession.createDataFrame([], schema).schema
+    keep = [c for c in df.columns if c != text and c not in added.names] if keep is None else keep
     fields = [df.schema[c] for c in keep] + list(added)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

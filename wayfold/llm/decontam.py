@@ -206,9 +206,10 @@ def phrase_blocks(items: DataFrame, item: str = "item_id", text: str = "text", w
 
 
 def find_contamination(df: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Adds n_words, n_hit, items (sorted ids), and spans (characters) to the other columns; keeps the text."""
+    """Adds n_words, n_hit, items (sorted ids), and spans (characters) to the other columns (or replaces them); keeps the text."""
     blocks = phrase_blocks(items, item, "text", window)
     added = df.sparkSession.createDataFrame([], "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>").schema
+    df = df.drop(*added.names)
     schema = StructType(df.schema.fields + added.fields)
     target = to_arrow_schema(schema)
     place = df.columns.index(text)

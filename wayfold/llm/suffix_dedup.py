@@ -355,16 +355,16 @@ def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, spans (start, stop in bytes), kept (binary) and kept_sha256; drops the text.
+    """Adds n_bytes, n_removed, n_spans, spans (start, stop in bytes), kept (binary) and kept_sha256; drops the text (and columns of these names).
 
     kept is the text's remaining bytes; a cut may fall inside a character.
     """
-    keep = [c for c in df.columns if c != text]
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = df.select(*keep, data.alias("data")).withColumn("tid", F.xxhash64("data"))
-    gone = checkpointed(repeated(rows.select("tid", "data"), batches))
     added = df.sparkSession.createDataFrame([], "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string").schema
-    schema = StructType([rows.schema[c] for c in keep] + added.fields)
+    keep = [c for c in df.columns if c != text and c not in added.names]
+    rows = df.select(F.struct(*keep).alias("row"), data.alias("data")).withColumn("tid", F.xxhash64("data"))
+    gone = checkpointed(repeated(rows.select("tid", "data"), batches))
+    schema = StructType([df.schema[c] for c in keep] + added.fields)
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,17 +372,17 @@ def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) ->
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 made: list[list] = [[] for _ in added]
-                for i, t in enumerate(batch.column(len(keep)).to_pylist()):
+                for i, t in enumerate(batch.column(1).to_pylist()):
                     spans, kept = [], t
-                    if batch.column(len(keep) + 1)[i].is_valid:
-                        start, stop = batch.column(len(keep) + 1).slice(i, 1).flatten().flatten()
+                    if batch.column(2)[i].is_valid:
+                        start, stop = batch.column(2).slice(i, 1).flatten().flatten()
                         spans = merged(start.to_numpy(), stop.to_numpy())
                         ends = [0, *(x for s in spans for x in s), len(t)]
                         kept = b"".join(t[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2))
                     values = (len(t), len(t) - len(kept), len(spans), [{"start": s, "stop": e} for s, e in spans], kept, sha256(kept).hexdigest())
                     for column, v in zip(made, values, strict=True):
                         column.append(v)
-                arrays = [batch.column(i).cast(target.field(i).type) for i in range(len(keep))]
+                arrays = [c.cast(target.field(i).type) for i, c in enumerate(batch.column(0).flatten())]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, target.field(f.name).type) for v, f in zip(made, added, strict=True)], schema=target)
 
-    return _by_text(rows, gone, "removed", "left").select(*keep, "data", "removed").mapInArrow(run, schema)
+    return _by_text(rows, gone, "removed", "left").select("row", "data", "removed").mapInArrow(run, schema)
