@@ -1,19 +1,20 @@
 """N-gram Jaccard self-join by parity sketches, and its connected groups.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Sets are cut into `K` blocks by hash, and
+A document's set holds the 64-bit hashes of its distinct word shingles. Sets are cut into K blocks by hash, and
 each block has a parity sketch: every shingle flips one of `BITS` bits. A shingle that two sets don't share
 changes at most one block's sketch, so the number of differing blocks is at most the symmetric difference.
 Sets of a size band whose similarity reaches the threshold differ in at most d shingles, so of K = d + 1 + e
 blocks at least e + 1 agree (pigeonhole); the join key is (band, block, sketch).
 
-Empty blocks agree for no reason, so they give no key. That is safe while a set has at most e empty blocks;
-a set with more is joined again under further hash seeds, and under the last one its empty blocks get keys too.
-No pair at or above the threshold is lost.
+Blocks of fewer than `LEAST` shingles agree for little reason, so they give no key. That is safe while a set has
+at most e such blocks; a set with more is joined again under further hash seeds, and under the last one all
+its blocks give keys. No pair at or above the threshold is lost.
 
-Candidates are verified by exact intersection. Within a key's group the members are compared with one pivot;
-where a group's members still lie in different components, further pivots follow until every pair of members
-in different components has been compared. So copies don't become all pairs, and no link between components
-is missed.
+Candidates are compared by a sketch of the whole set first (the Hamming distance is a lower bound of the
+symmetric difference) and then by exact intersection. Within a key's group the members are compared with one
+pivot; where a group's members still lie in different components, further pivots follow until every pair of
+members in different components has been compared. So copies don't become all pairs, and no link between
+components is missed.
 
 Equal sets are one node (a 64-bit hash of the set), and a task emits the keys of equal sets once.
 
@@ -35,12 +36,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from wayfold.llm.common import checkpointed
 from wayfold.llm.components import components
 
-#: Ratio of a size band's ends; hash seeds tried before empty blocks get keys.
-BAND_RATIO, SEEDS = 1.3, 6
+#: Ratio of a size band's ends; shingles of a block that gives a key; hash seeds tried before all blocks give keys.
+BAND_RATIO, LEAST, SEEDS = 1.2, 2, 6
+#: Differences from which blocks of fewer than LEAST shingles give no key (under it only empty ones don't).
+LEAST_ROOM = 4
 #: Bits of a block's sketch.
 BITS = 256
 #: Candidate sets up to this number are found by a broadcast join (16 MB), more by a shuffled one.
@@ -77,8 +82,18 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     k = min(n, len(words))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i, f in enumerate(_factors(k)):
-        total += mixed(h[i : len(h) - k + 1 + i]) * f
-    return np.unique(mixed(total))
+        total += h[i : len(h) - k + 1 + i] * f
+    total = mixed(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a whole set, of a power of two of bits, at least twice its size; halves fold by XOR."""
+    words = 1 << max(0, (len(s) // 32).bit_length())
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, ((s >> _U(6)) & _U(words - 1)).astype(np.int64), _U(1) << (s & _U(63)))
+    return out.view(np.int64)
 
 
 def set_id(s: np.ndarray) -> int | None:
@@ -113,30 +128,32 @@ class Plan:
     @lru_cache  # noqa: B019
     def blocks(self, least: int, most: int) -> tuple[int, int, int]:
         d = (self.den - self.num) * 2 * most // (self.den + self.num)
-        smallest = math.ceil(least * self.num / self.den)
         spare = 0
-        if d >= 4:
-            for _ in range(3):
-                empty = (d + 1 + spare) * math.exp(-smallest / (d + 1 + spare))
-                spare = math.ceil(empty + 2 * math.sqrt(empty))
+        if d >= LEAST_ROOM:
+            for _ in range(4):
+                blocks = d + 1 + spare
+                mean = least * self.num / self.den / blocks
+                poor = blocks * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(LEAST))
+                spare = min(d, math.ceil(poor + 2 * math.sqrt(poor)))
         return d, d + 1 + spare, spare
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Join keys of a set; two sets of similarity num / den or more have one in common, if they aren't equal."""
         out = []
-        for band, _, k, spare in self.bands(len(s)):
+        for band, d, k, spare in self.bands(len(s)):
             for seed in range(SEEDS):
                 g = s if not seed else np.sort(mixed(s ^ _U((_STEP * (seed + 7)) % 2**64)))
                 block = ((g >> _U(32)) * _U(k)) >> _U(32)
                 start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                rich = np.diff(np.concatenate([start, [len(g)]])) >= (LEAST if d >= LEAST_ROOM else 1)
                 bit, word = _U(1) << (g & _U(63)), (g >> _U(6)) & _U(BITS // 64 - 1)
                 key = block[start] + _U((((band << 4) | seed) << 40))
                 for j in range(BITS // 64):
                     key = mixed(key ^ np.bitwise_xor.reduceat(np.where(word == _U(j), bit, _U(0)), start)) + _U(j + 1)
-                out.append(key)
-                if k - len(start) <= spare:
+                out.append(key if seed == SEEDS - 1 else key[rich])
+                if k - np.count_nonzero(rich) <= spare:
                     break
-                if seed == SEEDS - 1:
+                if seed == SEEDS - 1:  # the empty blocks, too
                     key = np.setdiff1d(np.arange(k, dtype=np.uint64), block[start]) + _U((((band << 4) | seed) << 40))
                     for j in range(BITS // 64):
                         key = mixed(key) + _U(j + 1)
@@ -145,28 +162,25 @@ class Plan:
 
 
 def sized(df: DataFrame, plan: Plan, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds n_shingles and sid (the set's number, null for an empty set); drops the text."""
+    """Adds n_shingles, sid (the set's number, null for an empty set) and sketch; drops the text."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
     kept = df.select(*keep)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     fields = list(to_arrow_schema(kept.schema))
-    target = pa.schema([*fields, pa.field("n_shingles", pa.int64()), pa.field("sid", pa.int64())])
+    target = pa.schema([*fields, pa.field("n_shingles", pa.int64()), pa.field("sid", pa.int64()), pa.field("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid = [], []
+            n, sid, sketches = [], [], []
             for at in range(0, batch.num_rows, 256):
                 for t in batch.column(len(fields)).slice(at, 256).to_pylist():
                     s = shingle_set(t, plan.n)
                     n.append(len(s))
                     sid.append(set_id(s))
+                    sketches.append(sketch(s))
             arrays = [batch.column(i).cast(f.type) for i, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(sid, pa.int64())], schema=target)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], schema=target)
 
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType(kept.schema.fields[:]).add("n_shingles", LongType()).add("sid", LongType())
+    schema = StructType(kept.schema.fields[:]).add("n_shingles", LongType()).add("sid", LongType()).add("sketch", ArrayType(LongType()))
     return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
@@ -222,22 +236,34 @@ def sets_of(df: DataFrame, plan: Plan, wanted: DataFrame, text: str = "text") ->
     return found.groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
 
-def verified(pairs: DataFrame, df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """Of (a, b) the pairs whose exact similarity reaches the threshold."""
-    wanted = checkpointed(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+def _folded(x: str, to: str) -> F.Column:
+    """Sketch x at the size of sketch `to`, where that is half as large."""
+    half = F.size(to)
+    return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+
+def verified(pairs: DataFrame, marks: DataFrame, df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
+    """Of (a, b) the pairs whose exact similarity reaches the threshold; marks are (sid, n_shingles, sketch)."""
+    sketched = pairs
+    for side in ("b", "a"):
+        sketched = sketched.join(marks.select(F.col("sid").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    apart = F.aggregate(F.zip_with(_folded("sa", "sb"), _folded("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    near = checkpointed(sketched.filter(apart * (plan.den + plan.num) <= (plan.den - plan.num) * (F.col("na") + F.col("nb"))).select("a", "b"))
+    wanted = checkpointed(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct())
     sets = checkpointed(sets_of(df, plan, wanted, text))
-    both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = near.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
     shared = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return shared.filter(F.col("both") * plan.den >= plan.num * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def linked_sets(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """(node, root) of all sets that are linked with another set."""
+def linked_sets(df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
+    """(node, root) of all sets that are linked with another set; rows are df's in the form of `sized`."""
+    marks = checkpointed(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     group = Window.partitionBy("key")
     met = join_keys(df, plan, text).select("key", "sid", F.min("sid").over(group).alias("pivot"), F.max("sid").over(group).alias("last"))
     met = checkpointed(met.filter("pivot <> last").distinct())
     pairs = checkpointed(met.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
-    links = checkpointed(verified(pairs, df, plan, text))
+    links = checkpointed(verified(pairs, marks, df, plan, text))
     roots = checkpointed(components(links))
     # groups that hold a pair of different components, if they have members besides that pair
     apart = across(pairs.join(links, ["a", "b"], "left_anti"), roots).select(F.col("a").alias("pivot"), F.col("b").alias("sid"))
@@ -254,7 +280,7 @@ def linked_sets(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
         more = held.join(pivots, "key").filter("place > at AND root <> proot").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
         more = checkpointed(more)
         if more.head(1):
-            new = checkpointed(verified(more, df, plan, text))
+            new = checkpointed(verified(more, marks, df, plan, text))
             if new.head(1):
                 links = checkpointed(links.unionByName(new))
                 roots = checkpointed(components(links))
@@ -278,8 +304,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     """(key, n_shingles, component_id): links join sets with den * intersection >= num * union."""
     plan = Plan(n, num, den)
     rows = checkpointed(sized(df.select(key, text), plan, text))
-    roots = linked_sets(df, plan, text)
-    placed = labelled(rows, roots)
+    placed = labelled(rows.drop("sketch"), linked_sets(df, rows, plan, text))
     least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("component_id"))
     out = placed.join(least, "root", "left")
     # a row without shingles is a class of its own
@@ -294,7 +319,7 @@ def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: s
     plan = Plan(n, num, den)
     marked = df.withColumn("__row", F.xxhash64(*df.columns))
     rows = checkpointed(sized(marked.select(key, "__row", text), plan, text)).filter("sid IS NOT NULL")
-    placed = labelled(rows, linked_sets(df, plan, text)).withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
+    placed = labelled(rows.drop("sketch"), linked_sets(df, rows, plan, text)).withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
     best = placed.groupBy("root").agg(F.min("rank").alias("best"))
     judged = placed.join(best, "root")
     lost = checkpointed(judged.filter("rank.row <> best.row").select("__row").distinct())
