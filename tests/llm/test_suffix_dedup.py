@@ -31,9 +31,20 @@ def test_query_equals_brute_force(spark, small):
     assert sum(r[2] for r in got)
 
 
-def test_odd_rows(odd, none, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUFFER", 1 << 13)  # long texts come in many pieces
-    suffix_dedup._powers.cache_clear()
+def test_pieces_cover_every_string_once(monkeypatch):
+    text = passages()[0][1].encode() * 40
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 1 << 12)
+    seen = Counter()
+    for group in suffix_dedup.pieces([b"short", text, text[:300]]):
+        assert sum(len(p) for _, _, p in group) <= 1 << 12
+        number, head, _, at = suffix_dedup.picked(group)
+        for i, a in zip(number.tolist(), at.tolist(), strict=True):
+            for s in range(a >> 16, (a >> 16) + (a & 255) + 1):
+                seen[i, s] += 1
+    assert seen == Counter({(1, s): 1 for s in range(len(text) - 199)} | {(2, s): 1 for s in range(101)})
+
+
+def test_odd_rows(odd, none):
     small_texts = odd.filter("text IS NULL OR length(text) < 20000")
     got = suffix_dedup.remove_repeats(small_texts)
     assert got.columns.count("spans") == 1 and "tid" in got.columns

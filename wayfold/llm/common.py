@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -43,6 +44,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same cut for larger tables: written as Parquet (compressed) in the shared folder and reread."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that `stored` wrote and nobody reads any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, text: str = "text", keep: list[str] | None = None, rows: int = 512) -> DataFrame:
     """Adds columns that a function computes from slices of at most `rows` texts.
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from wayfold.llm.common import checkpointed
+from wayfold.llm.common import checkpointed, stored
 from wayfold.llm.components import components
 
 #: Ratio of a size band's ends; shingles of a block that gives a key; hash seeds tried before all blocks give keys.
@@ -52,6 +52,8 @@ BITS = 256
 MOST_BROADCAST = 1_000_000
 #: Pivots of the first extra round in groups that fall into several components; each round takes 16 times more.
 PIVOTS = 16
+#: Members of a group that one task compares with the group's pivots.
+SHARE = 4000
 #: Rows that a task hands over at once.
 EMIT = 1 << 17
 
@@ -184,6 +186,11 @@ def sized(df: DataFrame, plan: Plan, text: str = "text", keep: list[str] | None
     return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
+def _spot(text: str) -> F.Column:
+    """A number by which a text is found again."""
+    return F.xxhash64(F.col(text).cast("binary")).alias("spot")
+
+
 def join_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
     """(key, sid): a task emits the keys of equal sets once."""
 
@@ -211,28 +218,20 @@ def join_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
     return df.select(F.col(text).cast("binary")).mapInArrow(run, "key long, sid long")
 
 
-def sets_of(df: DataFrame, plan: Plan, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(sid, hashes) of the wanted sets."""
+def sets_of(df: DataFrame, rows: DataFrame, plan: Plan, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(sid, hashes) of the wanted sets, from one text of each; rows are df's in the form of `sized`, with spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                sids, sets = [], []
-                for t in batch.column(0).slice(at, 64).to_pylist():
-                    s = shingle_set(t, plan.n)
-                    sid = set_id(s)
-                    if sid is not None and sid not in seen:
-                        seen.add(sid)
-                        sids.append(sid)
-                        sets.append(s.view(np.int64))
-                if sids:
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["sid", "hashes"])
+                sets = [shingle_set(t, plan.n) for t in batch.column(0).slice(at, 64).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["sid", "hashes"])
 
+    spots = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("spot").alias("spot")).select("spot")
     few = wanted.count() <= MOST_BROADCAST
-    found = df.select(F.col(text).cast("binary")).mapInArrow(run, "sid long, hashes array<long>")
-    found = found.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
+    texts = df.select(F.col(text).cast("binary").alias("text")).withColumn("spot", F.xxhash64("text")).join(F.broadcast(spots) if few else spots, "spot", "left_semi")
+    found = texts.select("text").mapInArrow(run, "sid long, hashes array<long>")
     return found.groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
 
@@ -242,45 +241,98 @@ def _folded(x: str, to: str) -> F.Column:
     return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
 
 
-def verified(pairs: DataFrame, marks: DataFrame, df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """Of (a, b) the pairs whose exact similarity reaches the threshold; marks are (sid, n_shingles, sketch)."""
+def close_pairs(pairs: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
+    """Of (a, b) the pairs that the whole sets' sketches don't rule out; marks are (sid, n_shingles, sketch)."""
     sketched = pairs
     for side in ("b", "a"):
         sketched = sketched.join(marks.select(F.col("sid").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     apart = F.aggregate(F.zip_with(_folded("sa", "sb"), _folded("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
-    near = checkpointed(sketched.filter(apart * (plan.den + plan.num) <= (plan.den - plan.num) * (F.col("na") + F.col("nb"))).select("a", "b"))
-    wanted = checkpointed(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct())
-    sets = checkpointed(sets_of(df, plan, wanted, text))
+    return sketched.filter(apart * (plan.den + plan.num) <= (plan.den - plan.num) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def linked_pairs(near: DataFrame, df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
+    """Of (a, b) the pairs whose exact similarity reaches the threshold."""
+    wanted = checkpointed(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    sets = stored(sets_of(df, rows, plan, wanted, text))
     both = near.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
     shared = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return shared.filter(F.col("both") * plan.den >= plan.num * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _at_size(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches folded to so many words, one to a row."""
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = x if len(x) == words else np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+    return out
+
+
+def pivot_pairs(members: DataFrame, low: int, high: int, plan: Plan) -> DataFrame:
+    """(a, b): members of places low + 1 to high against all later ones of their group, where roots differ and sketches are close.
+
+    members are (key, place, size, sid, root, n_shingles, sketch). The pivots of a large group go to several tasks,
+    each of which meets a share of the other members; a task holds the pivots and streams the members by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pivots = None, []
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "pivot", "place", "sid", "root", "n_shingles")), (np.asarray(v.values, np.int64).view(np.uint64) for v in batch.column("sketch")), strict=True)
+            a, b = [], []
+            for key, salt, pivot, place, sid, root, n, sk in rows:
+                if group != (key, salt):
+                    group, pivots, tables = (key, salt), [], {}
+                others = [p for p in pivots if p[0] < place] if pivot else pivots
+                if others:
+                    words = min(len(sk), min(len(p[4]) for p in others))
+                    known = len(others) == len(pivots)
+                    if not known or (len(pivots), words) not in tables:
+                        made = np.array([p[1] for p in others]), np.array([p[2] for p in others]), np.array([p[3] for p in others]), _at_size([p[4] for p in others], words)
+                        if known:
+                            tables[len(pivots), words] = made
+                    else:
+                        made = tables[len(pivots), words]
+                    sids, roots, ns, sketches = made
+                    apart = np.bitwise_count(sketches ^ _at_size([sk], words)).sum(1, dtype=np.int64)
+                    near = (roots != root) & (apart * (plan.den + plan.num) <= (plan.den - plan.num) * (ns + n))
+                    for other in sids[near].tolist():
+                        a.append(min(other, sid))
+                        b.append(max(other, sid))
+                if pivot:
+                    pivots.append((place, sid, root, n, sk))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    salts = F.ceil(F.col("size") / SHARE).cast("int")
+    pivot = F.col("place").between(low + 1, high)
+    rows = members.filter(F.col("place") > low).withColumn("pivot", pivot)
+    rows = rows.withColumn("salt", F.explode(F.when(pivot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), salts).cast("int")))))
+    ordered = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("pivot"), "place")
+    return ordered.select("key", "salt", "pivot", "place", "sid", "root", "n_shingles", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
 def linked_sets(df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """(node, root) of all sets that are linked with another set; rows are df's in the form of `sized`."""
-    marks = checkpointed(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    """(node, root) of all sets that are linked with another set; rows are df's in the form of `sized`, with spot."""
+    marks = stored(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     group = Window.partitionBy("key")
     met = join_keys(df, plan, text).select("key", "sid", F.min("sid").over(group).alias("pivot"), F.max("sid").over(group).alias("last"))
-    met = checkpointed(met.filter("pivot <> last").distinct())
-    pairs = checkpointed(met.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
-    links = checkpointed(verified(pairs, marks, df, plan, text))
+    met = stored(met.filter("pivot <> last").distinct())
+    pairs = stored(met.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
+    links = checkpointed(linked_pairs(checkpointed(close_pairs(pairs, marks, plan)), df, rows, plan, text))
     roots = checkpointed(components(links))
     # groups that hold a pair of different components, if they have members besides that pair
     apart = across(pairs.join(links, ["a", "b"], "left_anti"), roots).select(F.col("a").alias("pivot"), F.col("b").alias("sid"))
     odd = met.join(apart, ["pivot", "sid"], "left_semi").select("key").distinct()
-    ranks = met.join(odd, "key", "left_semi").select("key", "sid", F.row_number().over(group.orderBy("sid")).alias("place"), F.count("*").over(group).alias("n")).filter("n > 2")
-    ranks = checkpointed(ranks)
+    ranks = met.join(odd, "key", "left_semi").select("key", "sid", F.row_number().over(group.orderBy("sid")).alias("place"), F.count("*").over(group).alias("size")).filter("size > 2")
+    ranks = stored(ranks)
     most = ranks.agg(F.max("place")).first()[0] or 0
     low, high = 1, PIVOTS
     while low < most:
         held = labelled(ranks, roots)
-        open_keys = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-        held = held.join(open_keys, "key", "left_semi")
-        pivots = held.filter(F.col("place").between(low + 1, high)).select("key", F.col("sid").alias("p"), F.col("place").alias("at"), F.col("root").alias("proot"))
-        more = held.join(pivots, "key").filter("place > at AND root <> proot").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
-        more = checkpointed(more)
-        if more.head(1):
-            new = checkpointed(verified(more, marks, df, plan, text))
+        still = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+        held = held.filter(F.col("size") > low + 1).join(still, "key", "left_semi").join(marks, "sid")
+        near = checkpointed(pivot_pairs(held, low, high, plan))
+        if near.head(1):
+            new = checkpointed(linked_pairs(near, df, rows, plan, text))
             if new.head(1):
                 links = checkpointed(links.unionByName(new))
                 roots = checkpointed(components(links))
@@ -303,8 +355,8 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): links join sets with den * intersection >= num * union."""
     plan = Plan(n, num, den)
-    rows = checkpointed(sized(df.select(key, text), plan, text))
-    placed = labelled(rows.drop("sketch"), linked_sets(df, rows, plan, text))
+    rows = stored(sized(df.select(key, text, _spot(text)), plan, text))
+    placed = labelled(rows.drop("sketch", "spot"), linked_sets(df, rows, plan, text))
     least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("component_id"))
     out = placed.join(least, "root", "left")
     # a row without shingles is a class of its own
@@ -318,8 +370,8 @@ def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: s
     """
     plan = Plan(n, num, den)
     marked = df.withColumn("__row", F.xxhash64(*df.columns))
-    rows = checkpointed(sized(marked.select(key, "__row", text), plan, text)).filter("sid IS NOT NULL")
-    placed = labelled(rows.drop("sketch"), linked_sets(df, rows, plan, text)).withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
+    rows = stored(sized(marked.select(key, "__row", text, _spot(text)), plan, text)).filter("sid IS NOT NULL")
+    placed = labelled(rows.drop("sketch", "spot"), linked_sets(df, rows, plan, text)).withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
     best = placed.groupBy("root").agg(F.min("rank").alias("best"))
     judged = placed.join(best, "root")
     lost = checkpointed(judged.filter("rank.row <> best.row").select("__row").distinct())

@@ -5,7 +5,7 @@ UTF-8 bytes; matches never cross texts.
 
 Sparse suffixes. Every LENGTH-byte string picks one position in itself, the last one whose `HEAD` bytes have the
 smallest hash, so equal strings pick the same place and only suffixes at picked positions need an index
-(about one in 85). A picked suffix serves an interval of strings; `ctx` is the hash of all their bytes.
+(about one in 60). A picked suffix serves an interval of strings; `ctx` is the hash of all their bytes.
 
 Index family. A level is a suffix array of some batches: heads of picked suffixes in order (first three bytes,
 then a hash of the first HEAD bytes) with their numbers of occurrences. A new batch gets its own array; equal-sized
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import checkpointed
+from wayfold.llm.common import dropped, stored
 
-LENGTH, HEAD = 200, 32
+LENGTH, HEAD = 200, 64
 #: k-gram starts in a string of LENGTH bytes.
 SPAN = LENGTH - HEAD + 1
 #: Bytes that are hashed together; a longer text is cut into overlapping pieces, which changes no result.
@@ -185,11 +185,14 @@ class IndexFamily:
 
     @staticmethod
     def suffix_array(heads: DataFrame) -> DataFrame:
-        return checkpointed(heads.groupBy("head").agg(F.count("*").alias("n")).sortWithinPartitions("head"))
+        return stored(heads.groupBy("head").agg(F.count("*").alias("n")).sortWithinPartitions("head"))
 
     @staticmethod
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        return checkpointed(a.unionByName(b).groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"))
+        both = stored(a.unionByName(b).groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"))
+        for level in (a, b):
+            dropped(level)
+        return both
 
     def add(self, heads: DataFrame) -> None:
         size, level = 1, self.suffix_array(heads)
@@ -322,24 +325,35 @@ def _compared_hot(contexts: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(tid, removed): for each text that loses bytes the list of (start, stop); docs are (tid, data binary)."""
+    """(tid, removed): for each text that loses bytes its maximal runs (start, stop); docs are (tid, data binary)."""
     copies = docs.groupBy("tid").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).alias("size")).filter(f"n > 1 AND size >= {LENGTH}")
     family = IndexFamily()
     for b in range(batches):
         family.add(_suffixes(docs.filter(F.pmod("tid", F.lit(batches)) == b), True))
-    found = checkpointed(_suffixes(docs, False).join(family.met(), "head", "left_semi"))
-    kinds = checkpointed(found.groupBy("head", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
+    found = stored(_suffixes(docs, False).join(family.met(), "head", "left_semi"))
+    kinds = stored(found.groupBy("head", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
     same = found.join(kinds.filter("n > 1").select("head", "ctx"), ["head", "ctx"], "left_semi").select("tid", first(F.col("at")).alias("start"), end(F.col("at")).alias("stop"))
     several = kinds.groupBy("head").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     asked = kinds.join(several, "head").select(F.col("one.tid").alias("tid"), F.struct("head", F.col("one.at").alias("at"), (F.col("n") == 1).alias("single")).alias("w"), (F.col("kinds") > MOST_TOGETHER).alias("hot"))
-    asked = checkpointed(asked)
+    asked = stored(asked)
     spans = same
     for hot, compare in ((False, _compared), (True, _compared_hot)):
         part = asked.filter(F.col("hot") == hot)
         if part.head(1):
             spans = spans.unionByName(compare(_contexts(docs, part.groupBy("tid").agg(F.collect_list("w").alias("wanted")))))
     spans = spans.unionByName(copies.select("tid", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
-    return spans.distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("removed"))
+    lists = spans.distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for batch in batches:
+            runs = []
+            for i in range(batch.num_rows):
+                start, stop = batch.column(1).slice(i, 1).flatten().flatten()
+                runs.append([{"start": s, "stop": e} for s, e in merged(start.to_numpy(), stop.to_numpy())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, kind)], ["tid", "removed"])
+
+    return lists.mapInArrow(run, "tid long, removed array<struct<start:long,stop:long>>")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -363,7 +377,7 @@ def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) ->
     added = df.sparkSession.createDataFrame([], "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string").schema
     keep = [c for c in df.columns if c != text and c not in added.names]
     rows = df.select(F.struct(*keep).alias("row"), data.alias("data")).withColumn("tid", F.xxhash64("data"))
-    gone = checkpointed(repeated(rows.select("tid", "data"), batches))
+    gone = stored(repeated(rows.select("tid", "data"), batches))
     schema = StructType([df.schema[c] for c in keep] + added.fields)
     target = to_arrow_schema(schema)
 
@@ -376,7 +390,7 @@ def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) ->
                     spans, kept = [], t
                     if batch.column(2)[i].is_valid:
                         start, stop = batch.column(2).slice(i, 1).flatten().flatten()
-                        spans = merged(start.to_numpy(), stop.to_numpy())
+                        spans = list(zip(start.to_pylist(), stop.to_pylist(), strict=True))
                         ends = [0, *(x for s in spans for x in s), len(t)]
                         kept = b"".join(t[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2))
                     values = (len(t), len(t) - len(kept), len(spans), [{"start": s, "stop": e} for s, e in spans], kept, sha256(kept).hexdigest())
