@@ -74,13 +74,12 @@ def accuracy_coverage(rows: DataFrame, score: str, correct: str, thresholds: lis
 
 def stanford_metrics(rows: DataFrame, error: str, level: str, alarm: float = 0.95) -> DataFrame:
     """One row: missed detections (error beyond the level, no alarm) and false alarms, the alarm limit being a percentile of the level."""
-    limit = rows.agg(F.percentile(level, alarm).alias("limit"))
-    d = rows.join(F.broadcast(limit))  # one row
+    limit = rows.agg(F.percentile(level, alarm)).first()[0]
     e, p = F.col(error), F.col(level)
-    return d.agg(
-        F.max("limit").alias("alarm_limit"),
-        F.avg(((e > p) & (p <= F.col("limit"))).cast("double")).alias("p_md"),
-        F.avg(((e <= F.col("limit")) & (p > F.col("limit"))).cast("double")).alias("p_fa"),
+    return rows.agg(
+        F.lit(limit).cast("double").alias("alarm_limit"),
+        F.avg(((e > p) & (p <= limit)).cast("double")).alias("p_md"),
+        F.avg(((e <= limit) & (p > limit)).cast("double")).alias("p_fa"),
     )
 
 

@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from wayfold.plans import geometry_queries
+
+    return [geometry_queries]
 
 
 def queries() -> dict[str, Query]:
