@@ -84,17 +84,18 @@ def linear_reference(line: Column | str, px: Column | str, py: Column | str) ->
     """(dist, offset) of the line's nearest point; the first segment wins ties."""
     px, py = _col(px), _col(py)
     start = F.struct(F.lit(float("inf")).alias("dist"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("passed"))
+    # each segment's nearest point is worked out once, before the fold compares them
+    near = F.transform(segments(line), lambda s: F.struct(closest_on_segment(px, py, s["a"], s["b"]).alias("n"), s["length"].alias("length")))
 
     def step(best: Column, s: Column) -> Column:
-        near = closest_on_segment(px, py, s["a"], s["b"])
-        better = near["dist"] < best["dist"]
+        better = s["n"]["dist"] < best["dist"]
         return F.struct(
-            F.when(better, near["dist"]).otherwise(best["dist"]).alias("dist"),
-            F.when(better, best["passed"] + near["offset"]).otherwise(best["offset"]).alias("offset"),
+            F.when(better, s["n"]["dist"]).otherwise(best["dist"]).alias("dist"),
+            F.when(better, best["passed"] + s["n"]["offset"]).otherwise(best["offset"]).alias("offset"),
             (best["passed"] + s["length"]).alias("passed"),
         )
 
-    return F.aggregate(segments(line), start, step, lambda b: F.struct(b["dist"].alias("dist"), b["offset"].alias("offset")))
+    return F.aggregate(near, start, step, lambda b: F.struct(b["dist"].alias("dist"), b["offset"].alias("offset")))
 
 
 def measured(line: Column | str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
+from wayfold.operators.shared import checkpointed
 
 POINT = ("traj_id", "seq")
 
@@ -54,13 +55,16 @@ def floored(sde: Column, sdn: Column, sdne: Column, least: float) -> Column:
 def variable_radius_edges(points: DataFrame, edges: DataFrame, radius: str, cell: float) -> DataFrame:
     """points x edges within each point's own radius; both sides list the grid cells they touch."""
     box = G.bounding_box("line")
-    span = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.floor(b / cell).cast("long"))
-    tiles = edges.select("edge_id", "source", "target", "line", "length", F.explode(span(box["min_x"], box["max_x"])).alias("cx"), box.alias("box"))
-    tiles = tiles.withColumn("cy", F.explode(span(F.col("box.min_y"), F.col("box.max_y")))).drop("box")
+    index = lambda v: F.floor(v / cell).cast("long")
+    tiles = edges.select("edge_id", "source", "target", "line", "length", index(box["min_x"]).alias("ex"), index(box["min_y"]).alias("ey"), index(box["max_x"]).alias("fx"), index(box["max_y"]).alias("fy"))
+    tiles = tiles.withColumn("cx", F.explode(F.sequence("ex", "fx"))).withColumn("cy", F.explode(F.sequence("ey", "fy")))
     r = F.col(radius)
-    at = points.withColumn("cx", F.explode(span(F.col("x") - r, F.col("x") + r))).withColumn("cy", F.explode(span(F.col("y") - r, F.col("y") + r)))
-    met = at.join(tiles, ["cx", "cy"]).drop("cx", "cy").withColumn("near", G.linear_reference("line", "x", "y")).filter(F.col("near.dist") <= r)
-    return met.dropDuplicates([*POINT, "edge_id"])
+    at = points.withColumn("px", index(F.col("x") - r)).withColumn("py", index(F.col("y") - r))
+    at = at.withColumn("cx", F.explode(F.sequence("px", index(F.col("x") + r)))).withColumn("cy", F.explode(F.sequence("py", index(F.col("y") + r))))
+    # a pair counts in the first cell that both touch, so none comes twice
+    met = at.join(tiles, ["cx", "cy"]).filter((F.col("cx") == F.greatest("px", "ex")) & (F.col("cy") == F.greatest("py", "ey")))
+    met = met.drop("cx", "cy", "px", "py", "ex", "ey", "fx", "fy")
+    return met.withColumn("near", G.linear_reference("line", "x", "y")).filter(F.col("near.dist") <= r)
 
 
 def anisotropic(line: Column, x: Column, y: Column, see: Column, snn: Column, sen: Column) -> Column:
@@ -69,20 +73,31 @@ def anisotropic(line: Column, x: Column, y: Column, see: Column, snn: Column, se
     a, b, c = snn / det, see / det, -sen / det
     start = F.struct(F.lit(float("inf")).alias("metric"), F.lit(0.0).alias("dist"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("passed"))
 
-    def step(best: Column, s: Column) -> Column:
+    def foot(s: Column) -> Column:
         dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
         px, py = x - s["a"]["x"], y - s["a"]["y"]
         scale = a * dx * dx + 2 * c * dx * dy + b * dy * dy
         plain = dx * dx + dy * dy
         share = F.when(F.abs(scale) >= 1e-12, (a * dx * px + c * (dx * py + dy * px) + b * dy * py) / scale).when(plain > 0, (dx * px + dy * py) / plain).otherwise(F.lit(0.0))
-        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
-        ex, ey = px - share * dx, py - share * dy
-        metric = a * ex * ex + 2 * c * ex * ey + b * ey * ey
-        better = metric < best["metric"]
+        return F.struct(s.alias("s"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)).alias("share"))
+
+    def rest(f: Column) -> Column:
+        s = f["s"]
+        ex = x - s["a"]["x"] - f["share"] * (s["b"]["x"] - s["a"]["x"])
+        ey = y - s["a"]["y"] - f["share"] * (s["b"]["y"] - s["a"]["y"])
+        return F.struct(ex.alias("dx"), ey.alias("dy"), (f["share"] * s["length"]).alias("own"), s["length"].alias("length"))
+
+    def weighed(e: Column) -> Column:
+        metric = a * e["dx"] * e["dx"] + 2 * c * e["dx"] * e["dy"] + b * e["dy"] * e["dy"]
+        return F.struct(metric.alias("metric"), F.sqrt(e["dx"] * e["dx"] + e["dy"] * e["dy"]).alias("dist"), e["dx"].alias("dx"), e["dy"].alias("dy"), e["own"].alias("own"), e["length"].alias("length"))
+
+    def step(best: Column, e: Column) -> Column:
+        better = e["metric"] < best["metric"]
         take = lambda new, old: F.when(better, new).otherwise(best[old]).alias(old)
-        return F.struct(take(metric, "metric"), take(F.sqrt(ex * ex + ey * ey), "dist"), take(best["passed"] + share * s["length"], "offset"), take(ex, "dx"), take(ey, "dy"), (best["passed"] + s["length"]).alias("passed"))
+        return F.struct(take(e["metric"], "metric"), take(e["dist"], "dist"), take(best["passed"] + e["own"], "offset"), take(e["dx"], "dx"), take(e["dy"], "dy"), (best["passed"] + e["length"]).alias("passed"))
 
-    return F.aggregate(G.segments(line), start, step, lambda v: F.struct(v["metric"].alias("metric"), v["dist"].alias("dist"), v["offset"].alias("offset"), v["dx"].alias("dx"), v["dy"].alias("dy")))
+    feet = F.transform(F.transform(F.transform(G.segments(line), foot), rest), weighed)
+    return F.aggregate(feet, start, step, lambda v: F.struct(v["metric"].alias("metric"), v["dist"].alias("dist"), v["offset"].alias("offset"), v["dx"].alias("dx"), v["dy"].alias("dy")))
 
 
 def covariance_candidates(points: DataFrame, edges: DataFrame, config: CovarianceConfig, cell: float) -> DataFrame:
@@ -108,7 +123,7 @@ def covariance_candidates(points: DataFrame, edges: DataFrame, config: Covarianc
         within = F.concat(F.slice(pool, 1, 1), F.filter(F.slice(pool, 2, 2), lambda c: c["dist"] <= F.col("radius")))
         return near.withColumn("best", F.array_min(within)).select(*rows.columns, "edge_id", "source", "target", "length", "best.*")
 
-    once = found(p)
+    once = checkpointed(found(p))
     few = once.groupBy(*POINT).agg(F.count("*").alias("n")).filter(F.col("n") < config.min_candidates).select(*POINT)
     wider = found(p.join(few, list(POINT), "left_semi").withColumn("radius", 2 * F.col("radius")))
     both = once.join(few, list(POINT), "left_anti").unionByName(wider)
@@ -329,4 +344,5 @@ def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config:
     def run(own: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
         return fold(own, ways, config)
 
-    return rows.groupBy("traj_id").cogroup(needed.groupBy("traj_id")).applyInPandas(run, OUT)
+    needed = needed.select(F.col("traj_id").alias("of"), "source", "target", "distance")
+    return rows.groupBy("traj_id").cogroup(needed.groupBy("of")).applyInPandas(run, OUT)
