@@ -1,14 +1,14 @@
 """N-gram Jaccard self-join by parity sketches, and its connected groups.
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Sets are cut into K blocks by hash, and
-each block has a parity sketch: every shingle flips one of `BITS` bits. A shingle that two sets don't share
-changes at most one block's sketch, so the number of differing blocks is at most the symmetric difference.
+each block has a parity sketch of 64 bits: every shingle flips a random half of them. A shingle that two sets don't
+share changes at most one block's sketch, so the number of differing blocks is at most the symmetric difference.
 Sets of a size band whose similarity reaches the threshold differ in at most d shingles, so of K = d + 1 + e
 blocks at least e + 1 agree (pigeonhole); the join key is (band, block, sketch).
 
-Blocks of fewer than `LEAST` shingles agree for little reason, so they give no key. That is safe while a set has
-at most e such blocks; a set with more is joined again under further hash seeds, and under the last one all
-its blocks give keys. No pair at or above the threshold is lost.
+Empty blocks agree for no reason, so they give no key. That is safe while a set has at most e of them; a set with
+more is joined again under further hash seeds, and under the last one its empty blocks give keys, too. No pair
+at or above the threshold is lost.
 
 Candidates are compared by a sketch of the whole set first (the Hamming distance is a lower bound of the
 symmetric difference) and then by exact intersection. Within a key's group the members are compared with one
@@ -42,12 +42,8 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from wayfold.llm.common import checkpointed, stored
 from wayfold.llm.components import components
 
-#: Ratio of a size band's ends; shingles of a block that gives a key; hash seeds tried before all blocks give keys.
-BAND_RATIO, LEAST, SEEDS = 1.2, 2, 6
-#: Differences from which blocks of fewer than LEAST shingles give no key (under it only empty ones don't).
-LEAST_ROOM = 4
-#: Bits of a block's sketch.
-BITS = 256
+#: Ratio of a size band's ends; hash seeds tried before empty blocks give keys; differences from which a band has spare blocks.
+BAND_RATIO, SEEDS, LEAST_ROOM = 1.25, 6, 4
 #: Candidate sets up to this number are found by a broadcast join (16 MB), more by a shuffled one.
 MOST_BROADCAST = 1_000_000
 #: Pivots of the first extra round in groups that fall into several components; each round takes 16 times more.
@@ -133,33 +129,24 @@ class Plan:
         spare = 0
         if d >= LEAST_ROOM:
             for _ in range(4):
-                blocks = d + 1 + spare
-                mean = least * self.num / self.den / blocks
-                poor = blocks * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(LEAST))
-                spare = min(d, math.ceil(poor + 2 * math.sqrt(poor)))
+                empty = (d + 1 + spare) * math.exp(-least * self.num / self.den / (d + 1 + spare))
+                spare = min(d, math.ceil(empty + 2 * math.sqrt(empty)))
         return d, d + 1 + spare, spare
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Join keys of a set; two sets of similarity num / den or more have one in common, if they aren't equal."""
         out = []
-        for band, d, k, spare in self.bands(len(s)):
+        for band, _, k, spare in self.bands(len(s)):
             for seed in range(SEEDS):
                 g = s if not seed else np.sort(mixed(s ^ _U((_STEP * (seed + 7)) % 2**64)))
                 block = ((g >> _U(32)) * _U(k)) >> _U(32)
                 start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                rich = np.diff(np.concatenate([start, [len(g)]])) >= (LEAST if d >= LEAST_ROOM else 1)
-                bit, word = _U(1) << (g & _U(63)), (g >> _U(6)) & _U(BITS // 64 - 1)
-                key = block[start] + _U((((band << 4) | seed) << 40))
-                for j in range(BITS // 64):
-                    key = mixed(key ^ np.bitwise_xor.reduceat(np.where(word == _U(j), bit, _U(0)), start)) + _U(j + 1)
-                out.append(key if seed == SEEDS - 1 else key[rich])
-                if k - np.count_nonzero(rich) <= spare:
+                place = _U(((band << 4) | seed) << 40)
+                out.append(mixed(np.bitwise_xor.reduceat(g, start) ^ mixed(block[start] + place)))
+                if k - len(start) <= spare:
                     break
-                if seed == SEEDS - 1:  # the empty blocks, too
-                    key = np.setdiff1d(np.arange(k, dtype=np.uint64), block[start]) + _U((((band << 4) | seed) << 40))
-                    for j in range(BITS // 64):
-                        key = mixed(key) + _U(j + 1)
-                    out.append(key)
+                if seed == SEEDS - 1:
+                    out.append(mixed(mixed(np.setdiff1d(np.arange(k, dtype=np.uint64), block[start]) + place)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
