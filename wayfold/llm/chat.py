@@ -51,7 +51,8 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text), unescaped, merged turns apart."""
-    blocks = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2**31 - 1)
+    parts = F.split(formatted, r"<\|im_start\|>")
+    blocks = F.slice(parts, F.lit(2), F.size(parts) - 1)
 
     def turns(block: Column) -> Column:
         header = F.substring_index(block, "\n", 1)
