@@ -138,9 +138,8 @@ class CrossParser:
             cut = to == 0
             if t:
                 count[:, :m] += cut
-            # the next phrase begins with this character; one that the reference lacks is a phrase by itself
-            again = table[root + c]
-            state[:, :m] = np.where(cut, np.where(again == 0, root, again), to)
+            # the next phrase begins with this character; one that the reference lacks is a phrase by itself (row 0 leads nowhere)
+            state[:, :m] = np.where(cut, table[root + c], to)
         total = np.zeros((n, k), np.int64)
         np.add.at(total, owner[order], count.T)
         return total
