@@ -182,3 +182,9 @@ def point_from_wkt(text: Column | str) -> Column:
 def to_geojson(line: Column | str) -> Column:
     pairs = F.transform(_col(line), lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]")))
     return F.concat(F.lit('{"type":"LineString","coordinates":['), F.array_join(pairs, ","), F.lit("]}"))
+
+
+def random_points(line: Column | str, k: int, seed: int) -> Column:
+    """k points at uniformly random distances along the line."""
+    at = F.array_sort(F.array(*(F.rand(seed + i) for i in range(k))))
+    return F.transform(F.transform(at, lambda v: v * length(line)), lambda d: locate(line, d))

@@ -124,3 +124,18 @@ def credibility(log_p: Column) -> Column:
     """exp(log p), from -50 up; 1 for values of 0 or more; null if not finite."""
     finite = log_p.isNotNull() & ~F.isnan(log_p) & (F.abs(log_p) != float("inf"))
     return F.when(finite, F.when(log_p >= 0, F.lit(1.0)).otherwise(F.exp(F.greatest(log_p, F.lit(-50.0)))))
+
+
+def combined_score(rows: DataFrame, features: list[str], label: str, key: str, folds: int = 5) -> DataFrame:
+    """Adds score: the probability by logistic regression on the features, fitted without the row's own fold (by key hash)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    d = VectorAssembler(inputCols=features, outputCol="__x").transform(rows).withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    out = None
+    for i in range(folds):
+        model = LogisticRegression(featuresCol="__x", labelCol=label, maxIter=50).fit(d.filter(F.col("__fold") != i))
+        part = model.transform(d.filter(F.col("__fold") == i)).select(*rows.columns, vector_to_array("probability")[1].alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out

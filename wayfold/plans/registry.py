@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from wayfold.plans import geometry_queries, match_queries, metric_queries
+    from wayfold.plans import geometry_queries, integrity_queries, match_queries, metric_queries
 
-    return [geometry_queries, match_queries, metric_queries]
+    return [geometry_queries, match_queries, metric_queries, integrity_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -45,7 +45,9 @@ def gst(line: Column | str) -> Column:
 def date(line: Column | str) -> Column:
     """The date of an RMC (ddmmyy) or ZDA (dd,mm,yyyy) sentence; null for others."""
     line = F.col(line) if isinstance(line, str) else line
-    rmc = F.try_to_timestamp(_field(line, 9), F.lit("ddMMyy")).cast("date")
+    short = _field(line, 9)  # two-digit years from 80 are of the last century
+    century = F.when(F.substring(short, 5, 2) >= "80", F.lit("19")).otherwise(F.lit("20"))
+    rmc = F.try_to_timestamp(F.concat(F.substring(short, 1, 4), century, F.substring(short, 5, 2)), F.lit("ddMMyyyy")).cast("date")
     zda = F.try_to_timestamp(F.concat(_field(line, 2), _field(line, 3), _field(line, 4)), F.lit("ddMMyyyy")).cast("date")
     return F.when(line.rlike(r"^\$..RMC,"), rmc).when(line.rlike(r"^\$..ZDA,"), zda)
 
