@@ -20,6 +20,11 @@ def point(x: Column | str, y: Column | str) -> Column:
     return F.struct(_col(x).cast("double").alias("x"), _col(y).cast("double").alias("y"))
 
 
+def once(c: Column) -> Column:
+    """A column that is worked out once for each row, however often what follows uses it (filters included)."""
+    return F.explode(F.array(c))
+
+
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
 
@@ -81,8 +86,12 @@ def closest_on_segment(px: Column, py: Column, a: Column, b: Column) -> Column:
 
 
 def linear_reference(line: Column | str, px: Column | str, py: Column | str) -> Column:
-    """(dist, offset) of the line's nearest point; the first segment wins ties."""
+    """(dist, offset) of the line's nearest point; the first segment wins ties.
+
+    A line of one segment is worked out directly, which stays in generated code.
+    """
     px, py = _col(px), _col(py)
+    only = closest_on_segment(px, py, F.element_at(_col(line), 1), F.element_at(_col(line), 2))
     start = F.struct(F.lit(float("inf")).alias("dist"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("passed"))
     # each segment's nearest point is worked out once, before the fold compares them
     near = F.transform(segments(line), lambda s: F.struct(closest_on_segment(px, py, s["a"], s["b"]).alias("n"), s["length"].alias("length")))
@@ -95,7 +104,8 @@ def linear_reference(line: Column | str, px: Column | str, py: Column | str) ->
             (best["passed"] + s["length"]).alias("passed"),
         )
 
-    return F.aggregate(near, start, step, lambda b: F.struct(b["dist"].alias("dist"), b["offset"].alias("offset")))
+    fold = F.aggregate(near, start, step, lambda b: F.struct(b["dist"].alias("dist"), b["offset"].alias("offset")))
+    return F.when(F.size(_col(line)) == 2, F.struct(only["dist"].alias("dist"), only["offset"].alias("offset"))).otherwise(fold)
 
 
 def measured(line: Column | str) -> Column:

@@ -21,15 +21,14 @@ def spatial_candidates(points: DataFrame, edges: DataFrame, radius: float, cell:
     equi-join that yields each pair once. A hot cell is a skewed join key, which Spark splits.
     """
     size = cell or max(2 * radius, 1e-9)
-    box = G.bounding_box("line")
-    span = lambda low, high: F.sequence(_cell(box[low] - radius, size), _cell(box[high] + radius, size))
-    tiles = edges.select("edge_id", "source", "target", "line", "length", F.explode(span("min_x", "max_x")).alias("cx"), box.alias("box"))
-    tiles = tiles.withColumn("cy", F.explode(F.sequence(_cell(F.col("box.min_y") - radius, size), _cell(F.col("box.max_y") + radius, size))))
+    boxed = edges.select("edge_id", "source", "target", "line", "length", G.once(G.bounding_box("line")).alias("box"))
+    span = lambda low, high: F.sequence(_cell(F.col(low) - radius, size), _cell(F.col(high) + radius, size))
+    tiles = boxed.withColumn("cx", F.explode(span("box.min_x", "box.max_x"))).withColumn("cy", F.explode(span("box.min_y", "box.max_y")))
     at = points.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
     met = at.join(tiles, ["cx", "cy"]).filter(
         (F.col("x") >= F.col("box.min_x") - radius) & (F.col("x") <= F.col("box.max_x") + radius) & (F.col("y") >= F.col("box.min_y") - radius) & (F.col("y") <= F.col("box.max_y") + radius)
     )
-    near = met.withColumn("ref", G.linear_reference("line", "x", "y")).filter(F.col("ref.dist") <= radius)
+    near = met.withColumn("ref", G.once(G.linear_reference("line", "x", "y"))).filter(F.col("ref.dist") <= radius)
     return near.select(*points.columns, "edge_id", "source", "target", "length", F.col("ref.dist").alias("dist"), F.col("ref.offset").alias("offset"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
-from wayfold.operators.shared import checkpointed
+from wayfold.operators.shared import by_trajectory, checkpointed
 
 POINT = ("traj_id", "seq")
 
@@ -54,9 +54,10 @@ def floored(sde: Column, sdn: Column, sdne: Column, least: float) -> Column:
 
 def variable_radius_edges(points: DataFrame, edges: DataFrame, radius: str, cell: float) -> DataFrame:
     """points x edges within each point's own radius; both sides list the grid cells they touch."""
-    box = G.bounding_box("line")
+    box = F.col("box")
     index = lambda v: F.floor(v / cell).cast("long")
-    tiles = edges.select("edge_id", "source", "target", "line", "length", index(box["min_x"]).alias("ex"), index(box["min_y"]).alias("ey"), index(box["max_x"]).alias("fx"), index(box["max_y"]).alias("fy"))
+    boxed = edges.withColumn("box", G.once(G.bounding_box("line")))
+    tiles = boxed.select("edge_id", "source", "target", "line", "length", index(box["min_x"]).alias("ex"), index(box["min_y"]).alias("ey"), index(box["max_x"]).alias("fx"), index(box["max_y"]).alias("fy"))
     tiles = tiles.withColumn("cx", F.explode(F.sequence("ex", "fx"))).withColumn("cy", F.explode(F.sequence("ey", "fy")))
     r = F.col(radius)
     at = points.withColumn("px", index(F.col("x") - r)).withColumn("py", index(F.col("y") - r))
@@ -64,7 +65,7 @@ def variable_radius_edges(points: DataFrame, edges: DataFrame, radius: str, cell
     # a pair counts in the first cell that both touch, so none comes twice
     met = at.join(tiles, ["cx", "cy"]).filter((F.col("cx") == F.greatest("px", "ex")) & (F.col("cy") == F.greatest("py", "ey")))
     met = met.drop("cx", "cy", "px", "py", "ex", "ey", "fx", "fy")
-    return met.withColumn("near", G.linear_reference("line", "x", "y")).filter(F.col("near.dist") <= r)
+    return met.withColumn("near", G.once(G.linear_reference("line", "x", "y"))).filter(F.col("near.dist") <= r)
 
 
 def anisotropic(line: Column, x: Column, y: Column, see: Column, snn: Column, sen: Column) -> Column:
@@ -121,7 +122,7 @@ def covariance_candidates(points: DataFrame, edges: DataFrame, config: Covarianc
         )
         pool = F.array(anisotropic(F.col("line"), F.col("x"), F.col("y"), see, snn, sen), end(1, F.lit(0.0)), end(-1, F.col("length")))
         within = F.concat(F.slice(pool, 1, 1), F.filter(F.slice(pool, 2, 2), lambda c: c["dist"] <= F.col("radius")))
-        return near.withColumn("best", F.array_min(within)).select(*rows.columns, "edge_id", "source", "target", "length", "best.*")
+        return near.withColumn("best", G.once(F.array_min(within))).select(*rows.columns, "edge_id", "source", "target", "length", "best.*")
 
     once = checkpointed(found(p))
     few = once.groupBy(*POINT).agg(F.count("*").alias("n")).filter(F.col("n") < config.min_candidates).select(*POINT)
@@ -335,7 +336,7 @@ def fold(rows: pd.DataFrame, ways: pd.DataFrame, config: CovarianceConfig) -> pd
 
 def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config: CovarianceConfig, cell: float) -> DataFrame:
     """All candidates of all points with filter posteriors (trust), entropies, the part they belong to and its status."""
-    cands = with_background(emissions(covariance_candidates(points, edges, config, cell), config), config)
+    cands = checkpointed(with_background(emissions(covariance_candidates(by_trajectory(points), edges, config, cell), config), config))
     rows = cands.select("traj_id", "seq", "t", "x", "y", "cand", "edge_id", "source", "target", "length", "offset", "ep")
     leave = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("target").alias("source")).distinct()
     enter = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("source").alias("target")).distinct()
@@ -345,4 +346,4 @@ def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config:
         return fold(own, ways, config)
 
     needed = needed.select(F.col("traj_id").alias("of"), "source", "target", "distance")
-    return rows.groupBy("traj_id").cogroup(needed.groupBy("of")).applyInPandas(run, OUT)
+    return by_trajectory(rows).groupBy("traj_id").cogroup(by_trajectory(needed, "of").groupBy("of")).applyInPandas(run, OUT)

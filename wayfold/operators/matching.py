@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.candidates import complete_trajectories, nearest, spatial_candidates
+from wayfold.operators.shared import by_trajectory, checkpointed
 
 
 @dataclass(frozen=True)
@@ -44,9 +45,12 @@ def transition(sp: Column, eu: Column) -> Column:
 
 
 def layers(points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
-    """Candidates of complete trajectories: k nearest within the radius, with emission ep and order cand."""
-    found = nearest(spatial_candidates(points.select("traj_id", "seq", "x", "y"), edges, config.radius), config.k)
-    return complete_trajectories(found, points).withColumn("ep", emission(F.col("dist"), config.gps_error))
+    """Candidates of complete trajectories: k nearest within the radius, with emission ep and order cand.
+
+    They are read several times, so they are materialised once.
+    """
+    found = nearest(spatial_candidates(by_trajectory(points.select("traj_id", "seq", "x", "y")), edges, config.radius), config.k)
+    return checkpointed(complete_trajectories(checkpointed(found), points).withColumn("ep", emission(F.col("dist"), config.gps_error)))
 
 
 def stepped(cands: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def folded(cands: DataFrame, steps: DataFrame, later_wins: bool = False, stop_wh
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return fold(frame, later_wins, stop_when_cut)
 
-    done = rows.groupBy("traj_id").applyInPandas(run, FOLD_SCHEMA)
+    done = by_trajectory(rows).groupBy("traj_id").applyInPandas(run, FOLD_SCHEMA)
     return done.join(cands.drop("ep"), ["traj_id", "seq", "cand"])
 
 

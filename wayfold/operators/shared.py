@@ -13,3 +13,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def by_trajectory(df: DataFrame, key: str = "traj_id") -> DataFrame:
+    """Dealt out by trajectory to at least one partition per core.
+
+    What follows is heavy for its bytes (geometry, folds), so small partitions shouldn't be put together.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
 from wayfold.operators import alignment, candidates, covariance, evaluation, matching, network, paths, routing
+from wayfold.operators.shared import by_trajectory, checkpointed
 from wayfold.plans import demo
 from wayfold.plans.checks import r, sql
 
@@ -19,7 +20,8 @@ ID = ("traj_id", "seq")
 
 def _near(spark: Spark, sf: str) -> Frame:
     """All candidates of the short trajectories; distances are rounded for the order of equal ones."""
-    d = candidates.spatial_candidates(demo.short_points(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"), demo.edges(spark, sf), demo.RADIUS)
+    p = by_trajectory(demo.short_points(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"))
+    d = candidates.spatial_candidates(p, demo.edges(spark, sf), demo.RADIUS)
     return d.withColumn("dist", F.round("dist", 9))
 
 
@@ -28,7 +30,7 @@ def _top(spark: Spark, sf: str) -> Frame:
 
 
 def _whole(spark: Spark, sf: str) -> Frame:
-    return candidates.complete_trajectories(_top(spark, sf), demo.short_points(spark, sf))
+    return checkpointed(candidates.complete_trajectories(checkpointed(_top(spark, sf)), demo.short_points(spark, sf)))
 
 
 def _od(spark: Spark, sf: str) -> Frame:
@@ -41,7 +43,7 @@ def _steps(spark: Spark, sf: str) -> Frame:
 
 def _matched(spark: Spark, sf: str) -> Frame:
     cands = _whole(spark, sf)
-    return matching.folded(cands, matching.transitions(cands, _od(spark, sf), CONFIG))
+    return checkpointed(matching.folded(cands, matching.transitions(cands, _od(spark, sf), CONFIG)))
 
 
 def spatial_candidate_join(spark: Spark, sf: str) -> Frame:
