@@ -47,8 +47,8 @@ BUFFER = 1 << 20
 BATCHES = 4
 #: Distinct contexts of a head that are compared in one task (about 20 MB).
 MOST_TOGETHER = 50_000
-#: Rows of a per-text table that is sent to all tasks (at most some 64 MB); a larger one is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Rows and list entries of a per-text table that is sent to all tasks (some 6 MB); a larger one is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
