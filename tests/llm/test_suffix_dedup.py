@@ -73,5 +73,4 @@ def test_passages_and_hot_heads(spark, monkeypatch):
     want = brute(rows)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df, batches=3).select(*COLUMNS).collect()), key=repr) == want
     monkeypatch.setattr(suffix_dedup, "MOST_TOGETHER", 3)
-    monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST", 0)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df).select(*COLUMNS).collect()), key=repr) == want

@@ -47,8 +47,6 @@ BUFFER = 1 << 20
 BATCHES = 4
 #: Distinct contexts of a head that are compared in one task (about 20 MB).
 MOST_TOGETHER = 50_000
-#: Rows and list entries of a per-text table that is sent to all tasks (some 6 MB); a larger one is joined by a shuffle.
-MOST_BROADCAST = 100_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -209,12 +207,6 @@ class IndexFamily:
         return self.levels[0][1].filter("n > 1").select("head")
 
 
-def _by_text(docs: DataFrame, per_text: DataFrame, size: str, how: str) -> DataFrame:
-    """Joins a checked table of one row for each text; `size` is the column that holds its list."""
-    rows = per_text.agg(F.count("*") + F.coalesce(F.sum(F.size(size)), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(per_text) if rows <= MOST_BROADCAST else per_text, "tid", how)
-
-
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(head, tid, start, left, single, bytes) of the wanted suffixes (tid, list of (head, at, single))."""
 
@@ -235,7 +227,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cut = [t[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([head, pa.array(np.full(len(a), tid)), pa.array(start), pa.array(left), single, pa.array(cut, pa.binary())], ["head", "tid", "start", "left", "single", "bytes"])
 
-    return _by_text(docs, wanted, "wanted", "inner").select("tid", "data", "wanted").mapInArrow(run, "head long, tid long, start long, left long, single boolean, bytes binary")
+    return docs.join(wanted, "tid").select("tid", "data", "wanted").mapInArrow(run, "head long, tid long, start long, left long, single boolean, bytes binary")
 
 
 def _strings(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -399,4 +391,4 @@ def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) ->
                 arrays = [c.cast(target.field(i).type) for i, c in enumerate(batch.column(0).flatten())]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, target.field(f.name).type) for v, f in zip(made, added, strict=True)], schema=target)
 
-    return _by_text(rows, gone, "removed", "left").select("row", "data", "removed").mapInArrow(run, schema)
+    return rows.join(gone, "tid", "left").select("row", "data", "removed").mapInArrow(run, schema)
