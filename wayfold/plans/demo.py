@@ -6,6 +6,8 @@ it, by user and time. The SQL pieces are common table expressions with the same
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,9 @@ def short_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).filter(F.col("seq") < SHORT)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(traj_id, line): the first points of each trajectory in order."""
-    p = short_points(spark, sf_dir).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ps"))
+def lines(spark: SparkSession, sf_dir: str, of: Callable[[SparkSession, str], DataFrame] = short_points) -> DataFrame:
+    """(traj_id, line): the points of each trajectory in order, the first ones unless `of` says otherwise."""
+    p = of(spark, sf_dir).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ps"))
     return p.select("traj_id", F.transform("ps", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
 
 

@@ -33,7 +33,7 @@ def logistic_combiner(spark: Spark, sf: str) -> Frame:
 
 
 def interpolate_random_points(spark: Spark, sf: str) -> Frame:
-    d = demo.lines(spark, sf).filter(F.size("line") > 1).select("traj_id", F.explode(G.random_points("line", 4, 11)).alias("p"))
+    d = demo.lines(spark, sf, demo.points).filter(F.size("line") > 1).select("traj_id", F.explode(G.random_points("line", 4, 11)).alias("p"))
     return d.select("traj_id", "p.x", "p.y")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,24 +15,26 @@ from wayfold.plans import demo
 from wayfold.plans.checks import r, sql
 
 Spark, Frame = SparkSession, DataFrame
+#: Where a query's points come from: whole trajectories, or their first points where the registered SQL has no more.
+Points = Callable[[Spark, str], Frame]
 CONFIG = matching.MatchConfig(demo.K, demo.RADIUS, demo.SIGMA)
 COVARIANCE = covariance.CovarianceConfig(k=4, min_candidates=3, min_sigma=0.01, map_sigma=0.02, phmi=1e-3, max_interval=1e9, max_speed=1e9)
 ID = ("traj_id", "seq")
 
 
-def _near(spark: Spark, sf: str) -> Frame:
-    """All candidates of the short trajectories; distances are rounded for the order of equal ones."""
-    p = by_trajectory(demo.short_points(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"))
+def _near(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
+    """All candidates of the trajectories; distances are rounded for the order of equal ones."""
+    p = by_trajectory(of(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"))
     d = candidates.spatial_candidates(p, demo.edges(spark, sf), demo.RADIUS)
     return d.withColumn("dist", F.round("dist", 9))
 
 
-def _top(spark: Spark, sf: str) -> Frame:
-    return candidates.nearest(_near(spark, sf), demo.K).withColumn("ep", matching.emission(F.col("dist"), demo.SIGMA))
+def _top(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
+    return candidates.nearest(_near(spark, sf, of), demo.K).withColumn("ep", matching.emission(F.col("dist"), demo.SIGMA))
 
 
-def _whole(spark: Spark, sf: str) -> Frame:
-    return checkpointed(candidates.complete_trajectories(checkpointed(_top(spark, sf)), demo.short_points(spark, sf)))
+def _whole(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
+    return checkpointed(candidates.complete_trajectories(checkpointed(_top(spark, sf, of)), of(spark, sf)))
 
 
 def _od(spark: Spark, sf: str) -> Frame:
@@ -41,8 +45,8 @@ def _steps(spark: Spark, sf: str) -> Frame:
     return matching.transitions(_whole(spark, sf), _od(spark, sf), CONFIG)
 
 
-def _matched(spark: Spark, sf: str) -> Frame:
-    cands = _whole(spark, sf)
+def _matched(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
+    cands = _whole(spark, sf, of)
     return checkpointed(matching.folded(cands, matching.transitions(cands, _od(spark, sf), CONFIG)))
 
 
@@ -148,30 +152,30 @@ def viterbi_opath(spark: Spark, sf: str) -> Frame:
 
 def complete_path(spark: Spark, sf: str) -> Frame:
     od = _od(spark, sf)
-    d = paths.complete_paths(paths.path_steps(_matched(spark, sf).filter("chosen"), od))
+    d = paths.complete_paths(paths.path_steps(_matched(spark, sf, demo.points).filter("chosen"), od))
     return d.select("traj_id", F.size("opath").cast("long").alias("points"), F.size("cpath").cast("long").alias("edges"))
 
 
 def tpath(spark: Spark, sf: str) -> Frame:
-    d = paths.traversed(paths.complete_paths(paths.path_steps(_matched(spark, sf).filter("chosen"), _od(spark, sf))))
+    d = paths.traversed(paths.complete_paths(paths.path_steps(_matched(spark, sf, demo.points).filter("chosen"), _od(spark, sf))))
     return d.select("traj_id", "tpath")
 
 
 def matched_geometry(spark: Spark, sf: str) -> Frame:
-    m = _matched(spark, sf).filter("chosen")
+    m = _matched(spark, sf, demo.points).filter("chosen")
     done = paths.complete_paths(paths.path_steps(m, _od(spark, sf)))
     ends = m.groupBy("traj_id").agg(F.min_by("offset", "seq").alias("first_offset"), F.max_by("offset", "seq").alias("last_offset"))
     return paths.geometry(done, demo.edges(spark, sf), ends).select("traj_id", G.to_wkt("mgeom").alias("mgeom"))
 
 
 def match_rows_point_mode(spark: Spark, sf: str) -> Frame:
-    m = _matched(spark, sf)
+    m = _matched(spark, sf, demo.points)
     done = paths.complete_paths(paths.path_steps(m.filter("chosen"), _od(spark, sf)))
-    return paths.point_rows(m, done, demo.short_points(spark, sf))
+    return paths.point_rows(m, done, demo.points(spark, sf))
 
 
 def match_rows_trajectory_mode(spark: Spark, sf: str) -> Frame:
-    m = _matched(spark, sf).filter("chosen")
+    m = _matched(spark, sf, demo.points).filter("chosen")
     done = paths.complete_paths(paths.path_steps(m, _od(spark, sf)))
     scores = m.groupBy("traj_id").agg(F.max_by("cumu", "seq").alias("cumu"), F.avg("trust").alias("trust"))
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
@@ -228,10 +232,18 @@ def stmatch_distances(spark: Spark, sf: str) -> Frame:
     return _st(spark, sf).select(*ID, "edge_id_a", "edge_id_b", r(F.coalesce("sp", F.lit(-1.0))).alias("sp"))
 
 
+def _ways(spark: Spark, sf: str, p: Frame) -> Frame:
+    """Ways as long as the largest search limit of any step between points without times."""
+    e, w = demo.edges(spark, sf), Window.partitionBy("traj_id").orderBy("seq")
+    eu = G.distance(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y"))
+    limits = p.select(matching.search_limit(eu, F.lit(None).cast("double"), CONFIG).alias("limit"))
+    most = limits.agg(F.max("limit")).first()[0] or 0.0
+    return routing.bounded_paths(e, e.select("source"), most).filter("source <> target").drop("path")
+
+
 def stmatch_viterbi(spark: Spark, sf: str) -> Frame:
-    e = demo.edges(spark, sf)
-    ways = routing.bounded_paths(e, e.select("source"), demo.LIMIT).filter("source <> target").drop("path")
-    d = matching.st_match(demo.short_points(spark, sf).drop("t"), e, ways, CONFIG)
+    p = demo.points(spark, sf).drop("t")
+    d = matching.st_match(p, demo.edges(spark, sf), _ways(spark, sf, p), CONFIG)
     return d.filter("chosen").select(*ID, "edge_id", r("ep").alias("ep"), "cumu")
 
 
@@ -282,13 +294,13 @@ def cmm_log_emission(spark: Spark, sf: str) -> Frame:
 
 
 def cmm_candidates(spark: Spark, sf: str) -> Frame:
-    p = demo.short_points(spark, sf).drop("event_id")
+    p = demo.points(spark, sf).drop("event_id")
     d = covariance.emissions(covariance.covariance_candidates(p, demo.edges(spark, sf), COVARIANCE, 1.0), COVARIANCE)
     return d.select(*ID, "edge_id", "cand", r("dist").alias("dist"), r("ep").alias("ep"))
 
 
 def _cmm(spark: Spark, sf: str, config: covariance.CovarianceConfig) -> Frame:
-    return covariance.covariance_match(demo.short_points(spark, sf).drop("event_id"), demo.edges(spark, sf), _od(spark, sf), config, 1.0)
+    return covariance.covariance_match(demo.points(spark, sf).drop("event_id"), demo.edges(spark, sf), _od(spark, sf), config, 1.0)
 
 
 def cmm_forward(spark: Spark, sf: str) -> Frame:
