@@ -1,10 +1,15 @@
 """Queries see every point of every trajectory and every row of their tables."""
 
 import math
+from datetime import datetime, timedelta
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from wayfold.plans import demo, integrity_queries, match_queries
+from wayfold.plans import demo, integrity_queries, match_queries, registry
+
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_trajectories_are_matched_to_their_ends(spark, small):
@@ -41,3 +46,25 @@ def test_ways_of_whole_trajectories(spark, small):
     assert max(got.values()) > demo.LIMIT
     matched = match_queries.stmatch_viterbi(spark, small)
     assert matched.agg(F.max("seq")).first()[0] >= demo.SHORT
+
+
+@pytest.mark.parametrize(("name", "bound"), [("matched_edges_semi_join", " WHERE traj_id < 40"), ("composite_graph_edges", " WHERE traj_id < 30")])
+def test_no_bound_on_trajectories(spark, name, bound):
+    """Against the registered SQL without its bound, on tables that have ids beyond it."""
+    con = duckdb.connect()
+    for t in ("supplier", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{LARGER}/{t}.parquet'")
+    sql = registry.oracle_sql()[name]
+    found = con.execute(sql.replace(bound, ""))
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall())
+    print(name, len(con.execute(sql).fetchall()), len(want))
+    assert sorted(tuple(r) for r in registry.queries()[name](spark, LARGER).select(*names).collect()) == want
+    assert sorted(con.execute(sql).fetchall()) != want
+
+
+def test_no_bound_on_events(spark, tmp_path):
+    rows = [(i, i % 2, datetime(2024, 1, 1) + timedelta(minutes=i)) for i in range(1200)] + [(1200, 1, datetime(2023, 1, 1)), (1202, 2, datetime(2024, 1, 1))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.exact for r in registry.queries()["exact_path_accuracy"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: False, 2: True}

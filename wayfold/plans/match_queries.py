@@ -204,7 +204,7 @@ def distinct_matched_edges(spark: Spark, sf: str) -> Frame:
 
 
 def matched_edges_semi_join(spark: Spark, sf: str) -> Frame:
-    hit = _top(spark, sf).filter("traj_id < 40").select("edge_id")
+    hit = _top(spark, sf).select("edge_id")
     return demo.edges(spark, sf).join(hit, "edge_id", "left_semi").select("edge_id", "source", "target")
 
 
@@ -248,7 +248,7 @@ def stmatch_viterbi(spark: Spark, sf: str) -> Frame:
 
 
 def composite_graph_edges(spark: Spark, sf: str) -> Frame:
-    d = matching.composite_edges(_whole(spark, sf).filter("traj_id < 30"))
+    d = matching.composite_edges(_whole(spark, sf))
     return d.groupBy("traj_id", F.col("seq")).agg(F.count("*").alias("n"), r(F.sum("cost")).alias("cost"))
 
 
