@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -96,3 +97,61 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 130)} | {i: 201 for i in (201, 203, 204, 205)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def unlike(n, words=16, seed=1):
+    """Members of one group that are unlike but for a close pair at every hundredth place."""
+    rng = np.random.default_rng(seed)
+    sketches = rng.integers(-(2**63), 2**63 - 1, (n, words))
+    sketches[100::100] = sketches[99:-1:100] ^ 1
+    return [(7, i + 1, n, 10 * i, 10 * i, 30 * words, sketches[i].tolist()) for i in range(n)]
+
+
+MEMBERS = "key long, place int, size long, sid long, root long, n_shingles long, sketch array<long>"
+
+
+def test_pivots_are_held_in_blocks(spark, monkeypatch):
+    """Memory of the comparing function in a group of unlike sets, and its pairs."""
+    rows, seen = unlike(1200), []
+    df = spark.createDataFrame(rows, MEMBERS)
+
+    def held(self, run, schema):
+        seen.append((self.coalesce(1).toArrow().to_batches(max_chunksize=10_000), run))
+        return self.sparkSession.createDataFrame([], schema)
+
+    monkeypatch.setattr(type(df), "mapInArrow", held)
+    jaccard.pivot_pairs(df, 0, 1 << 12, jaccard.Plan(4, 85, 100))
+    batches, run = seen[0]
+    tracemalloc.start()
+    got = [(a, b) for out in run(iter(batches)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got) == [(10 * (i - 1), 10 * i) for i in range(100, 1200, 100)]
+    assert peak < 20_000_000, peak
+
+
+def test_blocks_and_shares_meet_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(jaccard, "SHARE", 50)
+    rng, rows = random.Random(5), []
+    for key, n in ((1, 2), (2, 3), (3, 90), (4, 170)):
+        for i in range(n):
+            words = rng.choice((1, 2, 4))
+            rows.append((key, i + 1, n, 1000 * key + i, rng.randrange(5), 20 * words, [(rng.getrandbits(1) << 62) - (rng.getrandbits(1) << 3)] * words))
+    df, plan = spark.createDataFrame(rows, MEMBERS).repartition(3), jaccard.Plan(4, 85, 100)
+
+    def fold(s, to):
+        return [int(np.bitwise_xor.reduce(np.array(s[i::to], np.int64))) & (2**64 - 1) for i in range(to)]
+
+    for low, high in ((0, 5), (1, 16), (16, 100), (100, 256)):
+        want = set()
+        for x in rows:
+            for y in rows:
+                if x[0] == y[0] and low < x[1] <= high and x[1] < y[1] and x[4] != y[4]:
+                    to = min(len(x[6]), len(y[6]))
+                    # at the smallest size of the block a bound may be weaker, so more pairs may pass, never fewer
+                    if sum((p ^ q).bit_count() for p, q in zip(fold(x[6], to), fold(y[6], to), strict=True)) * 185 <= 15 * (x[5] + y[5]):
+                        want.add((min(x[3], y[3]), max(x[3], y[3])))
+        got = [tuple(r) for r in jaccard.pivot_pairs(df, low, high, plan).collect()]
+        allowed = {(min(x[3], y[3]), max(x[3], y[3])) for x in rows for y in rows if x[0] == y[0] and low < x[1] <= high and x[1] < y[1] and x[4] != y[4]}
+        assert len(got) == len(set(got)) and want <= set(got) <= allowed

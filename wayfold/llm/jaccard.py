@@ -48,8 +48,8 @@ BAND_RATIO, SEEDS, LEAST_ROOM = 1.25, 6, 4
 MOST_BROADCAST = 1_000_000
 #: Pivots of the first extra round in groups that fall into several components; each round takes 16 times more.
 PIVOTS = 16
-#: Members of a group that one task compares with the group's pivots.
-SHARE = 4000
+#: Pivots that a task holds, and members of a group that one task compares with them.
+BLOCK, SHARE = 1024, 4000
 #: Rows that a task hands over at once.
 EMIT = 1 << 17
 
@@ -257,44 +257,49 @@ def _at_size(sketches: list[np.ndarray], words: int) -> np.ndarray:
 def pivot_pairs(members: DataFrame, low: int, high: int, plan: Plan) -> DataFrame:
     """(a, b): members of places low + 1 to high against all later ones of their group, where roots differ and sketches are close.
 
-    members are (key, place, size, sid, root, n_shingles, sketch). The pivots of a large group go to several tasks,
-    each of which meets a share of the other members; a task holds the pivots and streams the members by.
+    members are (key, place, size, sid, root, n_shingles, sketch). Pivots come in blocks of BLOCK, and a task has a
+    block and a share of the later members: it stacks the block's sketches once and streams the members by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, pivots = None, []
+        group, pivots, stacks = None, [], {}
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "pivot", "place", "sid", "root", "n_shingles")), (np.asarray(v.values, np.int64).view(np.uint64) for v in batch.column("sketch")), strict=True)
-            a, b = [], []
-            for key, salt, pivot, place, sid, root, n, sk in rows:
-                if group != (key, salt):
-                    group, pivots, tables = (key, salt), [], {}
-                others = [p for p in pivots if p[0] < place] if pivot else pivots
-                if others:
-                    words = min(len(sk), min(len(p[4]) for p in others))
-                    known = len(others) == len(pivots)
-                    if not known or (len(pivots), words) not in tables:
-                        made = np.array([p[1] for p in others]), np.array([p[2] for p in others]), np.array([p[3] for p in others]), _at_size([p[4] for p in others], words)
-                        if known:
-                            tables[len(pivots), words] = made
-                    else:
-                        made = tables[len(pivots), words]
-                    sids, roots, ns, sketches = made
-                    apart = np.bitwise_count(sketches ^ _at_size([sk], words)).sum(1, dtype=np.int64)
-                    near = (roots != root) & (apart * (plan.den + plan.num) <= (plan.den - plan.num) * (ns + n))
-                    for other in sids[near].tolist():
-                        a.append(min(other, sid))
-                        b.append(max(other, sid))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "block", "salt", "pivot", "place", "sid", "root", "n_shingles")), (np.asarray(v.values, np.int64).view(np.uint64) for v in batch.column("sketch")), strict=True)
+            a, b, held = [], [], 0
+            for key, block, salt, pivot, place, sid, root, n, sk in rows:
+                if group != (key, block, salt):
+                    group, pivots, stacks = (key, block, salt), [], {}
                 if pivot:
                     pivots.append((place, sid, root, n, sk))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    continue
+                if not stacks:  # the block is full: pivots come before members
+                    places, sids, roots, ns = (np.array([p[i] for p in pivots]) for i in range(4))
+                    least = min(len(p[4]) for p in pivots)
+                    stacks[least] = _at_size([p[4] for p in pivots], least)
+                words = min(len(sk), least)
+                if words not in stacks:
+                    stacks[words] = np.bitwise_xor.reduce(stacks[least].reshape(len(pivots), -1, words), axis=1)
+                apart = np.bitwise_count(stacks[words] ^ _at_size([sk], words)).sum(1, dtype=np.int64)
+                near = sids[(places < place) & (roots != root) & (apart * (plan.den + plan.num) <= (plan.den - plan.num) * (ns + n))]
+                if len(near):
+                    a.append(np.minimum(near, sid))
+                    b.append(np.maximum(near, sid))
+                    held += len(near)
+                if held >= EMIT:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     salts = F.ceil(F.col("size") / SHARE).cast("int")
-    pivot = F.col("place").between(low + 1, high)
-    rows = members.filter(F.col("place") > low).withColumn("pivot", pivot)
-    rows = rows.withColumn("salt", F.explode(F.when(pivot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), salts).cast("int")))))
-    ordered = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("pivot"), "place")
-    return ordered.select("key", "salt", "pivot", "place", "sid", "root", "n_shingles", "sketch").mapInArrow(run, "a long, b long").distinct()
+    columns = ("key", "place", "sid", "root", "n_shingles", "sketch")
+    block_of = lambda place: F.floor((place - (low + 1)) / BLOCK).cast("int")
+    pivots = members.filter(F.col("place").between(low + 1, high)).select(*columns, F.lit(True).alias("pivot"), block_of(F.col("place")).alias("block"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # a member meets the blocks that begin before it
+    met = F.explode(F.sequence(F.lit(0), block_of(F.least(F.col("place") - 1, F.lit(high))))).alias("block")
+    later = members.filter(F.col("place") > low + 1).select(*columns, F.lit(False).alias("pivot"), met, F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"))
+    ordered = pivots.unionByName(later).repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", F.desc("pivot"))
+    return ordered.select("key", "block", "salt", "pivot", "place", "sid", "root", "n_shingles", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_sets(df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
