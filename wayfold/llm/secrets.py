@@ -3,8 +3,8 @@
 Two first-order character models are counted over the whole table: one of random strings, from the values
 that the patterns found (the labelled positives), and one of ordinary identifiers, from every other run of
 token characters (the labelled negatives). Both get pseudo-counts; the random model's are uniform, so with no
-positives at all it is the uniform source. A run of `MIN_RUN` or more token characters outside the pattern
-spans is a secret when its log-likelihood ratio random : ordinary is at least `MIN_RATIO` nats and
+positives at all it is the uniform source. A piece of `MIN_RUN` or more token characters outside the pattern
+spans (what they leave of a run) is a secret when its log-likelihood ratio random : ordinary is at least `MIN_RATIO` nats and
 `MIN_RATIO_PER_CHAR` nats a character.
 
 Training gathers at most 2 x 66 x 66 counts, whatever the table's size; they are summed in Spark.
@@ -95,16 +95,31 @@ def ratio(models: np.ndarray, run: str) -> float:
     return float(models[0, code[0]] + models[code[:-1], code[1:]].sum())
 
 
+def pieces(text: str, base: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the spans (by start) leave of each run, if it has the least length."""
+    first = 0
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        while first < len(base) and base[first][2] <= at:
+            first += 1
+        for s, _, e, _ in base[first:]:
+            if s >= end:
+                break
+            if s - at >= MIN_RUN:
+                yield at, s
+            at = max(at, e)
+        if end - at >= MIN_RUN:
+            yield at, end
+
+
 def scan(text: str, models: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, by start and kind."""
     base = base_spans(text)
     found = [(s, k, e) for s, k, e, _ in base]
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e, _ in base):
-            r = ratio(models, m.group())
-            if r >= MIN_RATIO and r >= MIN_RATIO_PER_CHAR * (b - a):
-                found.append((a, 3, b))
+    for a, b in pieces(text, base):
+        r = ratio(models, text[a:b])
+        if r >= MIN_RATIO and r >= MIN_RATIO_PER_CHAR * (b - a):
+            found.append((a, 3, b))
     return sorted(found)
 
 
