@@ -259,6 +259,18 @@ def test_phrases_are_greedy_longest_matches(reference, text):
     assert parser.phrases([text])[0, 0] == max(1, n) if text else True
 
 
+def test_references_are_of_distinct_texts_and_not_of_openings(spark):
+    license_head = "This work is free for all uses without any warranty. " * 5
+    copy = license_head + "zeta " * 400
+    rows = [(i, copy, "en") for i in range(300)] + [(300 + i, license_head + " ".join(f"w{i}x{j}" for j in range(300)), "en") for i in range(60)] + [(400 + i, f"kurzer Text {i}", "de") for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.reference_texts(df, F.lit(True))
+    assert got["en"].count("This work is free for all uses without any warranty. This") <= 5
+    assert got["en"].count("zeta") <= 8 * 50 and len({w.split("x")[0] for w in got["en"].split() if w.startswith("w")}) > 40
+    assert len(got["en"]) == len(got["de"]) == 30_000
+    assert got == langid.reference_texts(df.repartition(3), F.lit(True))
+
+
 def test_languages_of_odd_rows(odd, none):
     parser = langid.CrossParser(langid.reference_texts(odd, F.lit(True)))
     got = {r.doc_id: r.lang_pred for r in langid.predict(odd, parser).collect()}

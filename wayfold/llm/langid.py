@@ -3,8 +3,9 @@
 For each language a suffix automaton is built over labelled text (a bounded sample, see `reference_texts`).
 A text is cut greedily into the longest phrases that occur in a language's reference (cross parsing): each
 phrase is a walk in that automaton, and where no transition exists a new phrase begins. The text's language is
-the one whose parse needs the fewest phrases; all references have the same number of characters as nearly as
-the sample allows, so the counts are comparable, and phrases per character is the normalised figure.
+the one whose parse needs the fewest phrases. References have the same number of characters where a language
+has that many; as phrases get longer with the logarithm of the reference's length, counts are multiplied by it
+(relative to the longest), so that a language of little text is not at a disadvantage.
 
 The automata of all languages lie in one dense transition table, and a batch of texts is walked in lockstep:
 texts are cut into segments of `SEGMENT` characters (a phrase ends at a segment's end, for every language
@@ -16,6 +17,7 @@ no labelled text at all everything is `und`; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 
@@ -23,24 +25,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import map_texts
+from wayfold.llm.common import checkpointed, map_texts
 
-#: Bounds of the labelled sample: texts for each language, characters of each text.
-TEXTS, CHARS = 120, 250
+#: Bounds of the labelled sample: characters of each piece and of each language; budgets drawn, as equal pieces count once.
+CHARS, BUDGET, SPARE = 250, 30_000, 4
 #: Symbols of the automata: 0 ends a phrase, 1 is anything that is no letter, 2 a letter outside the alphabet.
 ALPHABET = 96
 SEGMENT = 512
 
 
-def reference_texts(df: DataFrame, learn: Column, key: str = "doc_id", lang: str = "lang", text: str = "text") -> dict[str, str]:
-    """{language: text}: CHARS characters from each of TEXTS rows of every language, by a hash of the key."""
-    d = df.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), F.col(key))
-    picked = d.select(lang, key, F.substring(text, 1, CHARS).alias("part")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TEXTS)
-    parts: dict[str, list[tuple[int, str]]] = {}
-    for row in picked.collect():
-        parts.setdefault(row[lang], []).append((row["place"], row["part"]))
-    return {k: "\n".join(t for _, t in sorted(v)) for k, v in sorted(parts.items())}
+def reference_texts(df: DataFrame, learn: Column, lang: str = "lang", text: str = "text") -> dict[str, str]:
+    """{language: text}: pieces of CHARS characters from all over the distinct texts of every language, BUDGET characters in all.
+
+    Pieces are taken by a hash of text and place, about SPARE budgets of each language, and equal pieces once.
+    """
+    d = df.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    sizes = checkpointed(d.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n")))
+    # a language's row here is as many as its references, which the driver holds
+    share = sizes.groupBy("lang").agg((F.lit(float(SPARE * BUDGET)) / F.sum("n")).alias("share"))
+    places = sizes.join(F.broadcast(share), "lang").select("lang", "h", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHARS))).alias("no"))
+    places = places.withColumn("turn", F.xxhash64("h", "no")).filter(F.pmod("turn", F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("share")
+    parts = d.join(F.broadcast(places), ["lang", "h"]).select("lang", "turn", F.expr(f"substring(text, CAST(no * {CHARS} + 1 AS INT), {CHARS})").alias("part"))
+    found: dict[str, dict[str, int]] = {}
+    for row in parts.groupBy("lang", "part").agg(F.min("turn").alias("turn")).collect():
+        found.setdefault(row["lang"], {})[row["part"]] = row["turn"]
+    return {k: "\n".join(sorted(v, key=lambda t: (v[t], t)))[:BUDGET] for k, v in sorted(found.items())}
 
 
 def folded(text: str) -> str:
@@ -83,6 +92,8 @@ class CrossParser:
     def __init__(self, references: dict[str, str]):
         self.langs = sorted(references)
         texts = {k: folded(v) for k, v in references.items()}
+        logs = [math.log(len(texts[k]) + 1) for k in self.langs]
+        self.weights = np.array([x / max(logs) for x in logs])
         letters = Counter(c for t in texts.values() for c in t if c.isalpha())
         self.alphabet = {c: i for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3], 3)}
         self.width = len(self.alphabet) + 3
@@ -156,10 +167,11 @@ def predict(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFrame
         at = [i for i, x in enumerate(has) if x]
         if at:
             counts = p.phrases([texts[i] for i in at])
-            best = counts.argmin(1)
-            for i, row, b in zip(at, counts, best.tolist(), strict=True):
-                second = min((int(x) for j, x in enumerate(row) if j != b), default=None)
-                pred[i], rate[i] = p.langs[b], float(row[b]) / len(texts[i])
+            weighted = counts * p.weights
+            best = weighted.argmin(1)
+            for i, row, own, b in zip(at, weighted, counts, best.tolist(), strict=True):
+                second = min((float(x) for j, x in enumerate(row) if j != b), default=None)
+                pred[i], rate[i] = p.langs[b], float(own[b]) / len(texts[i])
                 score[i] = 1.0 if second is None else 1.0 - float(row[b]) / second
         return {"lang_pred": pred, "score": score, "phrases_per_char": rate}
 
