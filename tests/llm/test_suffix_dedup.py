@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from wayfold.llm import queries, suffix_dedup
+from wayfold.llm.common import Scratch
 
 
 def brute(rows):
@@ -74,3 +77,37 @@ def test_passages_and_hot_heads(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df, batches=3).select(*COLUMNS).collect()), key=repr) == want
     monkeypatch.setattr(suffix_dedup, "MOST_TOGETHER", 3)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df).select(*COLUMNS).collect()), key=repr) == want
+
+
+def removed_bytes(rows):
+    """{text number: set of removed positions} of (tid, removed) rows."""
+    return {r.tid: {i for s in r.removed for i in range(s.start, s.stop)} for r in rows}
+
+
+def test_batches_added_one_by_one(spark):
+    """After every addition the matches found so far are those of all texts so far; levels stay between additions."""
+    rows, batches = passages(11), 5
+    df = spark.createDataFrame([(k, t.encode()) for k, t in rows], "tid long, data binary").repartition(3)
+    with Scratch(spark) as scratch:
+        family, met = suffix_dedup.IndexFamily(scratch), None
+        for b in range(batches):
+            own = df.filter(F.col("tid") % batches == b)
+            found = family.add(suffix_dedup._suffixes(own))
+            met = found if met is None else met.unionByName(found)
+            assert [n for n, _ in family.levels] == [2**i for i in range(3, -1, -1) if (b + 1) >> i & 1]
+            so_far = [(k, t) for k, t in rows if k % batches <= b]
+            got = removed_bytes(suffix_dedup.spans_of(df.filter(F.col("tid") % batches <= b), scratch.stored(family.kinds(met.distinct())), scratch).collect())
+            want = {r[0]: r[2] for r in brute(so_far)}
+            assert {k: len(got.get(k, ())) for k, _ in so_far} == want
+            for _, level in family.levels:
+                for part in level.select("head", "ctx").rdd.glom().collect():
+                    assert part == sorted(part)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 1 << 12)
+    rng = random.Random(2)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    rows = [(1, part + "x" * 700 + part[:3000]), (2, "other text " * 5 + part[2000:2500]), (3, "".join(rng.choice("abcd") for _ in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).select(*COLUMNS).collect()), key=repr) == brute(rows)

@@ -11,6 +11,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word in the sense of the counting contracts: a maximal run without ASCII white space.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
@@ -22,19 +24,23 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark (the path may be in any store that Spark reads)."""
-    workers_see_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_see_package(spark: SparkSession) -> None:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow by workers that can import this package."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    return df.mapInArrow(fn, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of its own is set only where none is named (local tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. A local session without one gets its own; a cluster must name one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,19 +50,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The same cut for larger tables: written as Parquet (compressed) in the shared folder and reread."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that `stored` wrote and nobody reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        deleted(df.sparkSession, path)
+
+
+class Scratch:
+    """Tables that are needed only while a result is made: a folder in the shared one, deleted at the end.
+
+    Inside, shuffle files are deleted as soon as the query that wrote them has ended (a Spark setting, put back at
+    the end), so many small steps don't fill the disks.
+    """
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.before is None:
+            self.spark.conf.unset(self.CLEANUP)
+        else:
+            self.spark.conf.set(self.CLEANUP, self.before)
+        deleted(self.spark, self.folder)
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        return stored(df, self.folder)
 
 
 def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, text: str = "text", keep: list[str] | None = None, rows: int = 512) -> DataFrame:
@@ -68,9 +106,6 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
     added = df.sparkSession.createDataFrame([], schema).schema
     keep = [c for c in df.columns if c != text and c not in added.names] if keep is None else keep
     fields = [df.schema[c] for c in keep] + list(added)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     out = StructType(fields)
     target = to_arrow_schema(out)
 
@@ -83,7 +118,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
                 arrays += [pa.array(made[f.name], type=target.field(f.name).type) for f in added]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, out)
+    return arrow_map(df.select(*keep, F.col(text).cast("string").alias("__text")), run, out)
 
 
 def word_count(text: Column) -> Column:

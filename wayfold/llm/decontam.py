@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from wayfold.llm.common import arrow_map
+
 WINDOW = 13
 #: Suffix positions that are kept: every one of so many, and those at which a stretch begins.
 SAMPLED = 16
@@ -250,7 +252,7 @@ def find_contamination(df: DataFrame, items: DataFrame, item: str = "item_id", t
         if held:
             yield from flush(held)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 #: Share of hit words (percent) from which a document is contaminated.

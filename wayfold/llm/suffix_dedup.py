@@ -7,10 +7,11 @@ Sparse suffixes. Every LENGTH-byte string picks one position in itself, the last
 smallest hash, so equal strings pick the same place and only suffixes at picked positions need an index
 (about one in 60). A picked suffix serves an interval of strings; `ctx` is the hash of all their bytes.
 
-Index family. A level is a suffix array of some batches: heads of picked suffixes in order (first three bytes,
-then a hash of the first HEAD bytes) with their numbers of occurrences. A new batch gets its own array; equal-sized
-levels are merged, geometrically, and the merge scan adds up the occurrences of heads that meet. A head that
-occurs twice in the merged family is a candidate for a long match.
+Index family. A level is a suffix array of some batches: picked suffixes in order of their heads (first three
+bytes, then a hash of the first HEAD bytes) and contexts, each distinct context once with its number of occurrences
+and one place. A new batch gets its own array and is merge-scanned against every level kept so far: a head that
+both have, or that the batch has twice, is a candidate for a long match. Equal-sized levels are then merged,
+geometrically.
 
 Matches. Of the candidates, suffixes with equal head and ctx cover their whole interval. Where contexts of one
 head differ (the ends of a passage), one suffix of each distinct context is compared string by string.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import dropped, stored
+from wayfold.llm.common import Scratch, arrow_map, dropped, stored
 
 LENGTH, HEAD = 200, 64
 #: k-gram starts in a string of LENGTH bytes.
@@ -152,8 +153,8 @@ def end(at: F.Column) -> F.Column:
     return F.shiftright(at, 16) + at.bitwiseAND(F.lit(255)) + LENGTH
 
 
-def _suffixes(docs: DataFrame, heads_only: bool) -> DataFrame:
-    """(head) or (head, ctx, tid, at) of (tid, data); a task lists equal texts once."""
+def _suffixes(docs: DataFrame) -> DataFrame:
+    """(head, ctx, tid, at) of (tid, data); a task lists equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -169,42 +170,61 @@ def _suffixes(docs: DataFrame, heads_only: bool) -> DataFrame:
                 own = np.array(tids, np.int64)
                 for group in pieces(texts):
                     number, head, ctx, at = picked(group)
-                    columns = [head] if heads_only else [head, ctx, own[number], at]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["head", "ctx", "tid", "at"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (head, ctx, own[number], at)], ["head", "ctx", "tid", "at"])
 
-    return docs.select("tid", "data").mapInArrow(run, "head long" if heads_only else "head long, ctx long, tid long, at long")
+    return arrow_map(docs.select("tid", "data"), run, "head long, ctx long, tid long, at long")
 
 
 class IndexFamily:
-    """Levels of 1, 2, 4, ... batches, each a table (head, n) in suffix order in the shared checkpoint folder."""
+    """Sparse suffix arrays of 1, 2, 4, ... batches in the shared folder, kept between additions.
 
-    def __init__(self) -> None:
+    A level is a table (head, ctx, n, one) in the order of head and ctx: each distinct suffix context once, with the
+    number of places where it occurs and one of them (tid, at), so a passage of very many copies is few rows.
+    """
+
+    def __init__(self, scratch: Scratch) -> None:
+        self.scratch = scratch
         self.levels: list[tuple[int, DataFrame]] = []
 
-    @staticmethod
-    def suffix_array(heads: DataFrame) -> DataFrame:
-        return stored(heads.groupBy("head").agg(F.count("*").alias("n")).sortWithinPartitions("head"))
+    def suffix_array(self, suffixes: DataFrame) -> DataFrame:
+        """The array of a batch. A text that several tasks listed counts as often, which is right: its copies repeat it."""
+        return self._ordered(suffixes.groupBy("head", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
 
-    @staticmethod
-    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = stored(a.unionByName(b).groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"))
+    def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """One array of two; contexts that both have become one row."""
+        both = self._ordered(a.unionByName(b).groupBy("head", "ctx").agg(F.sum("n").alias("n"), F.min("one").alias("one")))
         for level in (a, b):
             dropped(level)
         return both
 
-    def add(self, heads: DataFrame) -> None:
-        size, level = 1, self.suffix_array(heads)
+    def _ordered(self, kinds: DataFrame) -> DataFrame:
+        return self.scratch.stored(kinds.sortWithinPartitions("head", "ctx"))
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Adds a batch (head, ctx, tid, at); returns the heads of its long matches, with itself and with every level.
+
+        The merge scans are sort-merge joins of the new array with each level on the head. Levels of equal size merge.
+        """
+        new = self.suffix_array(suffixes)
+        heads = new.groupBy("head").agg(F.sum("n").alias("n"))
+        met = heads.filter("n > 1").select("head")
+        for _, level in self.levels:
+            met = met.unionByName(heads.select("head").join(level, "head", "left_semi"))
+        met = self.scratch.stored(met.distinct())
+        size = 1
         while self.levels and self.levels[-1][0] == size:
-            level = self.merge(self.levels.pop()[1], level)
+            new = self.merge(self.levels.pop()[1], new)
             size *= 2
-        self.levels.append((size, level))
+        self.levels.append((size, new))
+        return met
 
-    def met(self) -> DataFrame:
-        """Heads that occur more than once in the family."""
-        while len(self.levels) > 1:
-            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, self.merge(a, b)))
-        return self.levels[0][1].filter("n > 1").select("head")
+    def kinds(self, met: DataFrame) -> DataFrame:
+        """(head, ctx, n, one) of the whole family for some heads."""
+        out = None
+        for _, level in self.levels:
+            own = level.join(met, "head", "left_semi")
+            out = own if out is None else out.unionByName(own)
+        return out if len(self.levels) == 1 else out.groupBy("head", "ctx").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,7 +247,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cut = [t[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([head, pa.array(np.full(len(a), tid)), pa.array(start), pa.array(left), single, pa.array(cut, pa.binary())], ["head", "tid", "start", "left", "single", "bytes"])
 
-    return docs.join(wanted, "tid").select("tid", "data", "wanted").mapInArrow(run, "head long, tid long, start long, left long, single boolean, bytes binary")
+    return arrow_map(docs.join(wanted, "tid").select("tid", "data", "wanted"), run, "head long, tid long, start long, left long, single boolean, bytes binary")
 
 
 def _strings(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +317,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
         if held:
             yield from settle(held)
 
-    return contexts.repartition("head").sortWithinPartitions("head").mapInArrow(run, "tid long, start long, stop long")
+    return arrow_map(contexts.repartition("head").sortWithinPartitions("head"), run, "tid long, start long, stop long")
 
 
 def _compared_hot(contexts: DataFrame) -> DataFrame:
@@ -311,23 +331,28 @@ def _compared_hot(contexts: DataFrame) -> DataFrame:
                 start = part.column("start").to_numpy()[row] + place
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(part.column("tid").to_numpy()[row]), pa.array(start), pa.array(part.column("single").to_numpy(zero_copy_only=False)[row])], ["value", "tid", "start", "single"])
 
-    strings = contexts.mapInArrow(spread, "value long, tid long, start long, single boolean")
+    strings = arrow_map(contexts, spread, "value long, tid long, start long, single boolean")
     again = strings.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
     return strings.filter("single").join(again, "value", "left_semi").select("tid", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
-def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFrame:
     """(tid, removed): for each text that loses bytes its maximal runs (start, stop); docs are (tid, data binary)."""
-    copies = docs.groupBy("tid").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).alias("size")).filter(f"n > 1 AND size >= {LENGTH}")
-    family = IndexFamily()
+    family, met = IndexFamily(scratch), None
     for b in range(batches):
-        family.add(_suffixes(docs.filter(F.pmod("tid", F.lit(batches)) == b), True))
-    found = stored(_suffixes(docs, False).join(family.met(), "head", "left_semi"))
-    kinds = stored(found.groupBy("head", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
-    same = found.join(kinds.filter("n > 1").select("head", "ctx"), ["head", "ctx"], "left_semi").select("tid", first(F.col("at")).alias("start"), end(F.col("at")).alias("stop"))
+        found = family.add(_suffixes(docs.filter(F.pmod("tid", F.lit(batches)) == b)))
+        met = found if met is None else met.unionByName(found)
+    return spans_of(docs, scratch.stored(family.kinds(met.distinct())), scratch)
+
+
+def spans_of(docs: DataFrame, kinds: DataFrame, scratch: Scratch) -> DataFrame:
+    """The runs of `repeated` from the contexts (head, ctx, n, one) of all heads that occur twice or more."""
+    copies = docs.groupBy("tid").agg(F.count("*").alias("n"), F.max(F.octet_length("data")).alias("size")).filter(f"n > 1 AND size >= {LENGTH}")
+    found = _suffixes(docs).join(kinds.filter("n > 1").select("head", "ctx"), ["head", "ctx"], "left_semi")
+    same = found.select("tid", first(F.col("at")).alias("start"), end(F.col("at")).alias("stop"))
     several = kinds.groupBy("head").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     asked = kinds.join(several, "head").select(F.col("one.tid").alias("tid"), F.struct("head", F.col("one.at").alias("at"), (F.col("n") == 1).alias("single")).alias("w"), (F.col("kinds") > MOST_TOGETHER).alias("hot"))
-    asked = stored(asked)
+    asked = scratch.stored(asked)
     spans = same
     for hot, compare in ((False, _compared), (True, _compared_hot)):
         part = asked.filter(F.col("hot") == hot)
@@ -345,7 +370,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 runs.append([{"start": s, "stop": e} for s, e in merged(start.to_numpy(), stop.to_numpy())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, kind)], ["tid", "removed"])
 
-    return lists.mapInArrow(run, "tid long, removed array<struct<start:long,stop:long>>")
+    return arrow_map(lists, run, "tid long, removed array<struct<start:long,stop:long>>")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -369,7 +394,8 @@ def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) ->
     added = df.sparkSession.createDataFrame([], "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string").schema
     keep = [c for c in df.columns if c != text and c not in added.names]
     rows = df.select(F.struct(*keep).alias("row"), data.alias("data")).withColumn("tid", F.xxhash64("data"))
-    gone = stored(repeated(rows.select("tid", "data"), batches))
+    with Scratch(df.sparkSession) as scratch:
+        gone = stored(repeated(rows.select("tid", "data"), scratch, batches))
     schema = StructType([df.schema[c] for c in keep] + added.fields)
     target = to_arrow_schema(schema)
 
@@ -391,4 +417,4 @@ def remove_repeats(df: DataFrame, text: str = "text", batches: int = BATCHES) ->
                 arrays = [c.cast(target.field(i).type) for i, c in enumerate(batch.column(0).flatten())]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, target.field(f.name).type) for v, f in zip(made, added, strict=True)], schema=target)
 
-    return rows.join(gone, "tid", "left").select("row", "data", "removed").mapInArrow(run, schema)
+    return arrow_map(rows.join(gone, "tid", "left").select("row", "data", "removed"), run, schema)

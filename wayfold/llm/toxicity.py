@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import map_texts
+from wayfold.llm.common import arrow_map, map_texts
 
 MOST_LABELLED, FEATURES, MIN_ROWS = 20_000, 4000, 4
 PREFIXES = (4, 5, 6)
@@ -90,7 +90,7 @@ def fit(spark_rows: DataFrame, key: str = "doc_id", n_features: int = FEATURES,
     n0, n1 = rows.get(0, 0), rows.get(1, 0)
     if not n1 or not n0:
         return OrdinalModel({}, [])
-    both = spark_rows.select("label", "text").mapInArrow(counted, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).filter(f"a + b >= {min_rows}")
+    both = arrow_map(spark_rows.select("label", "text"), counted, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).filter(f"a + b >= {min_rows}")
     # chi-square of the 2 x 2 table feature x label
     n = n0 + n1
     chi = F.expr(f"{n} * pow(double(b) * ({n0} - a) - double(a) * ({n1} - b), 2) / (double(a + b) * ({n} - a - b + 1) * {n0} * {n1})")
