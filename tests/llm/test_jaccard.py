@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wayfold.llm import components, jaccard, queries
+from wayfold.llm.common import Scratch
 
 
 def shingles(text, n):
@@ -94,9 +95,10 @@ def test_similar_sets_share_a_key(seed, size, ratio):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(205, 201), (203, 201), (203, 204)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+        assert components.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 130)} | {i: 201 for i in (201, 203, 204, 205)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def unlike(n, words=16, seed=1):

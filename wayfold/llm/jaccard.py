@@ -10,9 +10,10 @@ Empty blocks agree for no reason, so they give no key. That is safe while a set
 more is joined again under further hash seeds, and under the last one its empty blocks give keys, too. No pair
 at or above the threshold is lost.
 
-Candidates are compared by a sketch of the whole set first (the Hamming distance is a lower bound of the
-symmetric difference) and then by exact intersection. Within a key's group the members are compared with one
-pivot; where a group's members still lie in different components, further pivots follow until every pair of
+Sets of one key meet first within a task's chunk of keys, and of each chunk only the first set goes on to meet
+those of other chunks, so a key that a third of all sets hold is no large group anywhere. Candidates are compared
+by a sketch of the whole set first (the Hamming distance is a lower bound of the symmetric difference) and then
+by exact intersection. Within a key's group the members are compared with one or, by chunks, a few pivots; where a group's members still lie in different components, further pivots follow until every pair of
 members in different components has been compared. So copies don't become all pairs, and no link between
 components is missed.
 
@@ -39,19 +40,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from wayfold.llm.common import checkpointed, stored
-from wayfold.llm.components import components
+from wayfold.llm.common import Scratch, arrow_map, dropped, stored
+from wayfold.llm.components import components, merged_roots, rooted
 
 #: Ratio of a size band's ends; hash seeds tried before empty blocks give keys; differences from which a band has spare blocks.
 BAND_RATIO, SEEDS, LEAST_ROOM = 1.25, 6, 4
-#: Candidate sets up to this number are found by a broadcast join (16 MB), more by a shuffled one.
-MOST_BROADCAST = 1_000_000
 #: Pivots of the first extra round in groups that fall into several components; each round takes 16 times more.
 PIVOTS = 16
 #: Pivots that a task holds, and members of a group that one task compares with them.
 BLOCK, SHARE = 1024, 4000
-#: Rows that a task hands over at once.
-EMIT = 1 << 17
+#: Rows that a task hands over at once, and keys among which it looks for equal ones.
+EMIT, CHUNK = 1 << 17, 1 << 19
 
 _U = np.uint64
 #: Odd multipliers that mix hashes (any odd numbers do).
@@ -170,7 +169,7 @@ def sized(df: DataFrame, plan: Plan, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], schema=target)
 
     schema = StructType(kept.schema.fields[:]).add("n_shingles", LongType()).add("sid", LongType()).add("sketch", ArrayType(LongType()))
-    return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return arrow_map(df.select(*keep, F.col(text).cast("binary").alias("__text")), run, schema)
 
 
 def _spot(text: str) -> F.Column:
@@ -178,8 +177,29 @@ def _spot(text: str) -> F.Column:
     return F.xxhash64(F.col(text).cast("binary")).alias("spot")
 
 
+def in_chunk(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
+    """(place, first, key, sid) of the keys of a chunk: a key's first set once, and every further set with that first one.
+
+    Rows of firsts meet by key (place is the key; key and sid are null). Further sets are dealt by key and chunk,
+    so a key that very many sets hold has one row in a chunk that meets others, and its further rows are spread.
+    """
+    _, begin, kind = np.unique(keys, return_index=True, return_inverse=True)
+    head = np.zeros(len(keys), bool)
+    head[begin] = True
+    n, key, sid = len(begin), keys[~head], sids[~head]
+    spread = mixed(key ^ mixed(keys[:1] ^ sids[:1].view(_U)))
+    gone = np.repeat([True, False], [n, len(key)])
+    arrays = [
+        pa.array(np.concatenate([keys[head], spread]).view(np.int64)),
+        pa.array(np.concatenate([sids[head], sids[begin][kind[~head]]])),
+        pa.array(np.concatenate([keys[head], key]).view(np.int64), mask=gone),
+        pa.array(np.concatenate([sids[head], sid]), mask=gone),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["place", "first", "key", "sid"])
+
+
 def join_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """(key, sid): a task emits the keys of equal sets once."""
+    """(place, first, key, sid) of all join keys, by chunks (see in_chunk); a task emits the keys of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -192,20 +212,30 @@ def join_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
                     if sid is None or sid in seen:
                         continue
                     seen.add(sid)
-                    k = plan.keys(s)
-                    keys.append(k.view(np.int64))
+                    k = np.unique(plan.keys(s))
+                    keys.append(k)
                     sids.append(np.full(len(k), sid, np.int64))
                     held += len(k)
-                    if held >= EMIT:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], ["key", "sid"])
+                    if held >= CHUNK:
+                        yield in_chunk(np.concatenate(keys), np.concatenate(sids))
                         keys, sids, held = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], ["key", "sid"])
+            yield in_chunk(np.concatenate(keys), np.concatenate(sids))
 
-    return df.select(F.col(text).cast("binary")).mapInArrow(run, "key long, sid long")
+    return arrow_map(df.select(F.col(text).cast("binary")), run, "place long, first long, key long, sid long")
 
 
-def sets_of(df: DataFrame, rows: DataFrame, plan: Plan, wanted: DataFrame, text: str = "text") -> DataFrame:
+def met_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
+    """(key, a, b): of every key that several sets hold its smallest first set a with each other first set b, and
+    each first set with its chunk's further sets. The sets of a key are its a and b, and these pairs tie all of them."""
+    d = join_keys(df, plan, text).withColumn("least", F.min("first").over(Window.partitionBy("place")))
+    d = d.filter("sid IS NOT NULL OR first <> least")
+    further = F.col("sid").isNotNull()
+    d = d.select("place", F.coalesce("key", "place").alias("key"), F.when(further, F.col("first")).otherwise(F.col("least")).alias("a"), F.coalesce("sid", "first").alias("b"))
+    return d.distinct().drop("place")  # rows of a place lie together already
+
+
+def sets_of(df: DataFrame, rows: DataFrame, plan: Plan, wanted: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """(sid, hashes) of the wanted sets, from one text of each; rows are df's in the form of `sized`, with spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +245,10 @@ def sets_of(df: DataFrame, rows: DataFrame, plan: Plan, wanted: DataFrame, text:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["sid", "hashes"])
 
-    spots = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("spot").alias("spot")).select("spot")
-    few = wanted.count() <= MOST_BROADCAST
-    texts = df.select(F.col(text).cast("binary").alias("text")).withColumn("spot", F.xxhash64("text")).join(F.broadcast(spots) if few else spots, "spot", "left_semi")
-    found = texts.select("text").mapInArrow(run, "sid long, hashes array<long>")
+    # a table of known size, so Spark itself decides whether it may be broadcast
+    spots = scratch.stored(rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("spot").alias("spot")).select("spot"))
+    texts = df.select(F.col(text).cast("binary").alias("text")).withColumn("spot", F.xxhash64("text")).join(spots, "spot", "left_semi")
+    found = arrow_map(texts.select("text"), run, "sid long, hashes array<long>")
     return found.groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
 
@@ -237,13 +267,24 @@ def close_pairs(pairs: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
     return sketched.filter(apart * (plan.den + plan.num) <= (plan.den - plan.num) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def linked_pairs(near: DataFrame, df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """Of (a, b) the pairs whose exact similarity reaches the threshold."""
-    wanted = checkpointed(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    sets = stored(sets_of(df, rows, plan, wanted, text))
-    both = near.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
-    shared = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("both"))
-    return shared.filter(F.col("both") * plan.den >= plan.num * (F.col("sum") - F.col("both"))).select("a", "b")
+class Sets:
+    """Exact sets of those that some pair asked for, each made and written once."""
+
+    def __init__(self, df: DataFrame, rows: DataFrame, plan: Plan, scratch: Scratch, text: str):
+        self.df, self.rows, self.plan, self.scratch, self.text, self.have = df, rows, plan, scratch, text, None
+
+    def linked(self, near: DataFrame) -> DataFrame:
+        """Of (a, b) the pairs whose exact similarity reaches the threshold; near is read twice."""
+        wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        if self.have is not None:
+            wanted = wanted.join(self.have.select("sid"), "sid", "left_anti")
+        new = self.scratch.stored(sets_of(self.df, self.rows, self.plan, self.scratch.stored(wanted), self.scratch, self.text))
+        self.have = new if self.have is None else self.have.unionByName(new)
+        both = near
+        for side in ("b", "a"):
+            both = both.join(self.have.select(F.col("sid").alias(side), F.col("hashes").alias(f"h{side}")), side)
+        shared = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("both"))
+        return shared.filter(F.col("both") * self.plan.den >= self.plan.num * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 def _at_size(sketches: list[np.ndarray], words: int) -> np.ndarray:
@@ -299,76 +340,84 @@ def pivot_pairs(members: DataFrame, low: int, high: int, plan: Plan) -> DataFram
     met = F.explode(F.sequence(F.lit(0), block_of(F.least(F.col("place") - 1, F.lit(high))))).alias("block")
     later = members.filter(F.col("place") > low + 1).select(*columns, F.lit(False).alias("pivot"), met, F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"))
     ordered = pivots.unionByName(later).repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", F.desc("pivot"))
-    return ordered.select("key", "block", "salt", "pivot", "place", "sid", "root", "n_shingles", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(ordered.select("key", "block", "salt", "pivot", "place", "sid", "root", "n_shingles", "sketch"), run, "a long, b long").distinct()
+
+
+def placed(members: DataFrame, salts: int = 64) -> DataFrame:
+    """(key, sid, place, size): members of each key numbered from 1, in parts, so a key's members needn't meet in one task."""
+    part = members.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(salts)))
+    counts = part.groupBy("key", "part").agg(F.count("*").alias("n"))
+    upto, group = Window.partitionBy("key").orderBy("part"), Window.partitionBy("key")
+    starts = counts.select("key", "part", (F.sum("n").over(upto) - F.col("n")).alias("start"), F.sum("n").over(group).alias("size")).filter("size > 2")
+    own = part.withColumn("no", F.row_number().over(Window.partitionBy("key", "part").orderBy("sid")))
+    return own.join(starts, ["key", "part"]).select("key", "sid", (F.col("start") + F.col("no")).alias("place"), "size")
 
 
 def linked_sets(df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
     """(node, root) of all sets that are linked with another set; rows are df's in the form of `sized`, with spot."""
-    marks = stored(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    group = Window.partitionBy("key")
-    met = join_keys(df, plan, text).select("key", "sid", F.min("sid").over(group).alias("pivot"), F.max("sid").over(group).alias("last"))
-    met = stored(met.filter("pivot <> last").distinct())
-    pairs = stored(met.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
-    links = checkpointed(linked_pairs(checkpointed(close_pairs(pairs, marks, plan)), df, rows, plan, text))
-    roots = checkpointed(components(links))
-    # groups that hold a pair of different components, if they have members besides that pair
-    apart = across(pairs.join(links, ["a", "b"], "left_anti"), roots).select(F.col("a").alias("pivot"), F.col("b").alias("sid"))
-    odd = met.join(apart, ["pivot", "sid"], "left_semi").select("key").distinct()
-    ranks = met.join(odd, "key", "left_semi").select("key", "sid", F.row_number().over(group.orderBy("sid")).alias("place"), F.count("*").over(group).alias("size")).filter("size > 2")
-    ranks = stored(ranks)
-    most = ranks.agg(F.max("place")).first()[0] or 0
-    low, high = 1, PIVOTS
-    while low < most:
-        held = labelled(ranks, roots)
-        still = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-        held = held.filter(F.col("size") > low + 1).join(still, "key", "left_semi").join(marks, "sid")
-        near = checkpointed(pivot_pairs(held, low, high, plan))
-        if near.head(1):
-            new = checkpointed(linked_pairs(near, df, rows, plan, text))
-            if new.head(1):
-                links = checkpointed(links.unionByName(new))
-                roots = checkpointed(components(links))
-        low, high = high, high * 16
-    return roots
+    with Scratch(df.sparkSession) as scratch:
+        marks = scratch.stored(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+        met = scratch.stored(met_keys(df, plan, text))
+        pairs = scratch.stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        exact = Sets(df, rows, plan, scratch, text)
+        near = scratch.stored(close_pairs(pairs, marks, plan))
+        links = scratch.stored(exact.linked(near))
+        roots = scratch.stored(components(links, scratch))
+        # keys that hold a pair of different components, if they have members besides that pair
+        apart = rooted(pairs.join(links, ["a", "b"], "left_anti"), roots).filter("root_a <> root_b").select("a", "b")
+        odd = met.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).join(apart, ["a", "b"], "left_semi").select("key").distinct()
+        ranks = scratch.stored(placed(met.join(odd, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("sid")).distinct()))
+        for done in (met, pairs, near, links):
+            dropped(done)
+        most = ranks.agg(F.max("place")).first()[0] or 0
+        low, high = 0, PIVOTS
+        while low < most:
+            held = labelled(ranks, roots)
+            still = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+            held = held.filter(F.col("size") > low + 1).join(still, "key", "left_semi").join(marks, "sid")
+            near = scratch.stored(pivot_pairs(held, low, high, plan))
+            if near.head(1):
+                new = scratch.stored(exact.linked(near))
+                if new.head(1):
+                    after = scratch.stored(merged_roots(roots, new, scratch))
+                    dropped(roots)
+                    roots = after
+                dropped(new)
+            dropped(near)
+            low, high = high, high * 16
+        return stored(roots)
 
 
 def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
-def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose two sets lie in different components."""
-    out = pairs
-    for side in ("a", "b"):
-        out = out.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    return out.filter("root_a <> root_b").select("a", "b")
-
-
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): links join sets with den * intersection >= num * union."""
     plan = Plan(n, num, den)
-    rows = stored(sized(df.select(key, text, _spot(text)), plan, text))
-    placed = labelled(rows.drop("sketch", "spot"), linked_sets(df, rows, plan, text))
-    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("component_id"))
-    out = placed.join(least, "root", "left")
-    # a row without shingles is a class of its own
-    return out.select(key, "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    with Scratch(df.sparkSession) as scratch:
+        rows = scratch.stored(sized(df.select(key, text, _spot(text)), plan, text))
+        sets = labelled(rows.drop("sketch", "spot"), linked_sets(df, rows, plan, text))
+        least = sets.filter("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("component_id"))
+        out = sets.join(least, "root", "left")
+        # a row without shingles is a class of its own
+        return stored(out.select(key, "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df without those that are linked with a kept one: of each class the row of smallest key stays (null last).
 
-    Among rows of one key a hash of the row decides, and of fully equal rows one stays. Rows without words all stay.
+    Among rows of one key a 128-bit hash of the row decides, and of fully equal rows one stays. Rows without words all stay.
     """
-    plan = Plan(n, num, den)
-    marked = df.withColumn("__row", F.xxhash64(*df.columns))
-    rows = stored(sized(marked.select(key, "__row", text, _spot(text)), plan, text)).filter("sid IS NOT NULL")
-    placed = labelled(rows.drop("sketch", "spot"), linked_sets(df, rows, plan, text)).withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")))
-    best = placed.groupBy("root").agg(F.min("rank").alias("best"))
-    judged = placed.join(best, "root")
-    lost = checkpointed(judged.filter("rank.row <> best.row").select("__row").distinct())
-    twice = checkpointed(judged.filter("rank.row = best.row").groupBy("__row").agg(F.count("*").alias("n")).filter("n > 1").select("__row"))
-    small = lambda d: F.broadcast(d) if d.count() <= MOST_BROADCAST else d
-    once = marked.join(small(lost), "__row", "left_anti").join(small(twice), "__row", "left_anti")
-    again = marked.join(small(twice), "__row", "left_semi").dropDuplicates(["__row"])
+    plan, row = Plan(n, num, den), ["__row", "__row2"]
+    marked = df.withColumns({"__row": F.xxhash64(*df.columns), "__row2": F.xxhash64(F.lit(1), *df.columns)})
+    with Scratch(df.sparkSession) as scratch:
+        rows = scratch.stored(sized(marked.select(key, *row, text, _spot(text)), plan, text))
+        sets = labelled(rows.filter("sid IS NOT NULL").drop("sketch", "spot"), linked_sets(df, rows, plan, text))
+        ranked = sets.withColumn("rank", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), *row))
+        judged = scratch.stored(ranked.join(ranked.groupBy("root").agg(F.min("rank").alias("best")), "root").select(*row, F.col("rank").eqNullSafe(F.col("best")).alias("best")))
+        lost = stored(judged.filter("NOT best").select(*row).distinct())
+        twice = stored(judged.filter("best").groupBy(*row).agg(F.count("*").alias("n")).filter("n > 1").select(*row))
+    once = marked.join(lost, row, "left_anti").join(twice, row, "left_anti")
+    again = marked.join(twice, row, "left_semi").dropDuplicates(row)
     return once.unionByName(again).select(*df.columns)
