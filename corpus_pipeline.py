@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import decontam, jaccard, secrets, toxicity
-from wayfold.llm.common import checkpointed, shared_folder, table, word_count
+from wayfold.llm.common import Scratch, checkpointed, deleted, shared_folder, table, word_count
 from wayfold.llm.queries import mixed
 
 
@@ -56,10 +56,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with Scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
