@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wayfold.operators.covariance import CovarianceConfig, fold
+from wayfold.operators.covariance import CovarianceConfig, Ways, fold, trusted
 
 CONFIG = CovarianceConfig(max_interval=10.0, max_speed=100.0)
 
@@ -88,3 +88,30 @@ def test_splits_and_failures():
     got = fold(stuck, WAYS, CovarianceConfig(max_interval=10.0, bridge_gaps=False))
     assert list(got[got["seq"] == 2]["status"]) == ["FAILED_DISCONNECTED"]
     assert len(fold(chain(1).head(0), WAYS, CONFIG)) == 0
+
+
+def test_running_back_on_a_one_way_edge_adds_up():
+    """Small steps back are no way of length 0 for ever on a one-way edge, and are on others."""
+    rows = chain(6).query("cand == 1").reset_index(drop=True)
+    rows[["edge_id", "source", "target"]] = [3, 3, 4]
+    rows["x"], rows["length"], rows["ep"] = 0.0, 1.0, 1.0
+    rows["offset"] = [0.9, 0.886, 0.872, 0.858, 0.844, 0.83]
+    free = fold(rows.assign(oneway=False), WAYS, CONFIG)
+    assert set(free["status"]) == {"SUCCESS"}
+    bound = fold(rows.assign(oneway=True), WAYS, CONFIG)
+    assert set(bound["status"]) == {"PARTIAL"} and list(bound.groupby("part")["seq"].min()) == [0, 3]
+
+
+def test_ways_are_looked_up_in_matrices():
+    pairs = {(1, 2): 5.0, (2, 9): 1.5, (9, 1): 0.0}
+    ways = Ways.of(pairs)
+    a, b = np.meshgrid([0, 1, 2, 9, 12], [0, 1, 2, 9, 12], indexing="ij")
+    assert ways.between(a, b).tolist() == [[pairs.get((int(x), int(y)), -1.0) for x, y in zip(r, s, strict=True)] for r, s in zip(a, b, strict=True)]
+    assert Ways.of({}).between(a, b).max() == -1
+
+
+def test_points_of_little_trust_are_left_out(spark):
+    rows = [(1, 0, 0, "SUCCESS", 1, 0.9, True), (1, 1, 0, "SUCCESS", 1, 0.2, True), (1, 1, 0, "SUCCESS", 2, 0.8, False), (1, 2, 1, "PARTIAL", 1, 0.1, True), (1, 3, 2, "FAILED_DISCONNECTED", None, None, False)]
+    df = spark.createDataFrame(rows, "traj_id long, seq long, part int, status string, cand int, trust double, chosen boolean")
+    got = sorted((r.seq, r.status, r.cand) for r in trusted(df, 0.5).collect())
+    assert got == [(0, "SUCCESS", 1), (2, "FAILED_NO_CANDIDATE", None), (3, "FAILED_DISCONNECTED", None)]

@@ -93,6 +93,10 @@ def projected_covariance(lon: Column, lat: Column, central: Column, see: Column,
     )
 
 
+#: Bounds within which the datum shifts (fixed values).
+GCJ_LON, GCJ_LAT = (73.66, 135.05), (3.86, 53.55)
+
+
 def gcj02_to_wgs84(lon: Column, lat: Column) -> Column:
     """(lon, lat); unchanged outside the bounds of the datum."""
     x, y, pi = lon - 105.0, lat - 35.0, math.pi
@@ -106,7 +110,7 @@ def gcj02_to_wgs84(lon: Column, lat: Column) -> Column:
     magic = 1 - GCJ_ECCENTRICITY * F.pow(F.sin(rad), 2)
     dlat = dlat * 180.0 / (GCJ_AXIS * (1 - GCJ_ECCENTRICITY) / (magic * F.sqrt(magic)) * pi)
     dlon = dlon * 180.0 / (GCJ_AXIS / F.sqrt(magic) * F.cos(rad) * pi)
-    inside = lon.between(72.004, 137.8347) & lat.between(0.8293, 55.8271)
+    inside = lon.between(*GCJ_LON) & lat.between(*GCJ_LAT)
     return F.struct(F.when(inside, lon - dlon).otherwise(lon).alias("lon"), F.when(inside, lat - dlat).otherwise(lat).alias("lat"))
 
 

@@ -72,8 +72,9 @@ def bounding_box(line: Column | str) -> Column:
 
 def lengths_to_end(line: Column | str) -> Column:
     """For each point the length of the rest of the line."""
-    lengths = segment_lengths(line)
-    return F.transform(F.sequence(F.lit(1), F.size(_col(line))), lambda i: array_sum(F.slice(lengths, i, F.greatest(F.size(lengths) - i + 1, F.lit(0)))))
+    line = _col(line)
+    rest = _let(measured(line), lambda m: F.transform(m, lambda s: F.element_at(m, -1)["to"] - s["from"]))
+    return F.when(F.size(line) > 1, F.concat(rest, F.array(F.lit(0.0)))).otherwise(F.transform(line, lambda p: F.lit(0.0)))
 
 
 def closest_on_segment(px: Column, py: Column, a: Column, b: Column) -> Column:
@@ -119,30 +120,49 @@ def measured(line: Column | str) -> Column:
     return F.aggregate(segments(line), none, step)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _within(s: Column, at: Column) -> Column:
     share = F.when(s["to"] > s["from"], (at - s["from"]) / (s["to"] - s["from"])).otherwise(F.lit(0.0))
     return point(s["a"]["x"] + share * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + share * (s["b"]["y"] - s["a"]["y"]))
 
 
+def _at(line: Column, parts: Column, offset: Column) -> Column:
+    """The point at an offset along a line whose measured segments are given."""
+    hit = F.element_at(F.filter(parts, lambda s: (s["from"] <= offset) & (offset <= s["to"])), 1)
+    return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= F.element_at(parts, -1)["to"], F.element_at(line, -1)).otherwise(_within(hit, offset))
+
+
 def locate(line: Column | str, offset: Column | str) -> Column:
     """The point at an offset along the line, which is clamped to the line's ends."""
     line, offset = _col(line), _col(offset)
-    hit = F.element_at(F.filter(measured(line), lambda s: (s["from"] <= offset) & (offset <= s["to"])), 1)
-    return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= length(line), F.element_at(line, -1)).otherwise(_within(hit, offset))
+    return F.when(F.size(line) > 1, _let(measured(line), lambda m: _at(line, m, offset))).otherwise(F.element_at(line, 1))
+
+
+def _part(line: Column, parts: Column, start: Column, stop: Column) -> Column:
+    inner = F.transform(F.filter(parts, lambda s: (s["to"] > start) & (s["to"] < stop)), lambda s: s["b"])
+    return F.concat(F.array(_at(line, parts, start)), inner, F.array(_at(line, parts, stop)))
 
 
 def substring(line: Column | str, start: Column | str, stop: Column | str) -> Column:
     """The part of the line between two offsets (start before stop; both are clamped)."""
     line, start, stop = _col(line), _col(start), _col(stop)
-    inner = F.transform(F.filter(measured(line), lambda s: (s["to"] > start) & (s["to"] < stop)), lambda s: s["b"])
-    return F.concat(F.array(locate(line, start)), inner, F.array(locate(line, stop)))
+    return F.when(F.size(line) > 1, _let(measured(line), lambda m: _part(line, m, start, stop))).otherwise(F.concat(line, line))
 
 
 def points_at(line: Column | str, distances: Column | str) -> Column:
     """Points at the given distances: those within the line, then its end if the last distance lies beyond."""
     line, distances = _col(line), _col(distances)
-    inside = F.transform(F.filter(distances, lambda d: d < length(line)), lambda d: locate(line, d))
-    return F.when(F.element_at(distances, -1) >= length(line), F.concat(inside, F.array(F.element_at(line, -1)))).otherwise(inside)
+
+    def found(m: Column) -> Column:
+        whole = F.element_at(m, -1)["to"]
+        inside = F.transform(F.filter(distances, lambda d: d < whole), lambda d: _at(line, m, d))
+        return F.when(F.element_at(distances, -1) >= whole, F.concat(inside, F.array(F.element_at(line, -1)))).otherwise(inside)
+
+    return F.when(F.size(line) > 1, _let(measured(line), found)).otherwise(F.slice(line, 1, 1))
 
 
 def points_every(line: Column | str, step: Column) -> Column:
@@ -153,8 +173,25 @@ def points_every(line: Column | str, step: Column) -> Column:
 
 def split_every(line: Column | str, step: Column) -> Column:
     """Pieces of the given length; the last one is shorter."""
-    pieces = F.greatest(F.ceil(length(line) / step).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: substring(line, i * step, F.least((i + 1) * step, length(line))))
+    line = _col(line)
+
+    def cut(m: Column) -> Column:
+        whole = F.element_at(m, -1)["to"]
+        pieces = F.greatest(F.ceil(whole / step).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: _part(line, m, i * step, F.least((i + 1) * step, whole)))
+
+    return F.when(F.size(line) > 1, _let(measured(line), cut)).otherwise(F.array(F.concat(line, line)))
+
+
+def densified(line: Column | str, step: Column) -> Column:
+    """The line with points added evenly on each segment so that none is longer than step."""
+    line = _col(line)
+
+    def filled(s: Column) -> Column:
+        n = F.greatest(F.ceil(s["length"] / step).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: point(s["a"]["x"] + i / n * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + i / n * (s["b"]["y"] - s["a"]["y"])))
+
+    return F.concat(F.slice(line, 1, 1), F.flatten(F.transform(segments(line), filled)))
 
 
 def without_repeats(line: Column | str, tolerance: float = SAME_POINT) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
-from wayfold.operators.shared import by_trajectory, checkpointed
+from wayfold.operators.shared import by_trajectory, checkpointed, importable
 
 POINT = ("traj_id", "seq")
 
@@ -38,6 +38,7 @@ class CovarianceConfig:
     max_speed: float = 40.0
     bridge_gaps: bool = True
     lag_steps: int = 0
+    cumulative_reverse: float = 0.03
 
 
 def floored(sde: Column, sdn: Column, sdne: Column, least: float) -> Column:
@@ -57,7 +58,8 @@ def variable_radius_edges(points: DataFrame, edges: DataFrame, radius: str, cell
     box = F.col("box")
     index = lambda v: F.floor(v / cell).cast("long")
     boxed = edges.withColumn("box", G.once(G.bounding_box("line")))
-    tiles = boxed.select("edge_id", "source", "target", "line", "length", index(box["min_x"]).alias("ex"), index(box["min_y"]).alias("ey"), index(box["max_x"]).alias("fx"), index(box["max_y"]).alias("fy"))
+    oneway = [c for c in ("oneway",) if c in edges.columns]
+    tiles = boxed.select("edge_id", "source", "target", "line", "length", *oneway, index(box["min_x"]).alias("ex"), index(box["min_y"]).alias("ey"), index(box["max_x"]).alias("fx"), index(box["max_y"]).alias("fy"))
     tiles = tiles.withColumn("cx", F.explode(F.sequence("ex", "fx"))).withColumn("cy", F.explode(F.sequence("ey", "fy")))
     r = F.col(radius)
     at = points.withColumn("px", index(F.col("x") - r)).withColumn("py", index(F.col("y") - r))
@@ -122,7 +124,7 @@ def covariance_candidates(points: DataFrame, edges: DataFrame, config: Covarianc
         )
         pool = F.array(anisotropic(F.col("line"), F.col("x"), F.col("y"), see, snn, sen), end(1, F.lit(0.0)), end(-1, F.col("length")))
         within = F.concat(F.slice(pool, 1, 1), F.filter(F.slice(pool, 2, 2), lambda c: c["dist"] <= F.col("radius")))
-        return near.withColumn("best", G.once(F.array_min(within))).select(*rows.columns, "edge_id", "source", "target", "length", "best.*")
+        return near.withColumn("best", G.once(F.array_min(within))).select(*rows.columns, "edge_id", "source", "target", "length", *(c for c in ("oneway",) if c in edges.columns), "best.*")
 
     once = checkpointed(found(p))
     few = once.groupBy(*POINT).agg(F.count("*").alias("n")).filter(F.col("n") < config.min_candidates).select(*POINT)
@@ -179,21 +181,52 @@ def _bits(p: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
+#: How far a candidate may lie behind the one before on its edge, as a share of the edge (fixed values of the method).
+BACK_SHARE, BACK_SLACK = 0.15, 1e-7
+
+
+class Ways:
+    """Lengths of ways between nodes, looked up for whole matrices of pairs."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray, distance: np.ndarray):
+        self.nodes = np.unique(np.concatenate([source, target]).astype(np.int64))
+        key = self._key(source, target)
+        order = np.argsort(key, kind="stable")
+        self.key, self.distance = key[order], np.asarray(distance, np.float64)[order]
+
+    @staticmethod
+    def of(pairs: dict[tuple[int, int], float]) -> Ways:
+        nodes = np.array(list(pairs), np.int64).reshape(-1, 2)
+        return Ways(nodes[:, 0], nodes[:, 1], np.array(list(pairs.values()), np.float64))
+
+    def _key(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.nodes, source) * (len(self.nodes) + 1) + np.searchsorted(self.nodes, target)
+
+    def between(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Distances of pairs (arrays of one shape); -1 where there is no way."""
+        if not len(self.key):
+            return np.full(np.shape(source), -1.0)
+        known = lambda v: self.nodes[np.minimum(np.searchsorted(self.nodes, v), len(self.nodes) - 1)] == v
+        key = self._key(source, target)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & known(source) & known(target), self.distance[at], -1.0)
+
+
 class Layer:
     """Candidates of one point, and the recursion's values on them."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.seq, self.t = int(rows["seq"].iloc[0]), float(rows["t"].iloc[0])
-        self.x, self.y = float(rows["x"].iloc[0]), float(rows["y"].iloc[0])
-        self.cand = rows["cand"].to_numpy()
-        self.edge = rows["edge_id"].fillna(-1).to_numpy(np.int64)
-        self.source, self.target = rows["source"].fillna(-1).to_numpy(np.int64), rows["target"].fillna(-1).to_numpy(np.int64)
-        self.length, self.offset = rows["length"].fillna(0).to_numpy(), rows["offset"].fillna(0).to_numpy()
-        self.ep = rows["ep"].to_numpy()
+    def __init__(self, seq: int, t: float, x: float, y: float, columns: dict[str, np.ndarray]):
+        self.seq, self.t, self.x, self.y = seq, t, x, y
+        self.cand, self.edge, self.source, self.target = (columns[c] for c in ("cand", "edge_id", "source", "target"))
+        self.length, self.offset, self.ep, self.oneway = (columns[c] for c in ("length", "offset", "ep", "oneway"))
         with np.errstate(divide="ignore"):
             self.log_ep = np.log(self.ep)
+        self.unlinked()
+
+    def unlinked(self) -> None:
         n = len(self.cand)
         self.prev, self.tp, self.sp, self.eu = np.full(n, -1), np.zeros(n), np.zeros(n), 0.0
+        self.reverse = np.zeros(n)
 
     def begin(self) -> None:
         states = max(1, int(np.isfinite(self.log_ep).sum()))
@@ -203,29 +236,29 @@ class Layer:
         self.drop = max(0.0, prior - self.entropy)
         self.tp = np.ones(len(self.cand))
 
-    def ways(self, other: Layer, od: dict[tuple[int, int], float], config: CovarianceConfig) -> np.ndarray:
-        """Lengths of the ways from this layer's candidates (rows) to the other's; -1 where there is none."""
-        out = np.full((len(self.cand), len(other.cand)), -1.0)
-        for i in range(len(self.cand)):
-            for j in range(len(other.cand)):
-                if self.edge[i] < 0 or other.edge[j] < 0:
-                    continue
-                rest = self.length[i] - self.offset[i]
-                if self.edge[i] == other.edge[j]:
-                    back = self.offset[i] - other.offset[j]
-                    if back <= 0:
-                        out[i, j] = -back
-                    elif back <= 0.15 * self.length[i] or back <= self.length[i] * config.reverse_tolerance + 1e-7:
-                        out[i, j] = 0.0
-                    elif (self.target[i], self.source[i]) in od:
-                        out[i, j] = back
-                elif self.target[i] == other.source[j]:
-                    out[i, j] = rest + other.offset[j]
-                elif (self.target[i], other.source[j]) in od:
-                    out[i, j] = od[self.target[i], other.source[j]] + rest + other.offset[j]
+    def ways(self, other: Layer, od: Ways, config: CovarianceConfig) -> np.ndarray:
+        """Lengths of the ways from this layer's candidates (rows) to the other's; -1 where there is none.
+
+        Also keeps in other.reverse_to how far each pair has run back on its edge in all. On a one-way edge a pair
+        that ran back more than cumulative_reverse of it has no way.
+        """
+        rest, reach = (self.length - self.offset)[:, None], other.offset[None, :]
+        source, target = self.source[:, None], self.target[:, None]
+        back = self.offset[:, None] - reach
+        same = self.edge[:, None] == other.edge[None, :]
+        between = od.between(*np.broadcast_arrays(target, other.source[None, :]))
+        around = np.where(od.between(target, source) >= 0, back, -1.0)
+        near = back <= np.maximum(BACK_SHARE * self.length, self.length * config.reverse_tolerance + BACK_SLACK)[:, None]
+        on_edge = np.where(back <= 0, -back, np.where(near, 0.0, around))
+        over_node = np.where(target == other.source[None, :], rest + reach, np.where(between >= 0, between + rest + reach, -1.0))
+        out = np.where(same, on_edge, over_node)
+        out[(self.edge < 0)[:, None] | (other.edge < 0)[None, :]] = -1.0
+        run_back = same & (back > 0) & (out >= 0)
+        other.reverse_to = np.where(run_back, self.reverse[:, None] + back, 0.0)
+        out[run_back & self.oneway[:, None] & (other.reverse_to > config.cumulative_reverse * self.length[:, None])] = -1.0
         return out
 
-    def follow(self, before: Layer, od: dict[tuple[int, int], float], config: CovarianceConfig) -> bool:
+    def follow(self, before: Layer, od: Ways, config: CovarianceConfig) -> bool:
         """The recursion from the layer before; false if no candidate can be reached."""
         self.eu = math.dist((before.x, before.y), (self.x, self.y))
         sp = before.ways(self, od, config)
@@ -237,10 +270,13 @@ class Layer:
         value, into = before.v[:, None] + log_a, before.f[:, None] + log_a
         self.prev = value.argmax(0)
         best = value.max(0)
-        spread = np.array([_lse(into[:, j]) for j in range(len(self.cand))])
+        top = into.max(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = np.where(np.isinf(top), top, top + np.log(np.exp(into - np.where(np.isinf(top), 0.0, top)).sum(0)))
         self.v, self.f = best + self.log_ep, spread + self.log_ep
         at = (self.prev, np.arange(len(self.cand)))
         self.tp, self.sp = np.where(np.isfinite(best), raw[at], 0.0), np.where(np.isfinite(best), sp[at], -1.0)
+        self.reverse = np.where(np.isfinite(best), self.reverse_to[at], 0.0)
         self.trust = _softmax(self.f)
         self.entropy = _bits(self.trust)
         self.drop = max(0.0, _bits(_softmax(spread)) - self.entropy)
@@ -261,15 +297,29 @@ def smoothed(layers: list[Layer], lag: int) -> None:
             layer.drop = max(0.0, math.log2(max(1, int(np.isfinite(score).sum()))) - layer.entropy)
 
 
+def layers_of(rows: pd.DataFrame) -> list[Layer]:
+    """The layers of one trajectory's candidate rows, by seq; its columns are taken apart once."""
+    rows = rows.sort_values(["seq", "cand"], kind="stable")
+    whole = {c: rows[c].fillna(-1).to_numpy(np.int64) for c in ("edge_id", "source", "target")} | {c: rows[c].fillna(0).to_numpy(np.float64) for c in ("length", "offset")}
+    whole |= {"cand": rows["cand"].to_numpy(), "ep": rows["ep"].to_numpy(np.float64)}
+    whole["oneway"] = rows["oneway"].eq(True).to_numpy(bool) if "oneway" in rows else np.zeros(len(rows), bool)
+    seq, t, x, y = (rows[c].to_numpy() for c in ("seq", "t", "x", "y"))
+    starts = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]])) if len(seq) else np.zeros(0, np.int64)
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(seq)], strict=True):
+        out.append(Layer(int(seq[a]), float(t[a]), float(x[a]), float(y[a]), {c: v[a:b] for c, v in whole.items()}))
+    return out
+
+
 def fold(rows: pd.DataFrame, ways: pd.DataFrame, config: CovarianceConfig) -> pd.DataFrame:
     """Matches one trajectory in parts; rows are its candidates, ways the path lengths between their nodes."""
-    out: list[tuple] = []
+    names = [c.split()[0] for c in OUT.split(", ")]
+    blocks: list[dict] = []
     if not len(rows):
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-    rows = rows.sort_values(["seq", "cand"], kind="stable")
-    od = dict(zip(zip(ways["source"], ways["target"], strict=True), ways["distance"], strict=True))
+        return pd.DataFrame([], columns=names)
+    od = Ways(ways["source"].to_numpy(np.int64), ways["target"].to_numpy(np.int64), ways["distance"].to_numpy(np.float64))
     traj = int(rows["traj_id"].iloc[0])
-    layers = [Layer(g) for _, g in rows.groupby("seq", sort=True)]
+    layers = layers_of(rows)
     part = 0
 
     def emit(sub: list[Layer]) -> None:
@@ -283,15 +333,20 @@ def fold(rows: pd.DataFrame, ways: pd.DataFrame, config: CovarianceConfig) -> pd
             on_path.append(at)
             at = int(layer.prev[at])
         for layer, best in zip(sub, reversed(on_path), strict=True):
-            for j in range(len(layer.cand)):
-                edge = int(layer.edge[j]) if layer.edge[j] >= 0 else None
-                out.append((traj, layer.seq, part, status, int(layer.cand[j]), edge, layer.ep[j], layer.tp[j], layer.sp[j], layer.eu, layer.v[j], layer.trust[j], layer.entropy, layer.drop, j == best))
+            n = len(layer.cand)
+            chosen = np.zeros(n, bool)
+            chosen[best] = True
+            blocks.append({
+                "seq": np.full(n, layer.seq), "part": np.full(n, part), "status": [status] * n, "cand": layer.cand, "edge_id": layer.edge, "ep": layer.ep, "tp": layer.tp, "sp": layer.sp,
+                "eu": np.full(n, layer.eu), "cumu": layer.v, "trust": layer.trust, "entropy": np.full(n, layer.entropy), "entropy_drop": np.full(n, layer.drop), "chosen": chosen,
+            })
         part += 1
 
     def fail(skipped: list[Layer], status: str) -> None:
         nonlocal part
         for layer in skipped:
-            out.append((traj, layer.seq, part, status, None, None, *[None] * 8, False))
+            gap = np.full(1, np.nan)
+            blocks.append({"seq": np.full(1, layer.seq), "part": np.full(1, part), "status": [status], "cand": np.full(1, -1), "edge_id": np.full(1, -1), "chosen": np.zeros(1, bool)} | dict.fromkeys(("ep", "tp", "sp", "eu", "cumu", "trust", "entropy", "entropy_drop"), gap))
             part += 1
 
     parts: list[list[Layer]] = []
@@ -325,19 +380,40 @@ def fold(rows: pd.DataFrame, ways: pd.DataFrame, config: CovarianceConfig) -> pd
                 emit(sub)
                 fail(skipped, "FAILED_DISCONNECTED")
                 sub, skipped = [layer], []
-                layer.prev, layer.tp, layer.sp, layer.eu = np.full(len(layer.cand), -1), np.zeros(len(layer.cand)), np.zeros(len(layer.cand)), 0.0
+                layer.unlinked()
                 layer.begin()
             else:
                 skipped.append(layer)
         emit(sub)
         fail(skipped, "FAILED_DISCONNECTED")
-    return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+    if not blocks:
+        return pd.DataFrame([], columns=names)
+    done = pd.DataFrame({c: np.concatenate([b[c] for b in blocks]) for c in names[1:]})
+    done["edge_id"] = done["edge_id"].astype("Int64").mask(done["edge_id"] < 0)
+    done["cand"] = done["cand"].astype("Int64").mask(done["cand"] < 0)
+    for c in ("ep", "tp", "sp", "eu", "cumu", "trust", "entropy", "entropy_drop"):
+        done[c] = done[c].astype("Float64").mask(done["cand"].isna())
+    done.insert(0, "traj_id", traj)
+    return done[names]
+
+
+def trusted(matched: DataFrame, threshold: float) -> DataFrame:
+    """Only the points whose chosen candidate has at least this trust; a part that keeps none becomes failed points."""
+    best = matched.filter("chosen").select("traj_id", "part", "seq", (F.col("trust") >= threshold).alias("__good"))
+    any_good = F.max(F.col("__good")).over(Window.partitionBy("traj_id", "part"))
+    d = matched.join(best.withColumn("__any", any_good), ["traj_id", "part", "seq"], "left")
+    kept = d.filter("__good IS NULL OR __good").drop("__good", "__any").select(matched.columns)
+    lost = d.filter("chosen AND NOT __any")
+    values = {c: F.lit(None).cast(matched.schema[c].dataType) for c in matched.columns if c not in ("traj_id", "part", "seq")}
+    failed = lost.withColumns(values | {"status": F.lit("FAILED_NO_CANDIDATE"), "chosen": F.lit(False)}).select(matched.columns)
+    return kept.unionByName(failed)
 
 
 def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config: CovarianceConfig, cell: float) -> DataFrame:
     """All candidates of all points with filter posteriors (trust), entropies, the part they belong to and its status."""
     cands = checkpointed(with_background(emissions(covariance_candidates(by_trajectory(points), edges, config, cell), config), config))
-    rows = cands.select("traj_id", "seq", "t", "x", "y", "cand", "edge_id", "source", "target", "length", "offset", "ep")
+    oneway = [c for c in ("oneway",) if c in cands.columns]
+    rows = cands.select("traj_id", "seq", "t", "x", "y", "cand", "edge_id", "source", "target", "length", "offset", "ep", *oneway)
     leave = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("target").alias("source")).distinct()
     enter = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("source").alias("target")).distinct()
     needed = leave.join(od.select("source", "target", "distance"), "source").join(enter, ["traj_id", "target"], "left_semi")
@@ -346,4 +422,4 @@ def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config:
         return fold(own, ways, config)
 
     needed = needed.select(F.col("traj_id").alias("of"), "source", "target", "distance")
-    return by_trajectory(rows).groupBy("traj_id").cogroup(by_trajectory(needed, "of").groupBy("of")).applyInPandas(run, OUT)
+    return importable(by_trajectory(rows)).groupBy("traj_id").cogroup(by_trajectory(needed, "of").groupBy("of")).applyInPandas(run, OUT)

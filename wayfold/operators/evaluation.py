@@ -49,12 +49,15 @@ def roc_curve(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """
     y = F.col(positive).cast("long")
     g = rows.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    g = g.withColumn("slot", F.floor(F.col("score") * 256))
+    # 256 slots of about equally many scores, whatever the scores' scale
+    cuts = g.agg(F.percentile_approx("score", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
+    g = g.withColumn("cuts", cuts.scalar()).withColumn("slot", F.size(F.filter("cuts", lambda c: c <= F.col("score")))).drop("cuts")
     own = Window.partitionBy("slot").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = g.groupBy("slot").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     above = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     slots = slots.select("slot", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("sp", "sq")), F.sum("sp").over(every).alias("all_p"), F.sum("sq").over(every).alias("all_q"))
+    # at most 256 rows
     d = g.join(F.broadcast(slots), "slot").withColumn("tp", F.col("sp0") + F.sum("p").over(own)).withColumn("fp", F.col("sq0") + F.sum("q").over(own))
     return d.select("score", "tp", "fp", (F.col("tp") / F.col("all_p")).alias("tpr"), (F.col("fp") / F.col("all_q")).alias("fpr"), "p", "q", "all_p", "all_q")
 
@@ -73,14 +76,15 @@ def accuracy_coverage(rows: DataFrame, score: str, correct: str, thresholds: lis
 
 
 def stanford_metrics(rows: DataFrame, error: str, level: str, alarm: float = 0.95) -> DataFrame:
-    """One row: missed detections (error beyond the level, no alarm) and false alarms, the alarm limit being a percentile of the level."""
-    limit = rows.agg(F.percentile(level, alarm)).first()[0]
-    e, p = F.col(error), F.col(level)
-    return rows.agg(
-        F.lit(limit).cast("double").alias("alarm_limit"),
-        F.avg(((e > p) & (p <= limit)).cast("double")).alias("p_md"),
-        F.avg(((e <= limit) & (p > limit)).cast("double")).alias("p_fa"),
-    )
+    """One row: alarm_limit (that percentile of the errors), p_md (share of errors beyond their level) and p_fa (beyond the limit).
+
+    Rows whose error or level is missing or not finite are left out; without any row all three are 0.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c).cast("double")) != float("inf"))
+    d = rows.filter(finite(error) & finite(level)).select(F.col(error).cast("double").alias("e"), (F.col(error) > F.col(level)).cast("double").alias("beyond"))
+    limit = d.agg(F.percentile("e", alarm).alias("alarm_limit"))
+    out = d.withColumn("alarm_limit", limit.scalar()).agg(F.max("alarm_limit").alias("alarm_limit"), F.avg("beyond").alias("p_md"), F.avg((F.col("e") > F.col("alarm_limit")).cast("double")).alias("p_fa"))
+    return out.na.fill(0.0)
 
 
 def segment_accuracy(rows: DataFrame, correct: str, by: str) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wayfold.operators.shared import importable
+
 #: Normal quantile of the false-alarm rate 1e-5, exclusions tried, satellites that must remain, DOP of a singular geometry.
 Z_FALSE_ALARM, MOST_EXCLUDED, LEAST_LEFT, NO_DOP = 4.264890793922825, 3, 5, 20.0
 
@@ -37,7 +39,7 @@ def dop(sats: DataFrame) -> DataFrame:
         h, p = (NO_DOP, NO_DOP) if q is None else (math.sqrt(q[0, 0] + q[1, 1]), math.sqrt(q[0, 0] + q[1, 1] + q[2, 2]))
         return pd.DataFrame({"epoch": [int(rows["epoch"].iloc[0])], "n": [len(rows)], "hdop": [h], "pdop": [p]})
 
-    return sats.groupBy("epoch").applyInPandas(run, DOP)
+    return importable(sats).groupBy("epoch").applyInPandas(run, DOP)
 
 
 def threshold(degrees: int) -> float:
@@ -87,4 +89,4 @@ def position_fixes(sats: DataFrame) -> DataFrame:
         made = fix_with_exclusion(g, rows["residual"].to_numpy(), rows["sigma"].to_numpy())
         return pd.DataFrame([(int(rows["epoch"].iloc[0]), *made)], columns=[c.split()[0] for c in FIX.split(", ")])
 
-    return sats.groupBy("epoch").applyInPandas(run, FIX)
+    return importable(sats).groupBy("epoch").applyInPandas(run, FIX)

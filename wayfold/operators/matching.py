@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.candidates import complete_trajectories, nearest, spatial_candidates
-from wayfold.operators.shared import by_trajectory, checkpointed
+from wayfold.operators.shared import by_trajectory, checkpointed, importable
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def folded(cands: DataFrame, steps: DataFrame, later_wins: bool = False, stop_wh
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return fold(frame, later_wins, stop_when_cut)
 
-    done = by_trajectory(rows).groupBy("traj_id").applyInPandas(run, FOLD_SCHEMA)
+    done = importable(by_trajectory(rows)).groupBy("traj_id").applyInPandas(run, FOLD_SCHEMA)
     return done.join(cands.drop("ep"), ["traj_id", "seq", "cand"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as G
+from wayfold.operators.routing import routed_pairs
 
 NO_EDGES = "cast(array() as array<bigint>)"
 
@@ -36,20 +37,31 @@ def path_steps(chosen: DataFrame, od: DataFrame, reverse_tolerance: float = 0.0)
     return d.withColumn("step", step).drop("between", "first", *before)
 
 
+def routed_steps(chosen: DataFrame, edges: DataFrame, limit: float, reverse_tolerance: float = 0.0) -> DataFrame:
+    """path_steps with a route of any length between successive points, for matches without a path table.
+
+    limit is where the search starts; it is doubled for the pairs that need more.
+    """
+    w = Window.partitionBy("traj_id").orderBy("seq")
+    pairs = chosen.select(F.lag("target").over(w).alias("source"), F.col("source").alias("target")).filter("source IS NOT NULL")
+    return path_steps(chosen, routed_pairs(edges, pairs, limit), reverse_tolerance)
+
+
 def complete_paths(steps: DataFrame) -> DataFrame:
     """(traj_id, opath, cpath, indices): matched edges, the edges travelled, and each point's place in them (from 0).
 
     A gap empties the whole path.
     """
-    turns = steps.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("edge_id").cast("long").alias("edge_id"), "step"))).alias("ts"))
+    place = F.sum(F.size("step")).over(Window.partitionBy("traj_id").orderBy("seq")).cast("int") - 1
+    turn = F.struct("seq", F.col("edge_id").cast("long").alias("edge_id"), "step", "place")
+    turns = steps.withColumn("place", place).groupBy("traj_id").agg(F.array_sort(F.collect_list(turn)).alias("ts"))
     broken = F.exists("ts", lambda t: t["step"].isNull())
     cpath = F.flatten(F.transform("ts", lambda t: t["step"]))
-    place = lambda i: F.aggregate(F.slice("ts", F.lit(1), i), F.lit(0), lambda n, t: n + F.size(t["step"])) - 1
     return turns.select(
         "traj_id",
         F.transform("ts", lambda t: t["edge_id"]).alias("opath"),
         F.when(broken, F.expr(NO_EDGES)).otherwise(cpath).alias("cpath"),
-        F.when(broken, F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.sequence(F.lit(1), F.size("ts")), place)).alias("indices"),
+        F.when(broken, F.expr("cast(array() as array<int>)")).otherwise(F.transform("ts", lambda t: t["place"])).alias("indices"),
     )
 
 
@@ -68,8 +80,8 @@ def geometry(paths: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     start = lambda p: F.when(p["pos"] == 0, F.col("first_offset")).otherwise(F.lit(0.0))
     stop = lambda p: F.when(p["pos"] == n - 1, F.col("last_offset")).otherwise(p["length"])
     cut = lambda p: F.when((p["pos"] > 0) & (p["pos"] < n - 1), p["line"]).otherwise(G.substring(p["line"], start(p), stop(p)))
-    pieces = F.transform("ls", lambda p: F.struct(p["pos"].alias("pos"), cut(p).alias("line")))
-    whole = F.aggregate(pieces, F.expr("cast(array() as array<struct<x:double,y:double>>)"), lambda done, p: F.concat(done, F.when(F.size(done) == 0, p["line"]).otherwise(F.slice(p["line"], F.lit(2), F.size(p["line"])))))
+    pieces = F.transform("ls", lambda p: F.when(p["pos"] == 0, cut(p)).otherwise(F.slice(cut(p), 2, 1_000_000_000)))
+    whole = F.flatten(pieces)
     return lines.select("traj_id", whole.alias("mgeom"))
 
 

@@ -1,7 +1,7 @@
 """Bounded shortest paths as relational relaxation, and what is built on them.
 
 A state is the best (distance, path) of a source and a node; a round joins the rows that changed last with the
-edges and keeps improvements. Work is partitioned by (source, node), so all sources advance together. Ties are
+edges and appends the improvements, so earlier rows are never written again. Work is partitioned by (source, node), so all sources advance together. Ties are
 broken by the path's edge ids in order, which makes every result deterministic.
 """
 
@@ -22,21 +22,22 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, limit: float, stop_at: D
     """
     steps = edges.select(F.col("edge_id").alias("e"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("length").alias("w"))
     none = F.expr("cast(array() as array<bigint>)")
-    best = sources.select("source").distinct().select("source", F.col("source").alias("target"), F.struct(F.lit(0.0).alias("distance"), none.alias("path")).alias("s"))
-    best = checkpointed(best)
-    front = best
+    start = sources.select("source").distinct().select("source", F.col("source").alias("target"), F.struct(F.lit(0.0).alias("distance"), none.alias("path")).alias("s"))
+    front = checkpointed(start)
+    known = front
     while True:
         moving = front if stop_at is None else front.join(stop_at.select(F.col("node").alias("target")), "target", "left_anti")
         reached = moving.join(steps, moving["target"] == steps["u"]).select(
             "source", F.col("v").alias("target"), F.struct((F.col("s.distance") + F.col("w")).alias("distance"), F.concat("s.path", F.array(F.col("e").cast("long"))).alias("path")).alias("s")
         )
-        offered = reached.filter(F.col("s.distance") <= limit).groupBy("source", "target").agg(F.min("s").alias("n"))
-        joined = offered.join(best, ["source", "target"], "full_outer")
-        better = F.col("n").isNotNull() & (F.col("s").isNull() | (F.col("n") < F.col("s")))
-        state = checkpointed(joined.select("source", "target", F.when(better, F.col("n")).otherwise(F.col("s")).alias("s"), better.alias("new")))
-        best, front = state.drop("new"), state.filter("new").drop("new")
+        offered = reached.filter(F.col("s.distance") <= limit).groupBy("source", "target").agg(F.min("s").alias("s"))
+        # a row that was improved later is still in `known`, so an offer has to beat all rows of its nodes
+        had = known.join(offered.select("source", "target"), ["source", "target"], "left_semi").groupBy("source", "target").agg(F.min("s").alias("had"))
+        better = offered.join(had, ["source", "target"], "left").filter("had IS NULL OR s < had").drop("had")
+        front = checkpointed(better)
         if not front.head(1):
-            return best.select("source", "target", "s.distance", "s.path")
+            return known.groupBy("source", "target").agg(F.min("s").alias("s")).select("source", "target", "s.distance", "s.path")
+        known = known.unionByName(front)
 
 
 def od_table(edges: DataFrame, limit: float, sources: DataFrame | None = None) -> DataFrame:
@@ -56,6 +57,24 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, limit: float) -> DataFra
     return found.select(F.col("target").alias("source"), F.col("source").alias("target"), "distance")
 
 
+def routed_pairs(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """(source, target, distance, path) of given pairs, however long: the limit is doubled for those still open.
+
+    Ends when all pairs have a way or a search no longer reaches new nodes, so pairs without a way are absent.
+    """
+    open_, found, reach = checkpointed(pairs.select("source", "target").filter("source <> target").distinct()), None, -1
+    while open_.head(1):
+        ways = checkpointed(bounded_paths(edges, open_.select("source"), limit))
+        done = ways.join(open_, ["source", "target"], "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_ = checkpointed(open_.join(done, ["source", "target"], "left_anti"))
+        now = ways.join(open_.select("source").distinct(), "source", "left_semi").count()
+        if now == reach:
+            break
+        reach, limit = now, 2 * limit
+    return bounded_paths(edges, pairs.filter("false"), limit) if found is None else found
+
+
 def unrolled(od: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, path): edges of each pair's path by following first hops; null where the table has no way.
 

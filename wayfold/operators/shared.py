@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+#: The folder that holds this package; workers on the same machine import it from there. On a cluster it is shipped with --py-files.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(df: DataFrame) -> DataFrame:
+    """The same table, whose Python workers can import this package."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    return df
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialises in the folder of spark.checkpoint.dir; one of its own is set only where none is named (local tests)."""
+    """Materialises in the folder of spark.checkpoint.dir. A local session without one gets its own; a cluster must name one."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -6,8 +6,6 @@ it, by user and time. The SQL pieces are common table expressions with the same
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ from wayfold.functions import geometry as G
 WIDTH = 10
 #: Directions: edge id = source * 4 + direction; the step in node numbers.
 STEPS = ((0, 1), (1, -1), (2, WIDTH), (3, -WIDTH))
-#: Points of each trajectory in the queries on sequences, and the matching parameters.
-SHORT, RADIUS, K, SIGMA, LIMIT = 12, 0.6, 4, 0.5, 3.0
+#: Matching parameters: search radius, candidates of a point, standard deviation, longest way in the path table.
+RADIUS, K, SIGMA, LIMIT = 0.6, 4, 0.5, 6.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +55,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def short_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).filter(F.col("seq") < SHORT)
-
-
-def lines(spark: SparkSession, sf_dir: str, of: Callable[[SparkSession, str], DataFrame] = short_points) -> DataFrame:
-    """(traj_id, line): the points of each trajectory in order, the first ones unless `of` says otherwise."""
-    p = of(spark, sf_dir).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ps"))
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(traj_id, line): the points of each trajectory in order."""
+    p = points(spark, sf_dir).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ps"))
     return p.select("traj_id", F.transform("ps", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
 
 
@@ -89,11 +83,9 @@ points AS (SELECT user_id AS traj_id, seq, event_id, epoch(ts)::DOUBLE AS t,
   0.05::DOUBLE + (event_id % 7)::DOUBLE / 100::DOUBLE AS sde, 0.05::DOUBLE + (event_id % 5)::DOUBLE / 100::DOUBLE AS sdn,
   0.1::DOUBLE * (0.05::DOUBLE + (event_id % 7)::DOUBLE / 100::DOUBLE) * (0.05::DOUBLE + (event_id % 5)::DOUBLE / 100::DOUBLE) AS sdne, 0.6::DOUBLE + (event_id % 9)::DOUBLE / 20::DOUBLE AS pl FROM numbered)"""
 
-SHORT_POINTS = f"{POINTS}, short AS (SELECT * FROM points WHERE seq < {SHORT})"
-
-#: Segments of the short trajectories with their place along the line.
-SEGMENTS = f"""{SHORT_POINTS},
-seg0 AS (SELECT traj_id, seq - 1 AS no, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2 FROM short WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+#: Segments of the trajectories with their place along the line.
+SEGMENTS = f"""{POINTS},
+seg0 AS (SELECT traj_id, seq - 1 AS no, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2 FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
 seg1 AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM seg0 WHERE no >= 0),
 seg AS (SELECT *, sum(len) OVER (PARTITION BY traj_id ORDER BY no) - len AS pos, sum(len) OVER (PARTITION BY traj_id ORDER BY no) AS upto, sum(len) OVER (PARTITION BY traj_id) AS total FROM seg1)"""
 
@@ -101,15 +93,18 @@ SCORED = """scored AS (SELECT event_id, user_id, value, confidence, CASE WHEN (e
   ((event_id * 271) % 1009)::DOUBLE / 16::DOUBLE AS error, ((event_id * 37) % 503)::DOUBLE / 8::DOUBLE AS level
   FROM (SELECT *, ((event_id * 7919) % 10007)::DOUBLE / 10007::DOUBLE AS confidence FROM events))"""
 
-#: Candidates of the short trajectories, by plain comparison of all points and edges.
-CANDIDATES = f"""{SHORT_POINTS}, {EDGES},
-near AS (SELECT p.*, e.edge_id, e.source, e.target, e.length, greatest(0::DOUBLE, least(1::DOUBLE, (p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1))) AS share, x1, y1, x2, y2 FROM short p, edges e),
+#: Candidates of the trajectories, by plain comparison of all points and edges.
+CANDIDATES = f"""{POINTS}, {EDGES},
+near AS (SELECT p.*, e.edge_id, e.source, e.target, e.length, greatest(0::DOUBLE, least(1::DOUBLE, (p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1))) AS share, x1, y1, x2, y2 FROM points p, edges e),
 close AS (SELECT *, share * length AS "offset", sqrt((x - x1 - share * (x2 - x1)) ** 2 + (y - y1 - share * (y2 - y1)) ** 2) AS dist FROM near),
 cands AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY round(dist, 9), edge_id) AS cand FROM close WHERE dist <= {RADIUS}),
-top AS (SELECT *, exp(-0.5 * (dist / {SIGMA}) ** 2) AS ep FROM cands WHERE cand <= {K})"""
-
-#: All pairs of nodes within LIMIT, by walks of at most three edges.
-OD = f"""walks AS (SELECT source, target, [edge_id] AS path, length AS cost, source AS prev_n FROM edges
-  UNION ALL SELECT a.source, c.target, [a.edge_id, c.edge_id], a.length + c.length, c.source FROM edges a JOIN edges c ON c.source = a.target
-  UNION ALL SELECT a.source, d.target, [a.edge_id, c.edge_id, d.edge_id], a.length + c.length + d.length, d.source FROM edges a JOIN edges c ON c.source = a.target JOIN edges d ON d.source = c.target),
-od AS (SELECT *, path[1] AS next_e FROM walks WHERE source <> target AND cost <= {LIMIT} QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY cost, path) = 1)"""
+top AS MATERIALIZED (SELECT *, exp(-0.5 * (dist / {SIGMA}) ** 2) AS ep FROM cands WHERE cand <= {K})"""
+
+#: All pairs of nodes within LIMIT: the first path by edge ids of each number of edges, which are all of length 1.
+OD = "walk1 AS (SELECT source, target, [edge_id] AS path, source AS prev_n FROM edges QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY edge_id) = 1),\n"
+OD += "".join(
+    f"walk{n} AS (SELECT a.source, e.target, list_append(a.path, e.edge_id) AS path, e.source AS prev_n FROM walk{n - 1} a JOIN edges e ON e.source = a.target QUALIFY row_number() OVER (PARTITION BY a.source, e.target ORDER BY list_append(a.path, e.edge_id)) = 1),\n"
+    for n in range(2, int(LIMIT) + 1)
+)
+OD += "walks AS (" + " UNION ALL ".join(f"SELECT * FROM walk{n}" for n in range(1, int(LIMIT) + 1)) + "),\n"
+OD += "od AS MATERIALIZED (SELECT *, len(path)::DOUBLE AS cost, path[1] AS next_e FROM walks WHERE source <> target QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) = 1)"

@@ -91,8 +91,7 @@ def dedup_consecutive(spark: Spark, sf: str) -> Frame:
 
 def densify(spark: Spark, sf: str) -> Frame:
     """Points added on each segment so that none is longer than the bound."""
-    n = F.transform(G.segment_lengths("line"), lambda v: F.greatest(F.ceil(v / 0.25), F.lit(1)))
-    return demo.lines(spark, sf).select("traj_id", F.aggregate(n, F.lit(1).cast("long"), lambda s, v: s + v).alias("n"))
+    return demo.lines(spark, sf).select("traj_id", F.size(G.densified("line", F.lit(0.25))).cast("long").alias("n"))
 
 
 def wkt_roundtrip(spark: Spark, sf: str) -> Frame:
@@ -108,7 +107,7 @@ def geojson_export(spark: Spark, sf: str) -> Frame:
 
 def wkt_trajectory_scan(spark: Spark, sf: str) -> Frame:
     """Lines as text with times, read back through the parser of the trajectory reader."""
-    p = demo.short_points(spark, sf).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "t"))).alias("ps"))
+    p = demo.points(spark, sf).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "t"))).alias("ps"))
     geom = G.to_wkt(F.transform("ps", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))))
     raw = p.select(F.col("traj_id").cast("string").alias("id"), geom.alias("geom"), F.array_join(F.transform("ps", lambda q: q["t"].cast("string")), ",").alias("timestamp"))
     d = text_tables.parsed_trajectories(raw)
@@ -181,8 +180,10 @@ def lla_to_ecef(spark: Spark, sf: str) -> Frame:
 
 
 def gcj02_to_wgs84(spark: Spark, sf: str) -> Frame:
-    v = D.gcj02_to_wgs84(F.col("lon"), F.col("lat"))
-    return _around(spark, sf).select("event_id", r(v["lon"]).alias("lon"), r(v["lat"]).alias("lat"))
+    """Places inside and outside the datum's bounds."""
+    e, v = F.col("event_id"), D.gcj02_to_wgs84(F.col("lon"), F.col("lat"))
+    wide = demo.table(spark, sf, "events").select("event_id", (60 + (e * 17 % 1000) / 10.0).alias("lon"), ((e * 29 % 1500) / 25.0).alias("lat"))
+    return wide.select("event_id", r(v["lon"]).alias("lon"), r(v["lat"]).alias("lat"))
 
 
 def sigma_m_to_deg(spark: Spark, sf: str) -> Frame:
@@ -294,25 +295,43 @@ A = f"WITH {AROUND}"
 E2 = D.ECCENTRICITY
 VARS = "sde * sde AS a, sdn * sdn AS b, sdne AS c"
 
+def _waves(v: str, parts: tuple) -> str:
+    return "(" + " + ".join(f"{w}::DOUBLE * sin({v} * {k} * pi())" for w, k in parts) + ") * 2 / 3"
+
+
+def _gcj_sql() -> str:
+    """The shift written out from the datum's definition (fixed values)."""
+    both = _waves("x", ((20, 6), (20, 2)))
+    lat = f"-100 + 2 * x + 3 * y + 0.2::DOUBLE * y * y + 0.1::DOUBLE * x * y + 0.2::DOUBLE * sqrt(abs(x)) + {both} + {_waves('y', ((20, 1), (40, '(1 / 3::DOUBLE)')))} + {_waves('y', ((160, '(1 / 12::DOUBLE)'), (320, '(1 / 30::DOUBLE)')))}"
+    lon = f"300 + x + 2 * y + 0.1::DOUBLE * x * x + 0.1::DOUBLE * x * y + 0.1::DOUBLE * sqrt(abs(x)) + {both} + {_waves('x', ((20, 1), (40, '(1 / 3::DOUBLE)')))} + {_waves('x', ((150, '(1 / 12::DOUBLE)'), (300, '(1 / 30::DOUBLE)')))}"
+    wide = "wide AS (SELECT event_id, 60 + ((event_id * 17) % 1000)::DOUBLE / 10::DOUBLE AS lon, ((event_id * 29) % 1500)::DOUBLE / 25::DOUBLE AS lat FROM events)"
+    moved = f"moved AS (SELECT *, {lat} AS dy, {lon} AS dx, 1 - 0.00669342162296594323::DOUBLE * sin(radians(lat)) ** 2 AS m FROM (SELECT *, lon - 105 AS x, lat - 35 AS y FROM wide))"
+    inside = "lon BETWEEN 73.66 AND 135.05 AND lat BETWEEN 3.86 AND 53.55"
+    new_lon = "lon - dx * 180 / (6378245::DOUBLE / sqrt(m) * cos(radians(lat)) * pi())"
+    new_lat = "lat - dy * 180 / (6378245::DOUBLE * (1 - 0.00669342162296594323::DOUBLE) / (m * sqrt(m)) * pi())"
+    return f"WITH {wide}, {moved} SELECT event_id, {sql(f'CASE WHEN {inside} THEN {new_lon} ELSE lon END')} AS lon, {sql(f'CASE WHEN {inside} THEN {new_lat} ELSE lat END')} AS lat FROM moved"
+
+
 ORACLE_SQL = {
+    "gcj02_to_wgs84": _gcj_sql(),
     "consecutive_distance": f"WITH {S} SELECT traj_id, no, {sql('len')} AS len FROM seg",
-    "trajectory_length": f"WITH {S} SELECT s.traj_id, {sql('coalesce(sum(len), 0)')} AS len FROM (SELECT DISTINCT traj_id FROM short) s LEFT JOIN seg USING (traj_id) GROUP BY 1",
-    "reverse_geometry": f"WITH {demo.SHORT_POINTS} SELECT traj_id, max(seq) OVER (PARTITION BY traj_id) - seq AS no, {sql('x')} AS x, {sql('y')} AS y FROM short",
-    "split_line": f"WITH {S}, t AS (SELECT s.traj_id, coalesce(max(total), 0) AS total FROM (SELECT DISTINCT traj_id FROM short) s LEFT JOIN seg USING (traj_id) GROUP BY 1), n AS (SELECT *, unnest(range(greatest(ceil(total / {STEP}::DOUBLE)::BIGINT, 1))) AS no FROM t) SELECT n.traj_id, n.no, {sql('coalesce(sum(greatest(0, least(seg.upto, least((n.no + 1) * 0.8::DOUBLE, n.total)) - greatest(seg.pos, n.no * 0.8::DOUBLE))), 0)')} AS len FROM n LEFT JOIN seg ON seg.traj_id = n.traj_id GROUP BY ALL",
+    "trajectory_length": f"WITH {S} SELECT s.traj_id, {sql('coalesce(sum(len), 0)')} AS len FROM (SELECT DISTINCT traj_id FROM points) s LEFT JOIN seg USING (traj_id) GROUP BY 1",
+    "reverse_geometry": f"WITH {demo.POINTS} SELECT traj_id, max(seq) OVER (PARTITION BY traj_id) - seq AS no, {sql('x')} AS x, {sql('y')} AS y FROM points",
+    "split_line": f"WITH {S}, t AS (SELECT s.traj_id, coalesce(max(total), 0) AS total FROM (SELECT DISTINCT traj_id FROM points) s LEFT JOIN seg USING (traj_id) GROUP BY 1), n AS (SELECT *, unnest(range(greatest(ceil(total / {STEP}::DOUBLE)::BIGINT, 1))) AS no FROM t) SELECT n.traj_id, n.no, {sql('coalesce(sum(greatest(0, least(seg.upto, least((n.no + 1) * 0.8::DOUBLE, n.total)) - greatest(seg.pos, n.no * 0.8::DOUBLE))), 0)')} AS len FROM n LEFT JOIN seg ON seg.traj_id = n.traj_id GROUP BY ALL",
     "interpolate_distances": f"WITH {S}, d AS (SELECT s.traj_id, t.no, t.d FROM (SELECT DISTINCT traj_id FROM seg) s, (SELECT unnest([0, 1, 2])::BIGINT AS no, unnest([0.25, 1, 2.6])::DOUBLE AS d) t), m AS (SELECT d.*, seg.*, row_number() OVER (PARTITION BY d.traj_id, d.no ORDER BY seg.no DESC) AS k FROM d JOIN seg ON seg.traj_id = d.traj_id AND (d.d < total AND pos <= d.d OR d.d >= total AND upto >= total)) SELECT traj_id, no, {sql('x1 + CASE WHEN len > 0 THEN (least(d, total) - pos) / len ELSE 0 END * (x2 - x1)')} AS x, {sql('y1 + CASE WHEN len > 0 THEN (least(d, total) - pos) / len ELSE 0 END * (y2 - y1)')} AS y FROM m WHERE k = 1 AND (d < total OR no = 2)",
-    "interpolate_every": f"WITH {S} SELECT s.traj_id, (CASE WHEN coalesce(max(total), 0) = 0 THEN 1 ELSE ceil(max(total) / {STEP}::DOUBLE) + 1 END)::BIGINT AS n FROM (SELECT DISTINCT traj_id FROM short) s LEFT JOIN seg USING (traj_id) GROUP BY 1",
-    "bounding_box": f"WITH {demo.SHORT_POINTS} SELECT traj_id, {sql('min(x)')} AS min_x, {sql('min(y)')} AS min_y, {sql('max(x)')} AS max_x, {sql('max(y)')} AS max_y FROM short GROUP BY 1",
-    "length_to_end": f"WITH {S} SELECT p.traj_id, p.seq, {sql('coalesce(sum(seg.len), 0)')} AS rest FROM short p LEFT JOIN seg ON seg.traj_id = p.traj_id AND seg.no >= p.seq GROUP BY 1, 2",
+    "interpolate_every": f"WITH {S} SELECT s.traj_id, (CASE WHEN coalesce(max(total), 0) = 0 THEN 1 ELSE ceil(max(total) / {STEP}::DOUBLE) + 1 END)::BIGINT AS n FROM (SELECT DISTINCT traj_id FROM points) s LEFT JOIN seg USING (traj_id) GROUP BY 1",
+    "bounding_box": f"WITH {demo.POINTS} SELECT traj_id, {sql('min(x)')} AS min_x, {sql('min(y)')} AS min_y, {sql('max(x)')} AS max_x, {sql('max(y)')} AS max_y FROM points GROUP BY 1",
+    "length_to_end": f"WITH {S} SELECT p.traj_id, p.seq, {sql('coalesce(sum(seg.len), 0)')} AS rest FROM points p LEFT JOIN seg ON seg.traj_id = p.traj_id AND seg.no >= p.seq GROUP BY 1, 2",
     "closest_point_on_segment": f"{P}, s AS (SELECT event_id, x, y, greatest(0::DOUBLE, least(1::DOUBLE, ((x - 1) * 3 + y * 2) / 13::DOUBLE)) AS u FROM points) SELECT event_id, {sql('sqrt((x - 1 - 3 * u) ** 2 + (y - 2 * u) ** 2)')} AS dist, {sql('u * sqrt(13::DOUBLE)')} AS \"offset\" FROM s",
     "point_on_polyline": f"WITH {S}, u AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE greatest(0, least(1, ((2.2::DOUBLE - x1) * (x2 - x1) + (1.1::DOUBLE - y1) * (y2 - y1)) / (len * len))) END AS u FROM seg) SELECT traj_id, min(sqrt((2.2::DOUBLE - x1 - u * (x2 - x1)) ** 2 + (1.1::DOUBLE - y1 - u * (y2 - y1)) ** 2)) <= 0.9 AS near FROM u GROUP BY 1",
     "linear_referencing": f"WITH {S}, u AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE greatest(0, least(1, ((2.2::DOUBLE - x1) * (x2 - x1) + (1.1::DOUBLE - y1) * (y2 - y1)) / (len * len))) END AS u FROM seg), d AS (SELECT *, sqrt((2.2::DOUBLE - x1 - u * (x2 - x1)) ** 2 + (1.1::DOUBLE - y1 - u * (y2 - y1)) ** 2) AS d FROM u) SELECT traj_id, {sql('d')} AS dist, {sql('pos + u * len')} AS \"offset\" FROM d QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY d, no) = 1",
     "locate_point_by_offset": f"WITH {S}, l AS (SELECT *, least(1.3::DOUBLE, total) AS o FROM seg) SELECT traj_id, {sql('x1 + CASE WHEN len > 0 THEN (o - pos) / len ELSE 0 END * (x2 - x1)')} AS x, {sql('y1 + CASE WHEN len > 0 THEN (o - pos) / len ELSE 0 END * (y2 - y1)')} AS y FROM l WHERE upto >= o OR no = (SELECT max(no) FROM seg s WHERE s.traj_id = l.traj_id) QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY no) = 1",
     "line_substring": f"WITH {S} SELECT traj_id, {sql('greatest(0, least(2, max(total)) - 0.5)')} AS len, 2 + count(*) FILTER (upto > 0.5 AND upto < 2) AS n FROM seg GROUP BY 1",
-    "densify": f"WITH {S} SELECT s.traj_id, (1 + coalesce(sum(greatest(ceil(len / 0.25), 1)), 0))::BIGINT AS n FROM (SELECT DISTINCT traj_id FROM short) s LEFT JOIN seg USING (traj_id) GROUP BY 1",
-    "dedup_consecutive": f"WITH RECURSIVE {demo.SHORT_POINTS}, k AS (SELECT traj_id, seq, x, y, 1 AS n FROM short WHERE seq = 0 UNION ALL SELECT k.traj_id, s.seq, CASE WHEN (s.x - k.x) ** 2 + (s.y - k.y) ** 2 > 0.09::DOUBLE THEN s.x ELSE k.x END, CASE WHEN (s.x - k.x) ** 2 + (s.y - k.y) ** 2 > 0.09::DOUBLE THEN s.y ELSE k.y END, k.n + CASE WHEN (s.x - k.x) ** 2 + (s.y - k.y) ** 2 > 0.09::DOUBLE THEN 1 ELSE 0 END FROM k JOIN short s ON s.traj_id = k.traj_id AND s.seq = k.seq + 1) SELECT traj_id, max(n)::BIGINT AS n FROM k GROUP BY 1",
-    "wkt_roundtrip": f"WITH {S} SELECT s.traj_id, true AS same, s.n, {sql('coalesce(sum(len), 0)')} AS len FROM (SELECT traj_id, count(*)::BIGINT AS n FROM short GROUP BY 1) s LEFT JOIN seg USING (traj_id) GROUP BY 1, 2, 3",
-    "geojson_export": f"WITH {demo.SHORT_POINTS} SELECT traj_id, 'LineString' AS kind, count(*)::BIGINT AS n, {sql('sum(x)')} AS sum_x FROM short GROUP BY 1",
-    "wkt_trajectory_scan": f"WITH {S} SELECT s.traj_id, s.n, {sql('coalesce(sum(len), 0)')} AS len, {sql('s.t')} AS first_t FROM (SELECT traj_id, count(*)::BIGINT AS n, arg_min(t, seq) AS t FROM short GROUP BY 1) s LEFT JOIN seg USING (traj_id) GROUP BY s.traj_id, s.n, s.t",
+    "densify": f"WITH {S} SELECT s.traj_id, (1 + coalesce(sum(greatest(ceil(len / 0.25), 1)), 0))::BIGINT AS n FROM (SELECT DISTINCT traj_id FROM points) s LEFT JOIN seg USING (traj_id) GROUP BY 1",
+    "dedup_consecutive": f"WITH RECURSIVE {demo.POINTS}, k AS (SELECT traj_id, seq, x, y, 1 AS n FROM points WHERE seq = 0 UNION ALL SELECT k.traj_id, s.seq, CASE WHEN (s.x - k.x) ** 2 + (s.y - k.y) ** 2 > 0.09::DOUBLE THEN s.x ELSE k.x END, CASE WHEN (s.x - k.x) ** 2 + (s.y - k.y) ** 2 > 0.09::DOUBLE THEN s.y ELSE k.y END, k.n + CASE WHEN (s.x - k.x) ** 2 + (s.y - k.y) ** 2 > 0.09::DOUBLE THEN 1 ELSE 0 END FROM k JOIN points s ON s.traj_id = k.traj_id AND s.seq = k.seq + 1) SELECT traj_id, max(n)::BIGINT AS n FROM k GROUP BY 1",
+    "wkt_roundtrip": f"WITH {S} SELECT s.traj_id, true AS same, s.n, {sql('coalesce(sum(len), 0)')} AS len FROM (SELECT traj_id, count(*)::BIGINT AS n FROM points GROUP BY 1) s LEFT JOIN seg USING (traj_id) GROUP BY 1, 2, 3",
+    "geojson_export": f"WITH {demo.POINTS} SELECT traj_id, 'LineString' AS kind, count(*)::BIGINT AS n, {sql('sum(x)')} AS sum_x FROM points GROUP BY 1",
+    "wkt_trajectory_scan": f"WITH {S} SELECT s.traj_id, s.n, {sql('coalesce(sum(len), 0)')} AS len, {sql('s.t')} AS first_t FROM (SELECT traj_id, count(*)::BIGINT AS n, arg_min(t, seq) AS t FROM points GROUP BY 1) s LEFT JOIN seg USING (traj_id) GROUP BY s.traj_id, s.n, s.t",
     "point_run_sessionize": "WITH l AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM l) SELECT user_id, run, count(*)::BIGINT AS n, min(event_id) AS first_id FROM n GROUP BY 1, 2",
     "json_covariance_parse": f"{P} SELECT event_id, event_id % 11 <> 0 AND event_id % 13 <> 0 AS valid, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN {sql('sde')} END AS sde, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN {sql('sdne')} END AS sdne FROM points",
     "strict_numeric_parse": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN event_id::DOUBLE END AS number FROM events",
@@ -338,7 +357,7 @@ ORACLE_SQL = {
     "gps_bounds": f"{P} SELECT {sql('min(x) - 0.25')} AS min_x, {sql('min(y) - 0.25')} AS min_y, {sql('max(x) + 0.25')} AS max_x, {sql('max(y) + 0.25')} AS max_y FROM points",
     "clean_bounds_filter": f"SELECT event_id, user_id::VARCHAR AS vehicle, {sql('110 + (event_id % 100) / 10::DOUBLE')} AS lon, {sql('20 + (event_id % 50) / 10::DOUBLE')} AS lat FROM events WHERE event_id % 7 <> 0 AND 110 + (event_id % 100) / 10::DOUBLE BETWEEN 112 AND 118 AND 20 + (event_id % 50) / 10::DOUBLE BETWEEN 21 AND 23",
     "bin_by_trace": f"{P} SELECT CASE WHEN sde * sde + sdn * sdn <= 0.0075::DOUBLE THEN '0.0075' WHEN sde * sde + sdn * sdn <= 0.01::DOUBLE THEN '0.01' WHEN sde * sde + sdn * sdn <= 0.015::DOUBLE THEN '0.015' ELSE 'over' END AS bin, count(*)::BIGINT AS n FROM points GROUP BY 1",
-    "points_to_linestring": f"WITH {demo.SHORT_POINTS} SELECT traj_id, count(*)::BIGINT AS n, {sql('arg_min(x, seq)')} AS x0, {sql('arg_max(y, seq)')} AS y1 FROM short GROUP BY 1",
+    "points_to_linestring": f"WITH {demo.POINTS} SELECT traj_id, count(*)::BIGINT AS n, {sql('arg_min(x, seq)')} AS x0, {sql('arg_max(y, seq)')} AS y1 FROM points GROUP BY 1",
 }
 
 QUERIES = {f.__name__: f for f in (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,39 +13,43 @@ from wayfold.plans import demo
 from wayfold.plans.checks import r, sql
 
 Spark, Frame = SparkSession, DataFrame
-#: Where a query's points come from: whole trajectories, or their first points where the registered SQL has no more.
-Points = Callable[[Spark, str], Frame]
 CONFIG = matching.MatchConfig(demo.K, demo.RADIUS, demo.SIGMA)
 COVARIANCE = covariance.CovarianceConfig(k=4, min_candidates=3, min_sigma=0.01, map_sigma=0.02, phmi=1e-3, max_interval=1e9, max_speed=1e9)
 ID = ("traj_id", "seq")
 
 
-def _near(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
+def _near(spark: Spark, sf: str) -> Frame:
     """All candidates of the trajectories; distances are rounded for the order of equal ones."""
-    p = by_trajectory(of(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"))
+    p = by_trajectory(demo.points(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"))
     d = candidates.spatial_candidates(p, demo.edges(spark, sf), demo.RADIUS)
     return d.withColumn("dist", F.round("dist", 9))
 
 
-def _top(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
-    return candidates.nearest(_near(spark, sf, of), demo.K).withColumn("ep", matching.emission(F.col("dist"), demo.SIGMA))
+def _top(spark: Spark, sf: str) -> Frame:
+    return candidates.nearest(_near(spark, sf), demo.K).withColumn("ep", matching.emission(F.col("dist"), demo.SIGMA))
 
 
-def _whole(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
-    return checkpointed(candidates.complete_trajectories(checkpointed(_top(spark, sf, of)), of(spark, sf)))
+def _whole(spark: Spark, sf: str) -> Frame:
+    return checkpointed(candidates.complete_trajectories(checkpointed(_top(spark, sf)), demo.points(spark, sf)))
 
 
 def _od(spark: Spark, sf: str) -> Frame:
-    return routing.od_table(demo.edges(spark, sf), demo.LIMIT)
+    """The path table, materialised: matching and path assembly read the same one."""
+    return checkpointed(routing.od_table(demo.edges(spark, sf), demo.LIMIT))
 
 
 def _steps(spark: Spark, sf: str) -> Frame:
     return matching.transitions(_whole(spark, sf), _od(spark, sf), CONFIG)
 
 
-def _matched(spark: Spark, sf: str, of: Points = demo.short_points) -> Frame:
-    cands = _whole(spark, sf, of)
-    return checkpointed(matching.folded(cands, matching.transitions(cands, _od(spark, sf), CONFIG)))
+def _matched(spark: Spark, sf: str) -> tuple[Frame, Frame]:
+    """All candidates with the fold's values, and the path table."""
+    cands, od = _whole(spark, sf), _od(spark, sf)
+    return checkpointed(matching.folded(cands, matching.transitions(cands, od, CONFIG))), od
+
+
+def _paths(matched: Frame, od: Frame) -> Frame:
+    return paths.complete_paths(paths.path_steps(matched.filter("chosen"), od))
 
 
 def spatial_candidate_join(spark: Spark, sf: str) -> Frame:
@@ -59,8 +61,8 @@ def knn_candidates(spark: Spark, sf: str) -> Frame:
 
 
 def candidate_complete_trajectories(spark: Spark, sf: str) -> Frame:
-    near = candidates.nearest(candidates.spatial_candidates(demo.short_points(spark, sf).select("traj_id", "seq", "x", "y"), demo.edges(spark, sf), 0.09), demo.K)
-    return candidates.complete_trajectories(near, demo.short_points(spark, sf)).select("traj_id").distinct()
+    near = candidates.nearest(candidates.spatial_candidates(demo.points(spark, sf).select("traj_id", "seq", "x", "y"), demo.edges(spark, sf), 0.09), demo.K)
+    return candidates.complete_trajectories(near, demo.points(spark, sf)).select("traj_id").distinct()
 
 
 def emission_prob(spark: Spark, sf: str) -> Frame:
@@ -135,66 +137,61 @@ def transition_row_norm(spark: Spark, sf: str) -> Frame:
 
 
 def fmm_viterbi(spark: Spark, sf: str) -> Frame:
-    d = _matched(spark, sf).filter("cumu > -1e300")
+    d = _matched(spark, sf)[0].filter("cumu > -1e300")
     return d.select(*ID, "edge_id", r("cumu").alias("cumu"))
 
 
 def fmm_trust(spark: Spark, sf: str) -> Frame:
-    return _matched(spark, sf).filter("cumu > -1e300").select(*ID, "edge_id", r("trust").alias("trust"))
+    return _matched(spark, sf)[0].filter("cumu > -1e300").select(*ID, "edge_id", r("trust").alias("trust"))
 
 
 def viterbi_opath(spark: Spark, sf: str) -> Frame:
     """The likelihood of the path that was chosen, summed from its own emissions and transitions."""
-    d = _matched(spark, sf).filter("chosen")
+    d = _matched(spark, sf)[0].filter("chosen")
     value = F.log("ep") + F.when(F.col("tp") > 0, F.log("tp")).otherwise(F.lit(0.0))
     return d.groupBy("traj_id").agg(F.count("*").alias("n"), r(F.sum(value)).alias("log_p"))
 
 
 def complete_path(spark: Spark, sf: str) -> Frame:
-    od = _od(spark, sf)
-    d = paths.complete_paths(paths.path_steps(_matched(spark, sf, demo.points).filter("chosen"), od))
+    d = _paths(*_matched(spark, sf))
     return d.select("traj_id", F.size("opath").cast("long").alias("points"), F.size("cpath").cast("long").alias("edges"))
 
 
 def tpath(spark: Spark, sf: str) -> Frame:
-    d = paths.traversed(paths.complete_paths(paths.path_steps(_matched(spark, sf, demo.points).filter("chosen"), _od(spark, sf))))
-    return d.select("traj_id", "tpath")
+    return paths.traversed(_paths(*_matched(spark, sf))).select("traj_id", "tpath")
 
 
 def matched_geometry(spark: Spark, sf: str) -> Frame:
-    m = _matched(spark, sf, demo.points).filter("chosen")
-    done = paths.complete_paths(paths.path_steps(m, _od(spark, sf)))
-    ends = m.groupBy("traj_id").agg(F.min_by("offset", "seq").alias("first_offset"), F.max_by("offset", "seq").alias("last_offset"))
-    return paths.geometry(done, demo.edges(spark, sf), ends).select("traj_id", G.to_wkt("mgeom").alias("mgeom"))
+    m, od = _matched(spark, sf)
+    ends = m.filter("chosen").groupBy("traj_id").agg(F.min_by("offset", "seq").alias("first_offset"), F.max_by("offset", "seq").alias("last_offset"))
+    return paths.geometry(_paths(m, od), demo.edges(spark, sf), ends).select("traj_id", G.to_wkt("mgeom").alias("mgeom"))
 
 
 def match_rows_point_mode(spark: Spark, sf: str) -> Frame:
-    m = _matched(spark, sf, demo.points)
-    done = paths.complete_paths(paths.path_steps(m.filter("chosen"), _od(spark, sf)))
-    return paths.point_rows(m, done, demo.points(spark, sf))
+    m, od = _matched(spark, sf)
+    return paths.point_rows(m, _paths(m, od), demo.points(spark, sf))
 
 
 def match_rows_trajectory_mode(spark: Spark, sf: str) -> Frame:
-    m = _matched(spark, sf, demo.points).filter("chosen")
-    done = paths.complete_paths(paths.path_steps(m, _od(spark, sf)))
-    scores = m.groupBy("traj_id").agg(F.max_by("cumu", "seq").alias("cumu"), F.avg("trust").alias("trust"))
+    m, od = _matched(spark, sf)
+    scores = m.filter("chosen").groupBy("traj_id").agg(F.max_by("cumu", "seq").alias("cumu"), F.avg("trust").alias("trust"))
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
-    return done.join(scores, "traj_id").select("traj_id", text("opath"), text("cpath"), text("indices"), "cumu", "trust")
+    return _paths(m, od).join(scores, "traj_id").select("traj_id", text("opath"), text("cpath"), text("indices"), "cumu", "trust")
 
 
 def match_summary(spark: Spark, sf: str) -> Frame:
     have = _whole(spark, sf).select(*ID).distinct().withColumn("hit", F.lit(1))
-    d = demo.short_points(spark, sf).join(have, list(ID), "left")
+    d = demo.points(spark, sf).join(have, list(ID), "left")
     return d.agg(F.count("*").alias("points"), F.count("hit").alias("matched"), F.countDistinct("traj_id").alias("trajectories"), r(100.0 * F.count("hit") / F.count("*")).alias("percent"))
 
 
 def realign_original_indices(spark: Spark, sf: str) -> Frame:
-    d = demo.short_points(spark, sf).filter((F.col("event_id") % 3) != 0).select(*ID, F.col("x").alias("v"))
+    d = demo.points(spark, sf).filter((F.col("event_id") % 3) != 0).select(*ID, F.col("x").alias("v"))
     return paths.realigned(d, "v").select(*ID, r("v").alias("v"))
 
 
 def duration_speed(spark: Spark, sf: str) -> Frame:
-    p = demo.short_points(spark, sf).withColumn("sp", F.lit(1.5))
+    p = demo.points(spark, sf).withColumn("sp", F.lit(1.5))
     d = paths.durations(p)
     return d.select(*ID, r("duration").alias("duration"), r(F.col("speed") * 1000).alias("speed"))
 
@@ -216,7 +213,7 @@ def edge_match_with_reverse(spark: Spark, sf: str) -> Frame:
 
 def stmatch_delta(spark: Spark, sf: str) -> Frame:
     w = Window.partitionBy("traj_id").orderBy("seq")
-    d = demo.short_points(spark, sf).withColumn("eu", G.distance(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y"))).withColumn("dt", F.when(F.col("event_id") % 3 != 0, F.col("t") - F.lag("t").over(w)))
+    d = demo.points(spark, sf).withColumn("eu", G.distance(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y"))).withColumn("dt", F.when(F.col("event_id") % 3 != 0, F.col("t") - F.lag("t").over(w)))
     return d.filter("seq > 0").select(*ID, F.round(matching.search_limit(F.col("eu"), F.col("dt"), CONFIG), 4).alias("delta"))
 
 
@@ -254,7 +251,7 @@ def composite_graph_edges(spark: Spark, sf: str) -> Frame:
 
 def grid_cell_match(spark: Spark, sf: str) -> Frame:
     """Grid cells that a trajectory enters, successive repeats dropped."""
-    p = demo.short_points(spark, sf).withColumn("cx", F.floor("x").cast("long")).withColumn("cy", F.floor("y").cast("long"))
+    p = demo.points(spark, sf).withColumn("cx", F.floor("x").cast("long")).withColumn("cy", F.floor("y").cast("long"))
     w = Window.partitionBy("traj_id").orderBy("seq")
     moved = F.coalesce((F.col("cx") != F.lag("cx").over(w)) | (F.col("cy") != F.lag("cy").over(w)), F.lit(True))
     return p.withColumn("moved", moved).filter("moved").select(*ID, "cx", "cy")
@@ -318,7 +315,7 @@ def background_state(spark: Spark, sf: str) -> Frame:
     from dataclasses import replace
 
     config = replace(COVARIANCE, background=0.05)
-    p = demo.short_points(spark, sf).drop("event_id")
+    p = demo.points(spark, sf).drop("event_id")
     d = covariance.with_background(covariance.emissions(covariance.covariance_candidates(p, demo.edges(spark, sf), config, 1.0), config), config)
     return d.groupBy(*ID).agg(r(F.sum(F.when(F.col("edge_id").isNull(), F.col("ep")))).alias("off_road"))
 
@@ -354,16 +351,16 @@ def top3_scores(spark: Spark, sf: str) -> Frame:
     return d.select(*ID, F.posexplode("best").alias("place", "score")).select(*ID, F.col("place").cast("long").alias("place"), "score")
 
 
-WHOLE = f"{demo.CANDIDATES}, {demo.OD}, whole AS (SELECT * FROM top WHERE traj_id IN (SELECT s.traj_id FROM short s LEFT JOIN (SELECT DISTINCT traj_id, seq FROM top) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2))"
+WHOLE = f"{demo.CANDIDATES}, {demo.OD}, whole AS MATERIALIZED (SELECT * FROM top WHERE traj_id IN (SELECT s.traj_id FROM points s LEFT JOIN (SELECT DISTINCT traj_id, seq FROM top) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2))"
 STEPS = f"""{WHOLE}, st0 AS (SELECT b.traj_id, b.seq, a.edge_id AS edge_id_a, b.edge_id AS edge_id_b, a.cand AS cand_a, b.cand AS cand_b, b.ep AS ep_b, a.target AS target_a, b.source AS source_b, a."offset" AS oa, b."offset" AS ob, a.length AS la,
   sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS eu FROM whole a JOIN whole b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1),
 st1 AS (SELECT st0.*, CASE WHEN edge_id_a = edge_id_b AND oa <= ob THEN ob - oa WHEN target_a = source_b THEN la - oa + ob WHEN od.cost IS NOT NULL THEN od.cost + la - oa + ob END AS sp
   FROM st0 LEFT JOIN od ON od.source = target_a AND od.target = source_b),
-st AS (SELECT *, CASE WHEN sp IS NULL THEN 0 WHEN eu >= sp THEN 1 ELSE eu / sp END AS tp FROM st1)"""
+st AS MATERIALIZED (SELECT *, CASE WHEN sp IS NULL THEN 0 WHEN eu >= sp THEN 1 ELSE eu / sp END AS tp FROM st1)"""
 FORWARD = f"""WITH RECURSIVE {STEPS}, v AS (SELECT traj_id, seq, cand, edge_id, ln(ep) AS cumu, ep AS f FROM whole WHERE seq = 0
   UNION ALL SELECT st.traj_id, st.seq, st.cand_b, any_value(st.edge_id_b), max(v.cumu + ln(st.tp) + ln(st.ep_b)), sum(v.f * st.tp * st.ep_b) FROM v JOIN st ON st.traj_id = v.traj_id AND st.seq = v.seq + 1 AND st.cand_a = v.cand WHERE st.tp > 0 GROUP BY 1, 2, 3)"""
 T = f"WITH {demo.CANDIDATES}"
-P, SP = f"WITH {demo.POINTS}", f"WITH {demo.SHORT_POINTS}"
+P, SP = f"WITH {demo.POINTS}", f"WITH {demo.POINTS}"
 E = f"WITH RECURSIVE {demo.EDGES}"
 
 
@@ -375,7 +372,7 @@ def _reach(start: str, limit: str, where: str = "true", near: str = "source", fa
 ORACLE_SQL = {
     "spatial_candidate_join": f"{T} SELECT traj_id, seq, edge_id, {sql('dist')} AS dist, {sql(chr(34) + 'offset' + chr(34))} AS \"offset\" FROM cands",
     "knn_candidates": f"{T} SELECT traj_id, seq, cand::BIGINT AS cand, edge_id FROM top",
-    "candidate_complete_trajectories": f"{T} SELECT s.traj_id FROM short s LEFT JOIN (SELECT DISTINCT traj_id, seq FROM close WHERE dist <= 0.09) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2",
+    "candidate_complete_trajectories": f"{T} SELECT s.traj_id FROM points s LEFT JOIN (SELECT DISTINCT traj_id, seq FROM close WHERE dist <= 0.09) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2",
     "emission_prob": f"{T} SELECT traj_id, seq, edge_id, {sql('ep')} AS ep FROM top",
     "od_table": f"WITH {demo.EDGES}, {demo.OD} SELECT od.source, od.target, e.target AS next_n, prev_n, next_e, {sql('cost')} AS distance FROM od JOIN edges e ON e.edge_id = next_e",
     "od_path_unroll": f"WITH {demo.EDGES}, {demo.OD} SELECT source, target, array_to_string(path, ',') AS path FROM od",
@@ -392,24 +389,24 @@ ORACLE_SQL = {
     "transition_row_norm": f"WITH {STEPS} SELECT traj_id, seq, edge_id_a, edge_id_b, {sql('tp / sum(tp) OVER (PARTITION BY traj_id, seq, edge_id_a)')} AS a FROM st WHERE tp > 0",
     "fmm_viterbi": f"{FORWARD} SELECT traj_id, seq, edge_id, {sql('cumu')} AS cumu FROM v",
     "fmm_trust": f"{FORWARD} SELECT traj_id, seq, edge_id, {sql('exp(cumu) / sum(f) OVER (PARTITION BY traj_id, seq)')} AS trust FROM v",
-    "viterbi_opath": f"{FORWARD}, n AS (SELECT traj_id, count(*)::BIGINT AS n FROM short GROUP BY 1) SELECT v.traj_id, n.n, {sql('max(cumu)')} AS log_p FROM v JOIN n USING (traj_id) WHERE v.seq = n.n - 1 GROUP BY 1, 2",
-    "match_summary": f"WITH {WHOLE}, hits AS (SELECT DISTINCT traj_id, seq, 1 AS hit FROM whole) SELECT count(*)::BIGINT AS points, count(hit)::BIGINT AS matched, count(DISTINCT short.traj_id)::BIGINT AS trajectories, {sql('100 * count(hit) / count(*)')} AS percent FROM short LEFT JOIN hits USING (traj_id, seq)",
-    "realign_original_indices": f"{SP}, v AS (SELECT traj_id, seq, x FROM short WHERE event_id % 3 <> 0), m AS (SELECT traj_id, max(seq) AS last FROM v GROUP BY 1), s AS (SELECT traj_id, unnest(range(last + 1))::BIGINT AS seq FROM m) SELECT traj_id, seq, {sql('coalesce(x, -1)')} AS v FROM s LEFT JOIN v USING (traj_id, seq)",
-    "duration_speed": f"{SP}, d AS (SELECT traj_id, seq, coalesce(t - lag(t) OVER (PARTITION BY traj_id ORDER BY seq), 0) AS d FROM short) SELECT traj_id, seq, {sql('d')} AS duration, {sql('CASE WHEN d > 0 THEN 1500 / d ELSE 0 END')} AS speed FROM d",
+    "viterbi_opath": f"{FORWARD}, n AS (SELECT traj_id, count(*)::BIGINT AS n FROM points GROUP BY 1) SELECT v.traj_id, n.n, {sql('max(cumu)')} AS log_p FROM v JOIN n USING (traj_id) WHERE v.seq = n.n - 1 GROUP BY 1, 2",
+    "match_summary": f"WITH {WHOLE}, hits AS (SELECT DISTINCT traj_id, seq, 1 AS hit FROM whole) SELECT count(*)::BIGINT AS points, count(hit)::BIGINT AS matched, count(DISTINCT points.traj_id)::BIGINT AS trajectories, {sql('100 * count(hit) / count(*)')} AS percent FROM points LEFT JOIN hits USING (traj_id, seq)",
+    "realign_original_indices": f"{SP}, v AS (SELECT traj_id, seq, x FROM points WHERE event_id % 3 <> 0), m AS (SELECT traj_id, max(seq) AS last FROM v GROUP BY 1), s AS (SELECT traj_id, unnest(range(last + 1))::BIGINT AS seq FROM m) SELECT traj_id, seq, {sql('coalesce(x, -1)')} AS v FROM s LEFT JOIN v USING (traj_id, seq)",
+    "duration_speed": f"{SP}, d AS (SELECT traj_id, seq, coalesce(t - lag(t) OVER (PARTITION BY traj_id ORDER BY seq), 0) AS d FROM points) SELECT traj_id, seq, {sql('d')} AS duration, {sql('CASE WHEN d > 0 THEN 1500 / d ELSE 0 END')} AS speed FROM d",
     "distinct_matched_edges": f"{T} SELECT DISTINCT edge_id FROM top",
-    "matched_edges_semi_join": f"{T} SELECT edge_id, source, target FROM edges WHERE edge_id IN (SELECT edge_id FROM top WHERE traj_id < 40)",
+    "matched_edges_semi_join": f"{T} SELECT edge_id, source, target FROM edges WHERE edge_id IN (SELECT edge_id FROM top)",
     "edge_match_with_reverse": f"{T}, q AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN edge_id WHEN edge_id % 4 = 0 THEN edge_id + 5 ELSE edge_id END AS truth FROM top WHERE cand = 1) SELECT traj_id, seq, (edge_id = truth OR EXISTS (SELECT 1 FROM edges e WHERE e.source = q.target AND e.target = q.source AND e.edge_id = truth)) AS correct FROM q",
-    "stmatch_delta": f"{SP}, d AS (SELECT traj_id, seq, event_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS eu, t - lag(t) OVER w AS dt FROM short WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, round(CASE WHEN event_id % 3 = 0 THEN eu * 6 ELSE 120 * dt END, 4)::DOUBLE AS delta FROM d WHERE seq > 0",
+    "stmatch_delta": f"{SP}, d AS (SELECT traj_id, seq, event_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS eu, t - lag(t) OVER w AS dt FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, round(CASE WHEN event_id % 3 = 0 THEN eu * 6 ELSE 120 * dt END, 4)::DOUBLE AS delta FROM d WHERE seq > 0",
     "stmatch_distances": f"WITH {STEPS} SELECT traj_id, seq, edge_id_a, edge_id_b, {sql('CASE WHEN sp <= eu * 6 THEN sp ELSE -1 END')} AS sp FROM st",
-    "composite_graph_edges": f"WITH {WHOLE}, c AS (SELECT * FROM whole WHERE traj_id < 30), a AS (SELECT traj_id, seq, \"offset\" AS cost FROM c UNION ALL SELECT traj_id, seq, length - \"offset\" FROM c UNION ALL SELECT b.traj_id, b.seq, b.\"offset\" - a.\"offset\" FROM c a JOIN c b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1 AND a.edge_id = b.edge_id AND b.\"offset\" >= a.\"offset\") SELECT traj_id, seq, count(*)::BIGINT AS n, {sql('sum(cost)')} AS cost FROM a GROUP BY 1, 2",
-    "grid_cell_match": f"{SP}, c AS (SELECT traj_id, seq, floor(x)::BIGINT AS cx, floor(y)::BIGINT AS cy FROM short), d AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM c WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, cx, cy FROM d WHERE px IS NULL OR px <> cx OR py <> cy",
+    "composite_graph_edges": f"WITH {WHOLE}, c AS (SELECT * FROM whole), a AS (SELECT traj_id, seq, \"offset\" AS cost FROM c UNION ALL SELECT traj_id, seq, length - \"offset\" FROM c UNION ALL SELECT b.traj_id, b.seq, b.\"offset\" - a.\"offset\" FROM c a JOIN c b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1 AND a.edge_id = b.edge_id AND b.\"offset\" >= a.\"offset\") SELECT traj_id, seq, count(*)::BIGINT AS n, {sql('sum(cost)')} AS cost FROM a GROUP BY 1, 2",
+    "grid_cell_match": f"{SP}, c AS (SELECT traj_id, seq, floor(x)::BIGINT AS cx, floor(y)::BIGINT AS cy FROM points), d AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM c WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, cx, cy FROM d WHERE px IS NULL OR px <> cx OR py <> cy",
     "gap_segmentation": f"{P}, d AS (SELECT traj_id, seq, CASE WHEN abs(t - lag(t) OVER w) <= 20000 THEN 0 ELSE 1 END AS s FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)), n AS (SELECT traj_id, seq, sum(s) OVER (PARTITION BY traj_id ORDER BY seq)::BIGINT AS run FROM d) SELECT traj_id, seq, run FROM n QUALIFY count(*) OVER (PARTITION BY traj_id, run) >= 3",
     "speed_split": f"{P}, d AS (SELECT traj_id, seq, lag(seq) OVER w IS NULL AS head, t - lag(t) OVER w AS dt, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS way FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, sum(CASE WHEN head OR dt <= 0 OR way / dt > 0.001 THEN 1 ELSE 0 END) OVER (PARTITION BY traj_id ORDER BY seq)::BIGINT AS run FROM d",
     "continuity_jumps": f"{P}, d AS (SELECT traj_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, count(*) FILTER (step > 1)::BIGINT AS jumps, {sql('sum(step)')} AS total, {sql('max(step)')} AS greatest FROM d GROUP BY 1",
     "cmm_cov_floor": f"{P}, c AS (SELECT event_id, sde - 0.055::DOUBLE AS e, sdn - 0.035::DOUBLE AS n, sdne AS c FROM points), k AS (SELECT *, CASE WHEN least(e, n) < 0.03 THEN 0.03::DOUBLE / least(e, n) ELSE 1 END AS k FROM c) SELECT event_id, {sql('CASE WHEN least(e, n) > 0 THEN e * k ELSE 0.03 END')} AS sde, {sql('CASE WHEN least(e, n) > 0 THEN n * k ELSE 0.03 END')} AS sdn, {sql('CASE WHEN least(e, n) > 0 THEN c * k * k ELSE 0 END')} AS sdne FROM k",
     "mahalanobis_projection": f"{P}, c AS (SELECT event_id, x, y, sdn * sdn / d AS a, sde * sde / d AS b, -sdne / d AS c FROM (SELECT *, sde * sde * sdn * sdn - sdne * sdne AS d FROM points)), u AS (SELECT *, greatest(0, least(1, (a * 4 * x + c * (4 * y + 2 * x) + b * 2 * y) / (a * 16 + 2 * c * 8 + b * 4))) AS u FROM c), e AS (SELECT *, x - 4 * u AS ex, y - 2 * u AS ey FROM u) SELECT event_id, round(a * ex * ex + 2 * c * ex * ey + b * ey * ey + 3.7e-5::DOUBLE, 3) AS metric, {sql('sqrt(ex * ex + ey * ey)')} AS dist, {sql('u * sqrt(20::DOUBLE)')} AS \"offset\" FROM e",
     "cmm_log_emission": f"{P}, c AS (SELECT sde * sde + 0.0004::DOUBLE AS a, sdn * sdn + 0.0004::DOUBLE AS b, sdne AS c, (event_id % 7) / 20::DOUBLE AS dy, event_id FROM points), d AS (SELECT *, a * b - c * c AS det FROM c) SELECT event_id, {sql('-0.5 * (ln(2 * pi()) + ln(det + 1e-12::DOUBLE) + (b * 0.01::DOUBLE - 2 * c * 0.1::DOUBLE * dy + a * dy * dy) / det)')} AS log_ep FROM d",
-    "background_state": f"{SP} SELECT traj_id, seq, 0.05::DOUBLE AS off_road FROM short",
+    "background_state": f"{SP} SELECT traj_id, seq, 0.05::DOUBLE AS off_road FROM points",
     "phmi_emission_norm": f"{T} SELECT traj_id, seq, edge_id, {sql('CASE WHEN round(dist, 9) <= 0.3 THEN 0.999 ELSE 0.001 END * ep / sum(ep) OVER (PARTITION BY traj_id, seq, round(dist, 9) <= 0.3)')} AS ep FROM top",
     "softmax_posterior": f"{T} SELECT traj_id, seq, edge_id, {sql('ep / sum(ep) OVER (PARTITION BY traj_id, seq)')} AS p FROM top",
     "log_sum_exp": f"{T} SELECT traj_id, seq, {sql('ln(sum(ep))')} AS lse FROM top GROUP BY 1, 2",

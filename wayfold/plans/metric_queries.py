@@ -258,7 +258,7 @@ ORACLE_SQL = {
     "roc_curve": f"{S}, g AS (SELECT confidence AS score, sum(correct) AS p, sum(1 - correct) AS q FROM scored GROUP BY 1) SELECT {sql('score')} AS score, {sql('sum(p) OVER (ORDER BY score DESC) / sum(p) OVER ()')} AS tpr, {sql('sum(q) OVER (ORDER BY score DESC) / sum(q) OVER ()')} AS fpr FROM g",
     "roc_auc": f"{S}, g AS (SELECT confidence AS score, sum(correct)::DOUBLE AS p, sum(1 - correct)::DOUBLE AS q FROM scored GROUP BY 1), c AS (SELECT p, q, sum(p) OVER (ORDER BY score DESC) AS tp FROM g) SELECT {sql('sum(q * (tp - p / 2)) / (sum(p) * sum(q))')} AS auc FROM c",
     "accuracy_coverage": f"{S}, t AS (SELECT unnest({CUTS}::DOUBLE[]) AS threshold) SELECT {sql('threshold')} AS threshold, {sql('avg((confidence >= threshold)::INT)')} AS coverage, {sql('avg(correct) FILTER (confidence >= threshold)')} AS accuracy FROM scored, t GROUP BY threshold",
-    "stanford_metrics": f"{S}, l AS (SELECT quantile_cont(level, 0.95) AS l FROM scored) SELECT {sql('max(l)')} AS alarm_limit, {sql('avg((error > level AND level <= l)::INT)')} AS p_md, {sql('avg((error <= l AND level > l)::INT)')} AS p_fa FROM scored, l",
+    "stanford_metrics": f"{S}, l AS (SELECT quantile_cont(error, 0.95) AS l FROM scored) SELECT {sql('max(l)')} AS alarm_limit, {sql('avg((error > level)::INT)')} AS p_md, {sql('avg((error > l)::INT)')} AS p_fa FROM scored, l",
     "segment_accuracy_rollup": f"{S} SELECT user_id, count(*)::BIGINT AS n, {sql('avg(correct)')} AS accuracy FROM scored GROUP BY ROLLUP (user_id)",
     "trust_separation": f"{S} SELECT {sql('avg(confidence) FILTER (correct = 1) - avg(confidence) FILTER (correct = 0)')} AS separation FROM scored",
     "ks_statistic": f"{S}, i AS (SELECT user_id % 4 AS g, error, row_number() OVER (PARTITION BY user_id % 4 ORDER BY error) / (count(*) OVER (PARTITION BY user_id % 4))::DOUBLE AS i FROM scored) SELECT g, {sql('max(abs(i - (1 - exp(-error / 2))))')} AS ks FROM i GROUP BY 1",
@@ -273,7 +273,7 @@ ORACLE_SQL = {
     "error_by_sigma": f"{P} SELECT {sql('sde')} AS sigma, {sql('avg(abs(x - round(x)))')} AS mean, {sql('quantile_cont(abs(x - round(x)), 0.9)')} AS p90 FROM points GROUP BY 1",
     "ecdf": f"{S} SELECT event_id, {sql('cume_dist() OVER (PARTITION BY correct ORDER BY error)')} AS share FROM scored",
     "improvement_outliers": f"{S} SELECT event_id, {sql('level - error')} AS gain FROM scored WHERE level - error > 40",
-    "exact_path_accuracy": "WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events WHERE event_id < 1000) SELECT user_id, bool_and(a = b) AS exact FROM n GROUP BY 1",
+    "exact_path_accuracy": "WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, bool_and(a = b) AS exact FROM n GROUP BY 1",
     "credibility": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN 1000000 ELSE round(1e6::DOUBLE * exp(greatest(-(event_id % 80)::DOUBLE, -50)), 4) END::DOUBLE AS c FROM events",
     "per_trajectory_accuracy": f"{S} SELECT user_id, count(*)::BIGINT AS n, {sql('avg(correct)')} AS accuracy, {sql('avg(CASE WHEN event_id % 7 = 0 OR confidence = 0 THEN 0.5 ELSE confidence END)')} AS score FROM scored WHERE event_id % 6 NOT IN (0, 5) GROUP BY 1",
 }
