@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import langid, secrets
+from wayfold.llm import langid, secrets, toxicity
 
 
 def plain_parse(reference, text):
@@ -135,3 +135,52 @@ def test_very_long_texts_take_seconds(models):
         spans = secrets.scan(text, models)
         assert spans and time.perf_counter() - began < 20
         assert all(0 <= a < b <= len(text) for a, _, b in spans)
+
+
+# toxicity
+
+
+def plain_probabilities(x, t):
+    above = [1.0, *(1 / (1 + math.exp(v - x)) for v in t), 0.0]
+    return [a - b for a, b in zip(above, above[1:], strict=False)]
+
+
+def test_gradients_are_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    x, theta, y, weight = rng.normal(size=40), np.array([-0.4, 0.3, -0.7]), rng.integers(0, 4, 40), rng.uniform(0.5, 2, 40)
+    t = toxicity.ordered(theta)
+    assert list(t) == sorted(t)
+    loss = lambda x, theta: -sum(w * math.log(plain_probabilities(v, toxicity.ordered(theta))[g]) for v, g, w in zip(x, y, weight, strict=True))
+    gx, gtheta, value = toxicity.gradients(x, theta, y, weight)
+    assert value == pytest.approx(loss(x, theta))
+    e = 1e-6
+    assert gx == pytest.approx([(loss(x + e * d, theta) - loss(x - e * d, theta)) / (2 * e) for d in np.eye(40)], abs=1e-5)
+    assert gtheta == pytest.approx([(loss(x, theta + e * d) - loss(x, theta - e * d)) / (2 * e) for d in np.eye(3)], abs=1e-5)
+
+
+def test_severity_is_the_calibrated_expectation():
+    rng = np.random.default_rng(2)
+    n, width = 6000, 30
+    has = rng.random((n, width)) < 0.2
+    true = rng.normal(0, 1.2, width)
+    x = has @ true
+    cuts = [2.0, 3.5]
+    y = np.array([rng.choice(3, p=plain_probabilities(v, cuts)) for v in x])
+    row, col = np.nonzero(has)
+    w, t, c = toxicity.fit_cumulative_link(row, col, n, width, y, 400, 1e-5)
+    model = toxicity.OrdinalModel({}, list(t), list(c))
+    expected = np.array([sum(model.above(v, c)) for v in np.bincount(row, w[col], n)])
+    assert expected.mean() == pytest.approx(y.mean(), abs=0.02)
+    for low, high in ((0, 0.25), (0.25, 0.75), (0.75, 2.01)):
+        own = (expected >= low) & (expected < high)
+        assert own.sum() > 50 and expected[own].mean() == pytest.approx(y[own].mean(), abs=0.12)
+    assert np.corrcoef(w, true)[0, 1] > 0.95
+
+
+def test_the_labelled_sample_is_bounded_and_whole(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("x").alias("label"), F.lit(1).alias("toxic"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    assert toxicity.labelled_sample(docs, labels, most=500).count() == 500
+    assert toxicity.labelled_sample(docs, labels, most=5000).count() == 3000
+    got = toxicity.labelled_sample(docs, labels, most=500).collect()
+    assert {r.label for r in got} == {0, 1} and all(r.label == r.doc_id % 2 for r in got)

@@ -7,8 +7,9 @@ Features of a text are its lower-cased words and the first 4, 5 and 6 letters of
 forms share evidence; a feature's value is 1 if the text has it. The vocabulary is chosen from labelled rows:
 document frequencies by grade are summed in Spark, and the `FEATURES` with the largest chi-square statistic
 that at least `MIN_ROWS` labelled rows have are kept. The regression is fitted on at most `MOST_LABELLED`
-labelled rows (chosen by a hash of the key; both bounds are parameters), by full-batch proximal gradient steps
-with momentum; scoring covers every row and whole texts.
+labelled rows (chosen by a hash of the key; both bounds are parameters), by full-batch gradient steps with
+momentum, grades weighted to equal shares. Then the thresholds alone are fitted again with the rows as they are:
+the severity is the expectation under these calibrated thresholds. Scoring covers every row and whole texts.
 
 `graded` turns binary labels into three grades: 0 is not toxic; toxic rows with fewer toxic-associated features
 than the median of toxic rows are 1, the others 2.
@@ -20,8 +21,9 @@ table gives no rows; repeated rows get equal results.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,7 @@ from wayfold.llm.common import arrow_map, map_texts
 MOST_LABELLED, FEATURES, MIN_ROWS = 20_000, 4000, 4
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-#: A row is toxic if its expected severity reaches this.
+#: A row is toxic if its expected severity, with classes balanced, reaches this.
 TOXIC = 0.5
 
 
@@ -48,31 +50,37 @@ def features(text: str | None) -> set[str]:
 
 @dataclass
 class OrdinalModel:
-    """Weights by feature and the ordered thresholds."""
+    """Weights by feature and the ordered thresholds: with classes balanced, which decide, and calibrated, which give the severity."""
 
     weights: dict[str, float]
     thresholds: list[float]
+    calibrated: list[float]
 
-    def expected(self, text: str | None) -> tuple[float, int]:
-        """Expected severity and the most probable grade."""
+    def above(self, x: float, thresholds: list[float]) -> list[float]:
+        """P(grade > j) for each threshold."""
+        return [1.0 / (1.0 + np.exp(np.clip(t - x, -60.0, 60.0))) for t in thresholds]
+
+    def judge(self, text: str | None) -> tuple[float, int, bool]:
+        """Expected severity, the most probable grade, and whether the balanced expectation reaches TOXIC."""
         weights = self.weights
         if not self.thresholds:
-            return 0.0, 0
+            return 0.0, 0, False
         x = sum(weights[f] for f in sorted(features(text) & weights.keys()))
-        above = [1.0 / (1.0 + np.exp(np.clip(t - x, -60.0, 60.0))) for t in self.thresholds]
-        p = -np.diff([1.0, *above, 0.0])
-        return float(sum(above)), int(np.argmax(p))
+        above = self.above(x, self.thresholds)
+        return float(sum(self.above(x, self.calibrated))), int(np.argmax(-np.diff([1.0, *above, 0.0]))), float(sum(above)) >= TOXIC
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
     """(key, label, text) of at most `most` labelled rows, one for each key, by a hash of the key."""
-    tagged = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
-    n = tagged.count()
-    if n > most:  # a hash threshold keeps about `most`, then the limit makes it a bound
-        tagged = tagged.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n)).orderBy(F.xxhash64(key), key).limit(most)
+    tagged = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__label"))
+    n, turn = tagged.count(), F.xxhash64("__key")
+    if n > most:  # a hash threshold leaves a little more than `most`, then the limit makes it a bound
+        tagged = tagged.filter(F.pmod(turn, F.lit(1 << 62)) < min(1 << 62, ((1 << 62) * (most + 10 * math.isqrt(most) + 100)) // n)).orderBy(turn, "__key").limit(most)
     few = F.broadcast(tagged)  # at most `most` rows of two numbers
-    one = Window.partitionBy(key).orderBy(F.xxhash64(text), text)
-    return df.join(few, key).select(F.col(key).alias("key"), "label", F.col(text).cast("string").alias("text")).withColumnRenamed("key", key).withColumn("at", F.row_number().over(one)).filter("at = 1").drop("at")
+    one = Window.partitionBy("__key").orderBy(F.xxhash64("__text"), "__text")
+    texts = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    first = texts.join(few, "__key").withColumn("__at", F.row_number().over(one)).filter("__at = 1")
+    return first.select(F.col("__key").alias(key), F.col("__label").alias("label"), F.col("__text").alias("text"))
 
 
 def fit(spark_rows: DataFrame, key: str = "doc_id", n_features: int = FEATURES, min_rows: int = MIN_ROWS, steps: int = 300, l2: float = 1e-3) -> OrdinalModel:
@@ -89,7 +97,7 @@ def fit(spark_rows: DataFrame, key: str = "doc_id", n_features: int = FEATURES,
     rows = {r["label"]: r["n"] for r in spark_rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = rows.get(0, 0), rows.get(1, 0)
     if not n1 or not n0:
-        return OrdinalModel({}, [])
+        return OrdinalModel({}, [], [])
     both = arrow_map(spark_rows.select("label", "text"), counted, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).filter(f"a + b >= {min_rows}")
     # chi-square of the 2 x 2 table feature x label
     n = n0 + n1
@@ -107,8 +115,8 @@ def fit(spark_rows: DataFrame, key: str = "doc_id", n_features: int = FEATURES,
     y = graded(np.array([r["label"] for r in data]), np.array([r["hits"] for r in data]))
     row = np.repeat(np.arange(len(data)), [len(r["x"]) for r in data])
     col = np.fromiter((i for r in data for i in r["x"]), np.int64, len(row))
-    w, t = fit_cumulative_link(row, col, len(data), len(names), y, steps, l2)
-    return OrdinalModel({f: float(v) for f, v in zip(names, w, strict=True) if v}, [float(v) for v in t])
+    w, t, c = fit_cumulative_link(row, col, len(data), len(names), y, steps, l2)
+    return OrdinalModel({f: float(v) for f, v in zip(names, w, strict=True) if v}, t.tolist(), c.tolist())
 
 
 def graded(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -117,43 +125,65 @@ def graded(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return np.where(toxic > 0, 1 + (hits >= max(middle, 1)), 0)
 
 
-def fit_cumulative_link(row: np.ndarray, col: np.ndarray, n: int, width: int, y: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by accelerated gradient on the mean log-likelihood, classes balanced."""
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(v, -40, 40)))
+
+
+def ordered(theta: np.ndarray) -> np.ndarray:
+    """Thresholds of a first one and the logarithms of the gaps, which keeps them in order."""
+    return np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
+
+
+def gradients(x: np.ndarray, theta: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the weighted negative log-likelihood: by each row's x, by theta, and its value."""
+    t = ordered(theta)
+    grades = len(t) + 1
+    edge = np.concatenate([[-np.inf], t, [np.inf]])
+    hi, lo = _sigmoid(edge[y + 1] - x), _sigmoid(edge[y] - x)
+    hi, lo = np.where(y + 1 < grades, hi, 1.0), np.where(y > 0, lo, 0.0)
+    dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+    p = np.maximum(hi - lo, 1e-12)
+    gt = np.array([-(weight * dhi / p)[y == j].sum() + (weight * dlo / p)[y == j + 1].sum() for j in range(grades - 1)])
+    gtheta = np.concatenate([[gt.sum()], [np.exp(theta[1 + j]) * gt[1 + j :].sum() for j in range(grades - 2)]])
+    return weight * (dhi - dlo) / p, gtheta, float(-(weight * np.log(p)).sum())
+
+
+def _descent(start: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int) -> np.ndarray:
+    """Accelerated gradient steps of adapted length."""
+    at, m, v = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    for k in range(1, steps + 1):
+        g = gradient(at)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        at = at - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return at
+
+
+def fit_cumulative_link(row: np.ndarray, col: np.ndarray, n: int, width: int, y: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, thresholds, calibrated thresholds): the first two with classes balanced, the last for the rows as they are."""
     grades = int(y.max()) + 1
     share = np.bincount(y, minlength=grades) / n
     weight = np.minimum(1.0 / np.maximum(share * grades, 1e-9), 20.0)[y]
     weight /= weight.sum()
     base = np.cumsum(share)[:-1]
     start = np.log(base / np.maximum(1 - base, 1e-9))
-    # thresholds as a first one and positive gaps, which keeps them ordered
     theta = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
-    w = np.zeros(width)
-    sig = lambda v: 1.0 / (1.0 + np.exp(-np.clip(v, -40, 40)))
-    m, v = np.zeros(width + len(theta)), np.zeros(width + len(theta))
-    for k in range(1, steps + 1):
-        t = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
-        x = np.bincount(row, w[col], n)
-        edge = np.concatenate([[-np.inf], t, [np.inf]])
-        hi, lo = sig(edge[y + 1] - x), sig(edge[y] - x)
-        dhi, dlo = np.where(y + 1 < grades, hi * (1 - hi), 0.0), np.where(y > 0, lo * (1 - lo), 0.0)
-        p = np.maximum(np.where(y + 1 < grades, hi, 1.0) - np.where(y > 0, lo, 0.0), 1e-12)
-        gx = weight * (dhi - dlo) / p  # of -log p by x
-        gw = np.bincount(col, gx[row], width) + l2 * w
-        gt = np.array([-(weight * dhi / p)[y == j].sum() + (weight * dlo / p)[y == j + 1].sum() for j in range(grades - 1)])
-        gtheta = np.concatenate([[gt.sum()], [np.exp(theta[1 + j]) * gt[1 + j :].sum() for j in range(grades - 2)]])
-        g = np.concatenate([gw, gtheta])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        w, theta = w - move[:width], theta - move[width:]
-    return w, np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
+
+    def both(at: np.ndarray) -> np.ndarray:
+        gx, gtheta, _ = gradients(np.bincount(row, at[:width][col], n), at[width:], y, weight)
+        return np.concatenate([np.bincount(col, gx[row], width) + l2 * at[:width], gtheta])
+
+    found = _descent(np.concatenate([np.zeros(width), theta]), both, steps)
+    w, theta = found[:width], found[width:]
+    x, even = np.bincount(row, w[col], n), np.full(n, 1.0 / n)
+    return w, ordered(theta), ordered(_descent(theta, lambda at: gradients(x, at, y, even)[1], steps))
 
 
-def severity(df: DataFrame, model: OrdinalModel, text: str = "text", toxic_from: float = TOXIC) -> DataFrame:
-    """Adds severity (expected grade), grade (most probable) and toxic; drops the text column."""
+def severity(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """Adds severity (expected grade), grade (most probable) and toxic; drops the text column (and columns of these names)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: list) -> dict[str, list]:
-        got = [sent.value.expected(t) for t in texts]
-        return {"severity": [round(s, 6) for s, _ in got], "grade": [g for _, g in got], "toxic": [s >= toxic_from for s, _ in got]}
+        got = [sent.value.judge(t) for t in texts]
+        return {"severity": [round(s, 6) for s, _, _ in got], "grade": [g for _, g, _ in got], "toxic": [x for _, _, x in got]}
 
     return map_texts(df, judge, "severity double, grade int, toxic boolean", text)
