@@ -16,25 +16,33 @@ from wayfold.llm.common import Scratch, checkpointed, deleted, shared_folder, ta
 from wayfold.llm.queries import mixed
 
 
+def beside(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no column of docs clashes with one that an operator adds."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity stays under the bound."""
+    """Documents that aren't judged toxic. Null and empty texts are not toxic unless all texts are; rows without a label are judged, too."""
     model = toxicity.fit(checkpointed(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"))))
-    return toxicity.severity(docs.withColumn("__scored", F.col("text")), model, "__scored").filter("NOT toxic").select(*docs.columns)
+    return toxicity.severity(beside(docs), model).filter("NOT toxic").select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more.
+
+    The smallest doc_id stays (a null one last, then a hash of the row decides); texts without words all stay.
+    """
     return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up less than the contract's share."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~decontam.contaminated()).select(*docs.columns)
+    """Documents of which benchmark passages make up less than the contract's share; null and empty texts stay."""
+    found = decontam.find_contamination(beside(docs), table(spark, sf_dir, "benchmark"))
+    return found.filter(~decontam.contaminated()).select("__row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars brought up to date."""
+    """All documents, with secrets replaced by a mark and n_chars brought up to date; null texts stay null."""
     return secrets.redact(docs, secrets.train_models(docs), length="n_chars")
 
 
@@ -67,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Toxicity and the shingle join have no SQL form, so tests compare the stages with brute force.
+#: Toxicity and the shingle join have no SQL form; tests compare each stage with a plain version of it.
 ORACLE_SQL = None
