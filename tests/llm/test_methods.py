@@ -7,12 +7,13 @@ import re
 import string
 import time
 import uuid
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import langid, secrets, toxicity
+from wayfold.llm import langid, quality, queries, secrets, toxicity
 
 
 def plain_parse(reference, text):
@@ -184,3 +185,53 @@ def test_the_labelled_sample_is_bounded_and_whole(spark):
     assert toxicity.labelled_sample(docs, labels, most=5000).count() == 3000
     got = toxicity.labelled_sample(docs, labels, most=500).collect()
     assert {r.label for r in got} == {0, 1} and all(r.label == r.doc_id % 2 for r in got)
+
+
+# quality
+
+
+def plain_kept(text):
+    """The verdict from the rules' definitions, all of them measured."""
+    t = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", t)
+    n, lines = len(words), t.split("\n")
+    windows = [tuple(words[i : i + 8]) for i in range(n - 7)]
+    again = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)} if len(set(windows)) < len(windows) else set()
+    filled = [x for x in lines if re.search("[^\x20\x09-\x0d]", x)]
+    twice = len(filled) - len(set(filled))
+    share = lambda v, percent: 100 * v > percent * len(lines)
+    cut = sum(x.rstrip().endswith(("...", "…")) for x in lines)
+    bullets = sum(x.strip()[:1] in ("-", "*", "•", "‣", "·") for x in lines if x.strip())
+    bad = [
+        n < 20,
+        100 * len(again) > 30 * n,
+        10 * len(re.findall("[#*$%&|<>]", t)) > n,
+        twice > 0 and share(twice, 30),
+        not 2 * n <= sum(map(len, words)) <= 20 * n,
+        2 * sum(w.isupper() for w in t.split()) > n,
+        2 * sum(any(c.isalpha() for c in w) for w in t.split()) < n,
+        cut > 2 and share(cut, 30),
+        bullets > 2 and share(bullets, 90),
+        len(t) >= 1000 and 12 * len(zlib.compress(t.encode(), 1)) < len(t),
+    ]
+    return not any(bad)
+
+
+def test_verdicts_are_those_of_all_rules(spark, small, odd):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.op8_quality(spark, small).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: plain_kept(t) for k, t in texts.items()}
+    assert not any(a and b for a, b in got.values()) and 0 < sum(b for _, b in got.values()) < len(got)
+    made = ["- item of a list here\n" * 3 + "\n".join(f"- point number {i} of this list" for i in range(40)), "\n".join(f"a line {i} that is cut off ..." for i in range(30)), "1 2 3 4 5 6 7 8 9 " * 5 + "ten " * 3, "ab " * 2000, "WORDS IN CAPITALS " * 4 + "are not " * 4]
+    df = odd.select("text").filter("length(text) < 20000 OR text IS NULL").unionByName(spark.createDataFrame([(t,) for t in made], "text string")).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = df.collect()
+    verdicts = {r.doc_id: r.kept for r in quality.quality_cascade(df).collect()}
+    assert verdicts == {r.doc_id: plain_kept(r.text) for r in rows}
+
+
+def test_the_cascade_saves_work(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    order = quality.cascade_order(quality.RULES, quality.profile_rules(df, quality.RULES))
+    rows = quality.quality_cascade(df, order=order).collect()
+    assert all(r.rules_run == len(quality.RULES) for r in rows if r.kept)
+    assert all(r.rules_run < len(quality.RULES) for r in rows if not r.kept) or order[-1].name in {"n_words", "n_repeat_words"}

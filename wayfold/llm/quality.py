@@ -7,7 +7,8 @@ cost, highest first, which is the best order for independent rules. `quality_cas
 that order and measures a text only until the first rule rejects it. The verdict is the conjunction of all
 rules, so it doesn't depend on the order or on the sample; only the work does.
 
-Rules listed in `report` are measured for every text after the verdict, because their values are asked for.
+Rules listed in `report` are measured for every text after the verdict, because their values are asked for. So
+the cascade saves the work of the other rules on rejected texts: rules_run says how many a text took.
 
 Defined cases: a null text has no words and counts as empty; an empty table gives no rows and the listed order
 of rules is kept; repeated rows are judged alike.
@@ -16,6 +17,7 @@ of rules is kept; repeated rows are judged alike.
 from __future__ import annotations
 
 import time
+import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -88,14 +90,41 @@ def n_repeat_words(t: Text) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-#: The rules of the query: the two of the contract, then the method's own.
+def alpha_words(t: Text) -> int:
+    """Words with a letter of any script."""
+    return sum(1 for w in t.raw.split() if any(map(str.isalpha, w)))
+
+
+def cut_lines(t: Text) -> int:
+    """Lines that end in an ellipsis."""
+    return sum(1 for line in t.raw.split("\n") if line.rstrip().endswith(("...", "…")))
+
+
+def bullet_lines(t: Text) -> int:
+    """Lines that begin with a bullet."""
+    return sum(1 for line in t.raw.split("\n") if line.lstrip()[:1] in BULLETS and line.strip())
+
+
+def packed_bytes(t: Text) -> int:
+    """Bytes after fast compression of the whole text."""
+    return len(zlib.compress(t.raw.encode("utf-8"), 1))
+
+
+#: Marks that begin an item of a list, and bytes from which compressibility says something.
+BULLETS, LEAST_PACKED = ("-", "*", "•", "‣", "·"), 1000
+
+#: The rules of the query: the two of the contract, those on its other counts, then those of the method alone.
 RULES = (
     Rule("n_words", n_words, lambda t, v: v < 20),
     Rule("n_repeat_words", n_repeat_words, lambda t, v: 100 * v > 30 * len(t.words)),
     Rule("n_symbols", n_symbols, lambda t, v: 10 * v > len(t.words)),
     Rule("n_dup_lines", n_dup_lines, lambda t, v: v > 0 and 100 * v > 30 * (t.raw.count("\n") + 1)),
-    Rule("n_upper", lambda t: sum(map(str.isupper, t.raw.split())), lambda t, v: 2 * v > len(t.words)),
     Rule("word_chars", word_chars, lambda t, v: not 2 * len(t.words) <= v <= 20 * len(t.words)),
+    Rule("n_upper", lambda t: sum(map(str.isupper, t.raw.split())), lambda t, v: 2 * v > len(t.words)),
+    Rule("alpha_words", alpha_words, lambda t, v: 2 * v < len(t.words)),
+    Rule("cut_lines", cut_lines, lambda t, v: v > 2 and 100 * v > 30 * (t.raw.count("\n") + 1)),
+    Rule("bullet_lines", bullet_lines, lambda t, v: v > 2 and 100 * v > 90 * (t.raw.count("\n") + 1)),
+    Rule("packed_bytes", packed_bytes, lambda t, v: len(t.raw) >= LEAST_PACKED and 12 * v < len(t.raw)),
 )
 
 
