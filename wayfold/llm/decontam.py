@@ -8,8 +8,9 @@ phrase's tail is narrowed by one word at a time, with ranks from a wavelet tree
 transform; all phrases step together. Occurrences are located by walking back to a sampled suffix position,
 and the hit words of a document are merged into spans.
 
-Nothing is shuffled: the phrases go to all tasks (in blocks of at most `BLOCK_BYTES` of item text, as many as
-the items need; a task holds one at a time), and every document is read once.
+Nothing is shuffled: the phrases go to all tasks. Items of more than about `BLOCK_BYTES` of text are taken in
+blocks, one pass over the documents each, whose results are written in between; so the driver and a task hold one
+block at a time, however many items there are.
 
 Words are maximal runs of digits, letters a-z after lower-casing A-Z, and characters beyond ASCII.
 Defined cases: null or empty texts have no words and no hits; items without words have no phrases; a null item id
@@ -24,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import arrow_map
+from wayfold.llm.common import arrow_map, dropped, stored
 
 WINDOW = 13
 #: Suffix positions that are kept: every one of so many, and those at which a stretch begins.
 SAMPLED = 16
 #: Bounds of a shard (documents, bytes of text) and of a block of items.
-SHARD_ROWS, SHARD_BYTES, BLOCK_BYTES = 4096, 16 << 20, 32 << 20
+SHARD_ROWS, SHARD_BYTES, BLOCK_BYTES = 4096, 16 << 20, 4 << 20
 #: The words of lower-cased UTF-8, and the same in text.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_TEXT = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -197,48 +199,51 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def phrase_blocks(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> list:
-    """The items' phrases as broadcast blocks, each of at most about BLOCK_BYTES of text."""
-    spark = items.sparkSession
-    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // BLOCK_BYTES) + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    return [spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in rows.filter(F.col("block") == b).select("item", "text").collect()], window)) for b in range(blocks)]
+def ranges(hit: np.ndarray | None) -> list[dict[str, int]]:
+    """Runs of hit words: (start, end), end exclusive."""
+    if hit is None:
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
-def find_contamination(df: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Adds n_words, n_hit, items (sorted ids), and spans (characters) to the other columns (or replaces them); keeps the text."""
-    blocks = phrase_blocks(items, item, "text", window)
-    added = df.sparkSession.createDataFrame([], "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>").schema
-    df = df.drop(*added.names)
-    schema = StructType(df.schema.fields + added.fields)
+def _one_block(df: DataFrame, phrases: Broadcast, text: str, last: bool) -> DataFrame:
+    """Adds the hits of one block of items to those of the blocks before (columns __hit, __items), or turns all into the results."""
+    final = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+    added = df.sparkSession.createDataFrame([], final if last else "__hit array<struct<start:int,end:int>>, __items array<string>").schema
+    carried = [c for c in ("__hit", "__items") if c in df.columns]
+    kept = [c for c in df.columns if c not in carried]
+    df = df.select(*kept, *carried)
+    schema = StructType([df.schema[c] for c in kept] + added.fields)
     target = to_arrow_schema(schema)
-    place = df.columns.index(text)
+    place = kept.index(text)
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for b in held for t in b.column(place).to_pylist()]
         words = [WORD.findall(t.encode("utf-8").lower()) for t in texts]
         hit: list[np.ndarray | None] = [None] * len(texts)
         found: list[set[str]] = [set() for _ in texts]
-        for block in blocks:
-            shard_hits(words, block.value, hit, found)
+        if carried:
+            before = [(h, i) for b in held for h, i in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True)]
+            for d, (runs, items) in enumerate(before):
+                found[d].update(items)
+                for r in runs:
+                    hit[d] = np.zeros(len(words[d]), bool) if hit[d] is None else hit[d]
+                    hit[d][r["start"] : r["end"]] = True
+        shard_hits(words, phrases.value, hit, found)
         at = 0
         for b in held:
             n = b.num_rows
-            own = hit[at : at + n]
-            made = [
-                [len(w) for w in words[at : at + n]],
-                [0 if h is None else int(h.sum()) for h in own],
-                [sorted(f) for f in found[at : at + n]],
-                [[] if h is None else spans_of(t, h) for t, h in zip(texts[at : at + n], own, strict=True)],
-            ]
-            arrays = [b.column(i).cast(target.field(i).type) for i in range(len(df_columns))]
+            own, ids = hit[at : at + n], [sorted(f) for f in found[at : at + n]]
+            if last:
+                spans = [[] if h is None else spans_of(t, h) for t, h in zip(texts[at : at + n], own, strict=True)]
+                made = [[len(w) for w in words[at : at + n]], [0 if h is None else int(h.sum()) for h in own], ids, spans]
+            else:
+                made = [[ranges(h) for h in own], ids]
+            arrays = [b.column(i).cast(target.field(i).type) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, target.field(f.name).type) for v, f in zip(made, added, strict=True)], schema=target)
             at += n
 
-    df_columns = df.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size = [], 0, 0
         for whole in batches:
@@ -255,6 +260,28 @@ def find_contamination(df: DataFrame, items: DataFrame, item: str = "item_id", t
     return arrow_map(df, run, schema)
 
 
+def phrase_blocks(items: DataFrame, item: str = "item_id", text: str = "text") -> list[DataFrame]:
+    """(item, text) in blocks, each of about BLOCK_BYTES of text at most."""
+    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
+    blocks = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    return [rows.filter(F.col("block") == b).select("item", "text") for b in range(blocks)]
+
+
+def find_contamination(df: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Adds n_words, n_hit, items (sorted ids), and spans (characters) to the other columns (or replaces them); keeps the text."""
+    df = df.drop("n_words", "n_hit", "items", "spans")
+    *blocks, final = phrase_blocks(items, item)
+    sent = lambda block: df.sparkSession.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in block.collect()], window))
+    for b, block in enumerate(blocks):
+        phrases = sent(block)
+        before, df = df, stored(_one_block(df, phrases, text, False))
+        phrases.destroy()
+        if b:
+            dropped(before)
+    return _one_block(df, sent(final), text, True)
+
+
 #: Share of hit words (percent) from which a document is contaminated.
 CONTAMINATED_PERCENT = 5
 
