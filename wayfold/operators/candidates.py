@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as G
+from wayfold.operators.shared import by_trajectory
 
 POINT_KEY = ("traj_id", "seq")
 
@@ -14,22 +15,40 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
+def edge_segments(edges: DataFrame) -> DataFrame:
+    """A row for each segment of each edge: the edge's columns without its line, no, its ends (ax, ay, bx, by) and its start along the line."""
+    keep = [c for c in ("edge_id", "source", "target", "length", "oneway") if c in edges.columns]
+    d = edges.select(*keep, F.posexplode(G.measured("line")).alias("no", "s"))
+    return d.select(*keep, "no", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"), F.col("s.from").alias("start"))
+
+
+def projected(rows: DataFrame) -> DataFrame:
+    """Adds dist and offset of the point (x, y) of each row on its segment; plain columns, so all of it is generated code."""
+    d = rows.withColumns({"ux": F.col("bx") - F.col("ax"), "uy": F.col("by") - F.col("ay")}).withColumn("square", F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))
+    along = ((F.col("x") - F.col("ax")) * F.col("ux") + (F.col("y") - F.col("ay")) * F.col("uy")) / F.col("square")
+    d = d.withColumn("share", F.when(F.col("square") == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))))
+    d = d.withColumns({"ex": F.col("ax") + F.col("share") * F.col("ux") - F.col("x"), "ey": F.col("ay") + F.col("share") * F.col("uy") - F.col("y")})
+    d = d.withColumns({"dist": F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")), "offset": F.col("start") + F.col("share") * F.sqrt("square")})
+    return d.drop("ux", "uy", "square", "share", "ex", "ey")
+
+
 def spatial_candidates(points: DataFrame, edges: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
-    """points x edges within the radius: adds edge_id, source, target, length, dist and offset to the points.
+    """points x edges within the radius: adds edge_id, source, target, length, dist and offset to the points (traj_id, seq, x, y, ...).
 
-    An edge is listed in each grid cell that its padded box touches; a point lies in one cell, so the join is an
-    equi-join that yields each pair once. A hot cell is a skewed join key, which Spark splits.
+    A segment is listed in each grid cell that its padded box touches; a point lies in one cell, so the join is an
+    equi-join that yields each pair once. A hot cell is a skewed join key, which Spark splits. What meets is dealt
+    out by trajectory, and distances, the least one of each edge and all that follows need no other shuffle.
     """
     size = cell or max(2 * radius, 1e-9)
-    boxed = edges.select("edge_id", "source", "target", "line", "length", G.once(G.bounding_box("line")).alias("box"))
-    span = lambda low, high: F.sequence(_cell(F.col(low) - radius, size), _cell(F.col(high) + radius, size))
-    tiles = boxed.withColumn("cx", F.explode(span("box.min_x", "box.max_x"))).withColumn("cy", F.explode(span("box.min_y", "box.max_y")))
+    low = lambda p, q: F.least(p, q) - radius
+    high = lambda p, q: F.greatest(p, q) + radius
+    span = lambda p, q: F.sequence(_cell(low(p, q), size), _cell(high(p, q), size))
+    tiles = edge_segments(edges).withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
     at = points.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
-    met = at.join(tiles, ["cx", "cy"]).filter(
-        (F.col("x") >= F.col("box.min_x") - radius) & (F.col("x") <= F.col("box.max_x") + radius) & (F.col("y") >= F.col("box.min_y") - radius) & (F.col("y") <= F.col("box.max_y") + radius)
-    )
-    near = met.withColumn("ref", G.once(G.linear_reference("line", "x", "y"))).filter(F.col("ref.dist") <= radius)
-    return near.select(*points.columns, "edge_id", "source", "target", "length", F.col("ref.dist").alias("dist"), F.col("ref.offset").alias("offset"))
+    met = at.join(tiles, ["cx", "cy"]).filter(F.col("x").between(low("ax", "bx"), high("ax", "bx")) & F.col("y").between(low("ay", "by"), high("ay", "by"))).drop("cx", "cy")
+    near = projected(by_trajectory(met)).filter(F.col("dist") <= radius)
+    best = near.groupBy(*POINT_KEY, "edge_id").agg(F.first(F.struct(*points.columns, "source", "target", "length")).alias("row"), F.min(F.struct("dist", "no", "offset")).alias("n"))
+    return best.select(*(F.col(f"row.{c}").alias(c) for c in points.columns), "edge_id", "row.source", "row.target", "row.length", F.col("n.dist").alias("dist"), F.col("n.offset").alias("offset"))
 
 
 def nearest(candidates: DataFrame, k: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
+from wayfold.operators.candidates import edge_segments, projected
 from wayfold.operators.shared import by_trajectory, checkpointed, importable
 
 POINT = ("traj_id", "seq")
@@ -53,21 +54,36 @@ def floored(sde: Column, sdn: Column, sdne: Column, least: float) -> Column:
     )
 
 
-def variable_radius_edges(points: DataFrame, edges: DataFrame, radius: str, cell: float) -> DataFrame:
-    """points x edges within each point's own radius; both sides list the grid cells they touch."""
-    box = F.col("box")
+def variable_radius_segments(points: DataFrame, edges: DataFrame, radius: str, cell: float) -> DataFrame:
+    """points x segments of edges whose boxes lie within each point's own radius; both sides list the grid cells they touch.
+
+    The rows are dealt out by trajectory, so that what is worked out of them needs no other shuffle.
+    """
     index = lambda v: F.floor(v / cell).cast("long")
-    boxed = edges.withColumn("box", G.once(G.bounding_box("line")))
-    oneway = [c for c in ("oneway",) if c in edges.columns]
-    tiles = boxed.select("edge_id", "source", "target", "line", "length", *oneway, index(box["min_x"]).alias("ex"), index(box["min_y"]).alias("ey"), index(box["max_x"]).alias("fx"), index(box["max_y"]).alias("fy"))
-    tiles = tiles.withColumn("cx", F.explode(F.sequence("ex", "fx"))).withColumn("cy", F.explode(F.sequence("ey", "fy")))
+    tiles = edge_segments(edges).withColumns({"sx": index(F.least("ax", "bx")), "sy": index(F.least("ay", "by")), "tx": index(F.greatest("ax", "bx")), "ty": index(F.greatest("ay", "by"))})
+    tiles = tiles.withColumn("cx", F.explode(F.sequence("sx", "tx"))).withColumn("cy", F.explode(F.sequence("sy", "ty")))
     r = F.col(radius)
     at = points.withColumn("px", index(F.col("x") - r)).withColumn("py", index(F.col("y") - r))
     at = at.withColumn("cx", F.explode(F.sequence("px", index(F.col("x") + r)))).withColumn("cy", F.explode(F.sequence("py", index(F.col("y") + r))))
     # a pair counts in the first cell that both touch, so none comes twice
-    met = at.join(tiles, ["cx", "cy"]).filter((F.col("cx") == F.greatest("px", "ex")) & (F.col("cy") == F.greatest("py", "ey")))
-    met = met.drop("cx", "cy", "px", "py", "ex", "ey", "fx", "fy")
-    return met.withColumn("near", G.once(G.linear_reference("line", "x", "y"))).filter(F.col("near.dist") <= r)
+    met = at.join(tiles, ["cx", "cy"]).filter((F.col("cx") == F.greatest("px", "sx")) & (F.col("cy") == F.greatest("py", "sy")))
+    return by_trajectory(met.drop("cx", "cy", "px", "py", "sx", "sy", "tx", "ty"))
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    """Adds of each row's segment the point nearest in Mahalanobis distance: m_metric, m_dist, m_offset, m_dx, m_dy."""
+    d = rows.withColumns({"see": F.col("sde") * F.col("sde"), "snn": F.col("sdn") * F.col("sdn")}).withColumn("det", F.col("see") * F.col("snn") - F.col("sdne") * F.col("sdne"))
+    d = d.withColumns({"wa": F.col("snn") / F.col("det"), "wb": F.col("see") / F.col("det"), "wc": -F.col("sdne") / F.col("det")})
+    d = d.withColumns({"ux": F.col("bx") - F.col("ax"), "uy": F.col("by") - F.col("ay"), "vx": F.col("x") - F.col("ax"), "vy": F.col("y") - F.col("ay")})
+    u, v = (F.col("ux"), F.col("uy")), (F.col("vx"), F.col("vy"))
+    dot = lambda p, q: F.col("wa") * p[0] * q[0] + F.col("wc") * (p[0] * q[1] + p[1] * q[0]) + F.col("wb") * p[1] * q[1]
+    d = d.withColumns({"scale": dot(u, u), "plain": u[0] * u[0] + u[1] * u[1]})
+    share = F.when(F.abs("scale") >= 1e-12, dot(u, v) / F.col("scale")).when(F.col("plain") > 0, (u[0] * v[0] + u[1] * v[1]) / F.col("plain")).otherwise(F.lit(0.0))
+    d = d.withColumn("share", F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)))
+    d = d.withColumns({"m_dx": F.col("x") - F.col("ax") - F.col("share") * u[0], "m_dy": F.col("y") - F.col("ay") - F.col("share") * u[1]})
+    e = (F.col("m_dx"), F.col("m_dy"))
+    d = d.withColumns({"m_metric": dot(e, e), "m_dist": F.sqrt(e[0] * e[0] + e[1] * e[1]), "m_offset": F.col("start") + F.col("share") * F.sqrt("plain")})
+    return d.drop("det", "wa", "wb", "wc", "ux", "uy", "vx", "vy", "scale", "plain", "share")
 
 
 def anisotropic(line: Column, x: Column, y: Column, see: Column, snn: Column, sen: Column) -> Column:
@@ -111,20 +127,30 @@ def covariance_candidates(points: DataFrame, edges: DataFrame, config: Covarianc
     cov = floored(F.col("sde"), F.col("sdn"), F.col("sdne"), config.min_sigma)
     p = points.withColumn("cov", cov).withColumns({"sde": F.col("cov.sde"), "sdn": F.col("cov.sdn"), "sdne": F.col("cov.sdne")}).drop("cov").withColumn("radius", F.col("pl") * config.level_multiplier)
 
+    edge = [c for c in ("source", "target", "length", "oneway") if c in edges.columns]
+
     def found(rows: DataFrame) -> DataFrame:
-        by_distance = Window.partitionBy(*POINT).orderBy("near.dist", "edge_id")
-        near = variable_radius_edges(rows, edges, "radius", cell).withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= config.k)
+        met = projected(variable_radius_segments(rows, edges, "radius", cell)).filter(F.col("dist") <= F.col("radius"))
+        near = met.groupBy(*POINT, "edge_id").agg(F.first(F.struct(*rows.columns)).alias("row"), F.min("dist").alias("near_dist"))
+        by_distance = Window.partitionBy(*POINT).orderBy("near_dist", "edge_id")
+        near = near.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= config.k).select("edge_id", "row.*")
+        # the point of least metric may lie on any segment of these edges, so all of them come back (first segment on ties)
+        all_of = weighed(near.join(edge_segments(edges), "edge_id")).groupBy(*POINT, "edge_id")
+        near = all_of.agg(
+            F.first(F.struct(*rows.columns, *edge)).alias("row"), F.min(F.struct("m_metric", "no", "m_dist", "m_offset", "m_dx", "m_dy")).alias("m"), F.min(F.struct("no", "ax", "ay")).alias("first_end"), F.max(F.struct("no", "bx", "by")).alias("last_end")
+        )
+        near = near.select(*POINT, "edge_id", *(F.col(f"row.{c}").alias(c) for c in [*rows.columns, *edge] if c not in POINT), "m", "first_end", "last_end")
         see, snn, sen = F.col("sde") * F.col("sde"), F.col("sdn") * F.col("sdn"), F.col("sdne")
-        end = lambda i, offset: F.struct(
-            D.mahalanobis_squared(F.col("x") - F.element_at("line", i)["x"], F.col("y") - F.element_at("line", i)["y"], see, snn, sen).alias("metric"),
-            G.distance(F.col("x"), F.col("y"), F.element_at("line", i)["x"], F.element_at("line", i)["y"]).alias("dist"),
-            offset.alias("offset"),
-            (F.col("x") - F.element_at("line", i)["x"]).alias("dx"),
-            (F.col("y") - F.element_at("line", i)["y"]).alias("dy"),
-        )
-        pool = F.array(anisotropic(F.col("line"), F.col("x"), F.col("y"), see, snn, sen), end(1, F.lit(0.0)), end(-1, F.col("length")))
-        within = F.concat(F.slice(pool, 1, 1), F.filter(F.slice(pool, 2, 2), lambda c: c["dist"] <= F.col("radius")))
-        return near.withColumn("best", G.once(F.array_min(within))).select(*rows.columns, "edge_id", "source", "target", "length", *(c for c in ("oneway",) if c in edges.columns), "best.*")
+
+        def end(px: Column, py: Column, offset: Column) -> Column:
+            dx, dy = F.col("x") - px, F.col("y") - py
+            return F.struct(D.mahalanobis_squared(dx, dy, see, snn, sen).alias("metric"), G.distance(F.col("x"), F.col("y"), px, py).alias("dist"), offset.alias("offset"), dx.alias("dx"), dy.alias("dy"))
+
+        own = F.struct(F.col("m.m_metric").alias("metric"), F.col("m.m_dist").alias("dist"), F.col("m.m_offset").alias("offset"), F.col("m.m_dx").alias("dx"), F.col("m.m_dy").alias("dy"))
+        near = near.withColumns({"own": own, "head": end(F.col("first_end.ax"), F.col("first_end.ay"), F.lit(0.0)), "tail": end(F.col("last_end.bx"), F.col("last_end.by"), F.col("length"))})
+        inside = lambda c: F.when(F.col(f"{c}.dist") <= F.col("radius"), F.col(c))
+        near = near.withColumn("best", F.least("own", inside("head"), inside("tail")))
+        return near.select(*rows.columns, "edge_id", *edge, "best.*")
 
     once = checkpointed(found(p))
     few = once.groupBy(*POINT).agg(F.count("*").alias("n")).filter(F.col("n") < config.min_candidates).select(*POINT)
@@ -411,7 +437,7 @@ def trusted(matched: DataFrame, threshold: float) -> DataFrame:
 
 def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config: CovarianceConfig, cell: float) -> DataFrame:
     """All candidates of all points with filter posteriors (trust), entropies, the part they belong to and its status."""
-    cands = checkpointed(with_background(emissions(covariance_candidates(by_trajectory(points), edges, config, cell), config), config))
+    cands = checkpointed(with_background(emissions(covariance_candidates(points, edges, config, cell), config), config))
     oneway = [c for c in ("oneway",) if c in cands.columns]
     rows = cands.select("traj_id", "seq", "t", "x", "y", "cand", "edge_id", "source", "target", "length", "offset", "ep", *oneway)
     leave = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("target").alias("source")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
 from wayfold.operators import alignment, candidates, covariance, evaluation, matching, network, paths, routing
-from wayfold.operators.shared import by_trajectory, checkpointed
+from wayfold.operators.shared import checkpointed
 from wayfold.plans import demo
 from wayfold.plans.checks import r, sql
 
@@ -20,7 +20,7 @@ ID = ("traj_id", "seq")
 
 def _near(spark: Spark, sf: str) -> Frame:
     """All candidates of the trajectories; distances are rounded for the order of equal ones."""
-    p = by_trajectory(demo.points(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y"))
+    p = demo.points(spark, sf).select("traj_id", "seq", "event_id", "t", "x", "y")
     d = candidates.spatial_candidates(p, demo.edges(spark, sf), demo.RADIUS)
     return d.withColumn("dist", F.round("dist", 9))
 

@@ -82,14 +82,19 @@ def exploded(trajectories: DataFrame) -> DataFrame:
 def read_points(spark: SparkSession, path: str, id_column: str = "id", x: str = "x", y: str = "y", timestamp: str = "timestamp") -> DataFrame:
     """Points in file order; successive rows of one id are one trajectory, and an id that comes back starts a new one (run).
 
-    The order of rows is that of the file, which is read as one partition; larger inputs should carry a number.
+    Rows are numbered by splits of the file: each split's rows by themselves, and the splits' counts summed up, so no
+    task reads the whole file.
     """
-    raw = read_delimited(spark, path, ";").coalesce(1).withColumn("row", F.monotonically_increasing_id())
+    m = F.col("_metadata")
+    raw = read_delimited(spark, path, ";").withColumns({"__file": m["file_path"], "__start": m["file_block_start"]}).withColumn("__tick", F.monotonically_increasing_id())
+    raw = raw.withColumn("__own", F.row_number().over(Window.partitionBy("__file", "__start").orderBy("__tick")))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = raw.groupBy("__file", "__start").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    raw = raw.join(splits.drop("__n"), ["__file", "__start"]).withColumn("row", F.col("__before") + F.col("__own"))
     t = strict_number(timestamp) if timestamp in raw.columns else F.lit(None).cast("double")
     p = raw.select(F.col(id_column).cast("long").alias("id"), strict_number(x).alias("x"), strict_number(y).alias("y"), t.alias("t"), "row")
     # a run is what shares id and the difference of the two row numbers
-    every, own = Window.orderBy("row"), Window.partitionBy("id").orderBy("row")
-    p = p.withColumn("run", F.row_number().over(every) - F.row_number().over(own))
+    p = p.withColumn("run", F.col("row") - F.row_number().over(Window.partitionBy("id").orderBy("row")))
     return p.withColumn("seq", (F.row_number().over(Window.partitionBy("id", "run").orderBy("row")) - 1).cast("long"))
 
 
