@@ -61,8 +61,11 @@ def knn_candidates(spark: Spark, sf: str) -> Frame:
 
 
 def candidate_complete_trajectories(spark: Spark, sf: str) -> Frame:
-    near = candidates.nearest(candidates.spatial_candidates(demo.points(spark, sf).select("traj_id", "seq", "x", "y"), demo.edges(spark, sf), 0.09), demo.K)
-    return candidates.complete_trajectories(near, demo.points(spark, sf)).select("traj_id").distinct()
+    """Of each trajectory's pieces of four points those whose points all have a candidate within a small radius."""
+    four = (F.col("traj_id") * 1000 + F.floor(F.col("seq") / 4)).alias("traj_id")
+    p = demo.points(spark, sf).select(four, "seq", "x", "y")
+    near = candidates.nearest(candidates.spatial_candidates(p, demo.edges(spark, sf), 0.09), demo.K)
+    return candidates.complete_trajectories(near, p).select("traj_id").distinct()
 
 
 def emission_prob(spark: Spark, sf: str) -> Frame:
@@ -290,18 +293,27 @@ def cmm_log_emission(spark: Spark, sf: str) -> Frame:
     return demo.points(spark, sf).select("event_id", r(v).alias("log_ep"))
 
 
-def cmm_candidates(spark: Spark, sf: str) -> Frame:
+def _cmm_edges(spark: Spark, sf: str) -> Frame:
+    """The network without one-way marks: the reverse guard that they switch on needs the path taken so far."""
+    return demo.edges(spark, sf).drop("oneway")
+
+
+def _emitted(spark: Spark, sf: str, config: covariance.CovarianceConfig = COVARIANCE) -> Frame:
     p = demo.points(spark, sf).drop("event_id")
-    d = covariance.emissions(covariance.covariance_candidates(p, demo.edges(spark, sf), COVARIANCE, 1.0), COVARIANCE)
-    return d.select(*ID, "edge_id", "cand", r("dist").alias("dist"), r("ep").alias("ep"))
+    return covariance.emissions(covariance.covariance_candidates(p, _cmm_edges(spark, sf), config, 1.0), config)
+
+
+def cmm_candidates(spark: Spark, sf: str) -> Frame:
+    return _emitted(spark, sf).select(*ID, "edge_id", F.col("cand").cast("long").alias("cand"), r("dist").alias("dist"), r("offset").alias("offset"))
 
 
 def _cmm(spark: Spark, sf: str, config: covariance.CovarianceConfig) -> Frame:
-    return covariance.covariance_match(demo.points(spark, sf).drop("event_id"), demo.edges(spark, sf), _od(spark, sf), config, 1.0)
+    return covariance.covariance_match(demo.points(spark, sf).drop("event_id"), _cmm_edges(spark, sf), _od(spark, sf), config, 1.0)
 
 
 def cmm_forward(spark: Spark, sf: str) -> Frame:
-    return _cmm(spark, sf, COVARIANCE)
+    d = _cmm(spark, sf, COVARIANCE)
+    return d.select(*ID, F.col("part").cast("long").alias("part"), "status", F.col("cand").cast("long").alias("cand"), "edge_id", r("cumu").alias("cumu"), r("trust").alias("trust"), r("entropy").alias("entropy"))
 
 
 def lag_smoothing(spark: Spark, sf: str) -> Frame:
@@ -311,43 +323,39 @@ def lag_smoothing(spark: Spark, sf: str) -> Frame:
 
 
 def background_state(spark: Spark, sf: str) -> Frame:
-    """Probabilities of candidates with a state off the road, which sum to 1 for each point."""
+    """Probabilities of the candidates and of the state off the road (edge -1)."""
     from dataclasses import replace
 
     config = replace(COVARIANCE, background=0.05)
-    p = demo.points(spark, sf).drop("event_id")
-    d = covariance.with_background(covariance.emissions(covariance.covariance_candidates(p, demo.edges(spark, sf), config, 1.0), config), config)
-    return d.groupBy(*ID).agg(r(F.sum(F.when(F.col("edge_id").isNull(), F.col("ep")))).alias("off_road"))
+    d = covariance.with_background(_emitted(spark, sf, config), config)
+    return d.select(*ID, F.coalesce("edge_id", F.lit(-1)).alias("edge_id"), r("ep").alias("ep"))
 
 
 def phmi_emission_norm(spark: Spark, sf: str) -> Frame:
-    """Distances' densities, normalised apart inside and outside a bound."""
-    inside = F.col("dist") <= 0.3
-    w = Window.partitionBy(*ID, "inside")
-    d = _top(spark, sf).withColumn("inside", inside)
-    return d.select(*ID, "edge_id", r(F.when(F.col("inside"), 0.999).otherwise(0.001) * F.col("ep") / F.sum("ep").over(w)).alias("ep"))
+    """Densities normalised apart within and beyond the protection level."""
+    return _emitted(spark, sf).select(*ID, "edge_id", r("ep").alias("ep"))
 
 
 def softmax_posterior(spark: Spark, sf: str) -> Frame:
-    w = Window.partitionBy(*ID)
-    d = _top(spark, sf).withColumn("e", F.exp(F.log("ep") - F.max(F.log("ep")).over(w)))
-    return d.select(*ID, "edge_id", r(F.col("e") / F.sum("e").over(w)).alias("p"))
+    """Posteriors of the filter at each trajectory's first point, where they are the softmax of the emissions."""
+    return _cmm(spark, sf, COVARIANCE).filter("seq = 0").select(*ID, "edge_id", r("trust").alias("p"))
 
 
 def log_sum_exp(spark: Spark, sf: str) -> Frame:
-    w = Window.partitionBy(*ID)
-    d = _top(spark, sf).withColumn("m", F.max(F.log("ep")).over(w))
-    return d.groupBy(*ID).agg(r(F.max("m") + F.log(F.sum(F.exp(F.log("ep") - F.col("m"))))).alias("lse"))
+    """The evidence of each point but the first by the forward values of the plain matcher: log of the sum over candidates."""
+    d = _matched(spark, sf)[0].filter("cumu > -1e300")
+    # trust is exp(best - total), so the total comes back from the candidate of most trust
+    return d.groupBy(*ID).agg(r(F.max_by(F.col("cumu") - F.log("trust"), F.struct("trust", "cand"))).alias("lse"))
 
 
 def entropy_bits(spark: Spark, sf: str) -> Frame:
-    w = Window.partitionBy(*ID)
-    d = _top(spark, sf).withColumn("p", F.col("ep") / F.sum("ep").over(w)).groupBy(*ID).agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return d.select(*ID, r(evaluation.entropy_bits(F.col("ps"))).alias("bits"))
+    """Entropy of the filter's posteriors."""
+    return _cmm(spark, sf, COVARIANCE).groupBy(*ID).agg(r(F.max("entropy")).alias("bits"))
 
 
 def top3_scores(spark: Spark, sf: str) -> Frame:
-    d = _top(spark, sf).groupBy(*ID).agg(F.slice(F.sort_array(F.collect_list(F.round("ep", 6)), asc=False), 1, 3).alias("best"))
+    """The three best posteriors of each point."""
+    d = _cmm(spark, sf, COVARIANCE).groupBy(*ID).agg(F.slice(F.sort_array(F.collect_list(r("trust")), asc=False), 1, 3).alias("best"))
     return d.select(*ID, F.posexplode("best").alias("place", "score")).select(*ID, F.col("place").cast("long").alias("place"), "score")
 
 
@@ -360,6 +368,36 @@ st AS MATERIALIZED (SELECT *, CASE WHEN sp IS NULL THEN 0 WHEN eu >= sp THEN 1 E
 FORWARD = f"""WITH RECURSIVE {STEPS}, v AS (SELECT traj_id, seq, cand, edge_id, ln(ep) AS cumu, ep AS f FROM whole WHERE seq = 0
   UNION ALL SELECT st.traj_id, st.seq, st.cand_b, any_value(st.edge_id_b), max(v.cumu + ln(st.tp) + ln(st.ep_b)), sum(v.f * st.tp * st.ep_b) FROM v JOIN st ON st.traj_id = v.traj_id AND st.seq = v.seq + 1 AND st.cand_a = v.cand WHERE st.tp > 0 GROUP BY 1, 2, 3)"""
 T = f"WITH {demo.CANDIDATES}"
+# candidates under a point's covariance: operations in the order of the operators', so equal distances stay equal
+PHMI, FLOOR = COVARIANCE.phmi, COVARIANCE.map_sigma**2
+CMM = f"""{demo.POINTS}, {demo.EDGES},
+pairs AS (SELECT p.traj_id, p.seq, p.x, p.y, p.pl, p.sde, p.sdn, p.sdne, e.edge_id, e.source, e.target, e.length, x1, y1, x2, y2, x2 - x1 AS ux, y2 - y1 AS uy, p.x - x1 AS vx, p.y - y1 AS vy FROM points p, edges e),
+feet AS (SELECT *, least(1::DOUBLE, greatest(0::DOUBLE, (vx * ux + vy * uy) / (ux * ux + uy * uy))) AS share FROM pairs),
+plain AS (SELECT *, sqrt((x1 + share * ux - x) * (x1 + share * ux - x) + (y1 + share * uy - y) * (y1 + share * uy - y)) AS near FROM feet),
+ranges AS (SELECT traj_id, seq, CASE WHEN count(*) FILTER (near <= pl) < {COVARIANCE.min_candidates} THEN 2 * any_value(pl) ELSE any_value(pl) END AS radius FROM plain GROUP BY 1, 2),
+ranked AS (SELECT plain.*, radius, row_number() OVER (PARTITION BY traj_id, seq ORDER BY near, edge_id) AS rank FROM plain JOIN ranges USING (traj_id, seq) WHERE near <= radius),
+inverse AS (SELECT *, (sde * sde) * (sdn * sdn) - sdne * sdne AS det FROM ranked WHERE rank <= {COVARIANCE.k}),
+weights AS (SELECT *, (sdn * sdn) / det AS wa, (sde * sde) / det AS wb, -sdne / det AS wc FROM inverse),
+shares AS (SELECT *, least(1::DOUBLE, greatest(0::DOUBLE, (wa * ux * vx + wc * (ux * vy + uy * vx) + wb * uy * vy) / (wa * ux * ux + wc * (ux * uy + uy * ux) + wb * uy * uy))) AS m_share FROM weights),
+moved AS (SELECT *, x - x1 - m_share * ux AS mx, y - y1 - m_share * uy AS my FROM shares),
+three AS (SELECT *, wa * mx * mx + wc * (mx * my + my * mx) + wb * my * my AS metric, sqrt(mx * mx + my * my) AS dist, m_share * sqrt(ux * ux + uy * uy) AS "offset", mx AS dx, my AS dy FROM moved
+  UNION ALL SELECT *, ((sdn * sdn) * vx * vx - 2 * sdne * vx * vy + (sde * sde) * vy * vy) / det, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)), 0, vx, vy FROM moved WHERE sqrt(vx * vx + vy * vy) <= radius
+  UNION ALL SELECT *, ((sdn * sdn) * (x - x2) * (x - x2) - 2 * sdne * (x - x2) * (y - y2) + (sde * sde) * (y - y2) * (y - y2)) / det, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)), length, x - x2, y - y2 FROM moved WHERE sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) <= radius),
+best AS (SELECT * FROM three QUALIFY row_number() OVER (PARTITION BY traj_id, seq, edge_id ORDER BY metric, dist, "offset") = 1),
+picked AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY metric, edge_id) AS cand, sde * sde + {FLOOR}::DOUBLE AS a, sdn * sdn + {FLOOR}::DOUBLE AS b FROM best),
+dense AS (SELECT *, greatest(exp(-0.5 * (ln(2 * pi()) + ln(a * b - sdne * sdne + 1e-12::DOUBLE) + (b * dx * dx - 2 * sdne * dx * dy + a * dy * dy) / (a * b - sdne * sdne))), 2.2250738585072014e-308::DOUBLE) AS density, dist <= pl AS inside FROM picked WHERE cand <= {max(COVARIANCE.k, COVARIANCE.min_candidates)}),
+cmm AS MATERIALIZED (SELECT *, CASE WHEN inside THEN {1 - PHMI}::DOUBLE ELSE {PHMI}::DOUBLE END * density / sum(density) OVER (PARTITION BY traj_id, seq, inside) AS ep FROM dense)"""
+# ways between candidates of successive points, the normalised transitions, and the filter over them
+FILTER = f"""WITH RECURSIVE {CMM}, {demo.OD},
+gone AS (SELECT b.traj_id, b.seq, a.cand AS cand_a, b.cand AS cand_b, b.edge_id AS edge_b, b.ep AS ep_b, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS eu, a.length - a."offset" AS rest, b."offset" AS ob, a."offset" - b."offset" AS back,
+  a.edge_id = b.edge_id AS same, a.target = b.source AS meets, od.cost, (SELECT count(*) FROM od o WHERE o.source = a.target AND o.target = a.source) > 0 AS round, a.length AS la
+  FROM cmm a JOIN cmm b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1 LEFT JOIN od ON od.source = a.target AND od.target = b.source),
+way AS (SELECT *, CASE WHEN same AND back <= 0 THEN -back WHEN same AND back <= greatest(0.15::DOUBLE * la, 1e-7::DOUBLE) THEN 0 WHEN same AND round THEN back WHEN same THEN -1 WHEN meets THEN rest + ob WHEN cost IS NOT NULL THEN cost + rest + ob ELSE -1 END AS sp FROM gone),
+raw AS (SELECT *, CASE WHEN sp < 0 THEN 0 WHEN eu >= sp THEN 1 ELSE eu / sp END AS tp FROM way),
+a AS MATERIALIZED (SELECT *, tp / sum(tp) OVER (PARTITION BY traj_id, seq, cand_a) AS p FROM raw),
+v AS (SELECT traj_id, seq, cand, edge_id, ln(ep) - ln(count(*) OVER (PARTITION BY traj_id)) AS cumu, ep / count(*) OVER (PARTITION BY traj_id) AS f FROM cmm WHERE seq = 0
+  UNION ALL SELECT a.traj_id, a.seq, a.cand_b, any_value(a.edge_b), max(v.cumu + ln(a.p) + ln(a.ep_b)), sum(v.f * a.p * a.ep_b) FROM v JOIN a ON a.traj_id = v.traj_id AND a.seq = v.seq + 1 AND a.cand_a = v.cand WHERE a.p > 0 GROUP BY 1, 2, 3),
+post AS (SELECT *, f / sum(f) OVER (PARTITION BY traj_id, seq) AS trust FROM v)"""
 P, SP = f"WITH {demo.POINTS}", f"WITH {demo.POINTS}"
 E = f"WITH RECURSIVE {demo.EDGES}"
 
@@ -372,7 +410,7 @@ def _reach(start: str, limit: str, where: str = "true", near: str = "source", fa
 ORACLE_SQL = {
     "spatial_candidate_join": f"{T} SELECT traj_id, seq, edge_id, {sql('dist')} AS dist, {sql(chr(34) + 'offset' + chr(34))} AS \"offset\" FROM cands",
     "knn_candidates": f"{T} SELECT traj_id, seq, cand::BIGINT AS cand, edge_id FROM top",
-    "candidate_complete_trajectories": f"{T} SELECT s.traj_id FROM points s LEFT JOIN (SELECT DISTINCT traj_id, seq FROM close WHERE dist <= 0.09) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2",
+    "candidate_complete_trajectories": f"{T}, p AS (SELECT (traj_id * 1000 + seq // 4)::BIGINT AS piece, traj_id, seq FROM points) SELECT piece AS traj_id FROM p LEFT JOIN (SELECT DISTINCT traj_id, seq FROM close WHERE dist <= 0.09) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2",
     "emission_prob": f"{T} SELECT traj_id, seq, edge_id, {sql('ep')} AS ep FROM top",
     "od_table": f"WITH {demo.EDGES}, {demo.OD} SELECT od.source, od.target, e.target AS next_n, prev_n, next_e, {sql('cost')} AS distance FROM od JOIN edges e ON e.edge_id = next_e",
     "od_path_unroll": f"WITH {demo.EDGES}, {demo.OD} SELECT source, target, array_to_string(path, ',') AS path FROM od",
@@ -406,12 +444,14 @@ ORACLE_SQL = {
     "cmm_cov_floor": f"{P}, c AS (SELECT event_id, sde - 0.055::DOUBLE AS e, sdn - 0.035::DOUBLE AS n, sdne AS c FROM points), k AS (SELECT *, CASE WHEN least(e, n) < 0.03 THEN 0.03::DOUBLE / least(e, n) ELSE 1 END AS k FROM c) SELECT event_id, {sql('CASE WHEN least(e, n) > 0 THEN e * k ELSE 0.03 END')} AS sde, {sql('CASE WHEN least(e, n) > 0 THEN n * k ELSE 0.03 END')} AS sdn, {sql('CASE WHEN least(e, n) > 0 THEN c * k * k ELSE 0 END')} AS sdne FROM k",
     "mahalanobis_projection": f"{P}, c AS (SELECT event_id, x, y, sdn * sdn / d AS a, sde * sde / d AS b, -sdne / d AS c FROM (SELECT *, sde * sde * sdn * sdn - sdne * sdne AS d FROM points)), u AS (SELECT *, greatest(0, least(1, (a * 4 * x + c * (4 * y + 2 * x) + b * 2 * y) / (a * 16 + 2 * c * 8 + b * 4))) AS u FROM c), e AS (SELECT *, x - 4 * u AS ex, y - 2 * u AS ey FROM u) SELECT event_id, round(a * ex * ex + 2 * c * ex * ey + b * ey * ey + 3.7e-5::DOUBLE, 3) AS metric, {sql('sqrt(ex * ex + ey * ey)')} AS dist, {sql('u * sqrt(20::DOUBLE)')} AS \"offset\" FROM e",
     "cmm_log_emission": f"{P}, c AS (SELECT sde * sde + 0.0004::DOUBLE AS a, sdn * sdn + 0.0004::DOUBLE AS b, sdne AS c, (event_id % 7) / 20::DOUBLE AS dy, event_id FROM points), d AS (SELECT *, a * b - c * c AS det FROM c) SELECT event_id, {sql('-0.5 * (ln(2 * pi()) + ln(det + 1e-12::DOUBLE) + (b * 0.01::DOUBLE - 2 * c * 0.1::DOUBLE * dy + a * dy * dy) / det)')} AS log_ep FROM d",
-    "background_state": f"{SP} SELECT traj_id, seq, 0.05::DOUBLE AS off_road FROM points",
-    "phmi_emission_norm": f"{T} SELECT traj_id, seq, edge_id, {sql('CASE WHEN round(dist, 9) <= 0.3 THEN 0.999 ELSE 0.001 END * ep / sum(ep) OVER (PARTITION BY traj_id, seq, round(dist, 9) <= 0.3)')} AS ep FROM top",
-    "softmax_posterior": f"{T} SELECT traj_id, seq, edge_id, {sql('ep / sum(ep) OVER (PARTITION BY traj_id, seq)')} AS p FROM top",
-    "log_sum_exp": f"{T} SELECT traj_id, seq, {sql('ln(sum(ep))')} AS lse FROM top GROUP BY 1, 2",
-    "entropy_bits": f"{T}, q AS (SELECT traj_id, seq, ep / sum(ep) OVER (PARTITION BY traj_id, seq) AS p FROM top) SELECT traj_id, seq, {sql('-sum(p * log2(p))')} AS bits FROM q GROUP BY 1, 2",
-    "top3_scores": f"{T}, q AS (SELECT traj_id, seq, round(ep, 6) AS score, row_number() OVER (PARTITION BY traj_id, seq ORDER BY round(ep, 6) DESC) - 1 AS place FROM top) SELECT traj_id, seq, place::BIGINT AS place, score FROM q WHERE place < 3",
+    "cmm_candidates": f"WITH {CMM} SELECT traj_id, seq, edge_id, cand, {sql('dist')} AS dist, {sql(chr(34) + 'offset' + chr(34))} AS \"offset\" FROM cmm",
+    "cmm_forward": f"{FILTER}, e AS (SELECT traj_id, seq, -sum(trust * log2(trust)) AS entropy FROM post GROUP BY 1, 2) SELECT traj_id, seq, 0::BIGINT AS part, 'SUCCESS' AS status, cand, edge_id, {sql('cumu')} AS cumu, {sql('trust')} AS trust, {sql('entropy')} AS entropy FROM post JOIN e USING (traj_id, seq)",
+    "background_state": f"WITH {CMM} SELECT traj_id, seq, edge_id, {sql('0.95 * ep')} AS ep FROM cmm UNION ALL SELECT DISTINCT traj_id, seq, -1, {sql('0.05')} FROM cmm",
+    "phmi_emission_norm": f"WITH {CMM} SELECT traj_id, seq, edge_id, {sql('ep')} AS ep FROM cmm",
+    "softmax_posterior": f"WITH {CMM} SELECT traj_id, seq, edge_id, {sql('ep / sum(ep) OVER (PARTITION BY traj_id)')} AS p FROM cmm WHERE seq = 0",
+    "log_sum_exp": f"{FORWARD} SELECT traj_id, seq, {sql('ln(sum(f))')} AS lse FROM v GROUP BY 1, 2",
+    "entropy_bits": f"{FILTER} SELECT traj_id, seq, {sql('-sum(trust * log2(trust))')} AS bits FROM post GROUP BY 1, 2",
+    "top3_scores": f"{FILTER}, q AS (SELECT traj_id, seq, {sql('trust')} AS score FROM post), k AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY score DESC) - 1 AS place FROM q) SELECT traj_id, seq, place::BIGINT AS place, score FROM k WHERE place < 3",
 }
 
 QUERIES = {f.__name__: f for f in (
