@@ -98,7 +98,7 @@ CANDIDATES = f"""{POINTS}, {EDGES},
 near AS (SELECT p.*, e.edge_id, e.source, e.target, e.length, greatest(0::DOUBLE, least(1::DOUBLE, (p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1))) AS share, x1, y1, x2, y2 FROM points p, edges e),
 close AS (SELECT *, share * length AS "offset", sqrt((x - x1 - share * (x2 - x1)) ** 2 + (y - y1 - share * (y2 - y1)) ** 2) AS dist FROM near),
 cands AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY round(dist, 9), edge_id) AS cand FROM close WHERE dist <= {RADIUS}),
-top AS MATERIALIZED (SELECT *, exp(-0.5 * (dist / {SIGMA}) ** 2) AS ep FROM cands WHERE cand <= {K})"""
+top AS MATERIALIZED (SELECT *, exp(-0.5 * (round(dist, 9) / {SIGMA}) ** 2) AS ep FROM cands WHERE cand <= {K})"""
 
 #: All pairs of nodes within LIMIT: the first path by edge ids of each number of edges, which are all of length 1.
 OD = "walk1 AS (SELECT source, target, [edge_id] AS path, source AS prev_n FROM edges QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY edge_id) = 1),\n"
