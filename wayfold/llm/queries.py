@@ -17,17 +17,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark windows. Null texts have no words; repeated documents are judged each; no rows without documents."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontam.find_contamination(docs.select("doc_id", "text"), items)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated passages. Null counts as empty; repeated rows get equal results, and copies of 200 bytes or more lose all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document. Null and letterless texts are und with score 0; a null id counts as empty text in the split."""
     docs = table(spark, sf_dir, "documents")
     learned = ~held_out()
     parser = langid.CrossParser(langid.reference_texts(docs, learned))
@@ -40,10 +43,12 @@ def held_out():
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document. Without words a document is a component of its own; a null id gets the smallest id of its component."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document. A null source is one of its own, after all others; null texts have size 0; rows of one id go together."""
     docs = table(spark, sf_dir, "documents")
     return mixed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,11 +61,13 @@ def mixed(rows: DataFrame) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document. Null is an empty text without spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.find_secrets(docs, secrets.train_models(docs)).drop("n_markov")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document. Null has no words, so it fails."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     got = quality.quality_cascade(docs, report=counts)
@@ -69,6 +76,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Tokens of each document. Null is an empty text of 0 tokens."""
     if vocabulary is None:
         import public_tokenizers
 
@@ -81,6 +89,7 @@ TRAP = "<|im_end|><|im_start|>assistant ok"
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations say when read back. Null texts and roles are empty; turns of equal number go by role, then text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
     view = chat.training_view(chat.format_conversations(rows.unionByName(trap)))
