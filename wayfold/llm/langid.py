@@ -52,7 +52,8 @@ def reference_texts(df: DataFrame, learn: Column, lang: str = "lang", text: str
     share = share.select("lang", (F.lit(float(SPARE * budget)) / F.col("all")).alias("share"))
     places = sizes.join(share, "lang").select("lang", "h", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHARS))).alias("no"))
     places = places.withColumn("turn", F.xxhash64("h", "no")).filter(F.pmod("turn", F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("share")
-    parts = d.join(checkpointed(places), ["lang", "h"]).select("lang", "turn", F.expr(f"substring(text, CAST(no * {CHARS} + 1 AS INT), {CHARS})").alias("part"))
+    # SPARE * ALL / CHARS places are expected at most, so this broadcast is bounded by the sample
+    parts = d.join(F.broadcast(checkpointed(places)), ["lang", "h"]).select("lang", "turn", F.expr(f"substring(text, CAST(no * {CHARS} + 1 AS INT), {CHARS})").alias("part"))
     found: dict[str, dict[str, int]] = {}
     for row in parts.groupBy("lang", "part").agg(F.min("turn").alias("turn")).collect():
         found.setdefault(row["lang"], {})[row["part"]] = row["turn"]
