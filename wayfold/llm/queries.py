@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, jaccard, langid, mixing, quality, secrets, suffix_dedup, tokens, toxicity
+from wayfold.llm import chat, clustering, decontam, divergence, jaccard, langid, mixing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
 from wayfold.llm.common import checkpointed, table, word_count
 
 
@@ -104,6 +104,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of each usable vector after five rounds. Unusable vectors are left out; repeated ones each have a row; no vectors give no rows."""
+    return clustering.exponion(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("scanned")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources against sources and against their language. Nulls are empty strings; groups without terms take part; no documents give no rows."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. Without words the fingerprint is zero and linked like any other; a null id gets the smallest id of its component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP6_SQL = f"""
@@ -139,5 +154,44 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM p GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_langid, op5_jaccard, op6_mixing, op7_secrets, op8_quality, op9_tokens, op10_chat)}
-ORACLE_SQL = {"op6_mixing": OP6_SQL, "op10_chat": OP10_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS kept, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+a AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (t.n + v.kept) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.n + v.kept) AS q
+  FROM t JOIN v ON t.lang = v.lang JOIN k ON t.lang = k.lang LEFT JOIN c ON t.lang = c.lang AND t.source = c.source AND k.term = c.term),
+s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p)::BIGINT AS value FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM a WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op11_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds one after another, every distance computed."""
+    parts = [
+        f"e AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        "x AS (SELECT row, unnest(v) AS a, generate_subscripts(v, 1) AS dim FROM e)",
+        f"b AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM e ORDER BY c LIMIT {k})",
+        "c0 AS (SELECT c, unnest(v) AS a, generate_subscripts(v, 1) AS dim FROM b)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS (SELECT row, c, sum((x.a - c{i}.a) * (x.a - c{i}.a))::BIGINT AS d FROM x JOIN c{i} ON x.dim = c{i}.dim GROUP BY row, c)")
+        parts.append(f"n{i} AS (SELECT row, min_by(c, (d, c)) AS c, min(d) AS d FROM d{i} GROUP BY row)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT n.c, x.dim, sum(x.a)::HUGEINT AS s, count(*)::HUGEINT AS n FROM n{i} n JOIN x ON n.row = x.row GROUP BY n.c, x.dim)")
+            parts.append(f"c{i + 1} AS (SELECT o.c, CASE WHEN s.n IS NULL THEN o.a ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END::BIGINT AS a, o.dim FROM c{i} o LEFT JOIN s{i} s ON o.c = s.c AND o.dim = s.dim)")
+    last = f"n{rounds}"
+    parts.append(f"h AS (SELECT c, sha256(string_agg(a::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+SELECT e.vec_id, n.c::INT AS cluster, n.d AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia, (sum(n.d) OVER ())::BIGINT AS inertia, h.centroid_sha256
+FROM {last} n JOIN e ON n.row = e.row JOIN h ON n.c = h.c"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_langid, op5_jaccard, op6_mixing, op7_secrets, op8_quality, op9_tokens, op10_chat, op11_clustering, op12_divergence, op13_simhash)}
+ORACLE_SQL = {"op6_mixing": OP6_SQL, "op10_chat": OP10_SQL, "op11_clustering": op11_sql(), "op12_divergence": OP12_SQL}
