@@ -1,8 +1,7 @@
 """Bounded shortest paths as relational relaxation, and what is built on them.
 
-A state is the best (distance, path) of a source and a node; a round joins the rows that changed last with the
-edges and appends the improvements, so earlier rows are never written again. Work is partitioned by (source, node), so all sources advance together. Ties are
-broken by the path's edge ids in order, which makes every result deterministic.
+All sources advance together (see search.py). Ties are broken by the path's edge ids in order, which makes every
+result deterministic.
 """
 
 from __future__ import annotations
@@ -10,34 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.search import NO_EDGES, Search
 from wayfold.operators.shared import checkpointed
 
-STEPS = "edge_id", "source", "target", "length"
 
+def bounded_paths(edges: DataFrame, sources: DataFrame, limit: float = 1.0, stop_at: DataFrame | None = None, targets: DataFrame | None = None, paths: bool = True) -> DataFrame:
+    """(source, target, distance, path): all nodes within the limit of each source, the source itself included.
 
-def bounded_paths(edges: DataFrame, sources: DataFrame, limit: float, stop_at: DataFrame | None = None) -> DataFrame:
-    """(source, target, distance, path): all nodes within `limit` of each source, the source itself included.
-
-    sources has a column source; stop_at (node), if given, are nodes that are reached but not passed.
+    sources has a column source, and may have one named limit, each source's own (else `limit` holds for all; the
+    largest counts where a source comes twice). stop_at (node), if given, are nodes that are reached but not passed.
+    targets (source, target), if given, are the only pairs that come back, and a source isn't searched from any more
+    once they are all settled. Without paths, only distances are kept.
     """
-    steps = edges.select(F.col("edge_id").alias("e"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("length").alias("w"))
-    none = F.expr("cast(array() as array<bigint>)")
-    start = sources.select("source").distinct().select("source", F.col("source").alias("target"), F.struct(F.lit(0.0).alias("distance"), none.alias("path")).alias("s"))
-    front = checkpointed(start)
-    known = front
-    while True:
-        moving = front if stop_at is None else front.join(stop_at.select(F.col("node").alias("target")), "target", "left_anti")
-        reached = moving.join(steps, moving["target"] == steps["u"]).select(
-            "source", F.col("v").alias("target"), F.struct((F.col("s.distance") + F.col("w")).alias("distance"), F.concat("s.path", F.array(F.col("e").cast("long"))).alias("path")).alias("s")
-        )
-        offered = reached.filter(F.col("s.distance") <= limit).groupBy("source", "target").agg(F.min("s").alias("s"))
-        # a row that was improved later is still in `known`, so an offer has to beat all rows of its nodes
-        had = known.join(offered.select("source", "target"), ["source", "target"], "left_semi").groupBy("source", "target").agg(F.min("s").alias("had"))
-        better = offered.join(had, ["source", "target"], "left").filter("had IS NULL OR s < had").drop("had")
-        front = checkpointed(better)
-        if not front.head(1):
-            return known.groupBy("source", "target").agg(F.min("s").alias("s")).select("source", "target", "s.distance", "s.path")
-        known = known.unionByName(front)
+    unit = F.max("limit") if "limit" in sources.columns else F.lit(float(limit))
+    starts = sources.groupBy("source").agg(unit.alias("unit")).withColumn("node", F.col("source"))
+    wanted = None if targets is None else targets.select("source", F.col("target").alias("node"))
+    if wanted is not None:
+        starts = starts.join(wanted.select("source"), "source", "left_semi")
+    search = Search(edges, starts, paths=paths, stop_at=stop_at, wanted=wanted).to()
+    found = search.reached()
+    if wanted is not None:
+        found = found.join(wanted.distinct(), ["source", "node"], "left_semi")
+    return search.ended(found.withColumnRenamed("node", "target"))
 
 
 def od_table(edges: DataFrame, limit: float, sources: DataFrame | None = None) -> DataFrame:
@@ -50,29 +43,101 @@ def od_table(edges: DataFrame, limit: float, sources: DataFrame | None = None) -
     return out.join(ends, "next_e").join(last, "last_e").select("source", "target", "next_n", "prev_n", "next_e", "distance", "path")
 
 
+def turned(edges: DataFrame) -> DataFrame:
+    """The edges the other way round."""
+    return edges.withColumns({"source": F.col("target"), "target": F.col("source")})
+
+
 def reverse_paths(edges: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
     """(source, target, distance): nodes from which each target is within the limit."""
-    turned = edges.withColumns({"source": F.col("target"), "target": F.col("source")})
-    found = bounded_paths(turned, targets.select(F.col("target").alias("source")), limit)
+    found = bounded_paths(turned(edges), targets.select(F.col("target").alias("source")), limit, paths=False)
     return found.select(F.col("target").alias("source"), F.col("source").alias("target"), "distance")
 
 
-def routed_pairs(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
-    """(source, target, distance, path) of given pairs, however long: the limit is doubled for those still open.
+def two_sided_paths(edges: DataFrame, pairs: DataFrame, radius: float, stats: dict | None = None) -> DataFrame:
+    """(source, target, distance, path) of given pairs, however long, by searches from both ends that meet.
 
-    Ends when all pairs have a way or a search no longer reaches new nodes, so pairs without a way are absent.
+    Both searches go on in circles that double, from all open sources and to all open targets at once. A way of twice
+    the radius or less has an edge from a node within the radius of its source to a node within the radius of its
+    target (or ends within the first), so what meets over such edges settles all pairs up to that length. A pair is
+    also settled, or without a way, once its source or its target has no more to offer. Pairs without a way are
+    absent, and so are pairs of a node with itself. stats, if given, gets rounds and states.
     """
-    open_, found, reach = checkpointed(pairs.select("source", "target").filter("source <> target").distinct()), None, -1
+    open_ = checkpointed(pairs.select("source", "target").filter("source <> target").distinct())
+    ends = {"source": Search(edges, _starts(open_, "source")), "target": Search(turned(edges), _starts(open_, "target"), ("target",))}
+    found = None
     while open_.head(1):
-        ways = checkpointed(bounded_paths(edges, open_.select("source"), limit))
-        done = ways.join(open_, ["source", "target"], "left_semi")
+        beyond = {}
+        for end, search in ends.items():
+            beyond[end] = checkpointed(search.to(radius, open_.select(end).distinct()).parked(open_.select(end).distinct()).groupBy(end, "node").agg(F.min("s").alias("s")))
+        ahead = ends["source"].reached().unionByName(beyond["source"].select("source", "node", "s.distance", "s.path"))
+        back = ends["target"].reached().select("target", "node", F.col("distance").alias("rest"), F.reverse("path").alias("end"))
+        met = open_.join(ahead, "source").join(back, ["target", "node"])
+        way = F.min(F.struct((F.col("distance") + F.col("rest")).alias("distance"), F.concat("path", "end").alias("path"))).alias("s")
+        best = checkpointed(met.groupBy("source", "target").agg(way))
+        over = [open_.join(beyond[end].select(end).distinct(), end, "left_anti") for end in ends]
+        over = over[0].unionByName(over[1]).distinct()
+        done = checkpointed(best.filter(F.col("s.distance") <= 2 * radius).unionByName(best.join(over, ["source", "target"], "left_semi")).distinct())
         found = done if found is None else found.unionByName(done)
-        open_ = checkpointed(open_.join(done, ["source", "target"], "left_anti"))
-        now = ways.join(open_.select("source").distinct(), "source", "left_semi").count()
-        if now == reach:
-            break
-        reach, limit = now, 2 * limit
-    return bounded_paths(edges, pairs.filter("false"), limit) if found is None else found
+        open_ = checkpointed(open_.join(done, ["source", "target"], "left_anti").join(over, ["source", "target"], "left_anti"))
+        radius *= 2
+    if stats is not None and found is not None:
+        stats |= {"rounds": sum(x.rounds for x in ends.values()), "states": sum(x.known().count() for x in ends.values())}
+    if found is None:
+        return pairs.select("source", "target", F.lit(0.0).alias("distance"), F.expr(NO_EDGES).alias("path")).filter("false")
+    for search in ends.values():
+        search.dropped()
+    return found.select("source", "target", "s.distance", "s.path")
+
+
+def _starts(pairs: DataFrame, end: str) -> DataFrame:
+    return pairs.select(end).distinct().withColumn("node", F.col(end))
+
+
+#: Lower bounds are taken this much smaller, against rounding.
+SLACK = 1e-9
+
+
+def goal_directed_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, widening: float = 1.5, stats: dict | None = None) -> DataFrame:
+    """(source, target, distance, path) of given pairs by searches that look towards their goals.
+
+    nodes (node, x, y) give the straight line from a node to the goal, which no way is shorter than. A state is
+    expanded only while its distance and that line are within the pair's limit, which starts as the straight line
+    between both ends and grows by the factor `widening` for pairs still open; a pair's search ends when its goal is
+    settled. Pairs without a way are absent, and so are pairs of a node with itself.
+    """
+    open_ = checkpointed(pairs.select("source", F.col("target").alias("goal")).filter("source <> goal").distinct())
+    place = lambda n, x, y: nodes.select(F.col("node").alias(n), F.col("x").alias(x), F.col("y").alias(y))
+    line = F.sqrt(F.pow(F.col("gx") - F.col("nx"), 2) + F.pow(F.col("gy") - F.col("ny"), 2)) * (1 - SLACK)
+    ahead = lambda d: d.join(place("node", "nx", "ny"), "node").withColumn("h", line).drop("nx", "ny")
+    starts = open_.join(place("goal", "gx", "gy"), "goal").withColumn("node", F.col("source"))
+    first = starts.join(place("node", "nx", "ny"), "node").withColumn("unit", F.greatest(line * (1 + 2 * SLACK), F.lit(1e-9))).drop("nx", "ny")
+    search = Search(edges, first, ("source", "goal"), ahead=ahead, wanted=open_.withColumn("node", F.col("goal")))
+    factor, parts, none = 1.0, [], not open_.head(1)
+    while open_.head(1):
+        search.to(factor, open_)
+        best = search.reached().filter("node = goal").join(open_, ["source", "goal"], "left_semi")
+        unit = first.select("source", "goal", "unit")
+        more = search.parked(open_).select("source", "goal").distinct()
+        over = checkpointed(open_.join(more, ["source", "goal"], "left_anti"))
+        done = checkpointed(best.join(unit, ["source", "goal"]).filter(F.col("distance") <= F.col("unit") * factor).drop("unit").unionByName(best.join(over, ["source", "goal"], "left_semi")).distinct())
+        parts.append(done)
+        open_ = checkpointed(open_.join(done, ["source", "goal"], "left_anti").join(over, ["source", "goal"], "left_anti"))
+        factor *= widening
+    if none:
+        return pairs.select("source", "target", F.lit(0.0).alias("distance"), F.expr(NO_EDGES).alias("path")).filter("false")
+    if stats is not None:
+        stats |= {"rounds": search.rounds, "states": search.known().count()}
+    search.dropped()
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.select("source", F.col("goal").alias("target"), "distance", "path")
+
+
+def routed_pairs(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """(source, target, distance, path) of given pairs, however long; `limit` is the radius that both ends start with."""
+    return two_sided_paths(edges, pairs, limit)
 
 
 def unrolled(od: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,7 +166,7 @@ def edges_within(edges: DataFrame, node: DataFrame, limit: float, backward: bool
     if backward:
         found = reverse_paths(edges, node.select(F.col("node").alias("target")), limit).select(F.col("target").alias("node"), F.col("source").alias("at"), "distance")
     else:
-        found = bounded_paths(edges, node.select(F.col("node").alias("source")), limit).select(F.col("source").alias("node"), F.col("target").alias("at"), "distance")
+        found = bounded_paths(edges, node.select(F.col("node").alias("source")), limit, paths=False).select(F.col("source").alias("node"), F.col("target").alias("at"), "distance")
     return found.join(edges.select("edge_id", F.col(near).alias("at"), "length"), "at").filter(F.col("distance") + F.col("length") <= limit).select("node", "edge_id").distinct()
 
 
