@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.candidates import complete_trajectories, nearest, spatial_candidates
+from wayfold.operators.routing import bounded_paths
 from wayfold.operators.shared import by_trajectory, checkpointed, importable
 
 
@@ -175,21 +176,36 @@ def search_limit(eu: Column, dt: Column, config: MatchConfig) -> Column:
     return F.when(dt.isNull(), eu * config.factor * 4).otherwise(config.factor * config.max_speed * dt)
 
 
-def st_match(points: DataFrame, edges: DataFrame, paths: DataFrame, config: MatchConfig) -> DataFrame:
-    """Matching without a precomputed table: ways within each step's own limit, ties to the later candidate.
+def limited_steps(cands: DataFrame, points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
+    """Pairs of candidates of successive points with sp, which is null where no way is within the step's own limit.
 
-    paths are bounded paths (source, target, distance) at least as long as the largest limit. Pairs without a
-    way get the smallest positive probability, so a trajectory never breaks.
+    The network is searched once from each node that a candidate leads to, no farther than the longest way that any
+    step allows from there, and only until the nodes are settled that the steps from there ask for.
     """
-    cands = layers(points, edges, config)
-    steps = path_lengths(stepped(cands), paths, config.reverse_tolerance)
     times = points.select("traj_id", "seq", "t") if "t" in points.columns else points.select("traj_id", "seq", F.lit(None).cast("double").alias("t"))
     before = times.select("traj_id", (F.col("seq") + 1).alias("seq"), F.col("t").alias("t_a"))
-    steps = steps.join(times, ["traj_id", "seq"]).join(before, ["traj_id", "seq"])
-    limit = search_limit(F.col("eu"), F.col("t") - F.col("t_a"), config)
-    far = F.lit(1.7976931348623157e308)
-    sp = F.when(F.col("sp") <= limit, F.col("sp")).otherwise(far)
-    steps = steps.withColumn("sp", sp).withColumn("tp", transition(F.col("sp"), F.col("eu")))
+    steps = stepped(cands).join(times, ["traj_id", "seq"]).join(before, ["traj_id", "seq"])
+    steps = checkpointed(steps.withColumn("limit", search_limit(F.col("eu"), F.col("t") - F.col("t_a"), config)).drop("t", "t_a"))
+    ahead = (F.col("edge_id_a") == F.col("edge_id_b")) & (F.col("offset_a") <= F.col("offset_b"))
+    asked = steps.filter(~ahead & (F.col("target_a") != F.col("source_b"))).select(
+        F.col("target_a").alias("source"), F.col("source_b").alias("target"), (F.col("limit") - (F.col("length_a") - F.col("offset_a")) - F.col("offset_b")).alias("limit")
+    )
+    asked = checkpointed(asked.groupBy("source", "target").agg(F.max("limit").alias("limit")).filter("limit >= 0"))
+    # a little farther, as sums of lengths round differently from one end and the other
+    sources = asked.groupBy("source").agg((F.max("limit") * (1 + 1e-9) + 1e-9).alias("limit"))
+    ways = bounded_paths(edges, sources, targets=asked, paths=False)
+    steps = path_lengths(steps, ways, config.reverse_tolerance)
+    return steps.withColumn("sp", F.when(F.col("sp") <= F.col("limit"), F.col("sp")))
+
+
+def st_match(points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
+    """Matching without a precomputed table: ways within each step's own limit, ties to the later candidate.
+
+    Pairs without a way get the smallest positive probability, so a trajectory never breaks.
+    """
+    cands = layers(points, edges, config)
+    sp = F.coalesce("sp", F.lit(1.7976931348623157e308))
+    steps = limited_steps(cands, points, edges, config).withColumn("sp", sp).withColumn("tp", transition(F.col("sp"), F.col("eu")))
     return folded(cands, steps, later_wins=True, stop_when_cut=False)
 
 

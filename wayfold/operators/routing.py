@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.path_table import od_rows
 from wayfold.operators.search import NO_EDGES, Search
 from wayfold.operators.shared import checkpointed
 
@@ -36,11 +37,7 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, limit: float = 1.0, stop
 def od_table(edges: DataFrame, limit: float, sources: DataFrame | None = None) -> DataFrame:
     """Origin-destination rows (source, target, next_n, prev_n, next_e, distance, path) of different nodes within the limit."""
     starts = edges.select("source").distinct() if sources is None else sources
-    paths = bounded_paths(edges, starts, limit).filter("source <> target")
-    ends = edges.select(F.col("edge_id").cast("long").alias("next_e"), F.col("target").alias("next_n"))
-    last = edges.select(F.col("edge_id").cast("long").alias("last_e"), F.col("source").alias("prev_n"))
-    out = paths.withColumn("next_e", F.element_at("path", 1)).withColumn("last_e", F.element_at("path", -1))
-    return out.join(ends, "next_e").join(last, "last_e").select("source", "target", "next_n", "prev_n", "next_e", "distance", "path")
+    return od_rows(bounded_paths(edges, starts, limit).filter("source <> target"), edges)
 
 
 def turned(edges: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators.shared import checkpointed, deleted, shared_folder
+from wayfold.operators.shared import checkpointed, deleted, exists, shared_folder
 
 NO_EDGES = "cast(array() as array<bigint>)"
 
@@ -31,13 +31,20 @@ class Search:
     def __init__(self, edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ("source",), paths: bool = True, ahead: Callable[[DataFrame], DataFrame] | None = None, stop_at: DataFrame | None = None, wanted: DataFrame | None = None):
         self.spark, self.keys, self.at, self.paths, self.stop_at = edges.sparkSession, list(keys), [*keys, "node"], paths, stop_at
         self.ahead = ahead or (lambda d: d.withColumn("h", F.lit(0.0)))
-        self.steps = edges.select(F.col("edge_id").cast("long").alias("e"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("length").alias("w"))
+        self.steps = steps_of(edges)
         starts = starts if "unit" in starts.columns else starts.withColumn("unit", F.lit(1.0))
         self.along = [c for c in starts.columns if c not in self.at]
-        self.starts = self.ahead(starts.withColumn("s", self.state(F.lit(0.0), F.expr(NO_EDGES))))
+        self.starts = self.begun(starts)
         self.wanted = None if wanted is None else checkpointed(wanted.select(*self.at).distinct().withColumn("best", F.lit(float("inf"))))
-        self.name, self.path = f"wayfold_search_{uuid.uuid4().hex}", f"{shared_folder(self.spark)}/search-{uuid.uuid4().hex}"
         self.rounds, self.factor = 0, None
+        self.rename()
+
+    def rename(self) -> None:
+        mark = uuid.uuid4().hex
+        self.name, self.path = f"wayfold_search_{mark}", f"{shared_folder(self.spark)}/search-{mark}"
+
+    def begun(self, starts: DataFrame) -> DataFrame:
+        return self.ahead(starts.withColumn("s", self.state(F.lit(0.0), F.expr(NO_EDGES))))
 
     def state(self, distance: Column, path: Column) -> Column:
         return F.struct(distance.alias("distance"), path.alias("path")) if self.paths else F.struct(distance.alias("distance"))
@@ -46,13 +53,13 @@ class Search:
         """All states that were ever the best ones."""
         return self.spark.table(self.name)
 
-    def stored(self, better: DataFrame) -> DataFrame:
-        """Appends the states of a round, and reads just these."""
+    def stored(self, better: DataFrame) -> DataFrame | None:
+        """Appends the states of a round, and reads just these; None if there are none."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         better.withColumn("round", F.lit(self.rounds)).write.partitionBy("round").bucketBy(n, *self.at).option("path", self.path).mode("append").saveAsTable(self.name)
         front = self.known().filter(F.col("round") == self.rounds).drop("round")
         self.rounds += 1
-        return front
+        return front if exists(self.spark, f"{self.path}/round={self.rounds - 1}") else None
 
     def better(self, offers: DataFrame) -> DataFrame:
         """Of each start and node the best offer, if it beats all states there."""
@@ -81,7 +88,7 @@ class Search:
 
     def parked(self, only: DataFrame | None = None) -> DataFrame:
         """Offers beyond the limit so far. only: the starts (keys) that still count."""
-        states = self.starts if self.factor is None else self.known().groupBy(*self.at).agg(F.min("s").alias("s"), *(F.first(c).alias(c) for c in ("h", *self.along)))
+        states = self.starts if self.factor is None else self.best()
         if only is not None:
             states = states.join(only, self.keys, "left_semi")
         return states if self.factor is None else self.expanded(states).filter(~self.within(self.factor))
@@ -91,13 +98,39 @@ class Search:
 
     def to(self, factor: float = 1.0, only: DataFrame | None = None) -> Search:
         """Carries on until every start has all nodes within unit * factor."""
-        offers = self.parked(only).filter(self.within(factor))
+        offers, self.factor = self.parked(only), factor
+        return self.relaxed(offers)
+
+    def relaxed(self, offers: DataFrame) -> Search:
+        """Takes up offers, and what follows from them within the limit."""
         while True:
-            front = self.stored(self.better(offers))
-            if not front.head(1):
-                self.factor = factor
+            front = self.stored(self.better(offers.filter(self.within(self.factor))))
+            if front is None:
                 return self
-            offers = self.expanded(self.open_only(front)).filter(self.within(factor))
+            offers = self.expanded(self.open_only(front))
+
+    def best(self) -> DataFrame:
+        """The best state of each start and node with all its columns; states of a start and node lie in one bucket."""
+        return self.known().groupBy(*self.at).agg(F.min("s").alias("s"), *(F.first(c).alias(c) for c in ("h", *self.along)))
+
+    def add_edges(self, more: DataFrame) -> Search:
+        """Repairs all states after more edges: only what these offer, and what follows from that, is worked out."""
+        every, self.steps = self.steps, steps_of(more)
+        offers = self.expanded(self.best())
+        self.steps = every.unionByName(self.steps)
+        return self.relaxed(offers)
+
+    def add_starts(self, more: DataFrame) -> Search:
+        """Searches from further starts, too (columns as at the beginning)."""
+        return self.relaxed(self.begun(more))
+
+    def compacted(self) -> None:
+        """Writes the best states anew, without those that they superseded."""
+        name, path, best = self.name, self.path, self.best()
+        self.rename()
+        self.rounds = 0
+        self.stored(best)
+        drop(self.spark, name, path)
 
     def reached(self) -> DataFrame:
         """(keys, node, distance[, path]): the best state of each start and node."""
@@ -111,5 +144,14 @@ class Search:
         return done
 
     def dropped(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        deleted(self.spark, self.path)
+        drop(self.spark, self.name, self.path)
+
+
+def steps_of(edges: DataFrame) -> DataFrame:
+    """What a round needs of the edges, worked out once."""
+    return checkpointed(edges.select(F.col("edge_id").cast("long").alias("e"), F.col("source").alias("u"), F.col("target").alias("v"), F.col("length").alias("w")))
+
+
+def drop(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    deleted(spark, path)

@@ -40,6 +40,11 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
 def by_trajectory(df: DataFrame, key: str = "traj_id") -> DataFrame:
     """Dealt out by trajectory to at least one partition per core.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
 from wayfold.operators import alignment, candidates, covariance, evaluation, matching, network, paths, routing
+from wayfold.operators.path_table import PathTable, faults
 from wayfold.operators.shared import checkpointed
 from wayfold.plans import demo
 from wayfold.plans.checks import r, sql
@@ -76,6 +77,23 @@ def od_table(spark: Spark, sf: str) -> Frame:
     return _od(spark, sf).select("source", "target", "next_n", "prev_n", "next_e", r("distance").alias("distance"))
 
 
+def od_incremental(spark: Spark, sf: str) -> Frame:
+    """The path table of four fifths of the edges, repaired after the last fifth is added."""
+    e = demo.edges(spark, sf)
+    table = PathTable(e.filter("edge_id % 5 <> 0"), demo.LIMIT)
+    table.add_edges(e.filter("edge_id % 5 = 0"))
+    done = table.search.ended(table.ways())
+    return done.select("source", "target", r("distance").alias("distance"), F.size("path").cast("long").alias("edges"))
+
+
+def od_faults(spark: Spark, sf: str) -> Frame:
+    """What is wrong with a path table of which some rows were spoilt."""
+    s, t = F.col("source"), F.col("target")
+    od = _od(spark, sf).drop("path")
+    spoilt = od.withColumn("distance", F.when((s + t) % 17 == 0, F.col("distance") + 1).otherwise(F.col("distance"))).withColumn("next_e", F.when((s * 3 + t) % 23 == 0, -1).otherwise(F.col("next_e")))
+    return faults(spoilt.withColumn("prev_n", F.when((s + 2 * t) % 29 == 0, F.lit(None)).otherwise(F.col("prev_n"))), demo.edges(spark, sf))
+
+
 def od_path_unroll(spark: Spark, sf: str) -> Frame:
     od = _od(spark, sf)
     d = routing.unrolled(od.drop("path"), od.select("source", "target"))
@@ -155,9 +173,13 @@ def viterbi_opath(spark: Spark, sf: str) -> Frame:
     return d.groupBy("traj_id").agg(F.count("*").alias("n"), r(F.sum(value)).alias("log_p"))
 
 
+def _texts(*names: str) -> list:
+    return [F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in names]
+
+
 def complete_path(spark: Spark, sf: str) -> Frame:
     d = _paths(*_matched(spark, sf))
-    return d.select("traj_id", F.size("opath").cast("long").alias("points"), F.size("cpath").cast("long").alias("edges"))
+    return d.select("traj_id", F.size("opath").cast("long").alias("points"), F.size("cpath").cast("long").alias("edges"), *_texts("opath", "cpath", "indices"))
 
 
 def tpath(spark: Spark, sf: str) -> Frame:
@@ -165,21 +187,23 @@ def tpath(spark: Spark, sf: str) -> Frame:
 
 
 def matched_geometry(spark: Spark, sf: str) -> Frame:
+    """The vertices of each trajectory's matched line."""
     m, od = _matched(spark, sf)
     ends = m.filter("chosen").groupBy("traj_id").agg(F.min_by("offset", "seq").alias("first_offset"), F.max_by("offset", "seq").alias("last_offset"))
-    return paths.geometry(_paths(m, od), demo.edges(spark, sf), ends).select("traj_id", G.to_wkt("mgeom").alias("mgeom"))
+    d = paths.geometry(_paths(m, od), demo.edges(spark, sf), ends).select("traj_id", F.posexplode("mgeom").alias("place", "p"))
+    return d.select("traj_id", F.col("place").cast("long").alias("place"), r("p.x").alias("x"), r("p.y").alias("y"))
 
 
 def match_rows_point_mode(spark: Spark, sf: str) -> Frame:
     m, od = _matched(spark, sf)
-    return paths.point_rows(m, _paths(m, od), demo.points(spark, sf))
+    d = paths.point_rows(m, _paths(m, od), demo.points(spark, sf))
+    return d.withColumns({c: r(c) for c in ("x", "y", "ep", "tp", "sp", "eu", "cumu", "trust", "dist", "offset")})
 
 
 def match_rows_trajectory_mode(spark: Spark, sf: str) -> Frame:
     m, od = _matched(spark, sf)
-    scores = m.filter("chosen").groupBy("traj_id").agg(F.max_by("cumu", "seq").alias("cumu"), F.avg("trust").alias("trust"))
-    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
-    return _paths(m, od).join(scores, "traj_id").select("traj_id", text("opath"), text("cpath"), text("indices"), "cumu", "trust")
+    scores = m.filter("chosen").groupBy("traj_id").agg(r(F.max_by("cumu", "seq")).alias("cumu"), r(F.avg("trust")).alias("trust"))
+    return _paths(m, od).join(scores, "traj_id").select("traj_id", *_texts("opath", "cpath", "indices"), "cumu", "trust")
 
 
 def match_summary(spark: Spark, sf: str) -> Frame:
@@ -220,31 +244,35 @@ def stmatch_delta(spark: Spark, sf: str) -> Frame:
     return d.filter("seq > 0").select(*ID, F.round(matching.search_limit(F.col("eu"), F.col("dt"), CONFIG), 4).alias("delta"))
 
 
-def _st(spark: Spark, sf: str) -> Frame:
-    e = demo.edges(spark, sf)
-    ways = routing.bounded_paths(e, e.select("source"), demo.LIMIT).filter("source <> target").drop("path")
-    cands = _whole(spark, sf)
-    steps = matching.path_lengths(matching.stepped(cands), ways, 0.0).withColumn("limit", matching.search_limit(F.col("eu"), F.lit(None).cast("double"), CONFIG))
-    return steps.withColumn("sp", F.when(F.col("sp") <= F.col("limit"), F.col("sp")))
+def stmatch_distances(spark: Spark, sf: str) -> Frame:
+    """Ways between candidates of successive points without times, each within its step's own limit."""
+    p = demo.points(spark, sf).drop("t")
+    d = matching.limited_steps(_whole(spark, sf), p, demo.edges(spark, sf), CONFIG)
+    return d.select(*ID, "edge_id_a", "edge_id_b", r(F.coalesce("sp", F.lit(-1.0))).alias("sp"))
 
 
-def stmatch_distances(spark: Spark, sf: str) -> Frame:
-    return _st(spark, sf).select(*ID, "edge_id_a", "edge_id_b", r(F.coalesce("sp", F.lit(-1.0))).alias("sp"))
+def stmatch_viterbi(spark: Spark, sf: str) -> Frame:
+    d = matching.st_match(demo.points(spark, sf).drop("t"), demo.edges(spark, sf), CONFIG)
+    return d.filter("chosen").select(*ID, "edge_id", r("ep").alias("ep"), r("cumu").alias("cumu"))
 
 
-def _ways(spark: Spark, sf: str, p: Frame) -> Frame:
-    """Ways as long as the largest search limit of any step between points without times."""
-    e, w = demo.edges(spark, sf), Window.partitionBy("traj_id").orderBy("seq")
-    eu = G.distance(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y"))
-    limits = p.select(matching.search_limit(eu, F.lit(None).cast("double"), CONFIG).alias("limit"))
-    most = limits.agg(F.max("limit")).first()[0] or 0.0
-    return routing.bounded_paths(e, e.select("source"), most).filter("source <> target").drop("path")
+def _pairs(spark: Spark, sf: str) -> Frame:
+    """Pairs of nodes across the whole lattice: each node with one drawn from its own number."""
+    n = demo.nodes(spark, sf)
+    count = n.count()
+    return n.select(F.col("node").alias("source"), ((F.col("node") * 37 + 11) % count).alias("target"))
 
 
-def stmatch_viterbi(spark: Spark, sf: str) -> Frame:
-    p = demo.points(spark, sf).drop("t")
-    d = matching.st_match(p, demo.edges(spark, sf), _ways(spark, sf, p), CONFIG)
-    return d.filter("chosen").select(*ID, "edge_id", r("ep").alias("ep"), "cumu")
+def bidirectional_paths(spark: Spark, sf: str) -> Frame:
+    """Pairs across the network by searches from both ends."""
+    d = routing.two_sided_paths(demo.edges(spark, sf), _pairs(spark, sf), 2.0)
+    return d.select("source", "target", r("distance").alias("distance"), F.size("path").cast("long").alias("edges"))
+
+
+def goal_directed_paths(spark: Spark, sf: str) -> Frame:
+    """The same pairs by searches towards their goals."""
+    d = routing.goal_directed_paths(demo.edges(spark, sf), demo.nodes(spark, sf), _pairs(spark, sf))
+    return d.select("source", "target", r("distance").alias("distance"), F.size("path").cast("long").alias("edges"))
 
 
 def composite_graph_edges(spark: Spark, sf: str) -> Frame:
@@ -319,7 +347,8 @@ def cmm_forward(spark: Spark, sf: str) -> Frame:
 def lag_smoothing(spark: Spark, sf: str) -> Frame:
     from dataclasses import replace
 
-    return _cmm(spark, sf, replace(COVARIANCE, lag_steps=2))
+    d = _cmm(spark, sf, replace(COVARIANCE, lag_steps=2))
+    return d.select(*ID, F.col("cand").cast("long").alias("cand"), "edge_id", r("trust").alias("trust"), r("entropy").alias("entropy"))
 
 
 def background_state(spark: Spark, sf: str) -> Frame:
@@ -337,8 +366,8 @@ def phmi_emission_norm(spark: Spark, sf: str) -> Frame:
 
 
 def softmax_posterior(spark: Spark, sf: str) -> Frame:
-    """Posteriors of the filter at each trajectory's first point, where they are the softmax of the emissions."""
-    return _cmm(spark, sf, COVARIANCE).filter("seq = 0").select(*ID, "edge_id", r("trust").alias("p"))
+    """Posteriors of the filter at every point: the softmax of the forward values."""
+    return _cmm(spark, sf, COVARIANCE).select(*ID, "edge_id", r("trust").alias("p"))
 
 
 def log_sum_exp(spark: Spark, sf: str) -> Frame:
@@ -398,6 +427,46 @@ a AS MATERIALIZED (SELECT *, tp / sum(tp) OVER (PARTITION BY traj_id, seq, cand_
 v AS (SELECT traj_id, seq, cand, edge_id, ln(ep) - ln(count(*) OVER (PARTITION BY traj_id)) AS cumu, ep / count(*) OVER (PARTITION BY traj_id) AS f FROM cmm WHERE seq = 0
   UNION ALL SELECT a.traj_id, a.seq, a.cand_b, any_value(a.edge_b), max(v.cumu + ln(a.p) + ln(a.ep_b)), sum(v.f * a.p * a.ep_b) FROM v JOIN a ON a.traj_id = v.traj_id AND a.seq = v.seq + 1 AND a.cand_a = v.cand WHERE a.p > 0 GROUP BY 1, 2, 3),
 post AS (SELECT *, f / sum(f) OVER (PARTITION BY traj_id, seq) AS trust FROM v)"""
+# the chosen candidates (of equal predecessors the first), and the edges that they enter
+BEST = f"""{FORWARD}, b AS (SELECT traj_id, seq, cand, ln(ep) AS cumu, [cand] AS way FROM whole WHERE seq = 0
+  UNION ALL SELECT st.traj_id, st.seq, st.cand_b, max(b.cumu + ln(st.tp) + ln(st.ep_b)), max_by(list_append(b.way, st.cand_b), (b.cumu + ln(st.tp) + ln(st.ep_b), -b.cand)) FROM b JOIN st ON st.traj_id = b.traj_id AND st.seq = b.seq + 1 AND st.cand_a = b.cand WHERE st.tp > 0 GROUP BY 1, 2, 3),
+ends AS (SELECT traj_id, max(seq) AS seq FROM points GROUP BY 1),
+ways AS (SELECT traj_id, max_by(way, (cumu, -cand)) AS way FROM b JOIN ends USING (traj_id, seq) GROUP BY 1),
+chosen AS (SELECT traj_id, unnest(way) AS cand, generate_subscripts(way, 1) - 1 AS seq FROM ways),
+picked AS (SELECT w.* FROM chosen JOIN whole w USING (traj_id, seq, cand)),
+linked AS (SELECT *, lag(cand) OVER w AS cand_a, lag(edge_id) OVER w AS edge_a, lag(target) OVER w AS target_a, lag("offset") OVER w AS offset_a FROM picked WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+entered AS (SELECT l.*, CASE WHEN edge_a IS NULL THEN [l.edge_id] WHEN l.edge_id = edge_a AND offset_a <= l."offset" THEN []::BIGINT[] WHEN l.edge_id = edge_a OR target_a = l.source THEN [l.edge_id] ELSE list_append(od.path, l.edge_id) END AS step FROM linked l LEFT JOIN od ON od.source = l.target_a AND od.target = l.source),
+placed AS (SELECT *, (sum(len(step)) OVER (PARTITION BY traj_id ORDER BY seq) - 1)::BIGINT AS place FROM entered),
+whole_paths AS (SELECT traj_id, list(edge_id ORDER BY seq) AS opath, flatten(list(step ORDER BY seq)) AS cpath, list(place ORDER BY seq) AS indices, arg_min("offset", seq) AS first_offset, arg_max("offset", seq) AS last_offset FROM placed GROUP BY 1)"""
+LISTS = "array_to_string(opath, ',') AS opath, array_to_string(cpath, ',') AS cpath, array_to_string(indices, ',') AS indices"
+# each chosen candidate with the values of its best transition
+SCORED = f"""{BEST}, sums AS (SELECT traj_id, seq, sum(f) AS f FROM v GROUP BY 1, 2),
+scored AS (SELECT p.*, coalesce(st.tp, 0) AS tp, coalesce(st.sp, 0) AS sp, coalesce(st.eu, 0) AS eu, v.cumu, exp(v.cumu) / sums.f AS trust FROM placed p JOIN v USING (traj_id, seq, cand) JOIN sums USING (traj_id, seq)
+  LEFT JOIN st ON st.traj_id = p.traj_id AND st.seq = p.seq AND st.cand_a = p.cand_a AND st.cand_b = p.cand)"""
+# without times a step's ways may be six times as long as the step; the later one of equal predecessors counts
+REACH = f"""WITH RECURSIVE {WHOLE}, most AS (SELECT ceil(6 * max(sqrt((x - px) ** 2 + (y - py) ** 2))) AS most FROM (SELECT x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) q),
+walk AS (SELECT DISTINCT source, source AS node, 0 AS d FROM edges UNION SELECT k.source, e.target, k.d + 1 FROM walk k JOIN edges e ON e.source = k.node WHERE k.d < (SELECT most FROM most)),
+far AS MATERIALIZED (SELECT source, node AS target, min(d)::DOUBLE AS cost FROM walk GROUP BY 1, 2),
+st0 AS (SELECT b.traj_id, b.seq, a.edge_id AS edge_id_a, b.edge_id AS edge_id_b, a.cand AS cand_a, b.cand AS cand_b, b.ep AS ep_b, a.target AS target_a, b.source AS source_b, a."offset" AS oa, b."offset" AS ob, a.length AS la,
+  sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS eu FROM whole a JOIN whole b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1),
+st1 AS (SELECT st0.*, CASE WHEN edge_id_a = edge_id_b AND oa <= ob THEN ob - oa WHEN target_a = source_b THEN la - oa + ob WHEN far.cost IS NOT NULL THEN far.cost + la - oa + ob END AS sp FROM st0 LEFT JOIN far ON far.source = target_a AND far.target = source_b),
+st2 AS (SELECT *, CASE WHEN sp <= eu * 6 THEN sp ELSE 1.7976931348623157e308::DOUBLE END AS way FROM st1),
+st AS MATERIALIZED (SELECT *, CASE WHEN eu >= way THEN 1 ELSE eu / way END AS tp FROM st2)"""
+LATER = f"""{REACH}, b AS (SELECT traj_id, seq, cand, ln(ep) AS cumu, [cand] AS way, [ln(ep)] AS values FROM whole WHERE seq = 0
+  UNION ALL SELECT st.traj_id, st.seq, st.cand_b, max(b.cumu + ln(st.tp) + ln(st.ep_b)), max_by(list_append(b.way, st.cand_b), (b.cumu + ln(st.tp) + ln(st.ep_b), b.cand)), max_by(list_append(b.values, b.cumu + ln(st.tp) + ln(st.ep_b)), (b.cumu + ln(st.tp) + ln(st.ep_b), b.cand))
+  FROM b JOIN st ON st.traj_id = b.traj_id AND st.seq = b.seq + 1 AND st.cand_a = b.cand WHERE st.tp > 0 GROUP BY 1, 2, 3),
+ends AS (SELECT traj_id, max(seq) AS seq FROM points GROUP BY 1),
+ways AS (SELECT traj_id, max_by(way, (cumu, -cand)) AS way, max_by(values, (cumu, -cand)) AS values FROM b JOIN ends USING (traj_id, seq) GROUP BY 1),
+chosen AS (SELECT traj_id, unnest(way) AS cand, unnest(values) AS cumu, generate_subscripts(way, 1) - 1 AS seq FROM ways)"""
+#: Smoothing over two points ahead: the best continuation of each candidate, from the raw transitions.
+SMOOTH = f"""{FILTER}, one AS (SELECT traj_id, seq - 1 AS seq, cand_a AS cand, max(ln(tp) + ln(ep_b)) AS one FROM raw WHERE tp > 0 GROUP BY 1, 2, 3),
+two AS (SELECT a.traj_id, a.seq - 1 AS seq, a.cand_a AS cand, max(ln(a.tp) + ln(a.ep_b) + o.one) AS two FROM raw a JOIN one o ON o.traj_id = a.traj_id AND o.seq = a.seq AND o.cand = a.cand_b WHERE a.tp > 0 GROUP BY 1, 2, 3),
+size AS (SELECT traj_id, max(seq) AS last FROM v GROUP BY 1),
+score AS (SELECT v.traj_id, v.seq, v.cand, v.edge_id, post.trust AS own, size.last, CASE WHEN v.seq = size.last - 1 THEN v.cumu + one ELSE v.cumu + two END AS score FROM v JOIN size USING (traj_id) JOIN post USING (traj_id, seq, cand) LEFT JOIN one USING (traj_id, seq, cand) LEFT JOIN two USING (traj_id, seq, cand)),
+soft AS (SELECT *, coalesce(exp(score - max(score) OVER w), 0) AS e FROM score WINDOW w AS (PARTITION BY traj_id, seq)),
+smooth AS (SELECT traj_id, seq, cand, edge_id, CASE WHEN seq = last THEN own ELSE e / sum(e) OVER (PARTITION BY traj_id, seq) END AS trust FROM soft)"""
+PAIRS = "pairs AS (SELECT s_suppkey AS source, (s_suppkey * 37 + 11) % (SELECT count(*) FROM supplier) AS target FROM supplier)"
+ROUTED = f"WITH RECURSIVE {demo.EDGES}, {PAIRS}, walk AS (SELECT DISTINCT source, source AS node, 0 AS d FROM pairs UNION SELECT k.source, e.target, k.d + 1 FROM walk k JOIN edges e ON e.source = k.node WHERE k.d < (SELECT count(*) FROM supplier) // {demo.WIDTH} + 2 * {demo.WIDTH}) SELECT p.source, p.target, {sql('min(d)')} AS distance, min(d)::BIGINT AS edges FROM pairs p JOIN walk k ON k.source = p.source AND k.node = p.target WHERE p.source <> p.target GROUP BY 1, 2"
 P, SP = f"WITH {demo.POINTS}", f"WITH {demo.POINTS}"
 E = f"WITH RECURSIVE {demo.EDGES}"
 
@@ -413,6 +482,13 @@ ORACLE_SQL = {
     "candidate_complete_trajectories": f"{T}, p AS (SELECT (traj_id * 1000 + seq // 4)::BIGINT AS piece, traj_id, seq FROM points) SELECT piece AS traj_id FROM p LEFT JOIN (SELECT DISTINCT traj_id, seq FROM close WHERE dist <= 0.09) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2",
     "emission_prob": f"{T} SELECT traj_id, seq, edge_id, {sql('ep')} AS ep FROM top",
     "od_table": f"WITH {demo.EDGES}, {demo.OD} SELECT od.source, od.target, e.target AS next_n, prev_n, next_e, {sql('cost')} AS distance FROM od JOIN edges e ON e.edge_id = next_e",
+    "od_incremental": f"WITH {demo.EDGES}, {demo.OD} SELECT source, target, {sql('cost')} AS distance, len(path) AS edges FROM od",
+    "od_faults": f"""WITH {demo.EDGES}, {demo.OD}, rows AS (SELECT od.source, od.target, e.target AS next_n, CASE WHEN (od.source + 2 * od.target) % 29 = 0 THEN NULL ELSE prev_n END AS prev_n,
+  CASE WHEN (od.source * 3 + od.target) % 23 = 0 THEN -1 ELSE next_e END AS next_e, cost + CASE WHEN (od.source + od.target) % 17 = 0 THEN 1 ELSE 0 END AS distance FROM od JOIN edges e ON e.edge_id = next_e),
+f AS (SELECT r.*, e.source AS es, e.target AS et, e.length AS el, CASE WHEN r.next_n = r.target THEN 0 ELSE n.distance END AS rest FROM rows r LEFT JOIN edges e ON e.edge_id = r.next_e LEFT JOIN rows n ON n.source = r.next_n AND n.target = r.target)
+SELECT source, target, 'null' AS fault FROM f WHERE prev_n IS NULL UNION ALL SELECT source, target, 'first edge' FROM f WHERE prev_n IS NOT NULL AND (es IS NULL OR es <> source OR et <> next_n)
+UNION ALL SELECT source, target, 'last node' FROM f WHERE prev_n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = prev_n AND e.target = f.target)
+UNION ALL SELECT source, target, 'rest' FROM f WHERE prev_n IS NOT NULL AND NOT coalesce(abs(el + rest - distance) <= 1e-6, false)""",
     "od_path_unroll": f"WITH {demo.EDGES}, {demo.OD} SELECT source, target, array_to_string(path, ',') AS path FROM od",
     "od_source_index": f"WITH {demo.EDGES}, {demo.OD} SELECT source, count(*)::BIGINT AS rows FROM od GROUP BY 1",
     "partial_od_semi_join": f"WITH {demo.EDGES}, {demo.OD}, n AS (SELECT unnest([source, target]) AS n FROM edges WHERE least(x1, x2) <= 2.5 AND greatest(x1, x2) >= 0.5 AND least(y1, y2) <= 1.5 AND greatest(y1, y2) >= 0) SELECT source, target FROM od WHERE source IN (SELECT n FROM n)",
@@ -435,7 +511,20 @@ ORACLE_SQL = {
     "matched_edges_semi_join": f"{T} SELECT edge_id, source, target FROM edges WHERE edge_id IN (SELECT edge_id FROM top)",
     "edge_match_with_reverse": f"{T}, q AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN edge_id WHEN edge_id % 4 = 0 THEN edge_id + 5 ELSE edge_id END AS truth FROM top WHERE cand = 1) SELECT traj_id, seq, (edge_id = truth OR EXISTS (SELECT 1 FROM edges e WHERE e.source = q.target AND e.target = q.source AND e.edge_id = truth)) AS correct FROM q",
     "stmatch_delta": f"{SP}, d AS (SELECT traj_id, seq, event_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS eu, t - lag(t) OVER w AS dt FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, round(CASE WHEN event_id % 3 = 0 THEN eu * 6 ELSE 120 * dt END, 4)::DOUBLE AS delta FROM d WHERE seq > 0",
-    "stmatch_distances": f"WITH {STEPS} SELECT traj_id, seq, edge_id_a, edge_id_b, {sql('CASE WHEN sp <= eu * 6 THEN sp ELSE -1 END')} AS sp FROM st",
+    "stmatch_distances": f"{REACH} SELECT traj_id, seq, edge_id_a, edge_id_b, {sql('CASE WHEN sp <= eu * 6 THEN sp ELSE -1 END')} AS sp FROM st",
+    "stmatch_viterbi": f"{LATER} SELECT c.traj_id, c.seq, w.edge_id, {sql('w.ep')} AS ep, {sql('c.cumu')} AS cumu FROM chosen c JOIN whole w USING (traj_id, seq, cand)",
+    "bidirectional_paths": ROUTED,
+    "goal_directed_paths": ROUTED,
+    "complete_path": f"{BEST} SELECT traj_id, len(opath) AS points, len(cpath) AS edges, {LISTS} FROM whole_paths",
+    "tpath": f"{BEST}, t AS (SELECT p.traj_id, p.seq, array_to_string(w.cpath[lag(p.place) OVER (PARTITION BY p.traj_id ORDER BY p.seq) + 1 : p.place + 1], ',') AS part FROM placed p JOIN whole_paths w USING (traj_id)) SELECT traj_id, string_agg(part, '|' ORDER BY seq) FILTER (seq > 0) AS tpath FROM t GROUP BY 1",
+    "matched_geometry": f"""{BEST}, e AS (SELECT traj_id, unnest(cpath) AS edge_id, generate_subscripts(cpath, 1) - 1 AS no, len(cpath) AS n, first_offset, last_offset FROM whole_paths),
+m AS (SELECT e.traj_id, e.no, x1 + s * (x2 - x1) AS xs, y1 + s * (y2 - y1) AS ys, x1 + t * (x2 - x1) AS xt, y1 + t * (y2 - y1) AS yt FROM (SELECT *, CASE WHEN no = 0 THEN first_offset ELSE 0 END AS s, CASE WHEN no = n - 1 THEN last_offset ELSE 1 END AS t FROM e) e JOIN edges USING (edge_id))
+SELECT traj_id, 0::BIGINT AS place, {sql('xs')} AS x, {sql('ys')} AS y FROM m WHERE no = 0 UNION ALL SELECT traj_id, (no + 1)::BIGINT, {sql('xt')}, {sql('yt')} FROM m""",
+    "match_rows_trajectory_mode": f"{SCORED}, k AS (SELECT traj_id, arg_max(cumu, seq) AS cumu, avg(trust) AS trust FROM scored GROUP BY 1) SELECT traj_id, {LISTS}, {sql('cumu')} AS cumu, {sql('trust')} AS trust FROM whole_paths JOIN k USING (traj_id)",
+    "match_rows_point_mode": f"""{SCORED} SELECT p.traj_id, p.seq, {sql('p.x')} AS x, {sql('p.y')} AS y, coalesce(s.edge_id, -1) AS edge_id, s.edge_id IS NOT NULL AS matched, coalesce(w.cpath[s.place + 1], -1) AS cpath_edge,
+{", ".join(f"{sql(f'coalesce(s.{chr(34)}{c}{chr(34)}, {missing})')} AS {chr(34)}{c}{chr(34)}" for c, missing in (("ep", -1), ("tp", -1), ("sp", -1), ("eu", -1), ("dist", -1), ("offset", -1), ("cumu", -999), ("trust", -999)))}
+FROM points p LEFT JOIN scored s USING (traj_id, seq) LEFT JOIN whole_paths w ON w.traj_id = p.traj_id""",
+    "lag_smoothing": f"{SMOOTH}, e AS (SELECT traj_id, seq, -sum(trust * log2(trust)) FILTER (trust > 0) AS entropy FROM smooth GROUP BY 1, 2) SELECT traj_id, seq, cand, edge_id, {sql('trust')} AS trust, {sql('entropy')} AS entropy FROM smooth JOIN e USING (traj_id, seq)",
     "composite_graph_edges": f"WITH {WHOLE}, c AS (SELECT * FROM whole), a AS (SELECT traj_id, seq, \"offset\" AS cost FROM c UNION ALL SELECT traj_id, seq, length - \"offset\" FROM c UNION ALL SELECT b.traj_id, b.seq, b.\"offset\" - a.\"offset\" FROM c a JOIN c b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1 AND a.edge_id = b.edge_id AND b.\"offset\" >= a.\"offset\") SELECT traj_id, seq, count(*)::BIGINT AS n, {sql('sum(cost)')} AS cost FROM a GROUP BY 1, 2",
     "grid_cell_match": f"{SP}, c AS (SELECT traj_id, seq, floor(x)::BIGINT AS cx, floor(y)::BIGINT AS cy FROM points), d AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM c WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, cx, cy FROM d WHERE px IS NULL OR px <> cx OR py <> cy",
     "gap_segmentation": f"{P}, d AS (SELECT traj_id, seq, CASE WHEN abs(t - lag(t) OVER w) <= 20000 THEN 0 ELSE 1 END AS s FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)), n AS (SELECT traj_id, seq, sum(s) OVER (PARTITION BY traj_id ORDER BY seq)::BIGINT AS run FROM d) SELECT traj_id, seq, run FROM n QUALIFY count(*) OVER (PARTITION BY traj_id, run) >= 3",
@@ -448,16 +537,16 @@ ORACLE_SQL = {
     "cmm_forward": f"{FILTER}, e AS (SELECT traj_id, seq, -sum(trust * log2(trust)) AS entropy FROM post GROUP BY 1, 2) SELECT traj_id, seq, 0::BIGINT AS part, 'SUCCESS' AS status, cand, edge_id, {sql('cumu')} AS cumu, {sql('trust')} AS trust, {sql('entropy')} AS entropy FROM post JOIN e USING (traj_id, seq)",
     "background_state": f"WITH {CMM} SELECT traj_id, seq, edge_id, {sql('0.95 * ep')} AS ep FROM cmm UNION ALL SELECT DISTINCT traj_id, seq, -1, {sql('0.05')} FROM cmm",
     "phmi_emission_norm": f"WITH {CMM} SELECT traj_id, seq, edge_id, {sql('ep')} AS ep FROM cmm",
-    "softmax_posterior": f"WITH {CMM} SELECT traj_id, seq, edge_id, {sql('ep / sum(ep) OVER (PARTITION BY traj_id)')} AS p FROM cmm WHERE seq = 0",
+    "softmax_posterior": f"{FILTER} SELECT traj_id, seq, edge_id, {sql('trust')} AS p FROM post",
     "log_sum_exp": f"{FORWARD} SELECT traj_id, seq, {sql('ln(sum(f))')} AS lse FROM v GROUP BY 1, 2",
     "entropy_bits": f"{FILTER} SELECT traj_id, seq, {sql('-sum(trust * log2(trust))')} AS bits FROM post GROUP BY 1, 2",
     "top3_scores": f"{FILTER}, q AS (SELECT traj_id, seq, {sql('trust')} AS score FROM post), k AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY score DESC) - 1 AS place FROM q) SELECT traj_id, seq, place::BIGINT AS place, score FROM k WHERE place < 3",
 }
 
 QUERIES = {f.__name__: f for f in (
-    spatial_candidate_join, knn_candidates, candidate_complete_trajectories, emission_prob, od_table, od_path_unroll, od_source_index, partial_od_semi_join, shortest_path, bounded_sssp, bounded_reverse_sssp,
+    spatial_candidate_join, knn_candidates, candidate_complete_trajectories, emission_prob, od_table, od_incremental, od_faults, od_path_unroll, od_source_index, partial_od_semi_join, shortest_path, bounded_sssp, bounded_reverse_sssp,
     edges_within_distance, od_lookup_join, transition_matrix, fmm_sp_dist, transition_prob, transition_row_norm, fmm_viterbi, fmm_trust, viterbi_opath, complete_path, tpath, matched_geometry,
     match_rows_point_mode, match_rows_trajectory_mode, match_summary, realign_original_indices, duration_speed, distinct_matched_edges, matched_edges_semi_join, edge_match_with_reverse, stmatch_delta,
-    stmatch_distances, stmatch_viterbi, composite_graph_edges, grid_cell_match, gap_segmentation, speed_split, continuity_jumps, cmm_cov_floor, mahalanobis_projection, cmm_log_emission, cmm_candidates,
+    stmatch_distances, stmatch_viterbi, bidirectional_paths, goal_directed_paths, composite_graph_edges, grid_cell_match, gap_segmentation, speed_split, continuity_jumps, cmm_cov_floor, mahalanobis_projection, cmm_log_emission, cmm_candidates,
     cmm_forward, lag_smoothing, background_state, phmi_emission_norm, softmax_posterior, log_sum_exp, entropy_bits, top3_scores,
 )}
