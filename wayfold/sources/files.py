@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.sources import text_tables
+from wayfold.sources import shapefile, text_tables
 
 
 def extension(path: str) -> str:
@@ -13,16 +13,18 @@ def extension(path: str) -> str:
 
 
 def _unknown(path: str) -> ValueError:
-    return ValueError(f"no reader for the extension of {path}: csv, txt, geojson, json or parquet")
+    return ValueError(f"no reader for the extension of {path}: csv, txt, geojson, json, shp, gpkg or parquet")
 
 
 def read_any_network(spark: SparkSession, path: str) -> DataFrame:
-    """Edges from delimited text, GeoJSON or a Parquet table in the form of the text reader's result."""
+    """Edges from delimited text, GeoJSON, a shapefile, a GeoPackage or a Parquet table in the form of the text reader's result."""
     kind = extension(path)
     if kind in ("csv", "txt"):
         return text_tables.read_network(spark, path)
     if kind in ("geojson", "json"):
         return text_tables.read_geojson_network(spark, path)
+    if kind in ("shp", "gpkg"):
+        return shapefile.read_network(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise _unknown(path)
@@ -47,6 +49,8 @@ def read_gps(spark: SparkSession, path: str, points: bool = False) -> DataFrame:
         return text_tables.exploded(text_tables.read_trajectories(spark, path))
     if kind in ("geojson", "json"):
         return text_tables.exploded(read_geojson_lines(spark, path))
+    if kind in ("shp", "gpkg"):
+        return text_tables.exploded(shapefile.read_trajectories(spark, path))
     if kind == "parquet":
         return spark.read.parquet(path)
     raise _unknown(path)
