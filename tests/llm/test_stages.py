@@ -10,7 +10,7 @@ import corpus_pipeline
 from wayfold.llm import secrets, toxicity
 from wayfold.llm.common import table
 
-CLASHING = ("label", "grade", "toxic", "items", "n_hit", "row", "text_2", "place", "first", "one", "turn", "__text_2")
+CLASHING = ("label", "grade", "toxic", "items", "n_hit", "row", "text_2", "place", "first", "one", "turn", "__text_2", "__row", "__row0", "__row2", "__key", "__label")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

@@ -409,8 +409,9 @@ def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: s
 
     Among rows of one key a 128-bit hash of the row decides, and of fully equal rows one stays. Rows without words all stay.
     """
-    plan, row = Plan(n, num, den), ["__row", "__row2"]
-    marked = df.withColumns({"__row": F.xxhash64(*df.columns), "__row2": F.xxhash64(F.lit(1), *df.columns)})
+    taken = {c.lower() for c in df.columns}
+    row = [c for c in (f"__row{i}" for i in range(len(taken) + 2)) if c not in taken][:2]  # names that the table doesn't have
+    plan, marked = Plan(n, num, den), df.withColumns({row[0]: F.xxhash64(*df.columns), row[1]: F.xxhash64(F.lit(1), *df.columns)})
     with Scratch(df.sparkSession) as scratch:
         rows = scratch.stored(sized(marked.select(key, *row, text, _spot(text)), plan, text))
         sets = labelled(rows.filter("sid IS NOT NULL").drop("sketch", "spot"), linked_sets(df, rows, plan, text))
