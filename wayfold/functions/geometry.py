@@ -109,31 +109,59 @@ def linear_reference(line: Column | str, px: Column | str, py: Column | str) ->
     return F.when(F.size(_col(line)) == 2, F.struct(only["dist"].alias("dist"), only["offset"].alias("offset"))).otherwise(fold)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Elements of a block in a scan: a long array is folded block by block, so that what it has given so far isn't copied for each element.
+BLOCK = 128
+
+
+def scanned(values: Column, start: Column, step) -> Column:
+    """Array of step(... step(step(start, v1), v2) ..., vi) for each i."""
+    none = F.filter(F.array(start), lambda v: F.lit(False))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+
+    def one(done: Column, v: Column) -> Column:
+        return _let(step(done["last"], v), lambda x: F.struct(x.alias("last"), F.concat(done["out"], F.array(x)).alias("out")))
+
+    def block(done: Column, vs: Column) -> Column:
+        own = F.aggregate(vs, F.struct(done["last"].alias("last"), none.alias("out")), one)
+        return _let(own, lambda x: F.struct(x["last"].alias("last"), F.concat(done["out"], F.array(x["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(blocks, F.struct(start.alias("last"), F.filter(F.array(none), lambda v: F.lit(False)).alias("out")), block)["out"])
+
+
 def measured(line: Column | str) -> Column:
     """Array of (a, b, from, to): segments with their start and end along the line."""
-    none = F.expr("cast(array() as array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,`from`:double,`to`:double>>)")
+    ends = scanned(segment_lengths(line), F.lit(0.0), lambda at, v: at + v)
+    spans = _let(ends, lambda e: F.zip_with(F.slice(F.concat(F.array(F.lit(0.0)), e), F.lit(1), F.size(e)), e, lambda x, y: F.struct(x.alias("from"), y.alias("to"))))
+    return F.zip_with(segments(line), spans, lambda s, d: F.struct(s["a"].alias("a"), s["b"].alias("b"), d["from"].alias("from"), d["to"].alias("to")))
 
-    def step(done: Column, s: Column) -> Column:
-        at = F.when(F.size(done) == 0, F.lit(0.0)).otherwise(F.element_at(done, -1)["to"])
-        return F.concat(done, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"), at.alias("from"), (at + s["length"]).alias("to"))))
 
-    return F.aggregate(segments(line), none, step)
+def _first(parts: Column, beyond) -> Column:
+    """Number (from 1) of the first part that is beyond, one more than there are if none is; by halving."""
+    n = F.size(parts)
 
+    def halved(r: Column, _: Column) -> Column:
+        middle = F.shiftright(r["lo"] + r["hi"], 1)
+        hit = F.coalesce(beyond(F.get(parts, middle - 1)), F.lit(True))
+        return F.struct(F.when(hit | (r["lo"] >= r["hi"]), r["lo"]).otherwise(middle + 1).alias("lo"), F.when(hit & (r["lo"] < r["hi"]), middle).otherwise(r["hi"]).alias("hi"))
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    steps = F.array_repeat(F.lit(0), F.ceil(F.log2(n + 1)).cast("int") + 1)
+    return F.aggregate(steps, F.struct(F.lit(1).alias("lo"), (n + 1).alias("hi")), halved)["lo"]
 
 
 def _within(s: Column, at: Column) -> Column:
     share = F.when(s["to"] > s["from"], (at - s["from"]) / (s["to"] - s["from"])).otherwise(F.lit(0.0))
-    return point(s["a"]["x"] + share * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + share * (s["b"]["y"] - s["a"]["y"]))
+    return _let(share, lambda f: point(s["a"]["x"] + f * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + f * (s["b"]["y"] - s["a"]["y"])))
 
 
 def _at(line: Column, parts: Column, offset: Column) -> Column:
     """The point at an offset along a line whose measured segments are given."""
-    hit = F.element_at(F.filter(parts, lambda s: (s["from"] <= offset) & (offset <= s["to"])), 1)
-    return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= F.element_at(parts, -1)["to"], F.element_at(line, -1)).otherwise(_within(hit, offset))
+    hit = F.get(parts, _first(parts, lambda s: s["to"] >= offset) - 1)
+    return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= F.element_at(parts, -1)["to"], F.element_at(line, -1)).otherwise(_let(hit, lambda s: _within(s, offset)))
 
 
 def locate(line: Column | str, offset: Column | str) -> Column:
@@ -143,7 +171,8 @@ def locate(line: Column | str, offset: Column | str) -> Column:
 
 
 def _part(line: Column, parts: Column, start: Column, stop: Column) -> Column:
-    inner = F.transform(F.filter(parts, lambda s: (s["to"] > start) & (s["to"] < stop)), lambda s: s["b"])
+    after, upto = _first(parts, lambda s: s["to"] > start), _first(parts, lambda s: s["to"] >= stop)
+    inner = _let(after, lambda a: F.slice(line, a + 1, F.greatest(upto - a, F.lit(0))))  # a part's end is the vertex of the next number
     return F.concat(F.array(_at(line, parts, start)), inner, F.array(_at(line, parts, stop)))
 
 
@@ -196,9 +225,11 @@ def densified(line: Column | str, step: Column) -> Column:
 
 def without_repeats(line: Column | str, tolerance: float = SAME_POINT) -> Column:
     """Drops points that lie within the tolerance of the last point that was kept."""
-    none = F.expr("cast(array() as array<struct<x:double,y:double>>)")
-    far = lambda kept, p: (F.size(kept) == 0) | (point_distance(F.element_at(kept, -1), p) > tolerance)
-    return F.aggregate(_col(line), none, lambda kept, p: F.when(far(kept, p), F.concat(kept, F.array(point(p["x"], p["y"])))).otherwise(kept))
+    state = lambda p, kept: F.struct(point(p["x"], p["y"]).alias("p"), kept.alias("kept"))
+    far = lambda last, p: point_distance(last["p"], p) > tolerance
+    start = state(point(F.lit(float("inf")), F.lit(float("inf"))), F.lit(False))  # farther than any
+    steps = scanned(_col(line), start, lambda last, p: F.when(far(last, p), state(p, F.lit(True))).otherwise(state(last["p"], F.lit(False))))
+    return F.transform(F.filter(steps, lambda s: s["kept"]), lambda s: s["p"])
 
 
 def same_line(a: Column, b: Column, tolerance: float = SAME_POINT) -> Column:

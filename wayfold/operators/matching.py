@@ -112,20 +112,25 @@ def fold(rows: pd.DataFrame, later_wins: bool = False, stop_when_cut: bool = Tru
     v, f = np.full(top, -np.inf), np.full(top, -np.inf)
     cut = False
     for lo, hi in zip(layer, np.concatenate([layer[1:], [n]]), strict=True):
-        start = head[group[lo]]
-        for g in range(lo, hi):
-            i, j = group[g], ends[g]
-            if start:
-                cumu[g] = fwd[g] = log_ep[i]
-                continue
-            if cut:
-                continue
-            value = v[a[i:j]] + log_tp[i:j] + log_ep[i]
-            into = f[a[i:j]] + log_tp[i:j]
-            at = j - i - 1 - int(np.argmax(value[::-1])) if later_wins else int(np.argmax(value))
-            if value[at] > -np.inf:
-                cumu[g], prev[g], pick[g] = value[at], a[i + at], i + at
-            fwd[g] = _log_sum(into) + log_ep[i]
+        start, own_ep = head[group[lo]], log_ep[group[lo:hi]]
+        if start:
+            cumu[lo:hi] = fwd[lo:hi] = own_ep
+        elif not cut:
+            # a layer is one matrix: its candidates by those of the layer before
+            i, j = group[lo], ends[hi - 1]
+            to = np.repeat(np.arange(hi - lo), ends[lo:hi] - group[lo:hi])
+            ways, row = np.full((hi - lo, top), -np.inf), np.zeros((hi - lo, top), np.int64)
+            ways[to, a[i:j]], row[to, a[i:j]] = log_tp[i:j], np.arange(i, j)
+            into = f + ways
+            value = (v + ways) + own_ep[:, None]
+            at = top - 1 - value[:, ::-1].argmax(1) if later_wins else value.argmax(1)
+            best = value[np.arange(hi - lo), at]
+            linked = best > -np.inf
+            cumu[lo:hi][linked], prev[lo:hi][linked], pick[lo:hi][linked] = best[linked], at[linked], row[np.flatnonzero(linked), at[linked]]
+            most = into.max(1)
+            base = np.where(np.isinf(most), 0.0, most)
+            with np.errstate(divide="ignore"):
+                fwd[lo:hi] = base + np.log(np.exp(into - base[:, None]).sum(1)) + own_ep
         total = _log_sum(fwd[lo:hi])
         own = cumu[lo:hi]
         if later_wins:
