@@ -122,12 +122,17 @@ def test_offers_only_are_shuffled(spark, net):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         plan = search.better(search.parked())._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "LeftAnti" in plan, plan
         lines = plan.split("\n")
-        scans = [i for i, x in enumerate(lines) if "SelectedBucketsCount" in x and "Bucketed: true" in x]
-        assert scans, plan
-        had = plan[plan.index("LeftSemi") :]
-        first = had.split("Exchange")[0]
-        assert "Bucketed: true" in first
+        scan = next(i for i, x in enumerate(lines) if "Bucketed: true" in x and "round" not in x.split("PartitionFilters")[-1].split("PushedFilters")[0])
+        above = lines[scan]
+        path, depth = [], len(above) - len(above.lstrip(" :+-"))
+        for line in reversed(lines[:scan]):
+            d = len(line) - len(line.lstrip(" :+-"))
+            if d < depth:
+                path.append(line.strip(" :+-"))
+                depth = d
+        assert not any(x.startswith("Exchange") for x in path[: next(i for i, x in enumerate(path) if "Join" in x)]), plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
         search.dropped()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.operators import matching
 from wayfold.plans import demo, integrity_queries, match_queries, registry
 
 LARGER = "/root/testdata/sf0.01"
@@ -31,10 +32,8 @@ def test_random_points_lie_anywhere_on_the_whole_line(spark, small):
 
 
 def test_ways_of_whole_trajectories(spark, small):
-    """All pairs of nodes within six times the longest step, which is beyond LIMIT; against brute force."""
+    """Ways of every step within six times its length, beyond LIMIT, too; against all pairs by brute force."""
     p = demo.points(spark, small).drop("t")
-    rows = p.orderBy("traj_id", "seq").collect()
-    most = max(6 * math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(rows, rows[1:], strict=False) if a.traj_id == b.traj_id)
     edges = [(r.source, r.target) for r in demo.edges(spark, small).collect()]
     nodes = {v for e in edges for v in e}
     dist = {(a, b): 0.0 if a == b else math.inf for a in nodes for b in nodes} | dict.fromkeys(edges, 1.0)
@@ -42,9 +41,16 @@ def test_ways_of_whole_trajectories(spark, small):
         for i in nodes:
             for j in nodes:
                 dist[i, j] = min(dist[i, j], dist[i, k] + dist[k, j])
-    got = {(r.source, r.target): r.distance for r in match_queries._ways(spark, small, p).collect()}
-    assert got == {k: d for k, d in dist.items() if 0 < d <= most}
-    assert max(got.values()) > demo.LIMIT
+    cands = match_queries._whole(spark, small)
+    rows = matching.limited_steps(cands, p, demo.edges(spark, small), match_queries.CONFIG).collect()
+    assert len(rows) == matching.stepped(cands).count()
+    longest = 0.0
+    for r in rows:
+        ahead = r.edge_id_a == r.edge_id_b and r.offset_a <= r.offset_b
+        want = r.offset_b - r.offset_a if ahead else r.length_a - r.offset_a + r.offset_b + dist[r.target_a, r.source_b]
+        assert (r.sp is None) if want > r.eu * 6 + 1e-9 else r.sp == pytest.approx(want)
+        longest = max(longest, r.sp or 0.0)
+    assert longest > demo.LIMIT
     matched = match_queries.stmatch_viterbi(spark, small)
     assert matched.agg(F.max("seq")).first()[0] > 20
 

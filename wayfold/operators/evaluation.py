@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.geometry import first_beyond
+from wayfold.operators.shared import checkpointed
+
 
 def error_stats(rows: DataFrame, error: str, *by: str) -> DataFrame:
     """Mean, median, RMSE, P95, sample deviation, least and greatest error."""
@@ -48,10 +51,10 @@ def roc_curve(rows: DataFrame, score: str, positive: str) -> DataFrame:
     summed up range by range of scores first: no window runs over all of them at once.
     """
     y = F.col(positive).cast("long")
-    g = rows.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
+    g = checkpointed(rows.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q")))
     # 256 slots of about equally many scores, whatever the scores' scale
     cuts = g.agg(F.percentile_approx("score", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
-    g = g.withColumn("cuts", cuts.scalar()).withColumn("slot", F.size(F.filter("cuts", lambda c: c <= F.col("score")))).drop("cuts")
+    g = g.withColumn("cuts", cuts.scalar()).withColumn("slot", first_beyond(F.col("cuts"), lambda c: c > F.col("score")) - 1).drop("cuts")
     own = Window.partitionBy("slot").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = g.groupBy("slot").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     above = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)

