@@ -140,7 +140,7 @@ def measured(line: Column | str) -> Column:
     return F.zip_with(segments(line), spans, lambda s, d: F.struct(s["a"].alias("a"), s["b"].alias("b"), d["from"].alias("from"), d["to"].alias("to")))
 
 
-def _first(parts: Column, beyond) -> Column:
+def first_beyond(parts: Column, beyond) -> Column:
     """Number (from 1) of the first part that is beyond, one more than there are if none is; by halving."""
     n = F.size(parts)
 
@@ -160,7 +160,7 @@ def _within(s: Column, at: Column) -> Column:
 
 def _at(line: Column, parts: Column, offset: Column) -> Column:
     """The point at an offset along a line whose measured segments are given."""
-    hit = F.get(parts, _first(parts, lambda s: s["to"] >= offset) - 1)
+    hit = F.get(parts, first_beyond(parts, lambda s: s["to"] >= offset) - 1)
     return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= F.element_at(parts, -1)["to"], F.element_at(line, -1)).otherwise(_let(hit, lambda s: _within(s, offset)))
 
 
@@ -171,7 +171,7 @@ def locate(line: Column | str, offset: Column | str) -> Column:
 
 
 def _part(line: Column, parts: Column, start: Column, stop: Column) -> Column:
-    after, upto = _first(parts, lambda s: s["to"] > start), _first(parts, lambda s: s["to"] >= stop)
+    after, upto = first_beyond(parts, lambda s: s["to"] > start), first_beyond(parts, lambda s: s["to"] >= stop)
     inner = _let(after, lambda a: F.slice(line, a + 1, F.greatest(upto - a, F.lit(0))))  # a part's end is the vertex of the next number
     return F.concat(F.array(_at(line, parts, start)), inner, F.array(_at(line, parts, stop)))
 
