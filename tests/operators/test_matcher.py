@@ -60,7 +60,7 @@ def test_matching_without_a_path_table(spark, network_file, tmp_path):
 
 def test_covariance_files(spark, network_file, tmp_path):
     """Both forms of files give the same matches; rows of a trajectory keep the order of the file."""
-    at = [(0.2, 0.1), (1.1, 0.1), (1.6, 0.1), (2.7, -0.1)]
+    at = [(0.2, -0.1), (1.1, -0.1), (1.6, -0.1), (2.7, -0.1)]  # nearer to the street ahead than to the one back
     fields = [(i * 10.0, x, y, 0.1, 0.1, 0.5) for i, (x, y) in enumerate(at)]
     head = "id,timestamp,x,y,sdn,sde,protection_level\n"
     points = "".join(f"{t},{','.join(map(str, f))}\n" for f in fields for t in (7, 3))
