@@ -73,7 +73,7 @@ def bounding_box(line: Column | str) -> Column:
 def lengths_to_end(line: Column | str) -> Column:
     """For each point the length of the rest of the line."""
     line = _col(line)
-    rest = _let(measured(line), lambda m: F.transform(m, lambda s: F.element_at(m, -1)["to"] - s["from"]))
+    rest = let(measured(line), lambda m: F.transform(m, lambda s: F.element_at(m, -1)["to"] - s["from"]))
     return F.when(F.size(line) > 1, F.concat(rest, F.array(F.lit(0.0)))).otherwise(F.transform(line, lambda p: F.lit(0.0)))
 
 
@@ -109,7 +109,7 @@ def linear_reference(line: Column | str, px: Column | str, py: Column | str) ->
     return F.when(F.size(_col(line)) == 2, F.struct(only["dist"].alias("dist"), only["offset"].alias("offset"))).otherwise(fold)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value), with the value worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -124,11 +124,11 @@ def scanned(values: Column, start: Column, step) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
 
     def one(done: Column, v: Column) -> Column:
-        return _let(step(done["last"], v), lambda x: F.struct(x.alias("last"), F.concat(done["out"], F.array(x)).alias("out")))
+        return let(step(done["last"], v), lambda x: F.struct(x.alias("last"), F.concat(done["out"], F.array(x)).alias("out")))
 
     def block(done: Column, vs: Column) -> Column:
         own = F.aggregate(vs, F.struct(done["last"].alias("last"), none.alias("out")), one)
-        return _let(own, lambda x: F.struct(x["last"].alias("last"), F.concat(done["out"], F.array(x["out"])).alias("out")))
+        return let(own, lambda x: F.struct(x["last"].alias("last"), F.concat(done["out"], F.array(x["out"])).alias("out")))
 
     return F.flatten(F.aggregate(blocks, F.struct(start.alias("last"), F.filter(F.array(none), lambda v: F.lit(False)).alias("out")), block)["out"])
 
@@ -136,7 +136,7 @@ def scanned(values: Column, start: Column, step) -> Column:
 def measured(line: Column | str) -> Column:
     """Array of (a, b, from, to): segments with their start and end along the line."""
     ends = scanned(segment_lengths(line), F.lit(0.0), lambda at, v: at + v)
-    spans = _let(ends, lambda e: F.zip_with(F.slice(F.concat(F.array(F.lit(0.0)), e), F.lit(1), F.size(e)), e, lambda x, y: F.struct(x.alias("from"), y.alias("to"))))
+    spans = let(ends, lambda e: F.zip_with(F.slice(F.concat(F.array(F.lit(0.0)), e), F.lit(1), F.size(e)), e, lambda x, y: F.struct(x.alias("from"), y.alias("to"))))
     return F.zip_with(segments(line), spans, lambda s, d: F.struct(s["a"].alias("a"), s["b"].alias("b"), d["from"].alias("from"), d["to"].alias("to")))
 
 
@@ -155,31 +155,31 @@ def first_beyond(parts: Column, beyond) -> Column:
 
 def _within(s: Column, at: Column) -> Column:
     share = F.when(s["to"] > s["from"], (at - s["from"]) / (s["to"] - s["from"])).otherwise(F.lit(0.0))
-    return _let(share, lambda f: point(s["a"]["x"] + f * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + f * (s["b"]["y"] - s["a"]["y"])))
+    return let(share, lambda f: point(s["a"]["x"] + f * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + f * (s["b"]["y"] - s["a"]["y"])))
 
 
 def _at(line: Column, parts: Column, offset: Column) -> Column:
     """The point at an offset along a line whose measured segments are given."""
     hit = F.get(parts, first_beyond(parts, lambda s: s["to"] >= offset) - 1)
-    return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= F.element_at(parts, -1)["to"], F.element_at(line, -1)).otherwise(_let(hit, lambda s: _within(s, offset)))
+    return F.when(offset <= 0, F.element_at(line, 1)).when(offset >= F.element_at(parts, -1)["to"], F.element_at(line, -1)).otherwise(let(hit, lambda s: _within(s, offset)))
 
 
 def locate(line: Column | str, offset: Column | str) -> Column:
     """The point at an offset along the line, which is clamped to the line's ends."""
     line, offset = _col(line), _col(offset)
-    return F.when(F.size(line) > 1, _let(measured(line), lambda m: _at(line, m, offset))).otherwise(F.element_at(line, 1))
+    return F.when(F.size(line) > 1, let(measured(line), lambda m: _at(line, m, offset))).otherwise(F.element_at(line, 1))
 
 
 def _part(line: Column, parts: Column, start: Column, stop: Column) -> Column:
     after, upto = first_beyond(parts, lambda s: s["to"] > start), first_beyond(parts, lambda s: s["to"] >= stop)
-    inner = _let(after, lambda a: F.slice(line, a + 1, F.greatest(upto - a, F.lit(0))))  # a part's end is the vertex of the next number
+    inner = let(after, lambda a: F.slice(line, a + 1, F.greatest(upto - a, F.lit(0))))  # a part's end is the vertex of the next number
     return F.concat(F.array(_at(line, parts, start)), inner, F.array(_at(line, parts, stop)))
 
 
 def substring(line: Column | str, start: Column | str, stop: Column | str) -> Column:
     """The part of the line between two offsets (start before stop; both are clamped)."""
     line, start, stop = _col(line), _col(start), _col(stop)
-    return F.when(F.size(line) > 1, _let(measured(line), lambda m: _part(line, m, start, stop))).otherwise(F.concat(line, line))
+    return F.when(F.size(line) > 1, let(measured(line), lambda m: _part(line, m, start, stop))).otherwise(F.concat(line, line))
 
 
 def points_at(line: Column | str, distances: Column | str) -> Column:
@@ -191,7 +191,7 @@ def points_at(line: Column | str, distances: Column | str) -> Column:
         inside = F.transform(F.filter(distances, lambda d: d < whole), lambda d: _at(line, m, d))
         return F.when(F.element_at(distances, -1) >= whole, F.concat(inside, F.array(F.element_at(line, -1)))).otherwise(inside)
 
-    return F.when(F.size(line) > 1, _let(measured(line), found)).otherwise(F.slice(line, 1, 1))
+    return F.when(F.size(line) > 1, let(measured(line), found)).otherwise(F.slice(line, 1, 1))
 
 
 def points_every(line: Column | str, step: Column) -> Column:
@@ -209,7 +209,7 @@ def split_every(line: Column | str, step: Column) -> Column:
         pieces = F.greatest(F.ceil(whole / step).cast("int"), F.lit(1))
         return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: _part(line, m, i * step, F.least((i + 1) * step, whole)))
 
-    return F.when(F.size(line) > 1, _let(measured(line), cut)).otherwise(F.array(F.concat(line, line)))
+    return F.when(F.size(line) > 1, let(measured(line), cut)).otherwise(F.array(F.concat(line, line)))
 
 
 def densified(line: Column | str, step: Column) -> Column:

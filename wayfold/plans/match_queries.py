@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geodesy as D
 from wayfold.functions import geometry as G
+from wayfold.functions import hexagons
 from wayfold.operators import alignment, candidates, covariance, evaluation, matching, network, paths, routing
+from wayfold.operators.cells import match_cells
 from wayfold.operators.path_table import PathTable, faults
 from wayfold.operators.shared import checkpointed
 from wayfold.plans import demo
@@ -17,6 +19,8 @@ Spark, Frame = SparkSession, DataFrame
 CONFIG = matching.MatchConfig(demo.K, demo.RADIUS, demo.SIGMA)
 COVARIANCE = covariance.CovarianceConfig(k=4, min_candidates=3, min_sigma=0.01, map_sigma=0.02, phmi=1e-3, max_interval=1e9, max_speed=1e9)
 ID = ("traj_id", "seq")
+#: Side of the hexagonal cells.
+HEX = 0.1
 
 
 def _near(spark: Spark, sf: str) -> Frame:
@@ -288,6 +292,21 @@ def grid_cell_match(spark: Spark, sf: str) -> Frame:
     return p.withColumn("moved", moved).filter("moved").select(*ID, "cx", "cy")
 
 
+def hex_cell_match(spark: Spark, sf: str) -> Frame:
+    """Hexagonal cells that a trajectory enters, with those on the line between its points, and the cell of the next level."""
+    d = match_cells(demo.points(spark, sf), HEX).withColumn("up", hexagons.parent(F.col("cell")))
+    cell = {"q": "cell.q", "r": "cell.r", "parent_q": "up.q", "parent_r": "up.r"}
+    return d.select(*ID, F.col("step").cast("long").alias("step"), *(F.col(c).alias(n) for n, c in cell.items()), hexagons.number(F.col("cell")).alias("number"))
+
+
+def hex_level_counts(spark: Spark, sf: str) -> Frame:
+    """Points and trajectories of each cell two levels up; counted by cell of level 0 first."""
+    p = demo.points(spark, sf).select("traj_id", hexagons.at(F.col("x"), F.col("y"), HEX).alias("cell"))
+    low = p.groupBy("cell", "traj_id").agg(F.count("*").alias("n"))
+    d = low.groupBy(hexagons.ancestor(F.col("cell"), 2).alias("cell")).agg(F.sum("n").alias("points"), F.countDistinct("traj_id").alias("trajectories"))
+    return d.select("cell.q", "cell.r", "points", "trajectories")
+
+
 def gap_segmentation(spark: Spark, sf: str) -> Frame:
     d = alignment.time_gaps(demo.points(spark, sf), 20_000.0, 3)
     return d.select(*ID, F.col("run").cast("long").alias("run"))
@@ -388,6 +407,20 @@ def top3_scores(spark: Spark, sf: str) -> Frame:
     return d.select(*ID, F.posexplode("best").alias("place", "score")).select(*ID, F.col("place").cast("long").alias("place"), "score")
 
 
+def _hex(name: str, source: str, q: str, r: str, keep: str) -> str:
+    """SQL of the cell nearest to a place (q, r) between cells, as columns q and r beside those kept."""
+    return f"""{name}_0 AS (SELECT {keep}, {q} AS fq, {r} AS fr FROM {source}), {name}_1 AS (SELECT *, floor(fq + 0.5) AS a, floor(fr + 0.5) AS b, floor(-fq - fr + 0.5) AS c FROM {name}_0),
+{name} AS (SELECT {keep}, (CASE WHEN abs(a - fq) > abs(b - fr) AND abs(a - fq) > abs(c + fq + fr) THEN -b - c ELSE a END)::BIGINT AS q,
+  (CASE WHEN abs(a - fq) > abs(b - fr) AND abs(a - fq) > abs(c + fq + fr) THEN b WHEN abs(b - fr) > abs(c + fq + fr) THEN -a - c ELSE b END)::BIGINT AS r FROM {name}_1)"""
+
+
+HEX_POINTS = f"{demo.POINTS}, " + _hex("at_cell", "points", f"(x * (sqrt(3) / 3) - y / 3) / {HEX}::DOUBLE", f"y * 2 / 3 / {HEX}::DOUBLE", "traj_id, seq")
+HEX_WAYS = f"""{HEX_POINTS}, l AS (SELECT *, lag(q) OVER w AS pq, lag(r) OVER w AS pr FROM at_cell WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+n AS (SELECT *, coalesce((abs(q - pq) + abs(r - pr) + abs(q + r - pq - pr)) // 2, 0) AS n FROM l WHERE pq IS NULL OR pq <> q OR pr <> r),
+s AS (SELECT *, unnest(generate_series(CASE WHEN pq IS NULL THEN 0 ELSE 1 END, n)) AS step FROM n), """
+HEX_WAYS += _hex("way", "s", "coalesce(pq + (q - pq) * (step::DOUBLE / n), q) + 1e-6::DOUBLE", "coalesce(pr + (r - pr) * (step::DOUBLE / n), r) + 2e-6::DOUBLE", "traj_id, seq, step")
+HEX_UP = lambda q, r: f"floor((2 * (3 * {q} + {r}) + 7) / 14)::BIGINT AS {q}, floor((2 * (2 * {r} - {q}) + 7) / 14)::BIGINT AS {r}"
+
 WHOLE = f"{demo.CANDIDATES}, {demo.OD}, whole AS MATERIALIZED (SELECT * FROM top WHERE traj_id IN (SELECT s.traj_id FROM points s LEFT JOIN (SELECT DISTINCT traj_id, seq FROM top) t USING (traj_id, seq) GROUP BY 1 HAVING count(*) = count(t.seq) AND count(*) >= 2))"
 STEPS = f"""{WHOLE}, st0 AS (SELECT b.traj_id, b.seq, a.edge_id AS edge_id_a, b.edge_id AS edge_id_b, a.cand AS cand_a, b.cand AS cand_b, b.ep AS ep_b, a.target AS target_a, b.source AS source_b, a."offset" AS oa, b."offset" AS ob, a.length AS la,
   sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS eu FROM whole a JOIN whole b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1),
@@ -526,6 +559,8 @@ SELECT traj_id, 0::BIGINT AS place, {sql('xs')} AS x, {sql('ys')} AS y FROM m WH
 FROM points p LEFT JOIN scored s USING (traj_id, seq) LEFT JOIN whole_paths w ON w.traj_id = p.traj_id""",
     "lag_smoothing": f"{SMOOTH}, e AS (SELECT traj_id, seq, -sum(trust * log2(trust)) FILTER (trust > 0) AS entropy FROM smooth GROUP BY 1, 2) SELECT traj_id, seq, cand, edge_id, {sql('trust')} AS trust, {sql('entropy')} AS entropy FROM smooth JOIN e USING (traj_id, seq)",
     "composite_graph_edges": f"WITH {WHOLE}, c AS (SELECT * FROM whole), a AS (SELECT traj_id, seq, \"offset\" AS cost FROM c UNION ALL SELECT traj_id, seq, length - \"offset\" FROM c UNION ALL SELECT b.traj_id, b.seq, b.\"offset\" - a.\"offset\" FROM c a JOIN c b ON b.traj_id = a.traj_id AND b.seq = a.seq + 1 AND a.edge_id = b.edge_id AND b.\"offset\" >= a.\"offset\") SELECT traj_id, seq, count(*)::BIGINT AS n, {sql('sum(cost)')} AS cost FROM a GROUP BY 1, 2",
+    "hex_cell_match": f"WITH {HEX_WAYS} SELECT traj_id, seq, step, q, r, floor((2 * (3 * q + r) + 7) / 14)::BIGINT AS parent_q, floor((2 * (2 * r - q) + 7) / 14)::BIGINT AS parent_r, (q + 268435456) * 536870912 + r + 268435456 AS number FROM way",
+    "hex_level_counts": f"WITH {HEX_POINTS}, up1 AS (SELECT traj_id, {HEX_UP('q', 'r')} FROM at_cell), up2 AS (SELECT traj_id, {HEX_UP('q', 'r')} FROM up1) SELECT q, r, count(*) AS points, count(DISTINCT traj_id) AS trajectories FROM up2 GROUP BY 1, 2",
     "grid_cell_match": f"{SP}, c AS (SELECT traj_id, seq, floor(x)::BIGINT AS cx, floor(y)::BIGINT AS cy FROM points), d AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM c WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, cx, cy FROM d WHERE px IS NULL OR px <> cx OR py <> cy",
     "gap_segmentation": f"{P}, d AS (SELECT traj_id, seq, CASE WHEN abs(t - lag(t) OVER w) <= 20000 THEN 0 ELSE 1 END AS s FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)), n AS (SELECT traj_id, seq, sum(s) OVER (PARTITION BY traj_id ORDER BY seq)::BIGINT AS run FROM d) SELECT traj_id, seq, run FROM n QUALIFY count(*) OVER (PARTITION BY traj_id, run) >= 3",
     "speed_split": f"{P}, d AS (SELECT traj_id, seq, lag(seq) OVER w IS NULL AS head, t - lag(t) OVER w AS dt, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS way FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) SELECT traj_id, seq, sum(CASE WHEN head OR dt <= 0 OR way / dt > 0.001 THEN 1 ELSE 0 END) OVER (PARTITION BY traj_id ORDER BY seq)::BIGINT AS run FROM d",
@@ -547,6 +582,6 @@ QUERIES = {f.__name__: f for f in (
     spatial_candidate_join, knn_candidates, candidate_complete_trajectories, emission_prob, od_table, od_incremental, od_faults, od_path_unroll, od_source_index, partial_od_semi_join, shortest_path, bounded_sssp, bounded_reverse_sssp,
     edges_within_distance, od_lookup_join, transition_matrix, fmm_sp_dist, transition_prob, transition_row_norm, fmm_viterbi, fmm_trust, viterbi_opath, complete_path, tpath, matched_geometry,
     match_rows_point_mode, match_rows_trajectory_mode, match_summary, realign_original_indices, duration_speed, distinct_matched_edges, matched_edges_semi_join, edge_match_with_reverse, stmatch_delta,
-    stmatch_distances, stmatch_viterbi, bidirectional_paths, goal_directed_paths, composite_graph_edges, grid_cell_match, gap_segmentation, speed_split, continuity_jumps, cmm_cov_floor, mahalanobis_projection, cmm_log_emission, cmm_candidates,
+    stmatch_distances, stmatch_viterbi, bidirectional_paths, goal_directed_paths, composite_graph_edges, grid_cell_match, hex_cell_match, hex_level_counts, gap_segmentation, speed_split, continuity_jumps, cmm_cov_floor, mahalanobis_projection, cmm_log_emission, cmm_candidates,
     cmm_forward, lag_smoothing, background_state, phmi_emission_norm, softmax_posterior, log_sum_exp, entropy_bits, top3_scores,
 )}
