@@ -1,12 +1,15 @@
+import glob
 import hashlib
 import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import PASSAGE
 from wayfold.llm import decontam, queries
+from wayfold.llm.common import shared_folder
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -59,10 +62,19 @@ def test_odd_rows(spark, odd, none):
 
 def test_items_in_blocks(spark, odd, monkeypatch):
     frame = spark.createDataFrame([(str(i), f"passage{i} passage{i + 1}") for i in range(40)], "item_id string, text string")
-    whole = decontam.find_contamination(odd, frame).select("doc_id", "n_hit", "items").collect()
+    more = spark.createDataFrame([(f"p{i}", PASSAGE if i % 2 else "one two", i) for i in range(3)], "item_id string, text string, extra int").select("item_id", "text")
+    frame = frame.unionByName(more)
+    odd = odd.unionByName(odd.limit(2)).withColumn("text_key", F.lit("mine")).withColumn("__hit", F.lit(5))
+    columns = ("doc_id", "text", "n_words", "n_hit", "items", "spans", "text_key", "__hit")
+    whole = decontam.find_contamination(odd, frame).select(*columns).collect()
+    assert sum(r.n_hit for r in whole) > 0
+    tables = set(glob.glob(f"{shared_folder(spark)}/scratch-*"))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
     assert len(decontam.phrase_blocks(frame)) > 3
-    assert sorted(map(repr, decontam.find_contamination(odd, frame).select("doc_id", "n_hit", "items").collect())) == sorted(map(repr, whole))
+    again = decontam.find_contamination(odd, frame)
+    assert sorted(map(repr, again.select(*columns).collect())) == sorted(map(repr, whole))
+    assert set(glob.glob(f"{shared_folder(spark)}/scratch-*")) == tables
+    assert decontam.find_contamination(odd.limit(0), frame).count() == 0
 
 
 @settings(max_examples=60, deadline=None)

@@ -9,8 +9,9 @@ transform; all phrases step together. Occurrences are located by walking back to
 and the hit words of a document are merged into spans.
 
 Nothing is shuffled: the phrases go to all tasks. Items of more than about `BLOCK_BYTES` of text are taken in
-blocks, one pass over the documents each, whose results are written in between; so the driver and a task hold one
-block at a time, however many items there are.
+blocks, one pass over the texts each, so the driver and a task hold one block at a time, however many items there
+are. A pass writes the hit words and items of the texts that it hits, by the text's hash, and nothing else; these
+tables are merged, deleted, and joined with the documents once.
 
 Words are maximal runs of digits, letters a-z after lower-casing A-Z, and characters beyond ASCII.
 Defined cases: null or empty texts have no words and no hits; items without words have no phrases; a null item id
@@ -20,8 +21,11 @@ at all nothing is hit; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import arrow_map, dropped, stored
+from wayfold.llm.common import Scratch, arrow_map, checkpointed
 
 WINDOW = 13
 #: Suffix positions that are kept: every one of so many, and those at which a stretch begins.
@@ -207,57 +211,94 @@ def ranges(hit: np.ndarray | None) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
-def _one_block(df: DataFrame, phrases: Broadcast, text: str, last: bool) -> DataFrame:
-    """Adds the hits of one block of items to those of the blocks before (columns __hit, __items), or turns all into the results."""
-    final = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-    added = df.sparkSession.createDataFrame([], final if last else "__hit array<struct<start:int,end:int>>, __items array<string>").schema
-    carried = [c for c in ("__hit", "__items") if c in df.columns]
-    kept = [c for c in df.columns if c not in carried]
-    df = df.select(*kept, *carried)
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+PART = "text_key binary, hit array<struct<start:int,end:int>>, items array<string>"
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode("utf-8").lower())
+
+
+def _by_shards(batches: Iterator[pa.RecordBatch], place: int, flush) -> Iterator[pa.RecordBatch]:
+    """flush(batches, texts, words) for each shard; column `place` holds the texts."""
+    held, rows, size = [], 0, 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for b in held for t in b.column(place).to_pylist()]
+        yield from flush(held, texts, [words_of(t) for t in texts])
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            part = whole.slice(start, 256)
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.column(place).get_total_buffer_size() * part.num_rows // max(1, whole.num_rows)
+            if rows >= SHARD_ROWS or size >= SHARD_BYTES:
+                yield from out()
+                held, rows, size = [], 0, 0
+    if held:
+        yield from out()
+
+
+def _searched(words: list[list[bytes]], phrases: Phrases) -> tuple[list, list[list[str]]]:
+    """Hit words (null: none) and sorted items of each text of a shard."""
+    hit: list[np.ndarray | None] = [None] * len(words)
+    found: list[set[str]] = [set() for _ in words]
+    shard_hits(words, phrases, hit, found)
+    return hit, [sorted(f) for f in found]
+
+
+def _judged(df: DataFrame, text: str, judge, told: int = 0) -> DataFrame:
+    """Adds the columns of FOUND; judge(batches, words) gives the hit words and the items of a shard's texts.
+
+    The last `told` columns are for the judge only.
+    """
+    added = df.sparkSession.createDataFrame([], FOUND).schema
+    kept = df.columns[: len(df.columns) - told]
     schema = StructType([df.schema[c] for c in kept] + added.fields)
     target = to_arrow_schema(schema)
-    place = kept.index(text)
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t or "" for b in held for t in b.column(place).to_pylist()]
-        words = [WORD.findall(t.encode("utf-8").lower()) for t in texts]
-        hit: list[np.ndarray | None] = [None] * len(texts)
-        found: list[set[str]] = [set() for _ in texts]
-        if carried:
-            before = [(h, i) for b in held for h, i in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True)]
-            for d, (runs, items) in enumerate(before):
-                found[d].update(items)
-                for r in runs:
-                    hit[d] = np.zeros(len(words[d]), bool) if hit[d] is None else hit[d]
-                    hit[d][r["start"] : r["end"]] = True
-        shard_hits(words, phrases.value, hit, found)
+    def flush(held: list[pa.RecordBatch], texts: list[str], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        hit, items = judge(held, words)
         at = 0
         for b in held:
             n = b.num_rows
-            own, ids = hit[at : at + n], [sorted(f) for f in found[at : at + n]]
-            if last:
-                spans = [[] if h is None else spans_of(t, h) for t, h in zip(texts[at : at + n], own, strict=True)]
-                made = [[len(w) for w in words[at : at + n]], [0 if h is None else int(h.sum()) for h in own], ids, spans]
-            else:
-                made = [[ranges(h) for h in own], ids]
+            own = hit[at : at + n]
+            spans = [[] if h is None else spans_of(t, h) for t, h in zip(texts[at : at + n], own, strict=True)]
+            made = [[len(w) for w in words[at : at + n]], [0 if h is None else int(h.sum()) for h in own], items[at : at + n], spans]
             arrays = [b.column(i).cast(target.field(i).type) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, target.field(f.name).type) for v, f in zip(made, added, strict=True)], schema=target)
             at += n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, size = [], 0, 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                part = whole.slice(start, 256)
-                held.append(part)
-                rows, size = rows + part.num_rows, size + part.column(place).get_total_buffer_size() * part.num_rows // max(1, whole.num_rows)
-                if rows >= SHARD_ROWS or size >= SHARD_BYTES:
-                    yield from flush(held)
-                    held, rows, size = [], 0, 0
-        if held:
-            yield from flush(held)
+    place = kept.index(text)
+    return arrow_map(df, lambda batches: _by_shards(batches, place, flush), schema)
+
+
+def _part_hits(df: DataFrame, phrases: Broadcast, text: str) -> DataFrame:
+    """(text_key, hit, items) of the texts that one block of items hits, each text once. Nothing of the texts is kept."""
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], PART).schema)
+
+    def flush(held: list[pa.RecordBatch], texts: list[str], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        hit, items = _searched(words, phrases.value)
+        some = [i for i, h in enumerate(hit) if h is not None and h.any()]
+        keys = [hashlib.sha256(texts[i].encode("utf-8")).digest() for i in some]
+        made = [keys, [ranges(hit[i]) for i in some], [items[i] for i in some]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, target, strict=True)], schema=target)
+
+    return arrow_map(df.select(text), lambda batches: _by_shards(batches, 0, flush), PART).dropDuplicates(["text_key"])
+
 
-    return arrow_map(df, run, schema)
+def _told(held: list[pa.RecordBatch], words: list[list[bytes]]) -> tuple[list, list[list[str]]]:
+    """Hit words and items that came by a join, in a batch's last two columns."""
+    hit: list[np.ndarray | None] = []
+    items: list[list[str]] = []
+    for b in held:
+        for parts, ids in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            own = np.zeros(len(words[len(hit)]), bool) if parts else None
+            for r in parts or []:
+                own[r["start"] : r["end"]] = True
+            hit.append(own)
+            items.append(sorted(ids or []))
+    return hit, items
 
 
 def phrase_blocks(items: DataFrame, item: str = "item_id", text: str = "text") -> list[DataFrame]:
@@ -271,15 +312,23 @@ def phrase_blocks(items: DataFrame, item: str = "item_id", text: str = "text") -
 def find_contamination(df: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Adds n_words, n_hit, items (sorted ids), and spans (characters) to the other columns (or replaces them); keeps the text."""
     df = df.drop("n_words", "n_hit", "items", "spans")
-    *blocks, final = phrase_blocks(items, item)
-    sent = lambda block: df.sparkSession.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in block.collect()], window))
-    for b, block in enumerate(blocks):
-        phrases = sent(block)
-        before, df = df, stored(_one_block(df, phrases, text, False))
-        phrases.destroy()
-        if b:
-            dropped(before)
-    return _one_block(df, sent(final), text, True)
+    spark = df.sparkSession
+    blocks = phrase_blocks(items, item)
+    sent = lambda block: spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in block.collect()], window))
+    if len(blocks) == 1:
+        phrases = sent(blocks[0])
+        return _judged(df, text, lambda _, words: _searched(words, phrases.value))
+    key, hit, ids = (f"__{n}_{uuid.uuid4().hex}" for n in ("key", "hit", "items"))  # unlike any column of the documents
+    with Scratch(spark) as scratch:
+        parts = []
+        for block in blocks:
+            phrases = sent(block)
+            parts.append(scratch.stored(_part_hits(df, phrases, text)))
+            phrases.destroy()
+        hits = reduce(DataFrame.unionByName, parts).groupBy("text_key").agg(F.flatten(F.collect_list("hit")).alias(hit), F.array_distinct(F.flatten(F.collect_list("items"))).alias(ids))
+        hits = checkpointed(hits.withColumnRenamed("text_key", key))
+    joined = df.withColumn(key, F.unhex(F.sha2(F.col(text).cast("binary"), 256))).join(hits, key, "left").drop(key)
+    return _judged(joined, text, _told, 2)
 
 
 #: Share of hit words (percent) from which a document is contaminated.
