@@ -3,6 +3,7 @@
 import pytest
 
 from wayfold import matcher
+from wayfold.operators.counts import Counts
 from wayfold.operators.covariance import CovarianceConfig
 from wayfold.operators.matching import MatchConfig
 from wayfold.sources import files, text_tables
@@ -37,7 +38,9 @@ def test_files_by_extension(spark, network_file, tmp_path):
     (tmp_path / "g.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"id":"5"},"geometry":{"type":"LineString","coordinates":%s}}]}' % coordinates)
     net = matcher.Network.of(files.read_any_network(spark, network_file), 5.0)
     for name, points in (("t.csv", False), ("p.txt", True), ("g.geojson", False)):
-        done = matcher.match_file(spark, str(tmp_path / name), net, str(tmp_path / f"out-{name}"), CONFIG, points=points, fields="all")
+        counts = Counts()
+        done = matcher.match_file(spark, str(tmp_path / name), net, str(tmp_path / f"out-{name}"), CONFIG, points=points, fields="all", counts=counts)
+        assert counts.all() == {"points": 5 if name == "t.csv" else 3, "trajectories": 1, "broken": 0, "matched": 3}
         assert [r.cpath for r in done.collect()] == [[1, 2, 3]]
         written = spark.read.csv(str(tmp_path / f"out-{name}"), sep=";", header=True)
         assert written.columns == ["traj_id", *matcher.FIELDS] and written.first().cpath == "1,2,3"
@@ -75,7 +78,9 @@ def test_covariance_files(spark, network_file, tmp_path):
     config = CovarianceConfig(k=4, min_candidates=1, min_sigma=0.01, map_sigma=0.02)
     got = {}
     for name in ("points", "whole"):
-        done = matcher.match_covariance_file(spark, str(tmp_path / f"{name}.csv"), net, str(tmp_path / f"out-{name}"), config, 1.0)
+        counts = Counts()
+        done = matcher.match_covariance_file(spark, str(tmp_path / f"{name}.csv"), net, str(tmp_path / f"out-{name}"), config, 1.0, counts=counts)
+        assert counts.all() == {"points": 8, "matched": 8, "failed": 0} | ({"rows_read": 3, "rows_rejected": 1} if name == "whole" else {})
         got[name] = sorted((r.traj_id, r.seq, r.status, r.edge_id, round(r.trust, 9)) for r in done.collect())
         written = spark.read.csv(str(tmp_path / f"out-{name}"), sep=";", header=True)
         assert written.columns == list(matcher.POINT_FIELDS) and written.count() == len(got[name])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as G
 from wayfold.operators import covariance, matching, paths, routing
+from wayfold.operators.counts import Counts, rows, rows_where
 from wayfold.operators.shared import checkpointed
 from wayfold.sources import files, text_tables
 
@@ -73,13 +74,24 @@ def match_covariance_points(points: DataFrame, network: Network, config: covaria
     return found.filter("chosen OR edge_id IS NULL AND status LIKE 'FAILED%'").select(*POINT_FIELDS)
 
 
-def match_covariance_file(spark: SparkSession, gps: str, network: Network | str, result: str, config: covariance.CovarianceConfig, cell: float, limit: float = 3000.0, threshold: float | None = None) -> DataFrame:
+def match_covariance_file(spark: SparkSession, gps: str, network: Network | str, result: str, config: covariance.CovarianceConfig, cell: float, limit: float = 3000.0, threshold: float | None = None, counts: Counts | None = None) -> DataFrame:
     """Matches a file of trajectories with covariances (one row each, with a column geom) or of points with covariances,
-    and writes POINT_FIELDS by trajectory and point; returns them."""
+    and writes POINT_FIELDS by trajectory and point; returns them.
+
+    counts, if given, takes along: points read, rows_read and rows_rejected (trajectories whose columns don't fit), and
+    matched and failed points of the result.
+    """
+    counts = counts or Counts()
     net = Network.of(files.read_any_network(spark, network), limit) if isinstance(network, str) else network
     whole = "geom" in {c.strip().lower() for c in text_tables.read_delimited(spark, gps).columns}
-    points = text_tables.covariance_points(text_tables.read_covariance_trajectories(spark, gps)) if whole else text_tables.read_covariance_points(spark, gps)
-    done = checkpointed(match_covariance_points(points.select("traj_id", "seq", "t", "x", "y", "sde", "sdn", "sdne", "pl"), net, config, cell, threshold))
+    if whole:
+        read = text_tables.read_covariance_trajectories(spark, gps)
+        points = text_tables.covariance_points(counts.along(read, rows_read=rows(), rows_rejected=rows_where(~F.col("valid"))))
+    else:
+        points = text_tables.read_covariance_points(spark, gps)
+    points = checkpointed(counts.along(points.select("traj_id", "seq", "t", "x", "y", "sde", "sdn", "sdne", "pl"), points=rows()))
+    found = match_covariance_points(points, net, config, cell, threshold)
+    done = checkpointed(counts.along(found, matched=rows_where(F.col("edge_id").isNotNull()), failed=rows_where(F.col("edge_id").isNull())))
     done.orderBy("traj_id", "seq").write.mode("overwrite").csv(result, sep=";", header=True)
     return done
 
@@ -127,18 +139,21 @@ def fields_of(names: tuple[str, ...] | str | None) -> tuple[str, ...]:
 
 
 def match_file(
-    spark: SparkSession, gps: str, network: Network | str, result: str, config: matching.MatchConfig, limit: float = 3000.0, points: bool = False, fields: tuple[str, ...] | str | None = None, on_the_fly: bool = False
+    spark: SparkSession, gps: str, network: Network | str, result: str, config: matching.MatchConfig, limit: float = 3000.0, points: bool = False, fields: tuple[str, ...] | str | None = None, on_the_fly: bool = False, counts: Counts | None = None
 ) -> DataFrame:
     """Matches a file of trajectories (or of points) and writes the chosen fields; returns all of them.
 
     on_the_fly: without a path table; `limit` is then the radius that searches between matched edges start with.
+    counts, if given, takes along: points read, trajectories of the result, those without a whole path, and matched points.
     """
-    read = files.read_gps(spark, gps, points)
+    counts = counts or Counts()
+    read = checkpointed(counts.along(files.read_gps(spark, gps, points), points=rows()))
     if on_the_fly:
         edges = files.read_any_network(spark, network) if isinstance(network, str) else network.edges
-        done = checkpointed(match_on_the_fly(read, edges, config, limit))
+        found = match_on_the_fly(read, edges, config, limit)
     else:
         net = Network.of(files.read_any_network(spark, network), limit) if isinstance(network, str) else network
-        done = checkpointed(match_points(read, net, config))
+        found = match_points(read, net, config)
+    done = checkpointed(counts.along(found, trajectories=rows(), broken=rows_where(F.coalesce(F.size("cpath"), F.lit(0)) < 1), matched=F.sum(F.size("opath"))))
     text_tables.write_matches(done, result, fields_of(fields))
     return done

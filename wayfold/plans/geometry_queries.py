@@ -134,6 +134,21 @@ def json_covariance_parse(spark: Spark, sf: str) -> Frame:
     return d.select("event_id", F.col("c").isNotNull().alias("valid"), r(F.get("c", 0)).alias("sde"), r(F.get("c", 3)).alias("sdne"))
 
 
+def cmm_aggregated_scan(spark: Spark, sf: str) -> Frame:
+    """Pieces of ten points as rows of an aggregated covariance file, some of which can't be read or don't fit."""
+    p = demo.points(spark, sf).withColumn("id", F.col("traj_id") * 1000 + F.floor(F.col("seq") / 10))
+    cov = F.when(F.col("event_id") % 29 == 0, F.lit("[1,2]")).otherwise(F.concat(F.lit("["), F.concat_ws(",", "sde", "sdn", F.lit("0.0"), "sdne", F.lit("0.0"), F.lit("0.0")), F.lit("]")))
+    d = p.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" ", "x", "y").alias("at"), F.col("t").cast("string").alias("t"), cov.alias("c"), F.col("pl").cast("string").alias("pl")))).alias("ps"))
+    listed = lambda name, n=F.size("ps"): F.concat(F.lit("["), F.array_join(F.slice(f"ps.{name}", F.lit(1), n), ","), F.lit("]"))
+    line = F.concat(F.lit("LINESTRING("), F.array_join("ps.at", ","), F.lit(")"))
+    fewer = F.size("ps") - (F.col("id") % 7 == 0).cast("int")
+    raw = d.select(F.col("id").cast("string").alias("id"), line.alias("geom"), listed("t", fewer).alias("timestamps"), listed("c").alias("covariance"), listed("pl").alias("PL"))
+    rows = text_tables.parsed_covariance_trajectories(raw)
+    read = text_tables.covariance_points(rows).groupBy("traj_id").agg(F.count("*").alias("points"), F.min("t").alias("begins"), F.sum("x").alias("x"), F.sum("sde").alias("sde"), F.sum("sdne").alias("sdne"), F.max("pl").alias("pl"))
+    d = rows.select("traj_id", "valid").join(read, "traj_id", "left")
+    return d.select("traj_id", "valid", F.coalesce("points", F.lit(0)).alias("points"), *(r(c).alias(c) for c in ("begins", "x", "sde", "sdne", "pl")))
+
+
 def strict_numeric_parse(spark: Spark, sf: str) -> Frame:
     e = demo.table(spark, sf, "events").withColumn("s", F.when(F.col("event_id") % 3 == 0, F.concat(F.col("event_id").cast("string"), F.lit("x"))).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise(F.lit("")))
     return e.select("event_id", text_tables.strict_number("s").alias("number"))
@@ -333,6 +348,9 @@ ORACLE_SQL = {
     "geojson_export": f"WITH {demo.POINTS} SELECT traj_id, 'LineString' AS kind, count(*)::BIGINT AS n, {sql('sum(x)')} AS sum_x FROM points GROUP BY 1",
     "wkt_trajectory_scan": f"WITH {S} SELECT s.traj_id, s.n, {sql('coalesce(sum(len), 0)')} AS len, {sql('s.t')} AS first_t FROM (SELECT traj_id, count(*)::BIGINT AS n, arg_min(t, seq) AS t FROM points GROUP BY 1) s LEFT JOIN seg USING (traj_id) GROUP BY s.traj_id, s.n, s.t",
     "point_run_sessionize": "WITH l AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM l) SELECT user_id, run, count(*)::BIGINT AS n, min(event_id) AS first_id FROM n GROUP BY 1, 2",
+    "cmm_aggregated_scan": f"{P}, q AS (SELECT *, traj_id * 1000 + seq // 10 AS id FROM points), g AS (SELECT id AS traj_id, NOT bool_or(event_id % 29 = 0) AND id % 7 <> 0 AS valid, count(*) AS n, min(t) AS begins, sum(x) AS x, sum(sde) AS sde, sum(sdne) AS sdne, max(pl) AS pl FROM q GROUP BY id) SELECT traj_id, valid, CASE WHEN valid THEN n ELSE 0 END AS points, "
+    + ", ".join(f"CASE WHEN valid THEN {sql(c)} END AS {c}" for c in ("begins", "x", "sde", "sdne", "pl"))
+    + " FROM g",
     "json_covariance_parse": f"{P} SELECT event_id, event_id % 11 <> 0 AND event_id % 13 <> 0 AS valid, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN {sql('sde')} END AS sde, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN {sql('sdne')} END AS sdne FROM points",
     "strict_numeric_parse": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN event_id::DOUBLE END AS number FROM events",
     "haversine": f"{A}, q AS (SELECT event_id, sin(radians(lat2 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(lat2)) * sin(radians(lon2 - lon) / 2) ** 2 AS a FROM around) SELECT event_id, round(2 * 6371000 * atan2(sqrt(a), sqrt(1 - a)), 3) AS metres FROM q",
@@ -362,7 +380,7 @@ ORACLE_SQL = {
 
 QUERIES = {f.__name__: f for f in (
     consecutive_distance, trajectory_length, reverse_geometry, split_line, interpolate_distances, interpolate_every, bounding_box, length_to_end, closest_point_on_segment, linear_referencing,
-    locate_point_by_offset, line_substring, point_on_polyline, dedup_consecutive, densify, wkt_roundtrip, geojson_export, wkt_trajectory_scan, point_run_sessionize, json_covariance_parse,
+    locate_point_by_offset, line_substring, point_on_polyline, dedup_consecutive, densify, wkt_roundtrip, geojson_export, wkt_trajectory_scan, point_run_sessionize, cmm_aggregated_scan, json_covariance_parse,
     strict_numeric_parse, haversine, equirectangular_distance, is_projected, utm_epsg, utm_roundtrip, lla_to_ecef, gcj02_to_wgs84, sigma_m_to_deg, ellipse_to_covariance, mahalanobis_sq,
     protection_level_cov, whiten_error, chi_square_quantile, rayleigh_cdf, parse_point_wkt, parse_candidates, dm_to_decimal_degrees, nmea_time_parse, date_carry_forward, network_bbox_filter,
     gps_bounds, clean_bounds_filter, bin_by_trace, points_to_linestring,

@@ -105,7 +105,11 @@ def read_points(spark: SparkSession, path: str, id_column: str = "id", x: str =
 
 def read_covariance_trajectories(spark: SparkSession, path: str) -> DataFrame:
     """(traj_id, line, times, covariances, levels, valid): invalid rows are marked, to be counted and filtered."""
-    raw = read_delimited(spark, path, ";")
+    return parsed_covariance_trajectories(read_delimited(spark, path, ";"))
+
+
+def parsed_covariance_trajectories(raw: DataFrame) -> DataFrame:
+    """The same of a table of strings."""
     d = raw.select(
         F.col(named(raw, "id")).cast("long").alias("traj_id"),
         G.from_wkt(named(raw, "geom")).alias("line"),
