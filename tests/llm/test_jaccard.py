@@ -93,6 +93,45 @@ def test_similar_sets_share_a_key(seed, size, ratio):
         assert len(np.intersect1d(plan.keys(a), plan.keys(b)))
 
 
+def test_a_set_gives_no_more_keys_than_can_differ():
+    """Keys are what fills the disk: per band one more than the shingles in which a set may differ from one that it is linked with."""
+    rng = np.random.default_rng(4)
+    for n, num in ((4, 85), (5, 80)):
+        plan = jaccard.Plan(n, num, 100)
+        for size in (60, 246, 484, 960, 5100):
+            most = (100 - num) * (size + size * 100 // num) // (100 + num) + 1
+            keys = plan.keys(np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)))
+            assert len(keys) <= most * len(plan.bands(size)) and int(keys.max()) < 2**48
+
+
+def shuffled(spark, since):
+    """Highest stage number, and bytes that stages after `since` shuffled."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    own = [stages.apply(i) for i in range(stages.size())]
+    return max(s.stageId() for s in own), sum(s.shuffleWriteBytes() for s in own if s.stageId() > since)
+
+
+def test_later_pairs_move_only_their_own_sets(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(300)]
+    plan = jaccard.Plan(4, 85, 100)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        with Scratch(spark) as scratch:
+            df = scratch.stored(spark.createDataFrame(rows, "doc_id long, text string"))
+            marked = scratch.stored(jaccard.sized(df.select("doc_id", "text", jaccard._spot("text")), plan))
+            sids = sorted(r.sid for r in marked.collect())
+            exact = jaccard.Sets(df, marked, plan, scratch, "text")
+            pairs = [(a, b) for a, b in zip(sids, sids[1:])]
+            assert scratch.stored(exact.linked(scratch.stored(spark.createDataFrame(pairs, "a long, b long")))).count() == 0
+            last, _ = shuffled(spark, -1)
+            near = scratch.stored(spark.createDataFrame(pairs[:2], "a long, b long"))
+            assert scratch.stored(exact.linked(near)).count() == 0
+            assert shuffled(spark, last)[1] < 1_000_000  # all sets have 4.8 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(205, 201), (203, 201), (203, 204)]
     with Scratch(spark) as scratch:

@@ -3,17 +3,19 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Sets are cut into K blocks by hash, and
 each block has a parity sketch of 64 bits: every shingle flips a random half of them. A shingle that two sets don't
 share changes at most one block's sketch, so the number of differing blocks is at most the symmetric difference.
-Sets of a size band whose similarity reaches the threshold differ in at most d shingles, so of K = d + 1 + e
-blocks at least e + 1 agree (pigeonhole); the join key is (band, block, sketch).
+A set of n shingles and one that it may be linked with in a size band differ in at most d shingles, where d follows
+from n and from the largest size that the other one can have; the join key is (band, block, sketch), of K blocks.
 
-Empty blocks agree for no reason, so they give no key. That is safe while a set has at most e of them; a set with
-more is joined again under further hash seeds, and under the last one its empty blocks give keys, too. No pair
-at or above the threshold is lost.
+Empty blocks agree for no reason, so they give no key: a set gives its first d + 1 blocks that aren't empty. Of two
+sets the one whose last such block comes first has more of them than can differ, so one agrees, and both give it
+(pigeonhole). A set with fewer gives all it has, which is enough for sets that have more, and is joined again under
+further hash seeds; under the last one its empty blocks give keys, too. No pair at or above the threshold is lost.
+Keys have 48 bits; keys that are equal by chance cost a comparison.
 
 Sets of one key meet first within a task's chunk of keys, and of each chunk only the first set goes on to meet
 those of other chunks, so a key that a third of all sets hold is no large group anywhere. Candidates are compared
-by a sketch of the whole set first (the Hamming distance is a lower bound of the symmetric difference) and then
-by exact intersection. Within a key's group the members are compared with one or, by chunks, a few pivots; where a group's members still lie in different components, further pivots follow until every pair of
+by a sketch of the whole set first (the Hamming distance is a lower bound of the symmetric difference; a group's
+members by half a sketch before that) and then by exact intersection. Within a key's group the members are compared with one or, by chunks, a few pivots; where a group's members still lie in different components, further pivots follow until every pair of
 members in different components has been compared. So copies don't become all pairs, and no link between
 components is missed.
 
@@ -49,6 +51,8 @@ BAND_RATIO, SEEDS, LEAST_ROOM = 1.25, 6, 4
 PIVOTS = 16
 #: Pivots that a task holds, and members of a group that one task compares with them.
 BLOCK, SHARE = 1024, 4000
+#: Bits of a join key.
+KEY_BITS = 48
 #: Rows that a task hands over at once, and keys among which it looks for equal ones.
 EMIT, CHUNK = 1 << 17, 1 << 19
 
@@ -112,41 +116,45 @@ class Plan:
             out.append(max(out[-1] + 1, math.ceil(out[-1] * BAND_RATIO)))
         return tuple(out)
 
-    def bands(self, size: int) -> list[tuple[int, int, int, int]]:
-        """(band, differences, blocks, spare blocks) of the bands in which a set of this size is joined."""
+    def bands(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, differences, blocks) of the bands in which a set of this size is joined: the band's number of blocks, and
+        in how many shingles at most this set differs from one that it is linked with there."""
         edges = self.edges(1 << max(4, (2 * size * self.den // self.num).bit_length()))
         i = next(i for i in range(len(edges)) if edges[i + 1] > size)
         out = []
         while not out or size * self.den >= self.num * edges[i]:
-            out.append((i, *self.blocks(edges[i], edges[i + 1] - 1)))
+            other = min(edges[i + 1] - 1, size * self.den // self.num)
+            out.append((i, (self.den - self.num) * (size + other) // (self.den + self.num), self.blocks(edges[i], edges[i + 1] - 1)))
             i += 1
         return [x for x in out if x[1]]  # sets that may not differ at all are equal sets, which are one node
 
     @lru_cache  # noqa: B019
-    def blocks(self, least: int, most: int) -> tuple[int, int, int]:
+    def blocks(self, least: int, most: int) -> int:
         d = (self.den - self.num) * 2 * most // (self.den + self.num)
         spare = 0
         if d >= LEAST_ROOM:
             for _ in range(4):
                 empty = (d + 1 + spare) * math.exp(-least * self.num / self.den / (d + 1 + spare))
                 spare = min(d, math.ceil(empty + 2 * math.sqrt(empty)))
-        return d, d + 1 + spare, spare
+        return d + 1 + spare
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Join keys of a set; two sets of similarity num / den or more have one in common, if they aren't equal."""
         out = []
-        for band, _, k, spare in self.bands(len(s)):
+        for band, d, k in self.bands(len(s)):
             for seed in range(SEEDS):
                 g = s if not seed else np.sort(mixed(s ^ _U((_STEP * (seed + 7)) % 2**64)))
                 block = ((g >> _U(32)) * _U(k)) >> _U(32)
                 start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
                 place = _U(((band << 4) | seed) << 40)
+                if len(start) > d + 1:
+                    g, start = g[: start[d + 1]], start[: d + 1]
                 out.append(mixed(np.bitwise_xor.reduceat(g, start) ^ mixed(block[start] + place)))
-                if k - len(start) <= spare:
+                if len(start) > d:
                     break
                 if seed == SEEDS - 1:
                     out.append(mixed(mixed(np.setdiff1d(np.arange(k, dtype=np.uint64), block[start]) + place)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return np.concatenate(out) >> _U(64 - KEY_BITS) if out else np.zeros(0, np.uint64)
 
 
 def sized(df: DataFrame, plan: Plan, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -178,7 +186,7 @@ def _spot(text: str) -> F.Column:
 
 
 def in_chunk(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
-    """(place, first, key, sid) of the keys of a chunk: a key's first set once, and every further set with that first one.
+    """(first, place, key, sid) of the keys of a chunk: a key's first set once, and every further set with that first one.
 
     Rows of firsts meet by key (place is the key; key and sid are null). Further sets are dealt by key and chunk,
     so a key that very many sets hold has one row in a chunk that meets others, and its further rows are spread.
@@ -190,16 +198,19 @@ def in_chunk(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
     spread = mixed(key ^ mixed(keys[:1] ^ sids[:1].view(_U)))
     gone = np.repeat([True, False], [n, len(key)])
     arrays = [
-        pa.array(np.concatenate([keys[head], spread]).view(np.int64)),
         pa.array(np.concatenate([sids[head], sids[begin][kind[~head]]])),
+        pa.array(np.concatenate([keys[head], spread]).view(np.int64)),
         pa.array(np.concatenate([keys[head], key]).view(np.int64), mask=gone),
         pa.array(np.concatenate([sids[head], sid]), mask=gone),
     ]
-    return pa.RecordBatch.from_arrays(arrays, ["place", "first", "key", "sid"])
+    return pa.RecordBatch.from_arrays(arrays, ["first", "place", "key", "sid"])
 
 
 def join_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    """(place, first, key, sid) of all join keys, by chunks (see in_chunk); a task emits the keys of equal sets once."""
+    """(first, place, key, sid) of all join keys, by chunks (see in_chunk); a task emits the keys of equal sets once.
+
+    A shuffled row is mostly zeros after the place, whose upper bytes are zeros, too, so it compresses well in this order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -222,7 +233,7 @@ def join_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
         if held:
             yield in_chunk(np.concatenate(keys), np.concatenate(sids))
 
-    return arrow_map(df.select(F.col(text).cast("binary")), run, "place long, first long, key long, sid long")
+    return arrow_map(df.select(F.col(text).cast("binary")), run, "first long, place long, key long, sid long")
 
 
 def met_keys(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
@@ -252,10 +263,18 @@ def sets_of(df: DataFrame, rows: DataFrame, plan: Plan, wanted: DataFrame, scrat
     return found.groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
 
+def _half(x: str, half: F.Column) -> F.Column:
+    return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
 def _folded(x: str, to: str) -> F.Column:
     """Sketch x at the size of sketch `to`, where that is half as large."""
-    half = F.size(to)
-    return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    return F.when(F.size(x) > F.size(to), _half(x, F.size(to))).otherwise(F.col(x))
+
+
+def halved(x: str) -> F.Column:
+    """A sketch at half its size, if it has more than one word."""
+    return F.when(F.size(x) > 1, _half(x, (F.size(x) / 2).cast("int"))).otherwise(F.col(x))
 
 
 def close_pairs(pairs: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
@@ -275,14 +294,15 @@ class Sets:
 
     def linked(self, near: DataFrame) -> DataFrame:
         """Of (a, b) the pairs whose exact similarity reaches the threshold; near is read twice."""
-        wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        if self.have is not None:
-            wanted = wanted.join(self.have.select("sid"), "sid", "left_anti")
-        new = self.scratch.stored(sets_of(self.df, self.rows, self.plan, self.scratch.stored(wanted), self.scratch, self.text))
+        wanted = self.scratch.stored(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+        lacking = wanted if self.have is None else self.scratch.stored(wanted.join(self.have.select("sid"), "sid", "left_anti"))
+        new = self.scratch.stored(sets_of(self.df, self.rows, self.plan, lacking, self.scratch, self.text))
+        # only the sets asked for now are moved to the pairs
+        asked = new if self.have is None else self.have.unionByName(new).join(wanted, "sid", "left_semi")
         self.have = new if self.have is None else self.have.unionByName(new)
         both = near
         for side in ("b", "a"):
-            both = both.join(self.have.select(F.col("sid").alias(side), F.col("hashes").alias(f"h{side}")), side)
+            both = both.join(asked.select(F.col("sid").alias(side), F.col("hashes").alias(f"h{side}")), side)
         shared = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).alias("both"))
         return shared.filter(F.col("both") * self.plan.den >= self.plan.num * (F.col("sum") - F.col("both"))).select("a", "b")
 
@@ -374,8 +394,10 @@ def linked_sets(df: DataFrame, rows: DataFrame, plan: Plan, text: str = "text")
         while low < most:
             held = labelled(ranks, roots)
             still = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-            held = held.filter(F.col("size") > low + 1).join(still, "key", "left_semi").join(marks, "sid")
-            near = scratch.stored(pivot_pairs(held, low, high, plan))
+            held = held.filter(F.col("size") > low + 1).join(still, "key", "left_semi").join(marks.withColumn("sketch", halved("sketch")), "sid")
+            likely = scratch.stored(pivot_pairs(held, low, high, plan))
+            near = scratch.stored(close_pairs(likely, marks, plan))
+            dropped(likely)
             if near.head(1):
                 new = scratch.stored(exact.linked(near))
                 if new.head(1):
