@@ -208,7 +208,11 @@ def st_match(points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFr
 
     Pairs without a way get the smallest positive probability, so a trajectory never breaks.
     """
-    cands = layers(points, edges, config)
+    return st_folded(layers(points, edges, config), points, edges, config)
+
+
+def st_folded(cands: DataFrame, points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
+    """st_match on candidates that are already there (as `layers` makes them)."""
     sp = F.coalesce("sp", F.lit(1.7976931348623157e308))
     steps = limited_steps(cands, points, edges, config).withColumn("sp", sp).withColumn("tp", transition(F.col("sp"), F.col("eu")))
     return folded(cands, steps, later_wins=True, stop_when_cut=False)

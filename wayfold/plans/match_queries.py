@@ -256,7 +256,7 @@ def stmatch_distances(spark: Spark, sf: str) -> Frame:
 
 
 def stmatch_viterbi(spark: Spark, sf: str) -> Frame:
-    d = matching.st_match(demo.points(spark, sf).drop("t"), demo.edges(spark, sf), CONFIG)
+    d = matching.st_folded(_whole(spark, sf), demo.points(spark, sf).drop("t"), demo.edges(spark, sf), CONFIG)
     return d.filter("chosen").select(*ID, "edge_id", r("ep").alias("ep"), F.round(F.col("cumu") + 3.7e-7, 5).alias("cumu"))
 
 
