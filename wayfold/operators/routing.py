@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.overlay import Overlay
 from wayfold.operators.path_table import od_rows
 from wayfold.operators.search import NO_EDGES, Search
 from wayfold.operators.shared import checkpointed
@@ -51,6 +52,20 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, limit: float) -> DataFra
     return found.select(F.col("target").alias("source"), F.col("source").alias("target"), "distance")
 
 
+def far_distances(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """(source, target, distance): bounded_paths without paths for limits of very many edges; ways of any length take the same number of stages."""
+    over = Overlay.of(edges)
+    if over is None:
+        return bounded_paths(edges, sources, limit, paths=False)
+    return over.reach(sources).filter(F.col("distance") <= limit)
+
+
+#: Pairs still open after so many circles, or widenings of their limits, are settled over the network's blocks (see overlay.py).
+CIRCLES, WIDENINGS = 2, 2
+#: Pairs whose straight line is longer than so many edges of mean length are not searched for step by step.
+FAR = 8
+
+
 def two_sided_paths(edges: DataFrame, pairs: DataFrame, radius: float, stats: dict | None = None) -> DataFrame:
     """(source, target, distance, path) of given pairs, however long, by searches from both ends that meet.
 
@@ -59,8 +74,12 @@ def two_sided_paths(edges: DataFrame, pairs: DataFrame, radius: float, stats: di
     target (or ends within the first), so what meets over such edges settles all pairs up to that length. A pair is
     also settled, or without a way, once its source or its target has no more to offer. Pairs without a way are
     absent, and so are pairs of a node with itself. stats, if given, gets rounds and states.
+
+    Ways of many edges would take as many rounds, so pairs that are open after CIRCLES circles are settled over the
+    network's blocks, unless their overlay is too large to be sent to the tasks.
     """
     open_ = checkpointed(pairs.select("source", "target").filter("source <> target").distinct())
+    circles, over_blocks = 0, None
     ends = {"source": Search(edges, _starts(open_, "source")), "target": Search(turned(edges), _starts(open_, "target"), ("target",))}
     found = None
     while open_.head(1):
@@ -78,6 +97,12 @@ def two_sided_paths(edges: DataFrame, pairs: DataFrame, radius: float, stats: di
         found = done if found is None else found.unionByName(done)
         open_ = checkpointed(open_.join(done, ["source", "target"], "left_anti").join(over, ["source", "target"], "left_anti"))
         radius *= 2
+        circles += 1
+        if circles == CIRCLES and open_.head(1):
+            over_blocks = Overlay.of(edges)
+            if over_blocks is not None:
+                found = found.unionByName(_across_blocks(over_blocks, open_))
+                break
     if stats is not None and found is not None:
         stats |= {"rounds": sum(x.rounds for x in ends.values()), "states": sum(x.known().count() for x in ends.values())}
     if found is None:
@@ -87,6 +112,11 @@ def two_sided_paths(edges: DataFrame, pairs: DataFrame, radius: float, stats: di
     return found.select("source", "target", "s.distance", "s.path")
 
 
+def _across_blocks(over: Overlay, pairs: DataFrame) -> DataFrame:
+    """(source, target, s): the ways of pairs, in the form of a search's states."""
+    return checkpointed(over.ways(pairs).select("source", "target", F.struct("distance", "path").alias("s")))
+
+
 def _starts(pairs: DataFrame, end: str) -> DataFrame:
     return pairs.select(end).distinct().withColumn("node", F.col(end))
 
@@ -102,15 +132,28 @@ def goal_directed_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, wi
     expanded only while its distance and that line are within the pair's limit, which starts as the straight line
     between both ends and grows by the factor `widening` for pairs still open; a pair's search ends when its goal is
     settled. Pairs without a way are absent, and so are pairs of a node with itself.
+
+    A search takes a round for each edge, so pairs whose straight line is longer than FAR edges, and those that are open
+    after WIDENINGS, are settled over the network's blocks, unless their overlay is too large to be sent to the tasks.
     """
     open_ = checkpointed(pairs.select("source", F.col("target").alias("goal")).filter("source <> goal").distinct())
+    if not open_.head(1):
+        return pairs.select("source", "target", F.lit(0.0).alias("distance"), F.expr(NO_EDGES).alias("path")).filter("false")
     place = lambda n, x, y: nodes.select(F.col("node").alias(n), F.col("x").alias(x), F.col("y").alias(y))
     line = F.sqrt(F.pow(F.col("gx") - F.col("nx"), 2) + F.pow(F.col("gy") - F.col("ny"), 2)) * (1 - SLACK)
     ahead = lambda d: d.join(place("node", "nx", "ny"), "node").withColumn("h", line).drop("nx", "ny")
     starts = open_.join(place("goal", "gx", "gy"), "goal").withColumn("node", F.col("source"))
     first = starts.join(place("node", "nx", "ny"), "node").withColumn("unit", F.greatest(line * (1 + 2 * SLACK), F.lit(1e-9))).drop("nx", "ny")
+    mean = edges.agg(F.avg("length")).first()[0] or 0.0
+    far = checkpointed(first.filter(F.col("unit") > FAR * mean).select("source", "goal"))
+    over_blocks = Overlay.of(edges) if far.head(1) else None
+    parts = []
+    if over_blocks is not None:
+        parts.append(_goals_across(over_blocks, far))
+        open_ = checkpointed(open_.join(far, ["source", "goal"], "left_anti"))
+        first = first.join(far, ["source", "goal"], "left_anti")
     search = Search(edges, first, ("source", "goal"), ahead=ahead, wanted=open_.withColumn("node", F.col("goal")))
-    factor, parts, none = 1.0, [], not open_.head(1)
+    factor, widened = 1.0, 0
     while open_.head(1):
         search.to(factor, open_)
         best = search.reached().filter("node = goal").join(open_, ["source", "goal"], "left_semi")
@@ -118,13 +161,17 @@ def goal_directed_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, wi
         more = search.parked(open_).select("source", "goal").distinct()
         over = checkpointed(open_.join(more, ["source", "goal"], "left_anti"))
         done = checkpointed(best.join(unit, ["source", "goal"]).filter(F.col("distance") <= F.col("unit") * factor).drop("unit").unionByName(best.join(over, ["source", "goal"], "left_semi")).distinct())
-        parts.append(done)
+        parts.append(done.select("source", "goal", "distance", "path"))
         open_ = checkpointed(open_.join(done, ["source", "goal"], "left_anti").join(over, ["source", "goal"], "left_anti"))
         factor *= widening
-    if none:
-        return pairs.select("source", "target", F.lit(0.0).alias("distance"), F.expr(NO_EDGES).alias("path")).filter("false")
+        widened += 1
+        if widened == WIDENINGS and open_.head(1):
+            over_blocks = over_blocks or Overlay.of(edges)
+            if over_blocks is not None:
+                parts.append(_goals_across(over_blocks, open_))
+                break
     if stats is not None:
-        stats |= {"rounds": search.rounds, "states": search.known().count()}
+        stats |= {"rounds": search.rounds, "states": search.known().count() if search.rounds else 0}
     search.dropped()
     found = parts[0]
     for p in parts[1:]:
@@ -132,6 +179,10 @@ def goal_directed_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, wi
     return found.select("source", F.col("goal").alias("target"), "distance", "path")
 
 
+def _goals_across(over: Overlay, open_: DataFrame) -> DataFrame:
+    return _across_blocks(over, open_.withColumnRenamed("goal", "target")).select("source", F.col("target").alias("goal"), "s.distance", "s.path")
+
+
 def routed_pairs(edges: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
     """(source, target, distance, path) of given pairs, however long; `limit` is the radius that both ends start with."""
     return two_sided_paths(edges, pairs, limit)

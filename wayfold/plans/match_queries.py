@@ -117,7 +117,7 @@ def _node(spark: Spark, sf: str, n: int, name: str) -> Frame:
 
 
 def shortest_path(spark: Spark, sf: str) -> Frame:
-    d = routing.bounded_paths(demo.edges(spark, sf), _node(spark, sf, 0, "source"), 1e9)
+    d = routing.far_distances(demo.edges(spark, sf), _node(spark, sf, 0, "source"), 1e9)
     return d.select("target", r("distance").alias("distance"))
 
 
