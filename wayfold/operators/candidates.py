@@ -36,8 +36,8 @@ def spatial_candidates(points: DataFrame, edges: DataFrame, radius: float, cell:
     """points x edges within the radius: adds edge_id, source, target, length, dist and offset to the points (traj_id, seq, x, y, ...).
 
     A segment is listed in each grid cell that its padded box touches; a point lies in one cell, so the join is an
-    equi-join that yields each pair once. A hot cell is a skewed join key, which Spark splits. What meets is dealt
-    out by trajectory, and distances, the least one of each edge and all that follows need no other shuffle.
+    equi-join that yields each pair once. A hot cell is a skewed join key, which Spark splits. What is near is dealt
+    out by trajectory; the least distance of each edge and all that follows need no other shuffle.
     """
     size = cell or max(2 * radius, 1e-9)
     low = lambda p, q: F.least(p, q) - radius
@@ -46,7 +46,7 @@ def spatial_candidates(points: DataFrame, edges: DataFrame, radius: float, cell:
     tiles = edge_segments(edges).withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
     at = points.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
     met = at.join(tiles, ["cx", "cy"]).filter(F.col("x").between(low("ax", "bx"), high("ax", "bx")) & F.col("y").between(low("ay", "by"), high("ay", "by"))).drop("cx", "cy")
-    near = projected(by_trajectory(met)).filter(F.col("dist") <= radius)
+    near = by_trajectory(projected(met).filter(F.col("dist") <= radius).drop("ax", "ay", "bx", "by", "start"))
     best = near.groupBy(*POINT_KEY, "edge_id").agg(F.first(F.struct(*points.columns, "source", "target", "length")).alias("row"), F.min(F.struct("dist", "no", "offset")).alias("n"))
     return best.select(*(F.col(f"row.{c}").alias(c) for c in points.columns), "edge_id", "row.source", "row.target", "row.length", F.col("n.dist").alias("dist"), F.col("n.offset").alias("offset"))
 
@@ -62,3 +62,15 @@ def complete_trajectories(candidates: DataFrame, points: DataFrame, least: int =
     have = candidates.select(*POINT_KEY).distinct().groupBy("traj_id").agg(F.count("*").alias("have"))
     whole = points.groupBy("traj_id").agg(F.count("*").alias("all")).join(have, "traj_id").filter((F.col("have") == F.col("all")) & (F.col("all") >= least))
     return candidates.join(whole.select("traj_id"), "traj_id", "left_semi")
+
+
+def whole_trajectories(candidates: DataFrame, least: int = 2) -> DataFrame:
+    """complete_trajectories of candidates with `cand` whose rows tell the number of their trajectory's points (column points); no shuffle of its own."""
+    own = Window.partitionBy("traj_id")
+    have = candidates.withColumn("have", F.count(F.when(F.col("cand") == 1, 1)).over(own))
+    return have.filter((F.col("have") == F.col("points")) & (F.col("points") >= least)).drop("have", "points")
+
+
+def counted(points: DataFrame) -> DataFrame:
+    """Adds points, the number of points of the row's trajectory."""
+    return points.withColumn("points", F.count("*").over(Window.partitionBy("traj_id")))

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.candidates import complete_trajectories, nearest, spatial_candidates
+from wayfold.operators.candidates import counted, nearest, spatial_candidates, whole_trajectories
+from wayfold.operators.covariance import Ways
 from wayfold.operators.routing import bounded_paths
 from wayfold.operators.shared import by_trajectory, checkpointed, importable
 
@@ -45,13 +46,15 @@ def transition(sp: Column, eu: Column) -> Column:
     return F.when(eu >= sp, F.lit(1.0)).otherwise(eu / sp)
 
 
-def layers(points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
-    """Candidates of complete trajectories: k nearest within the radius, with emission ep and order cand.
+def found_layers(points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
+    """Candidates of complete trajectories: k nearest within the radius, with emission ep and order cand."""
+    found = nearest(spatial_candidates(counted(points.select("traj_id", "seq", "x", "y")), edges, config.radius), config.k)
+    return whole_trajectories(found).withColumn("ep", emission(F.col("dist"), config.gps_error))
 
-    They are read several times, so they are materialised once.
-    """
-    found = nearest(spatial_candidates(points.select("traj_id", "seq", "x", "y"), edges, config.radius), config.k)
-    return checkpointed(complete_trajectories(checkpointed(found), points).withColumn("ep", emission(F.col("dist"), config.gps_error)))
+
+def layers(points: DataFrame, edges: DataFrame, config: MatchConfig) -> DataFrame:
+    """found_layers, materialised once for several readings."""
+    return checkpointed(found_layers(points, edges, config))
 
 
 def stepped(cands: DataFrame) -> DataFrame:
@@ -97,10 +100,16 @@ def fold(rows: pd.DataFrame, later_wins: bool = False, stop_when_cut: bool = Tru
     one counts, unreachable ones too. All candidates come back with their best predecessor; chosen marks the best path.
     """
     rows = rows.sort_values(["seq", "cand_b", "cand_a"], kind="stable")
-    seq, b = rows["seq"].to_numpy(), rows["cand_b"].to_numpy()
     head = rows["cand_a"].isna().to_numpy()
-    a = rows["cand_a"].fillna(0).to_numpy().astype(np.int64)
-    tp, sp, eu, ep = (rows[c].to_numpy(np.float64) for c in ("tp", "sp", "eu", "ep_b"))
+    columns = {"seq": rows["seq"].to_numpy(), "cand_b": rows["cand_b"].to_numpy(), "head": head, "cand_a": rows["cand_a"].fillna(0).to_numpy().astype(np.int64)}
+    columns |= {c: rows[c].to_numpy(np.float64) for c in ("tp", "sp", "eu", "ep_b")}
+    done = recursion(columns, later_wins, stop_when_cut)
+    return pd.DataFrame({"traj_id": np.full(len(done["seq"]), int(rows["traj_id"].iloc[0])), **done})
+
+
+def recursion(columns: dict[str, np.ndarray], later_wins: bool = False, stop_when_cut: bool = True) -> dict[str, np.ndarray]:
+    """fold, on columns sorted by seq, cand_b and cand_a; head marks the rows of layer 0."""
+    seq, b, head, a, tp, sp, eu, ep = (columns[c] for c in ("seq", "cand_b", "head", "cand_a", "tp", "sp", "eu", "ep_b"))
     with np.errstate(divide="ignore"):
         log_tp, log_ep = np.log(tp), np.log(ep)
     group = np.flatnonzero(np.concatenate([[True], (seq[1:] != seq[:-1]) | (b[1:] != b[:-1])]))
@@ -149,12 +158,10 @@ def fold(rows: pd.DataFrame, later_wins: bool = False, stop_when_cut: bool = Tru
             if k:
                 g = int(layer[k - 1]) + int(np.searchsorted(b[group[layer[k - 1] : layer[k]]], prev[g]))
     started = prev < 0
-    return pd.DataFrame(
-        {
-            "traj_id": np.full(n, int(rows["traj_id"].iloc[0])), "seq": seq[group], "cand": b[group], "prev": prev, "ep": ep[group], "tp": np.where(started, 0.0, tp[pick]),
-            "sp": np.where(started, 0.0, sp[pick]), "eu": np.where(started, 0.0, eu[pick]), "cumu": cumu, "trust": trust, "chosen": chosen,
-        }
-    )
+    return {
+        "seq": seq[group], "cand": b[group], "prev": prev, "ep": ep[group], "tp": np.where(started, 0.0, tp[pick]),
+        "sp": np.where(started, 0.0, sp[pick]), "eu": np.where(started, 0.0, eu[pick]), "cumu": cumu, "trust": trust, "chosen": chosen,
+    }
 
 
 def folded(cands: DataFrame, steps: DataFrame, later_wins: bool = False, stop_when_cut: bool = True) -> DataFrame:
@@ -170,10 +177,71 @@ def folded(cands: DataFrame, steps: DataFrame, later_wins: bool = False, stop_wh
     return done.join(cands.drop("ep"), ["traj_id", "seq", "cand"])
 
 
+#: Columns that the fold adds to a candidate's.
+FOLDED = "prev int, tp double, sp double, eu double, cumu double, trust double, chosen boolean"
+
+
+def transition_rows(rows: pd.DataFrame, ways: Ways, reverse_tolerance: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The recursion's columns of one trajectory's candidates, sorted by seq and cand: what path_lengths and transition
+    give for all steps; and which candidates they lead to."""
+    seq, n = rows["seq"].to_numpy(), len(rows)
+    starts = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [n]]))
+    before = np.concatenate([[0], np.where(seq[starts[1:]] == seq[starts[:-1]] + 1, sizes[:-1], 0)])
+    many = np.repeat(before, sizes)
+    b = np.repeat(np.arange(n), many)
+    a = np.repeat(np.repeat(np.concatenate([[0], starts[:-1]]), sizes), many) + np.arange(len(b)) - np.repeat(np.cumsum(many) - many, many)
+    col = {c: rows[c].to_numpy() for c in ("edge_id", "source", "target", "length", "offset", "x", "y", "cand", "ep")}
+    between = ways.between(col["target"][a], col["source"][b])
+    back, rest = col["offset"][a] - col["offset"][b], col["length"][a] - col["offset"][a]
+    same = col["edge_id"][a] == col["edge_id"][b]
+    choices = [
+        (same & (back <= 0), col["offset"][b] - col["offset"][a]), (same & (back < col["length"][a] * reverse_tolerance), 0.0),
+        (col["target"][a] == col["source"][b], rest + col["offset"][b]), (between >= 0, between + rest + col["offset"][b]),
+    ]
+    sp = np.select([c for c, _ in choices], [v for _, v in choices], np.inf)
+    dx, dy = col["x"][b] - col["x"][a], col["y"][b] - col["y"][a]
+    eu = np.sqrt(dx * dx + dy * dy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tp = np.where(eu >= sp, 1.0, eu / sp)
+    first = np.arange(sizes[0])
+    nothing = np.zeros(len(first))
+    out = {"seq": np.concatenate([seq[first], seq[b]]), "cand_b": np.concatenate([col["cand"][first], col["cand"][b]]), "cand_a": np.concatenate([nothing.astype(np.int64), col["cand"][a]])}
+    out |= {"head": np.concatenate([nothing == 0, np.zeros(len(b), bool)]), "ep_b": np.concatenate([col["ep"][first], col["ep"][b]])}
+    out |= {c: np.concatenate([nothing, v]) for c, v in (("tp", tp), ("sp", sp), ("eu", eu))}
+    return out, (many > 0) | (np.arange(n) < sizes[0])
+
+
+def folded_over(cands: DataFrame, od: DataFrame, reverse_tolerance: float) -> DataFrame:
+    """folded, over transitions that are formed within each trajectory's fold.
+
+    Only the candidates themselves and the ways that a trajectory asks for, each once, go to the folds. The candidates
+    are read twice; where they come as a plan, both readings share the exchange by trajectory.
+    """
+    names = [*(c for c in cands.columns if c != "ep"), "ep", *(f.split()[0] for f in FOLDED.split(", "))]
+    ends = cands.groupBy("traj_id", "seq").agg(F.collect_set("target").alias("leave"), F.collect_set("source").alias("enter"))
+    w = Window.partitionBy("traj_id").orderBy("seq")
+    pairs = ends.withColumn("before", F.lag("leave").over(w))
+    asked = pairs.select("traj_id", F.explode("before").alias("source"), "enter").select("traj_id", "source", F.explode("enter").alias("target")).filter("source <> target").distinct()
+    needed = asked.join(od.select("source", "target", "distance"), ["source", "target"]).select(F.col("traj_id").alias("of"), "source", "target", "distance")
+
+    def run(rows: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=names)
+        rows = rows.iloc[np.lexsort((rows["cand"].to_numpy(), rows["seq"].to_numpy()))]
+        known = Ways(ways["source"].to_numpy(np.int64), ways["target"].to_numpy(np.int64), ways["distance"].to_numpy(np.float64))
+        steps, led = transition_rows(rows, known, reverse_tolerance)
+        done = recursion(steps)
+        return pd.DataFrame({c: rows[c].to_numpy()[led] if c in rows else done[c] for c in names})
+
+    types = {f.name: f.dataType.simpleString() for f in cands.schema}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cands.columns if c != "ep"), "ep double", FOLDED])
+    return importable(by_trajectory(cands)).groupBy("traj_id").cogroup(by_trajectory(needed, "of").groupBy("of")).applyInPandas(run, schema)
+
+
 def fast_match(points: DataFrame, edges: DataFrame, od: DataFrame, config: MatchConfig) -> DataFrame:
     """All candidates of all points with cumu, trust and chosen: matching over a precomputed OD table."""
-    cands = layers(points, edges, config)
-    return folded(cands, transitions(cands, od, config))
+    return folded_over(found_layers(points, edges, config), od, config.reverse_tolerance)
 
 
 def search_limit(eu: Column, dt: Column, config: MatchConfig) -> Column:

@@ -34,8 +34,15 @@ def _top(spark: Spark, sf: str) -> Frame:
     return candidates.nearest(_near(spark, sf), demo.K).withColumn("ep", matching.emission(F.col("dist"), demo.SIGMA))
 
 
+def _complete(spark: Spark, sf: str) -> Frame:
+    """The k nearest candidates of whole trajectories, as a plan."""
+    p = candidates.counted(demo.points(spark, sf).select("traj_id", "seq", "x", "y"))
+    d = candidates.spatial_candidates(p, demo.edges(spark, sf), demo.RADIUS).withColumn("dist", F.round("dist", 9))
+    return candidates.whole_trajectories(candidates.nearest(d, demo.K)).withColumn("ep", matching.emission(F.col("dist"), demo.SIGMA))
+
+
 def _whole(spark: Spark, sf: str) -> Frame:
-    return checkpointed(candidates.complete_trajectories(checkpointed(_top(spark, sf)), demo.points(spark, sf)))
+    return checkpointed(_complete(spark, sf))
 
 
 def _od(spark: Spark, sf: str) -> Frame:
@@ -47,10 +54,20 @@ def _steps(spark: Spark, sf: str) -> Frame:
     return matching.transitions(_whole(spark, sf), _od(spark, sf), CONFIG)
 
 
+def _folded(spark: Spark, sf: str) -> tuple[Frame, Frame]:
+    """All candidates with the fold's values, as a plan, and the path table."""
+    od = _od(spark, sf)
+    return matching.folded_over(_complete(spark, sf), od, CONFIG.reverse_tolerance), od
+
+
+#: What results are made of, of a chosen candidate.
+CHOSEN = ("traj_id", "seq", "edge_id", "source", "target", "length", "offset", "dist", "ep", "tp", "sp", "eu", "cumu", "trust", "chosen")
+
+
 def _matched(spark: Spark, sf: str) -> tuple[Frame, Frame]:
-    """All candidates with the fold's values, and the path table."""
-    cands, od = _whole(spark, sf), _od(spark, sf)
-    return checkpointed(matching.folded(cands, matching.transitions(cands, od, CONFIG))), od
+    """The chosen candidates, materialised, and the path table."""
+    m, od = _folded(spark, sf)
+    return checkpointed(m.filter("chosen").select(*CHOSEN)), od
 
 
 def _paths(matched: Frame, od: Frame) -> Frame:
@@ -162,12 +179,12 @@ def transition_row_norm(spark: Spark, sf: str) -> Frame:
 
 
 def fmm_viterbi(spark: Spark, sf: str) -> Frame:
-    d = _matched(spark, sf)[0].filter("cumu > -1e300")
+    d = _folded(spark, sf)[0].filter("cumu > -1e300")
     return d.select(*ID, "edge_id", r("cumu").alias("cumu"))
 
 
 def fmm_trust(spark: Spark, sf: str) -> Frame:
-    return _matched(spark, sf)[0].filter("cumu > -1e300").select(*ID, "edge_id", r("trust").alias("trust"))
+    return _folded(spark, sf)[0].filter("cumu > -1e300").select(*ID, "edge_id", r("trust").alias("trust"))
 
 
 def viterbi_opath(spark: Spark, sf: str) -> Frame:
@@ -391,7 +408,7 @@ def softmax_posterior(spark: Spark, sf: str) -> Frame:
 
 def log_sum_exp(spark: Spark, sf: str) -> Frame:
     """The evidence of each point but the first by the forward values of the plain matcher: log of the sum over candidates."""
-    d = _matched(spark, sf)[0].filter("cumu > -1e300")
+    d = _folded(spark, sf)[0].filter("cumu > -1e300")
     # trust is exp(best - total), so the total comes back from the candidate of most trust
     return d.groupBy(*ID).agg(r(F.max_by(F.col("cumu") - F.log("trust"), F.struct("trust", "cand"))).alias("lse"))
 
