@@ -7,6 +7,7 @@ fixed-lag smoothing) is a fold over one trajectory, cogrouped with just the path
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -247,12 +248,13 @@ class Layer:
         self.length, self.offset, self.ep, self.oneway = (columns[c] for c in ("length", "offset", "ep", "oneway"))
         with np.errstate(divide="ignore"):
             self.log_ep = np.log(self.ep)
+        self.ready = None
         self.unlinked()
 
     def unlinked(self) -> None:
         n = len(self.cand)
         self.prev, self.tp, self.sp, self.eu = np.full(n, -1), np.zeros(n), np.zeros(n), 0.0
-        self.reverse = np.zeros(n)
+        self.reverse, self.spread = np.zeros(n), None
 
     def begin(self) -> None:
         states = max(1, int(np.isfinite(self.log_ep).sum()))
@@ -268,47 +270,103 @@ class Layer:
         Also keeps in other.reverse_to how far each pair has run back on its edge in all. On a one-way edge a pair
         that ran back more than cumulative_reverse of it has no way.
         """
-        rest, reach = (self.length - self.offset)[:, None], other.offset[None, :]
-        source, target = self.source[:, None], self.target[:, None]
-        back = self.offset[:, None] - reach
-        same = self.edge[:, None] == other.edge[None, :]
-        between = od.between(*np.broadcast_arrays(target, other.source[None, :]))
-        around = np.where(od.between(target, source) >= 0, back, -1.0)
-        near = back <= np.maximum(BACK_SHARE * self.length, self.length * config.reverse_tolerance + BACK_SLACK)[:, None]
-        on_edge = np.where(back <= 0, -back, np.where(near, 0.0, around))
-        over_node = np.where(target == other.source[None, :], rest + reach, np.where(between >= 0, between + rest + reach, -1.0))
-        out = np.where(same, on_edge, over_node)
-        out[(self.edge < 0)[:, None] | (other.edge < 0)[None, :]] = -1.0
-        run_back = same & (back > 0) & (out >= 0)
+        ready = other.ready is not None and other.ready[0] is self
+        out, back, run_back = other.ready[1:4] if ready else _between((self,), (other,), od, config, 0)
         other.reverse_to = np.where(run_back, self.reverse[:, None] + back, 0.0)
-        out[run_back & self.oneway[:, None] & (other.reverse_to > config.cumulative_reverse * self.length[:, None])] = -1.0
-        return out
+        far = run_back & self.oneway[:, None] & (other.reverse_to > config.cumulative_reverse * self.length[:, None])
+        return np.where(far, -1.0, out) if far.any() else out
 
     def follow(self, before: Layer, od: Ways, config: CovarianceConfig) -> bool:
         """The recursion from the layer before; false if no candidate can be reached."""
         self.eu = math.dist((before.x, before.y), (self.x, self.y))
-        sp = before.ways(self, od, config)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            raw = np.where(sp < 0, 0.0, np.where(self.eu >= sp, 1.0, self.eu / sp))
-            total = raw.sum(1, keepdims=True)
-            self.log_raw = np.log(raw)
-            log_a = np.log(np.where(total > 0, raw / total, 0.0))
+        if self.ready is not None and self.ready[0] is before and self.ready[4]:
+            sp, (raw, self.log_raw, log_a) = self.ready[1], self.ready[4]
+            self.reverse_to = None
+        else:
+            sp = before.ways(self, od, config)
+            raw, self.log_raw, log_a = _transitions(sp, self.eu)
         value, into = before.v[:, None] + log_a, before.f[:, None] + log_a
         self.prev = value.argmax(0)
-        best = value.max(0)
-        top = into.max(0)
+        best, top = value.max(0), into.max(0)
         with np.errstate(divide="ignore", invalid="ignore"):
             spread = np.where(np.isinf(top), top, top + np.log(np.exp(into - np.where(np.isinf(top), 0.0, top)).sum(0)))
-        self.v, self.f = best + self.log_ep, spread + self.log_ep
-        at = (self.prev, np.arange(len(self.cand)))
-        self.tp, self.sp = np.where(np.isfinite(best), raw[at], 0.0), np.where(np.isfinite(best), sp[at], -1.0)
-        self.reverse = np.where(np.isfinite(best), self.reverse_to[at], 0.0)
-        self.trust = _softmax(self.f)
-        self.entropy = _bits(self.trust)
-        self.drop = max(0.0, _bits(_softmax(spread)) - self.entropy)
+        self.v, self.f, self.spread = best + self.log_ep, spread + self.log_ep, spread
+        at, linked = (self.prev, np.arange(len(self.cand))), np.isfinite(best)
+        self.tp, self.sp = np.where(linked, raw[at], 0.0), np.where(linked, sp[at], -1.0)
+        self.reverse = np.zeros(len(self.cand)) if self.reverse_to is None else np.where(linked, self.reverse_to[at], 0.0)
+        self.ready = None
         return bool((self.f > -np.inf).any())
 
 
+def _between(before: Sequence[Layer], after: Sequence[Layer], od: Ways, config: CovarianceConfig, which=slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of ways, how far they lead back on their edge, and whether they run back, for pairs of layers of one shape."""
+    a = {c: np.stack([getattr(x, c) for x in before])[which][..., :, None] for c in ("edge", "source", "target", "length", "offset")}
+    b = {c: np.stack([getattr(x, c) for x in after])[which][..., None, :] for c in ("edge", "source", "offset")}
+    rest, reach = a["length"] - a["offset"], b["offset"]
+    back = a["offset"] - reach
+    same = a["edge"] == b["edge"]
+    between = od.between(*np.broadcast_arrays(a["target"], b["source"]))
+    around = np.where(od.between(a["target"], a["source"]) >= 0, back, -1.0)
+    near = back <= np.maximum(BACK_SHARE * a["length"], a["length"] * config.reverse_tolerance + BACK_SLACK)
+    on_edge = np.where(back <= 0, -back, np.where(near, 0.0, around))
+    over_node = np.where(a["target"] == b["source"], rest + reach, np.where(between >= 0, between + rest + reach, -1.0))
+    out = np.where(same, on_edge, over_node)
+    out[(a["edge"] < 0) | (b["edge"] < 0)] = -1.0
+    return out, back, same & (back > 0) & (out >= 0)
+
+
+def _transitions(sp: np.ndarray, eu) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Raw transitions, their logarithms, and those of the transitions normalised by row."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        raw = np.where(sp < 0, 0.0, np.where(eu >= sp, 1.0, eu / sp))
+        total = raw.sum(-1, keepdims=True)
+        return raw, np.log(raw), np.log(np.where(total > 0, raw / total, 0.0))
+
+
+#: Steps whose ways are worked out together.
+AHEAD = 4096
+
+
+def prepared(layers: list[Layer], od: Ways, config: CovarianceConfig, guarded: bool) -> None:
+    """Works out the ways between successive layers, all steps of one shape at once, and their transitions unless one-way edges guard them."""
+    shapes: dict[tuple[int, int], list[tuple[Layer, Layer]]] = {}
+    for a, b in zip(layers, layers[1:], strict=False):
+        shapes.setdefault((len(a.cand), len(b.cand)), []).append((a, b))
+    for steps in shapes.values():
+        out, back, run_back = _between([a for a, _ in steps], [b for _, b in steps], od, config)
+        eu = np.array([math.dist((a.x, a.y), (b.x, b.y)) for a, b in steps])
+        made = None if guarded else _transitions(out, eu[:, None, None])
+        for i, (a, b) in enumerate(steps):
+            b.ready = (a, out[i], back[i], run_back[i], made and tuple(m[i] for m in made))
+
+
+def _softmaxes(v: np.ndarray) -> np.ndarray:
+    """_softmax by row."""
+    top = v.max(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        total = top + np.log(np.exp(v - top).sum(1, keepdims=True))
+        return np.where(np.isinf(top), 0.0, np.exp(v - total))
+
+
+def _all_bits(p: np.ndarray) -> np.ndarray:
+    """_bits by row."""
+    return -np.where(p > 0, p * np.log2(np.where(p > 0, p, 1.0)), 0.0).sum(1) + 0.0
+
+
+def settled(layers: list[Layer]) -> None:
+    """Trust, entropy and its drop of the layers that follow another, all of one size at once."""
+    sizes: dict[int, list[Layer]] = {}
+    for layer in layers:
+        if layer.spread is not None:
+            sizes.setdefault(len(layer.cand), []).append(layer)
+    for own in sizes.values():
+        trust, before = _softmaxes(np.stack([x.f for x in own])), _softmaxes(np.stack([x.spread for x in own]))
+        entropy = _all_bits(trust)
+        drop = np.maximum(0.0, _all_bits(before) - entropy)
+        for i, x in enumerate(own):
+            x.trust, x.entropy, x.drop = trust[i], float(entropy[i]), float(drop[i])
+
+
 def smoothed(layers: list[Layer], lag: int) -> None:
     """Trust and entropy of each layer with the next `lag` layers known; the last layer keeps its filter value."""
     for i, layer in enumerate(layers[:-1]):
@@ -346,10 +404,12 @@ def fold(rows: pd.DataFrame, ways: pd.DataFrame, config: CovarianceConfig) -> pd
     od = Ways(ways["source"].to_numpy(np.int64), ways["target"].to_numpy(np.int64), ways["distance"].to_numpy(np.float64))
     traj = int(rows["traj_id"].iloc[0])
     layers = layers_of(rows)
+    guarded = any(x.oneway.any() for x in layers)
     part = 0
 
     def emit(sub: list[Layer]) -> None:
         nonlocal part
+        settled(sub)
         if config.lag_steps > 0:
             smoothed(sub, config.lag_steps)
         status = "SUCCESS" if len(sub) == len(layers) else "PARTIAL"
@@ -389,7 +449,9 @@ def fold(rows: pd.DataFrame, ways: pd.DataFrame, config: CovarianceConfig) -> pd
             continue
         sub, skipped = [own[0]], []
         own[0].begin()
-        for layer in own[1:]:
+        for i, layer in enumerate(own[1:]):
+            if i % AHEAD == 0:
+                prepared(own[i : i + AHEAD + 1], od, config, guarded)
             last = sub[-1]
             gap = layer.t - last.t
             speed = math.dist((last.x, last.y), (layer.x, layer.y)) / gap if gap > 0 else math.inf
@@ -435,14 +497,25 @@ def trusted(matched: DataFrame, threshold: float) -> DataFrame:
     return kept.unionByName(failed)
 
 
+#: Nodes that go along with a trajectory's rows when its ways are looked up, at most.
+TAKEN_ALONG = 64
+
+
 def covariance_match(points: DataFrame, edges: DataFrame, od: DataFrame, config: CovarianceConfig, cell: float) -> DataFrame:
     """All candidates of all points with filter posteriors (trust), entropies, the part they belong to and its status."""
     cands = checkpointed(with_background(emissions(covariance_candidates(points, edges, config, cell), config), config))
     oneway = [c for c in ("oneway",) if c in cands.columns]
     rows = cands.select("traj_id", "seq", "t", "x", "y", "cand", "edge_id", "source", "target", "length", "offset", "ep", *oneway)
-    leave = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("target").alias("source")).distinct()
-    enter = rows.filter("edge_id IS NOT NULL").select("traj_id", F.col("source").alias("target")).distinct()
-    needed = leave.join(od.select("source", "target", "distance"), "source").join(enter, ["traj_id", "target"], "left_semi")
+    ends = rows.filter("edge_id IS NOT NULL")
+    # a step may skip points, so ways between any two points of a trajectory count; those to other nodes are dropped where
+    # they are found, unless the trajectory has too many nodes to go along with each of its rows
+    nodes = ends.groupBy("traj_id").agg(F.collect_set("target").alias("leave"), F.collect_set("source").alias("enter"))
+    ways = od.select("source", "target", "distance")
+    few = nodes.filter(F.size("enter") <= TAKEN_ALONG).select("traj_id", F.explode("leave").alias("source"), "enter").join(ways, "source").filter(F.array_contains("enter", F.col("target")))
+    many = nodes.filter(F.size("enter") > TAKEN_ALONG)
+    enter = many.select("traj_id", F.explode("enter").alias("target"))
+    rest = many.select("traj_id", F.explode("leave").alias("source")).join(ways, "source").join(enter, ["traj_id", "target"], "left_semi")
+    needed = few.select("traj_id", "source", "target", "distance").unionByName(rest.select("traj_id", "source", "target", "distance"))
 
     def run(own: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
         return fold(own, ways, config)
